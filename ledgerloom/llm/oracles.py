@@ -2,6 +2,36 @@
 
 ORACLES: dict[str, str] = {}
 
+ORACLES["op2_hyperminhash"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) = 1 THEN words
+    ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS shingles
+  FROM w
+), cls AS (
+  SELECT min(doc_id) AS c, list_sort(shingles) AS k, any_value(len(shingles)) AS n FROM s WHERE len(shingles) > 0 GROUP BY list_sort(shingles)
+), e AS (
+  SELECT c, n, unnest(k) AS g FROM cls
+), common AS (
+  SELECT x.c AS a, y.c AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS i
+  FROM e x JOIN e y ON x.g = y.g AND x.c < y.c AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) GROUP BY x.c, y.c
+), links AS (
+  SELECT a, b FROM common WHERE 100 * i >= 80 * (na + nb - i)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT c AS x, c AS y FROM cls UNION SELECT r.x, t.b FROM reach r JOIN both_ways t ON r.y = t.a
+), root AS (
+  SELECT x, min(y) AS r FROM reach GROUP BY x
+), named AS (
+  SELECT k, r FROM cls JOIN root ON c = x
+)
+SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, coalesce(named.r, s.doc_id) AS component_id, coalesce(named.r, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN named ON list_sort(s.shingles) = named.k
+"""
+
 ORACLES["op4_mixing"] = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0)::BIGINT AS size
