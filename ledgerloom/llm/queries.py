@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, hyperminhash, mixing, warc
-from .common import fresh_path, small_batches, table
+from . import byte_bpe, hyperminhash, mixing, toxicity, warc
+from .common import fresh_path, held_out, small_batches, table
 
 
 def tokenizer_files(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
@@ -18,6 +18,19 @@ def tokenizer_files(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("tox_score").alias("score"),
+        (F.col("tox_score") >= TOXIC_AT).cast("int").alias("predicted"),
+        F.col("tox_examples").alias("evidence"),
+        F.col("tox_similarity").alias("similarity"),
+    )
+
+
 def op2_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = hyperminhash.near_duplicates(docs, words=2, percent=80)
@@ -63,7 +76,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Scores from here on count as toxic.
+TOXIC_AT = 0.7
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_hyperminhash": op2_hyperminhash,
     "op4_mixing": op4_mixing,
     "op7_byte_bpe": op7_byte_bpe,
