@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, hyperminhash, mixing, toxicity, warc
+from . import byte_bpe, hyperminhash, language, mixing, toxicity, warc
 from .common import fresh_path, held_out, small_batches, table
 
 
@@ -39,6 +39,14 @@ def op2_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.select("doc_id", "text", "lang"))
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     sources = F.array("source")
@@ -82,6 +90,7 @@ TOXIC_AT = 0.7
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_hyperminhash": op2_hyperminhash,
+    "op3_language": op3_language,
     "op4_mixing": op4_mixing,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_warc": op10_warc,
