@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, hyperminhash, language, mixing, toxicity, warc
+from . import byte_bpe, hyperminhash, language, mixing, mtree, toxicity, url_filter, warc
 from .common import fresh_path, held_out, small_batches, table
 
 
@@ -60,6 +60,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = mtree.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_files()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -73,6 +79,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Host and path rules of the query.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filter.fit(url_filter.labelled_urls())
+    return url_filter.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "junk")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     small_batches(spark, 128)
@@ -92,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hyperminhash": op2_hyperminhash,
     "op3_language": op3_language,
     "op4_mixing": op4_mixing,
+    "op6_mtree": op6_mtree,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_url_filter": op8_url_filter,
     "op10_warc": op10_warc,
 }
