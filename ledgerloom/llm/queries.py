@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, hyperminhash, language, mixing, mtree, toxicity, url_filter, warc
+from . import byte_bpe, html_extract, hyperminhash, language, mixing, mtree, toxicity, url_filter, warc
 from .common import fresh_path, held_out, small_batches, table
 
 
@@ -60,6 +60,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    model = html_extract.train(html_extract.labelled_pages())
+    text = html_extract.extract(pages, model).drop("html")
+    return text.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     found = mtree.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
@@ -108,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hyperminhash": op2_hyperminhash,
     "op3_language": op3_language,
     "op4_mixing": op4_mixing,
+    "op5_html": op5_html,
     "op6_mtree": op6_mtree,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_url_filter": op8_url_filter,
