@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_extract, hyperminhash, language, mixing, mtree, toxicity, url_filter, warc
+from . import byte_bpe, html_extract, hyperminhash, language, mixing, mtree, rare_digest, toxicity, url_filter, warc
 from .common import fresh_path, held_out, small_batches, table
 
 
@@ -96,6 +96,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "junk")
 
 
+def op9_rare_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rare_digest.compare_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     small_batches(spark, 128)
@@ -119,5 +123,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mtree": op6_mtree,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_url_filter": op8_url_filter,
+    "op9_rare_digest": op9_rare_digest,
     "op10_warc": op10_warc,
 }
