@@ -1,5 +1,85 @@
-"""placeholder"""
+"""From raw documents to token ids: toxicity, language, near-duplicates, mixing, byte-level BPE.
 
+Each stage takes all documents that its predecessor kept and returns the columns of
+``documents``; the last returns token ids and digests.  Between stages the documents are
+written and read again, so every stage is planned from plain files and survives lost executors.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import byte_bpe, hyperminhash, language, mixing, toxicity
+from ledgerloom.llm.common import cut, table
+from ledgerloom.llm.queries import TOXIC_AT, tokenizer_files
+
+#: Documents whose language is less certain than this go, as do those without letters.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the labelled examples call toxic (score of ``TOXIC_AT`` or more)."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).where(F.col("tox_score") < TOXIC_AT).select(docs.columns)
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in no learned language: without letters, or too uncertain."""
+    found = language.predict(docs, language.fit(docs.select("doc_id", "text", "lang")))
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
+    groups = cut(hyperminhash.near_duplicates(docs, words=5, percent=80), "groups")
+    gone = cut(groups.where("id != root").select(F.col("id").alias("doc_id")).distinct(), "gone")
+    if gone.count() <= hyperminhash.BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, "doc_id", "left_anti")
+    again = cut(groups.where("id = root").groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id")), "again")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents so that the sources reach their target weights."""
+    sources = F.array("source")
+    mix = mixing.solve(docs, sources, F.col("doc_id"), F.col("text"))
+    mixed = mixing.copies(docs, mix, sources, F.col("doc_id"), name="_copies").where("_copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, packed, with the digests of ids and of the decoded bytes."""
+    path, pattern = tokenizer_files()
+    coded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern).drop("text", "char_starts", "char_ends")
+    return byte_bpe.decode(coded, path).select(
+        "doc_id", "lang", "source",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.col("packed").alias("ids"),
+        F.sha2("packed", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", keep_languages),
+    ("near_duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("byte_bpe", to_tokens),
+]
+
+#: Learned scores and a tokenizer cannot be written in SQL; the stages are tested one by one.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
