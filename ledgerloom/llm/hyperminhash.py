@@ -9,12 +9,19 @@ to the number of leading zeros (6 bits) and the ``MANTISSA`` bits after the lead
 register looks at the whole set, so short documents have no empty registers.
 
 Candidates.  A band is ``rows`` neighbouring registers; classes that agree on one share a
-bucket.  A pair at similarity 0.8 shares none of 42 bands of 6 with probability 3e-6.  Within a
-bucket no pairs are enumerated: all members are held against the smallest id, the links found
-are closed to components, and members that are still outside the first one's component become
-pivots in later rounds (8, 16, ... a bucket) until every pair of the bucket is either tested
-or joined by a chain of links.  So nothing is capped, and a bucket of a third of all rows costs
-a few tests per member.
+bucket.  A pair at similarity 0.8 shares none of 54 bands of 7 with probability 3e-6.  Within a
+bucket no pairs are enumerated: all members are held against its hub, the member with the most
+company over all its buckets, and the links found are closed to components.
+
+Completion.  Two members of one hub may be linked though the hub is linked to at most one of
+them.  Such a pair must differ from the hub in the same way: with ``D(y)`` the shingles in which
+``y`` and hub differ (those that ``y`` lacks and those that it adds), ``w(y)`` = lacked + t *
+added and t the threshold, a link between ``x`` and ``y`` needs
+``(1 + t) * |D(x) & D(y)| >= w(x) + w(y) - (1 - t) * |hub|``, and ``w > (1 - t) * |hub|`` for
+whoever is not linked to the hub; also ``|D(y) - D(x)|`` cannot exceed ``(1 / t - 1) * |y|``.
+Both bound the overlap from below, so the rarest few elements of both sides must meet (the
+prefix filter of set-similarity joins).  Only pairs that meet are tested, which is exact: no cap,
+and a bucket of a third of all rows costs a few rows per member.
 
 Confirmation.  Sizes must allow the threshold; the collision-corrected estimate from the
 registers must not fall more than ``SIGMAS`` standard deviations below it; then the full sets
@@ -27,19 +34,22 @@ id link to nothing; rows with one id are one node; an empty table gives an empty
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, small_batches
 from .components import components
 
-BANDS, ROWS = 42, 6
+BANDS, ROWS = 54, 7
 MANTISSA = 10
 SIGMAS = 6.0
+#: Up to so many ids are broadcast to their texts (8 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 200_000
 _U = np.uint64
 
 
@@ -82,8 +92,10 @@ def multipliers(count: int) -> np.ndarray:
 def registers(sets: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
     """Compressed registers (sets x count, uint16) of concatenated non-empty sets."""
     least = np.empty((len(starts), count), dtype=np.uint64)
+    product = np.empty_like(sets)
     for j, a in enumerate(multipliers(count)):
-        least[:, j] = np.minimum.reduceat(sets * a, starts)
+        np.multiply(sets, a, out=product)
+        least[:, j] = np.minimum.reduceat(product, starts)
     zeros = np.zeros(least.shape, dtype=np.uint16)
     x = least.copy()
     for step in (32, 16, 8, 4, 2, 1):
@@ -133,7 +145,8 @@ def sketch(docs: DataFrame, doc_id: str, text: str, words: int = 5, bands: int =
             keys: list = [None] * len(sets)
             regs: list = [None] * len(sets)
             which = np.flatnonzero(usable)
-            for part in np.array_split(which, max(1, int(n[which].sum()) // 200_000 + 1)):
+            place = np.cumsum(n[which]) // 24_000  # shares that stay in the cache of a core
+            for part in np.split(which, np.flatnonzero(np.diff(place)) + 1):
                 if len(part):
                     got = registers(np.concatenate([sets[i] for i in part]), np.concatenate([[0], np.cumsum(n[part])[:-1]]), count).astype(">u2")
                     for i, r in zip(part, got, strict=True):
@@ -160,8 +173,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int, count: int) -
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "na", "rb", "nb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
-    """Keeps the pairs whose full sets reach the threshold; sets are made only for documents in pairs."""
+def _sets(ids: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+    """``id, shingles`` (packed hashes) of the documents in ``ids``, one column ``id`` of distinct values."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -169,6 +182,21 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, words:
             sets = [shingle_hashes(t, words, known).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
+    ids = cut(ids, "asked")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)  # at most a few MB; more ids meet their texts in a shuffle
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    return cut(texts.join(ids, "id", "left_semi").mapInArrow(make, "id long, shingles binary"), "sets")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
+    """Keeps the pairs ``(a, b)`` whose full sets reach the threshold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -179,66 +207,113 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, words:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    sets = cut(texts.join(asked, "id", "left_semi").mapInArrow(make, "id long, shingles binary"), "sets")
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
-    out = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct(), "links")
+    sets = _sets(asked, docs, doc_id, text, words)
+    out = cut(_with_sets(pairs, sets).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct(), "links")
     drop_cut(sets)
     return out
 
 
+def _differences(pairs: DataFrame, percent: int) -> DataFrame:
+    """``a`` (hub), ``b``, ``e`` per shingle in which ``b`` differs from its hub, and prefix lengths.
+
+    ``e`` is the shingle's hash, with the lowest bit telling lacked from added ones.
+    ``as_any`` and ``as_outside`` say how many of the rarest elements must be kept if ``b`` is
+    any member, or one that is not linked to the hub.
+    """
+    t = percent / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                hub, own = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in (2, 3))
+                lacked, added = np.setdiff1d(hub, own, assume_unique=True), np.setdiff1d(own, hub, assume_unique=True)
+                size = len(lacked) + len(added)
+                if not size:
+                    continue
+                w = len(lacked) + t * len(added)
+                least = size - int((1 / t - 1) * len(own) + 1e-9)
+                any_k = max(1, math.floor(w / (1 + t) - 1e-9) + 1, least)
+                out_k = max(1, math.ceil((w - (1 - t) * len(hub)) / (1 + t) - 1e-9), least)
+                e = np.concatenate([lacked & ~_U(1), added | _U(1)]).view(np.int64)
+                full = lambda v, n=size: pa.array(np.full(n, v, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [full(batch.column(0)[i].as_py()), full(batch.column(1)[i].as_py()), pa.array(e), full(size - any_k + 1), full(size - out_k + 1)],
+                    names=["a", "b", "e", "as_any", "as_outside"],
+                )
+
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, e long, as_any long, as_outside long")
+
+
+def _completion(members: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of members of one hub that may be linked though one of them is not linked to the hub.
+
+    ``members``: ``hub, id, root, outside`` (whether the id's component is not the hub's).
+    """
+    asked = members.select("id").union(members.select(F.col("hub").alias("id"))).distinct()
+    sets = _sets(asked, docs, doc_id, text, words)
+    found = _differences(_with_sets(members.select(F.col("hub").alias("a"), F.col("id").alias("b")), sets), percent)
+    found = cut(found.withColumnsRenamed({"a": "hub", "b": "id"}), "differences")
+    drop_cut(sets)
+    common = found.groupBy("hub", "e").agg(F.count("*").alias("often")).where("often > 1")  # others meet no one
+    place = F.row_number().over(Window.partitionBy("hub", "id").orderBy(F.coalesce("often", F.lit(1)), "e"))
+    short = cut(
+        found.join(common, ["hub", "e"], "left").withColumn("place", place)
+        .where((F.col("place") <= F.greatest("as_any", "as_outside")) & F.col("often").isNotNull())
+        .join(members, ["hub", "id"]), "prefixes",
+    )
+    x = short.where("outside and place <= as_outside").select("hub", "e", F.col("id").alias("a"), F.col("root").alias("ra"))
+    y = short.where("place <= as_any").select("hub", "e", F.col("id").alias("b"), F.col("root").alias("rb"))
+    out = cut(x.join(y, ["hub", "e"]).where("ra != rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "completion")
+    drop_cut(found, short)
+    return out
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """``id, n, root`` per row of ``docs``: its set's size and the smallest id its links reach."""
-    base = cut(sketch(docs, doc_id, text, words, bands, rows), "sketch")
-    # Rows of one id are one node: their classes are linked through the id as well.
-    classes = cut(base.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
+    sketched = cut(sketch(docs, doc_id, text, words, bands, rows), "sketch")
+    base = cut(sketched.select("id", "n", "set_key"), "sizes")
+    classes = cut(
+        sketched.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes"
+    )
+    drop_cut(sketched)
     width = 2 * rows
-    banded = classes.select("id", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring("registers", i * width + 1, F.lit(width)))).alias("band", "piece")).select("id", "n", F.xxhash64("band", "piece").alias("bucket"))
-    firsts = banded.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("members")).where("members > 1")
-    shared = cut(banded.join(firsts, "bucket"), "buckets")
+    piece = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring("registers", i * width + 1, F.lit(width)))
+    banded = classes.select("id", F.posexplode(piece).alias("band", "piece")).select("id", F.xxhash64("band", "piece").alias("bucket"))
+    busy = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    shared = cut(banded.join(busy, "bucket"), "buckets")
+    company = shared.groupBy("id").agg(F.sum("members").alias("company"))
+    hubs = shared.join(company, "id").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("i"))).alias("h")).select("bucket", (-F.col("h.i")).alias("hub"))
+    sizes = classes.select("id", "n")
+    members = cut(shared.join(hubs, "bucket").where("id != hub").select("hub", "id").distinct(), "members")
+    drop_cut(shared)
 
     def test(pairs: DataFrame) -> DataFrame:
-        near = cut(_estimated(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, percent, bands * rows), "near")
+        """The links among distinct pairs ``(a, b)`` with ``a < b``."""
+        side = lambda c: sizes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"))
+        fit = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+        near = cut(_estimated(fit, classes, percent, bands * rows), "near")
         out = _confirmed(near, docs, doc_id, text, words, percent)
         drop_cut(near)
         return out
 
-    def fits(x: str, y: str):
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-    sizes = classes.select(F.col("id").alias("first"), F.col("n").alias("first_n"))
-    links = test(
-        shared.where("id != first").select("id", "n", "first").distinct().join(sizes, "first").where(fits("n", "first_n"))
-        .select(F.col("first").alias("a"), F.col("id").alias("b"))
-    )
-    same_id = base.where("set_key is not null").join(classes.select("set_key", F.col("id").alias("a")), "set_key").where("id != a").select("a", F.col("id").alias("b"))
-    repeated = base.where("set_key is not null").groupBy("id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x != y").select(F.col("id").alias("b"))
-    links = cut(links.union(same_id.join(repeated, "b", "left_semi").select("a", "b").distinct()), "links")
+    links = test(members.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct())
+    # An id that repeats with another text joins the classes of its texts.
+    repeated = base.where("set_key is not null").groupBy("id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x != y").select("id")
+    own = base.join(repeated, "id", "left_semi").join(classes.select("set_key", F.col("id").alias("a")), "set_key").where("id != a").select("a", F.col("id").alias("b"))
+    links = cut(links.union(own).distinct(), "links")
     roots = components(links)
 
-    larger = shared.where("members > 2")
-    done, pivots_each = None, 8
-    while True:
-        rooted = larger.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        heads = roots.select(F.col("id").alias("first"), F.col("root").alias("first_root"))
-        rooted = rooted.join(heads, "first", "left").withColumn("first_root", F.coalesce("first_root", "first"))
-        outside = rooted.where("id != first and root != first_root")
-        if done is not None:
-            outside = outside.join(done, ["bucket", "id"], "left_anti")
-        pivots = cut(outside.groupBy("bucket", (F.abs(F.xxhash64("id")) % pivots_each).alias("salt")).agg(F.min(F.struct("id", "n", "root")).alias("p")).select("bucket", "p.*"), "pivots")
-        if pivots.isEmpty():
-            break
-        p = pivots.select("bucket", F.col("id").alias("a"), F.col("n").alias("pn"), F.col("root").alias("p_root"))
-        pairs = rooted.where("id != first").join(p, "bucket").where((F.col("id") != F.col("a")) & (F.col("root") != F.col("p_root")) & fits("n", "pn")).select("a", F.col("id").alias("b"))
-        more = test(pairs)
+    rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    heads = roots.select(F.col("id").alias("hub"), F.col("root").alias("hub_root"))
+    rooted = rooted.join(heads, "hub", "left").withColumn("outside", F.col("root") != F.coalesce("hub_root", "hub")).drop("hub_root")
+    open_hubs = rooted.groupBy("hub").agg(F.count("*").alias("k"), F.max("outside").alias("any")).where("k > 1 and any").select("hub")
+    unsettled = cut(rooted.join(open_hubs, "hub", "left_semi").select("hub", "id", "root", "outside"), "unsettled")
+    if not unsettled.isEmpty():
+        more = test(_completion(unsettled, docs, doc_id, text, words, percent))
         if not more.isEmpty():
-            links = cut(links.union(more), "links")
-            roots = components(links)
-        here = pivots.select("bucket", "id")
-        done = cut(here if done is None else done.union(here), "done")
-        pivots_each *= 2
+            roots = components(links.union(more))
 
     named = classes.join(roots, "id", "left").select("set_key", F.coalesce("root", "id").alias("root"))
     return base.join(named, "set_key", "left").select("id", "n", F.coalesce("root", "id").alias("root"))
