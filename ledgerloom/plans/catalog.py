@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import structure_queries, text_queries
+from . import stream_queries, structure_queries, text_queries
 
-MODULES = (text_queries, structure_queries)
+MODULES = (text_queries, structure_queries, stream_queries)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -1 +1 @@
-
+"""Structured Streaming views of the append-only ledgers."""
