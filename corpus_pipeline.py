@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import byte_bpe, hyperminhash, language, mixing, toxicity
-from ledgerloom.llm.common import cut, table
+from ledgerloom.llm.common import cut, keep, table
 from ledgerloom.llm.queries import TOXIC_AT, tokenizer_files
 
 #: Documents whose language is less certain than this go, as do those without letters.
@@ -33,11 +33,11 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
     groups = cut(hyperminhash.near_duplicates(docs, words=5, percent=80), "groups")
-    gone = cut(groups.where("id != root").select(F.col("id").alias("doc_id")).distinct(), "gone")
+    gone = keep(groups.where("id != root").select(F.col("id").alias("doc_id")).distinct())
     if gone.count() <= hyperminhash.BROADCAST_IDS:
         gone = F.broadcast(gone)
     kept = docs.join(gone, "doc_id", "left_anti")
-    again = cut(groups.where("id = root").groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id")), "again")
+    again = keep(groups.where("id = root").groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id")))
     if again.isEmpty():
         return kept.select(docs.columns)
     once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])

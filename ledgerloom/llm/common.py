@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,22 @@ def drop_cut(*frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Computes ``df`` now and keeps it on the executors' disks for several uses.
+
+    What a lost executor held is computed again from its lineage, which stays.
+    """
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
+def release(*frames: DataFrame) -> None:
+    """Gives up frames that :func:`keep` keeps."""
+    for df in frames:
+        df.unpersist()
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bounds Arrow batches by rows, so that long texts do not pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

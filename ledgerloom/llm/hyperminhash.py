@@ -19,8 +19,9 @@ them.  Such a pair must differ from the hub in the same way: with ``D(y)`` the s
 added and t the threshold, a link between ``x`` and ``y`` needs
 ``(1 + t) * |D(x) & D(y)| >= w(x) + w(y) - (1 - t) * |hub|``, and ``w > (1 - t) * |hub|`` for
 whoever is not linked to the hub; also ``|D(y) - D(x)|`` cannot exceed ``(1 / t - 1) * |y|``.
-Both bound the overlap from below, so the rarest few elements of both sides must meet (the
-prefix filter of set-similarity joins).  Only pairs that meet are tested, which is exact: no cap,
+Both bound the overlap from below, so the rarest few elements of both sides must meet, early
+enough to leave room for the rest (the prefix and position filters of set-similarity joins).
+Only pairs that meet are tested, which is exact: no cap,
 and a bucket of a third of all rows costs a few rows per member.
 
 Confirmation.  Sizes must allow the threshold; the collision-corrected estimate from the
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, small_batches
+from .common import cut, drop_cut, keep, release, small_batches
 from .components import components
 
 BANDS, ROWS = 54, 7
@@ -66,7 +67,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 150_000:
+        if len(self) >= 60_000:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word)
         return out
@@ -182,11 +183,13 @@ def _sets(ids: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int) -
             sets = [shingle_hashes(t, words, known).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    ids = cut(ids, "asked")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)  # at most a few MB; more ids meet their texts in a shuffle
+    ids = keep(ids)
+    # At most a few MB are broadcast; more ids meet their texts in a shuffle.
+    near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return cut(texts.join(ids, "id", "left_semi").mapInArrow(make, "id long, shingles binary"), "sets")
+    out = keep(texts.join(near, "id", "left_semi").mapInArrow(make, "id long, shingles binary"))
+    release(ids)
+    return out
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -209,16 +212,17 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, words:
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     sets = _sets(asked, docs, doc_id, text, words)
     out = cut(_with_sets(pairs, sets).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct(), "links")
-    drop_cut(sets)
+    release(sets)
     return out
 
 
 def _differences(pairs: DataFrame, percent: int) -> DataFrame:
-    """``a`` (hub), ``b``, ``e`` per shingle in which ``b`` differs from its hub, and prefix lengths.
+    """``hub, id, e`` per shingle in which a member differs from its hub, and what bounds overlaps.
 
-    ``e`` is the shingle's hash, with the lowest bit telling lacked from added ones.
-    ``as_any`` and ``as_outside`` say how many of the rarest elements must be kept if ``b`` is
-    any member, or one that is not linked to the hub.
+    ``e`` is the shingle's hash, with the lowest bit telling lacked from added ones; ``size`` the
+    number of differences, ``w`` their weight, ``n`` and ``hub_n`` the set sizes.  ``as_any`` and
+    ``as_outside`` say how many of the rarest elements must be kept if the member is any, or one
+    that is not linked to the hub.
     """
     t = percent / 100
 
@@ -235,13 +239,11 @@ def _differences(pairs: DataFrame, percent: int) -> DataFrame:
                 any_k = max(1, math.floor(w / (1 + t) - 1e-9) + 1, least)
                 out_k = max(1, math.ceil((w - (1 - t) * len(hub)) / (1 + t) - 1e-9), least)
                 e = np.concatenate([lacked & ~_U(1), added | _U(1)]).view(np.int64)
-                full = lambda v, n=size: pa.array(np.full(n, v, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [full(batch.column(0)[i].as_py()), full(batch.column(1)[i].as_py()), pa.array(e), full(size - any_k + 1), full(size - out_k + 1)],
-                    names=["a", "b", "e", "as_any", "as_outside"],
-                )
+                numbers = [batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), size, len(own), len(hub), size - any_k + 1, size - out_k + 1]
+                cols = [pa.array(np.full(size, v, dtype=np.int64)) for v in numbers]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(e), pa.array(np.full(size, w))], names=["hub", "id", "size", "n", "hub_n", "as_any", "as_outside", "e", "w"])
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, e long, as_any long, as_outside long")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "hub long, id long, size long, n long, hub_n long, as_any long, as_outside long, e long, w double")
 
 
 def _completion(members: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
@@ -249,22 +251,27 @@ def _completion(members: DataFrame, docs: DataFrame, doc_id: str, text: str, wor
 
     ``members``: ``hub, id, root, outside`` (whether the id's component is not the hub's).
     """
+    t = percent / 100
     asked = members.select("id").union(members.select(F.col("hub").alias("id"))).distinct()
     sets = _sets(asked, docs, doc_id, text, words)
-    found = _differences(_with_sets(members.select(F.col("hub").alias("a"), F.col("id").alias("b")), sets), percent)
-    found = cut(found.withColumnsRenamed({"a": "hub", "b": "id"}), "differences")
-    drop_cut(sets)
+    found = keep(_differences(_with_sets(members.select(F.col("hub").alias("a"), F.col("id").alias("b")), sets), percent))
+    release(sets)
     common = found.groupBy("hub", "e").agg(F.count("*").alias("often")).where("often > 1")  # others meet no one
     place = F.row_number().over(Window.partitionBy("hub", "id").orderBy(F.coalesce("often", F.lit(1)), "e"))
-    short = cut(
+    short = keep(
         found.join(common, ["hub", "e"], "left").withColumn("place", place)
         .where((F.col("place") <= F.greatest("as_any", "as_outside")) & F.col("often").isNotNull())
-        .join(members, ["hub", "id"]), "prefixes",
-    )
-    x = short.where("outside and place <= as_outside").select("hub", "e", F.col("id").alias("a"), F.col("root").alias("ra"))
-    y = short.where("place <= as_any").select("hub", "e", F.col("id").alias("b"), F.col("root").alias("rb"))
-    out = cut(x.join(y, ["hub", "e"]).where("ra != rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "completion")
-    drop_cut(found, short)
+        .join(members, ["hub", "id"])
+    )
+    # An element met at these places leaves at most so many more to share; the pair needs as many as its weights ask.
+    side = lambda df, c: df.select("hub", "e", *(F.col(x).alias(x + c) for x in ("id", "root", "n", "w")), (F.col("size") - F.col("place")).alias("rest" + c))
+    x = side(short.where("outside and place <= as_outside"), "_a").join(short.select("hub", "hub_n").distinct(), "hub")
+    y = side(short.where("place <= as_any"), "_b")
+    reach = (1 + t) * (1 + F.least("rest_a", "rest_b")) >= F.col("w_a") + F.col("w_b") - (1 - t) * F.col("hub_n") - 1e-6
+    size = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    met = x.join(y, (x["hub"] == y["hub"]) & (x["e"] == y["e"]) & (F.col("root_a") != F.col("root_b")) & size & reach)
+    out = cut(met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), "completion")
+    release(found, short)
     return out
 
 
@@ -272,33 +279,33 @@ def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """``id, n, root`` per row of ``docs``: its set's size and the smallest id its links reach."""
-    sketched = cut(sketch(docs, doc_id, text, words, bands, rows), "sketch")
+    sketched = keep(sketch(docs, doc_id, text, words, bands, rows))
     base = cut(sketched.select("id", "n", "set_key"), "sizes")
     classes = cut(
         sketched.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes"
     )
-    drop_cut(sketched)
+    release(sketched)
     width = 2 * rows
     piece = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring("registers", i * width + 1, F.lit(width)))
     banded = classes.select("id", F.posexplode(piece).alias("band", "piece")).select("id", F.xxhash64("band", "piece").alias("bucket"))
     busy = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    shared = cut(banded.join(busy, "bucket"), "buckets")
+    shared = keep(banded.join(busy, "bucket"))
     company = shared.groupBy("id").agg(F.sum("members").alias("company"))
     hubs = shared.join(company, "id").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("i"))).alias("h")).select("bucket", (-F.col("h.i")).alias("hub"))
     sizes = classes.select("id", "n")
     members = cut(shared.join(hubs, "bucket").where("id != hub").select("hub", "id").distinct(), "members")
-    drop_cut(shared)
+    release(shared)
 
     def test(pairs: DataFrame) -> DataFrame:
-        """The links among distinct pairs ``(a, b)`` with ``a < b``."""
-        side = lambda c: sizes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"))
-        fit = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-        near = cut(_estimated(fit, classes, percent, bands * rows), "near")
+        """The links among distinct pairs ``(a, b)`` with ``a < b`` and sizes that allow one."""
+        near = keep(_estimated(pairs, classes, percent, bands * rows))
         out = _confirmed(near, docs, doc_id, text, words, percent)
-        drop_cut(near)
+        release(near)
         return out
 
-    links = test(members.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct())
+    side = lambda c: sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
+    to_hub = members.join(side("hub"), "hub").join(side("id"), "id").where(100 * F.least("n_hub", "n_id") >= percent * F.greatest("n_hub", "n_id"))
+    links = test(to_hub.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct())
     # An id that repeats with another text joins the classes of its texts.
     repeated = base.where("set_key is not null").groupBy("id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x != y").select("id")
     own = base.join(repeated, "id", "left_semi").join(classes.select("set_key", F.col("id").alias("a")), "set_key").where("id != a").select("a", F.col("id").alias("b"))
@@ -315,5 +322,6 @@ def near_duplicates(
         if not more.isEmpty():
             roots = components(links.union(more))
 
-    named = classes.join(roots, "id", "left").select("set_key", F.coalesce("root", "id").alias("root"))
+    named = cut(classes.join(roots, "id", "left").select("set_key", F.coalesce("root", "id").alias("root")), "named")
+    drop_cut(classes, members, links, unsettled)
     return base.join(named, "set_key", "left").select("id", "n", F.coalesce("root", "id").alias("root"))

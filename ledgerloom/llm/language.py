@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop_cut, held_out, small_batches
+from .common import held_out, keep, release, small_batches
 
 WINDOW = 64
 _LETTER = re.compile(r"[^\W\d_]")
@@ -226,7 +226,7 @@ def fit(docs: DataFrame, docs_per_language: int = 150, windows_per_doc: int = 6,
         return Model([], None)
     # A hash bar per language keeps about three times the bound, so no window sorts a whole language.
     bar = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(f"{min(0xFFFFFFFF, int(3 * docs_per_language / counts[k] * 2**32)):08x}"))])
-    few = cut(keyed.where(F.col("lang").isin(langs) & (F.substring("h", 1, 8) <= bar[F.col("lang")])), "lang-sample")
+    few = keep(keyed.where(F.col("lang").isin(langs) & (F.substring("h", 1, 8) <= bar[F.col("lang")])))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     picked = few.withColumn("k", place).where(F.col("k") <= docs_per_language).select("lang", "text")
 
@@ -241,7 +241,7 @@ def fit(docs: DataFrame, docs_per_language: int = 150, windows_per_doc: int = 6,
             yield pa.RecordBatch.from_arrays([pa.array(tags, pa.string()), pa.array(rows, pa.binary())], names=["lang", "window"])
 
     rows = sorted((r.lang, bytes(r.window)) for r in picked.mapInArrow(slices, "lang string, window binary").collect())
-    drop_cut(few)
+    release(few)
     langs = sorted({r[0] for r in rows})
     if not langs:
         return Model([], None)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, held_out, small_batches
+from .common import held_out, keep, release, small_batches
 
 BLOCK = 64
 TINY = 0.05
@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples_per_class: int = 4000, max_
         return Model([], Index(np.zeros(0), np.zeros(0), np.zeros(0), [], np.zeros((0, 1), int), np.zeros((0, 0)), level, nothing=level), k)
     picked = usable.where("toxic = 0").orderBy("h").limit(examples_per_class).union(usable.where("toxic = 1").orderBy("h").limit(examples_per_class))
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    sample = cut(text.join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id").select("doc_id", "toxic", "text"), "tox-sample")
+    sample = keep(text.join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id").select("doc_id", "toxic", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,13 +218,13 @@ def fit(docs: DataFrame, labels: DataFrame, examples_per_class: int = 4000, max_
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     p, n = sizes.get(1, 0), sizes.get(0, 0)
     with_label = sample.select("toxic", "text").mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") + F.col("neg") >= min_docs)
-    with_label = cut(with_label, "tox-terms")
+    with_label = keep(with_label)
     # Likelihood ratio of "the label matters" to chance; the bar lets 0.1 chance terms through on average.
     bar = 2 * math.log(max(1, with_label.count()) / 0.1)
     part = lambda seen, share: F.when(seen > 0, seen * F.log(seen / ((F.col("pos") + F.col("neg")) * share))).otherwise(0.0)
     ratio = 2 * (part(F.col("pos"), p / (p + n)) + part(F.col("neg"), n / (p + n)))
     kept = with_label.withColumn("ratio", ratio).where(F.col("ratio") >= bar).orderBy(F.desc("ratio"), "term").limit(max_terms).collect()
-    drop_cut(with_label)
+    release(with_label)
     vocabulary = sorted(r.term for r in kept)
     if not vocabulary:
         level = seen[1] / (seen[0] + seen[1])
@@ -253,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples_per_class: int = 4000, max_
             )
 
     rows = sorted(sample.mapInArrow(vectors, "doc_id long, toxic int, t array<int>, n array<int>").collect(), key=lambda r: r.doc_id)
-    drop_cut(sample)
+    release(sample)
     index = Index.build([dict(zip(r.t, r.n, strict=True)) for r in rows], [r.toxic for r in rows], [r.doc_id for r in rows], idf)
     index.calibrate(k, seen[1] / (seen[0] + seen[1]))
     return Model(vocabulary, index, k)
