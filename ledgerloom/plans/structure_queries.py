@@ -199,10 +199,10 @@ def pr17_pr18_verdicts(spark, sf):
     return VERDICTS.df(spark).select("k", constraints.verdict_problems(c("v"), c("serious"), c("impact"), c("changed")).alias("problems"))
 
 
-@query("WITH a AS (SELECT lang, source FROM documents WHERE doc_id % 2 = 0), b AS (SELECT lang, source FROM documents WHERE doc_id % 2 = 1) (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+@query("WITH a AS (SELECT lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), b AS (SELECT lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
 def pr20_unequal_rows(spark, sf):
-    d = docs(spark, sf)
-    return constraints.unequal(d.where("doc_id % 2 = 0").select("lang", "source"), d.where("doc_id % 2 = 1").select("lang", "source"))
+    d, l = docs(spark, sf), tab(spark, sf, "labels")
+    return constraints.unequal(d.join(l, "doc_id", "left_semi").select("lang", "source"), d.join(l, "doc_id", "left_anti").select("lang", "source"))
 
 
 @query("SELECT c.conv_id AS k FROM conversations c JOIN documents d ON d.doc_id = c.conv_id WHERE c.turn = 0 AND d.text IS DISTINCT FROM c.text")
@@ -227,10 +227,10 @@ _HITS = " UNION ALL ".join(
 
 
 def _occ(spark, sf):
-    return terms.occurrences(units(spark, sf).where("lang = 'en'").select("doc_id", "para", "source_text"), TERMS).drop("source_text")
+    return terms.occurrences(units(spark, sf).select("doc_id", "para", "source_text"), TERMS).drop("source_text")
 
 
-@query(f"""WITH RECURSIVE {LINES}, en AS (SELECT * FROM rec WHERE lang = 'en'), hits AS ({_HITS}),
+@query(f"""WITH RECURSIVE {LINES}, en AS (SELECT * FROM rec WHERE disposition = 'translatable'), hits AS ({_HITS}),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, para ORDER BY rank, s) AS i FROM hits),
 w AS (SELECT doc_id, para, list([rank, s, e] ORDER BY rank, s) AS hs FROM hits GROUP BY doc_id, para),
 f AS (SELECT doc_id, para, hs, 1 AS i, []::BIGINT[][] AS acc FROM w UNION ALL
@@ -420,27 +420,28 @@ def src12_st11_insert_once(spark, sf):
     return ledger.insert_once(c.where("turn = 1"), c.where("turn = 0"), "conv_id").select("conv_id", "turn")
 
 
-# Events as attempts: each user's events in time order are the attempts of one call.
+# Events as attempts: a user's events of a day, in time order, are the attempts of one call.
 def _attempts(spark, sf):
     e = tab(spark, sf, "events")
     out = F.when(F.col("event_type") == "purchase", "SUCCEEDED").when(F.col("event_type") == "error", "PERMANENT_FAILURE").otherwise("RETRYABLE_FAILURE")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("call"), F.row_number().over(w).alias("ordinal"), out.alias("outcome"), "ts", "event_id", "value")
+    e = e.withColumn("call", F.concat_ws("@", "user_id", F.date_format("ts", "yyyy-MM-dd")))
+    w = Window.partitionBy("call").orderBy("ts", "event_id")
+    return e.select("call", F.row_number().over(w).alias("ordinal"), out.alias("outcome"), "ts", "event_id", "value")
 
 
-_ATT = "att AS (SELECT user_id AS call, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS ordinal, CASE event_type WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'error' THEN 'PERMANENT_FAILURE' ELSE 'RETRYABLE_FAILURE' END AS outcome, ts, event_id, value FROM events)"
+_ATT = "att AS (SELECT user_id || '@' || strftime(ts, '%Y-%m-%d') AS call, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id)::INT AS ordinal, CASE event_type WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'error' THEN 'PERMANENT_FAILURE' ELSE 'RETRYABLE_FAILURE' END AS outcome, ts, event_id, value FROM events)"
 
 
 @query(f"""WITH {_ATT} SELECT call, count(*) AS n_attempts, CASE WHEN bool_or(outcome = 'SUCCEEDED') THEN 'SUCCEEDED' WHEN arg_max(outcome, ordinal) = 'PERMANENT_FAILURE' THEN 'FAILED_PERMANENT' WHEN count(*) >= 3 THEN 'EXHAUSTED' ELSE 'PENDING' END AS status
-FROM att WHERE ordinal <= 4 GROUP BY call""")
+FROM att GROUP BY call""")
 def st02_st06_st08_call_status(spark, sf):
-    return ledger.call_status(_attempts(spark, sf).where("ordinal <= 4"))
+    return ledger.call_status(_attempts(spark, sf))
 
 
-@query(f"WITH {_ATT} SELECT DISTINCT call FROM att WHERE call NOT IN (SELECT call FROM att WHERE ordinal <= 4 AND outcome = 'SUCCEEDED') AND call NOT IN (SELECT call FROM (SELECT call, count(*) AS n FROM att WHERE ordinal <= 4 GROUP BY call) WHERE n >= 3)")
+@query(f"WITH {_ATT} SELECT DISTINCT call FROM att WHERE call NOT IN (SELECT call FROM att WHERE outcome = 'SUCCEEDED') AND call NOT IN (SELECT call FROM (SELECT call, count(*) AS n, arg_max(outcome, ordinal) AS o FROM att GROUP BY call) WHERE n >= 3 OR o = 'PERMANENT_FAILURE')")
 def st02_pending_calls(spark, sf):
     a = _attempts(spark, sf)
-    return ledger.pending_calls(a.select("call").distinct(), ledger.call_status(a.where("ordinal <= 4")))
+    return ledger.pending_calls(a.select("call").distinct(), ledger.call_status(a))
 
 
 @query(f"WITH {_ATT} SELECT a.call, b.event_id FROM (SELECT DISTINCT call FROM att) a JOIN att b ON a.call = b.call AND b.outcome = 'SUCCEEDED'")
@@ -451,11 +452,11 @@ def st09_cached_results(spark, sf):
 
 @query(f"""WITH RECURSIVE {_ATT}, w AS (SELECT call, list(value ORDER BY ts, event_id) AS vs, list(event_id ORDER BY ts, event_id) AS es FROM att GROUP BY call),
 f AS (SELECT call, vs, es, 1 AS i, 0.0::DOUBLE AS spent, []::BOOLEAN[] AS adm, []::DOUBLE[] AS sp FROM w UNION ALL
-  SELECT call, vs, es, i + 1, CASE WHEN spent + vs[i] <= 500 THEN spent + vs[i] ELSE spent END, list_append(adm, spent + vs[i] <= 500), list_append(sp, CASE WHEN spent + vs[i] <= 500 THEN spent + vs[i] ELSE spent END) FROM f WHERE i <= len(vs)),
+  SELECT call, vs, es, i + 1, CASE WHEN spent + vs[i] <= 60 THEN spent + vs[i] ELSE spent END, list_append(adm, spent + vs[i] <= 60), list_append(sp, CASE WHEN spent + vs[i] <= 60 THEN spent + vs[i] ELSE spent END) FROM f WHERE i <= len(vs)),
 o AS (SELECT call, es, adm, sp FROM f WHERE i = len(vs) + 1)
 SELECT call, unnest(es) AS event_id, unnest(adm) AS admitted, round(unnest(sp), 6) AS spent FROM o""")
 def wn06_ag06_budget(spark, sf):
-    b = ledger.admit_by_budget(_attempts(spark, sf), "call", ["ts", "event_id"], "value", 500.0)
+    b = ledger.admit_by_budget(_attempts(spark, sf), "call", ["ts", "event_id"], "value", 60.0)
     return b.select("call", "event_id", "admitted", F.round("spent", 6).alias("spent"))
 
 
@@ -610,8 +611,8 @@ def _echo(pdf):
 def ud01_ud02_ud03_services(spark, sf):
     services = bus.Registry()
     services.add("echo", "call long, reply string")(_echo)
-    q = tab(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("call"), "text")
-    stored = q.where("call % 2 = 0").select("call", F.left("text", F.lit(20)).alias("reply"))
+    q = tab(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("call"), "text", "role")
+    stored = q.where("role = 'user'").select("call", F.left("text", F.lit(20)).alias("reply"))
     return bus.memoized(q, stored, lambda r: services.call("echo", r))
 
 
@@ -634,10 +635,10 @@ def jn09_so06_anchors(spark, sf):
     return gates.missing_anchors(PAGES_S.df(spark), PAGES_T.df(spark))
 
 
-@query("WITH s AS (SELECT doc_id % 7 AS page, source AS digest, count(*) AS n FROM documents GROUP BY ALL), t AS (SELECT doc_id % 7 AS page, source AS digest, count(*) AS n FROM documents WHERE doc_id % 3 > 0 GROUP BY ALL) SELECT s.page, s.digest, s.n - coalesce(t.n, 0) AS missing FROM s LEFT JOIN t ON s.page = t.page AND s.digest = t.digest WHERE s.n > coalesce(t.n, 0)")
+@query("WITH s AS (SELECT doc_id % 7 AS page, source AS digest, count(*) AS n FROM documents GROUP BY ALL), t AS (SELECT doc_id % 7 AS page, source AS digest, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY ALL) SELECT s.page, s.digest, s.n - coalesce(t.n, 0) AS missing FROM s LEFT JOIN t ON s.page = t.page AND s.digest = t.digest WHERE s.n > coalesce(t.n, 0)")
 def se03_ag12_images(spark, sf):
     d = docs(spark, sf).select((F.col("doc_id") % 7).alias("page"), F.col("source").alias("digest"), "doc_id")
-    return gates.missing_images(d, d.where("doc_id % 3 > 0"))
+    return gates.missing_images(d, d.join(tab(spark, sf, "labels"), "doc_id", "left_semi"))
 
 
 _BOX = "b AS (SELECT page_id % 5 AS page, page_id % 4 AS block, page_id AS line, (page_id * 37 % 500)::DOUBLE AS x0, (page_id * 53 % 700)::DOUBLE AS y0, (page_id * 37 % 500 + 20 + page_id % 90)::DOUBLE AS x1, (page_id * 53 % 700 + 10 + page_id % 40)::DOUBLE AS y1 FROM pages)"

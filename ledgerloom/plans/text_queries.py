@@ -200,9 +200,9 @@ def src07_page_hosts(spark, sf):
 
 @query(r"""SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
   '<(script|style|noscript|svg)[^>]*>.*?</(script|style|noscript|svg)>', ' ', 'gs'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS text_sha
-  FROM pages WHERE NOT regexp_matches(html, '&[a-zA-Z]*$')""")
+  FROM (SELECT page_id, regexp_replace(html, '&amp$', '&amp;') AS html FROM pages)""")
 def src08_visible_text(spark, sf):
-    p = records.read_table(spark, sf, "pages").where(~F.col("html").rlike("&[a-zA-Z]*$"))
+    p = records.read_table(spark, sf, "pages")
     return p.select("page_id", F.sha2(evidence.visible_text(F.col("html")), 256).alias("text_sha"))
 
 
