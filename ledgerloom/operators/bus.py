@@ -104,3 +104,20 @@ def outcome_set(outcomes_: DataFrame, key: str = "doc_id", pos: str = "para") ->
     """Digest over a document's outcomes in plan order."""
     rows = F.array_sort(F.collect_list(F.struct(pos, "outcome_id")))
     return outcomes_.groupBy(key).agg(F.count("*").alias("n"), F.sha2(F.concat_ws("\n", F.transform(rows, lambda r: r["outcome_id"])), 256).alias("outcome_set_id"))
+
+
+def adjudicate(options_: DataFrame, findings: DataFrame) -> DataFrame:
+    """Per unit the first option without a serious finding (SELECT), or none (SYNTHESIZE).
+
+    ``options_``: ``unit, option_key``; ``findings``: ``finding_id, unit, option_key, severity``.
+    """
+    bad = findings.where(F.col("severity").isin(*SERIOUS)).select("unit", "option_key").distinct().withColumn("_bad", F.lit(True))
+    j = options_.join(bad, ["unit", "option_key"], "left")
+    chosen = j.groupBy("unit").agg(F.min(F.when(F.col("_bad").isNull(), F.col("option_key"))).alias("selected"))
+    return chosen.withColumn("mode", F.when(F.col("selected").isNull(), "SYNTHESIZE").otherwise("SELECT"))
+
+
+def resolutions(adjudications: DataFrame, findings: DataFrame) -> DataFrame:
+    """One resolution per serious finding: avoided with another option selected, else corrected."""
+    j = findings.where(F.col("severity").isin(*SERIOUS)).join(adjudications, "unit")
+    return j.select("finding_id", F.when((F.col("mode") == "SELECT") & (F.col("option_key") != F.col("selected")), "AVOIDED").otherwise("CORRECTED").alias("action"))

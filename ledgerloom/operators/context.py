@@ -48,3 +48,12 @@ def chunks(items: DataFrame, key: str = "doc_id", pos: str = "para", size: str =
 def oversize(items: DataFrame, size: str, limit: int) -> DataFrame:
     """Items that fit no chunk at all; chunking of whole payloads refuses them."""
     return items.where(F.col(size) > limit)
+
+
+def context_rows(windows: DataFrame, records: DataFrame, key: str = "doc_id", pos: str = "para", text: str = "source_text") -> DataFrame:
+    """Windows with the texts of their neighbours: ``before`` and ``after`` as arrays of (position, text)."""
+    near = windows.select(key, pos, F.explode(F.concat("before", "after")).alias("p"))
+    texts = near.join(records.select(key, F.col(pos).alias("p"), F.col(text).alias("t")), [key, "p"])
+    both = texts.groupBy(key, pos).agg(F.array_sort(F.collect_list(F.struct("p", "t"))).alias("near"))
+    out = windows.select(key, pos).join(both, [key, pos], "left").withColumn("near", F.coalesce("near", F.array().cast("array<struct<p:int,t:string>>")))
+    return out.select(key, pos, F.filter("near", lambda x: x["p"] < F.col(pos)).alias("before"), F.filter("near", lambda x: x["p"] > F.col(pos)).alias("after"))

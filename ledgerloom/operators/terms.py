@@ -154,3 +154,23 @@ def route(units: DataFrame, risks: DataFrame, governed: DataFrame) -> DataFrame:
     out = j.withColumn("risk", final).withColumn("reasons", F.when((F.col("risk") > 1) & (F.size(clean) == 0), F.array(F.lit("model-identified semantic risk"))).otherwise(clean))
     lanes = F.when(F.col("risk") == 1, F.array(F.lit("baseline"))).otherwise(F.array(F.lit("baseline"), F.lit("alternative")))
     return out.select("unit", F.concat(F.lit("R"), F.col("risk").cast("string")).alias("risk_level"), lanes.alias("lanes"), "reasons")
+
+
+def decide(evidence: DataFrame, reviews: DataFrame) -> DataFrame:
+    """One decision per term: evidence per form, the reviewer's fit, the selected form and its treatment.
+
+    ``reviews``: ``term, form, fit, selected, override``.  The source term itself is always a
+    candidate and stays where nothing is confirmed.
+    """
+    rated = confidence(evidence).join(reviews, ["term", "form"])
+    form = select_form(rated)
+    label = rated.select("term", "form", "confidence")
+    out = form.join(label, ["term", "form"], "left").withColumn("confidence", F.coalesce("confidence", F.lit("RETAINED_UNRESOLVED")))
+    return out.withColumn("treatment", treatment(F.col("confidence")))
+
+
+def evidence_problems(fit: Column, support: Column, uri: Column) -> Column:
+    """A confirmed form needs qualified support, every evidence row an http(s) or urn address."""
+    from .constraints import broken
+
+    return broken(((fit == "CONFIRMED") & (support < 1), "unsupported"), (~F.coalesce(uri.rlike(r"^(https?://|urn:)\S+"), F.lit(False)), "uri"))

@@ -103,3 +103,13 @@ def harvest(citations: DataFrame, forms: DataFrame, radius: int = 180) -> DataFr
         .dropDuplicates(["term", "form", "url"])
         .select("term", "form", "url", "excerpt")
     )
+
+
+def fetch(citations: DataFrame, pages: DataFrame) -> DataFrame:
+    """The visible text of each cited page that may be fetched and is in ``pages``; null otherwise.
+
+    The page table takes the place of a live fetcher.
+    """
+    held = pages.groupBy("url").agg(F.max("html").alias("html"))
+    allowed = F.when(fetchable(F.col("url")), F.col("html"))
+    return citations.join(held, "url", "left").withColumn("page_text", visible_text(allowed)).drop("html")
