@@ -55,8 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every whole text, packed, with the digests of ids and of the decoded bytes."""
     path, pattern = tokenizer_files()
-    coded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern).drop("text", "char_starts", "char_ends")
-    return byte_bpe.decode(coded, path).select(
+    return byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern, decoded=True).select(
         "doc_id", "lang", "source",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.col("packed").alias("ids"),

@@ -6,7 +6,8 @@ of the vocabulary file, whatever the data), and each Python worker rebuilds it o
 
 Every match of the split pattern is a piece that is merged on its own, so pieces repeat
 massively: a worker keeps the ids of pieces it has met (a bounded cache that is emptied when
-full) and hands only new ones to the library, a whole batch at a time.
+full), maps the bytes of new ones to characters and hands these to the library, a whole batch at
+a time.
 
 Defined results: a null text encodes like an empty one (no ids) and decodes to empty bytes;
 special-token strings are ordinary text; any text round-trips byte for byte.
@@ -56,8 +57,8 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 
 
 def build_tokenizer(ranks: dict[bytes, int]) -> str:
-    """A tokenizers-library BPE over already split pieces, as JSON."""
-    from tokenizers import Tokenizer, models, pre_tokenizers
+    """A tokenizers-library BPE over pieces that are split and mapped to byte characters, as JSON."""
+    from tokenizers import Tokenizer, models
 
     shown = byte_table()
     text = lambda token: "".join(shown[b] for b in token)
@@ -66,22 +67,21 @@ def build_tokenizer(ranks: dict[bytes, int]) -> str:
         merges=[(text(a), text(b)) for a, b in merges_of(ranks)],
         ignore_merges=True,
     )
-    tok = Tokenizer(model)
-    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    return tok.to_str()
+    return Tokenizer(model).to_str()
 
 
 class Codec:
     """Encodes and decodes batches of texts; one per Python worker."""
 
-    def __init__(self, tokenizer_json: str, pattern: str, cache_pieces: int = 120_000):
+    def __init__(self, tokenizer_json: str, pattern: str, cache_pieces: int = 200_000):
         import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(tokenizer_json)
         self.split = regex.compile(pattern).findall
         self.limit = cache_pieces
-        back = {c: b for b, c in enumerate(byte_table())}
+        self.shown = dict(enumerate(byte_table()))
+        back = {c: b for b, c in self.shown.items()}
         vocab = json.loads(tokenizer_json)["model"]["vocab"]
         tokens = [b""] * (max(vocab.values()) + 1)
         for shown, i in vocab.items():
@@ -103,12 +103,14 @@ class Codec:
         if len(self.known) + len(new) > self.limit and self.known:
             self._empty()
             new = list(dict.fromkeys(pieces))
-        enc = self.tok.encode_batch([new], is_pretokenized=True, add_special_tokens=False)[0]
-        counts = np.bincount(np.array(enc.word_ids, dtype=np.int64), minlength=len(new)) if len(new) else []
+        mapped = [p.encode().decode("latin-1").translate(self.shown) for p in new]
+        ids = np.array(self.tok.encode_batch_fast([mapped], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype=np.int32)
+        # Every byte is one character, so the ids of a piece end where its length is used up.
+        ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(m) for m in mapped])) + 1
         first = len(self.known)
         self.known.update(zip(new, range(first, first + len(new)), strict=True))
-        self.ids = np.concatenate([self.ids, np.array(enc.ids, dtype=np.int32)])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.at = np.concatenate([self.at, self.at[-1] + ends])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the batch, and where each text's ids begin (one more entry than texts)."""
@@ -173,14 +175,16 @@ def _kept(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
     return [batch.column(batch.schema.get_field_index(n)) for n in names]
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """Adds ``token_ids``, ``char_starts``, ``char_ends`` (arrays of int) and ``packed`` to every row.
 
-    ``packed`` holds the ids as little-endian unsigned 32-bit integers, as training files do.  Columns of ``df`` that already carry these names are replaced.
+    ``packed`` holds the ids as little-endian unsigned 32-bit integers, as training files do.  With ``decoded`` the ids are decoded again in the same pass, which spares
+    the second Python worker of a :func:`decode` that follows.  Columns of ``df`` that already
+    carry these names are replaced.
     """
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(build_tokenizer(read_ranks(vocabulary)))
-    new = ("token_ids", "char_starts", "char_ends", "packed")
+    new = ("token_ids", "char_starts", "char_ends", "packed", *["decoded"] * decoded)
     kept = [c for c in df.columns if c not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +195,11 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text")
             data, token_at = codec.decode(ids)
             starts, ends = char_offsets(data, token_at, at)
             lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for x in (ids, starts, ends)]
-            yield pa.RecordBatch.from_arrays([*_kept(batch, kept), *lists, _binary(ids.astype("<u4").tobytes(), 4 * at)], names=[*kept, *new])
+            bytes_ = [_binary(ids.astype("<u4").tobytes(), 4 * at), *[_binary(data.tobytes(), token_at[at])] * decoded]
+            yield pa.RecordBatch.from_arrays([*_kept(batch, kept), *lists, *bytes_], names=[*kept, *new])
 
     ints = T.ArrayType(T.IntegerType())
-    return df.mapInArrow(run, _extended(df, *((n, ints) for n in new[:3]), ("packed", T.BinaryType())))
+    return df.mapInArrow(run, _extended(df, *((n, ints) for n in new[:3]), *((n, T.BinaryType()) for n in new[3:])))
 
 
 def decode(df: DataFrame, vocabulary: str, pattern: str = "", ids_col: str = "token_ids") -> DataFrame:

@@ -76,9 +76,7 @@ def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_files()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = byte_bpe.encode(docs, path, pattern).drop("text")
-    back = byte_bpe.decode(coded.select("doc_id", "token_ids", "packed"), path)
-    return back.select(
+    return byte_bpe.encode(docs, path, pattern, decoded=True).select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2("packed", 256).alias("ids_sha256"),

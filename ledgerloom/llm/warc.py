@@ -188,7 +188,8 @@ def _number(urn: str | None) -> int | None:
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Records and gaps (rows with ``error``) of every archive below ``path``.
 
-    A task holds one archive at a time; ``write_archives`` bounds archives by their records.
+    A task holds the archives of one file partition (``spark.sql.files.maxPartitionBytes``);
+    ``write_archives`` bounds archives by their records.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +212,6 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                         rows, held = [], 0
                 yield _batch(rows)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, _ARCHIVE)
 

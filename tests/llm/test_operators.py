@@ -188,6 +188,7 @@ def test_bpe_equals_tiktoken_and_round_trips(spark):
     texts = ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x80, 0x3000), rng.randrange(0x1F300, 0x1F700)])) for _ in range(60)) for _ in range(60)]
     texts += ["", None, "<|endoftext|>", "a" * 5000, "  \n\n  x", *ds.dataset(f"{SF}/documents.parquet").to_table()["text"].to_pylist()[:200]]
     df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    assert all(bytes(r.decoded) == (texts[r.k] or "").encode() for r in byte_bpe.encode(df, path, pattern, decoded=True).collect())
     for r in byte_bpe.decode(byte_bpe.encode(df, path, pattern), path).collect():
         t = texts[r.k] or ""
         assert r.token_ids == want.encode_ordinary(t) and bytes(r.decoded) == t.encode()
