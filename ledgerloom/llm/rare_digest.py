@@ -35,7 +35,7 @@ from .common import cut, small_batches
 
 W = 64
 VOTES = 16
-BITS, HASHES, FULL = 2048, 5, 160
+BITS, HASHES, FULL = 1024, 5, 80
 USUAL = 4.05  # bits; the entropy of most 64-byte windows of prose
 SEGMENT = 1 << 19
 TOGETHER = 1 << 16  # bytes of short texts that are worked on at once, to stay in the cache
