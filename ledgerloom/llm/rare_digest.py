@@ -4,7 +4,9 @@ Every window of ``W`` bytes gets its entropy, in fixed-point integers so that eq
 equal results anywhere.  A window is the rarer, the further its entropy lies from what prose
 usually has (``USUAL``); nearly constant windows are worth nothing.  Of every ``W`` neighbouring
 windows the rarest (the first, if several) gets a vote; windows with at least ``VOTES`` votes are
-the features.  Their hashes go, in order, into Bloom filters of ``BITS`` bits; a full filter
+the features.  A text without any (short ones, or endless repetition) has half that bar, and half
+again, until a window reaches it.  A text of less than ``FEW`` features also has its whole bytes
+as one, so different short texts differ.  The hashes go, in order, into Bloom filters of ``BITS`` bits; a full filter
 (``FULL`` features) is followed by the next.  The fingerprint is the number of features and the
 chained filters in base64.
 
@@ -15,8 +17,9 @@ filters of the shorter fingerprint.
 Texts of any length are read in segments that overlap as far as votes reach, with the same
 features as in one piece.
 
-Defined results: null counts as empty; an empty text has the fingerprint ``0:``; texts shorter
-than a window are one feature; fingerprints without features are alike (1) only to each other.
+Defined results: null counts as empty; only an empty text has the fingerprint ``0:``, which is
+alike (1) only to itself; texts shorter than a window, and those of nearly constant windows only,
+are one feature.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from .common import cut, small_batches
 
 W = 64
 VOTES = 16
+FEW = 4
 BITS, HASHES, FULL = 1024, 5, 80
 USUAL = 4.05  # bits; the entropy of most 64-byte windows of prose
 SEGMENT = 1 << 19
@@ -71,8 +75,8 @@ def _counts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out_ends, out_begins
 
 
-def _features(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start positions and hashes of the features of texts laid end to end, each of W bytes or more."""
+def _features(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, bar: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start positions and hashes of the windows of ``bar`` votes in texts laid end to end, each of W bytes or more."""
     n = len(data)
     ends, begins = _counts(data)
     s = np.cumsum(_G[ends])
@@ -101,9 +105,10 @@ def _features(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tupl
     whole = np.cumsum(whole[: len(best)]) > 0
     winners = best[whole & (best >= 0)] if len(windows) and ok.any() else best[:0]
     votes = np.bincount(0xFFFFFFFF - (winners & 0xFFFFFFFF), minlength=n)
-    chosen = votes >= VOTES
+    chosen = votes >= bar
     for a, m in zip(starts[~ok], windows[~ok], strict=True):  # too short for a full group
-        chosen[a + int(key[a : a + m].argmax())] = True
+        rarest = a + int(key[a : a + m].argmax())
+        chosen[rarest] = key[rarest] >= 0
     pos = np.flatnonzero(chosen)
     up, down = _powers(n + 1)
     c = np.concatenate([[_U(0)], np.cumsum((data.astype(np.uint64) + _U(1)) * up[:n])])
@@ -116,15 +121,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def features(texts: list[bytes]) -> list[np.ndarray]:
-    """Hashes of the features of each text, in order of place, each once."""
+def _whole(text: bytes) -> np.ndarray:
+    """The hash of a text as one feature."""
+    return _mix(np.array([int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big")], dtype=np.uint64))
+
+
+def _chosen(texts: list[bytes], bar: int) -> list[np.ndarray]:
+    """Hashes of the windows of at least ``bar`` votes of each text, in order of place, each once."""
     out: list[list[np.ndarray]] = [[] for _ in texts]
     pieces: list[tuple[int, bytes, int, int]] = []  # text, bytes, first and last place that count
     for i, t in enumerate(texts):
-        if 0 < len(t) < W:
-            out[i].append(_mix(np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "big")], dtype=np.uint64)))
-        elif len(t) <= SEGMENT:
-            if t:
+        if len(t) <= SEGMENT:
+            if len(t) >= W:
                 pieces.append((i, t, 0, len(t)))
         else:
             for a in range(0, len(t), SEGMENT):
@@ -141,7 +149,7 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
         own = pieces[k:m]
         lengths = np.array([len(p[1]) for p in own])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        pos, h = _features(np.frombuffer(b"".join(p[1] for p in own), dtype=np.uint8), starts, lengths)
+        pos, h = _features(np.frombuffer(b"".join(p[1] for p in own), dtype=np.uint8), starts, lengths, bar)
         for (i, _, lo, hi), start, size in zip(own, starts, lengths, strict=True):
             a, b = np.searchsorted(pos, [start + lo, start + min(hi, size)])
             out[i].append(h[a:b])
@@ -153,6 +161,17 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
     return done
 
 
+def features(texts: list[bytes]) -> list[np.ndarray]:
+    """Hashes of the features of each text, in order of place, each once."""
+    out = _chosen(texts, VOTES)
+    bar = VOTES // 2
+    while bar and (without := [i for i, h in enumerate(out) if not len(h) and len(texts[i]) >= W]):
+        for i, h in zip(without, _chosen([texts[i] for i in without], bar), strict=True):
+            out[i] = h
+        bar //= 2
+    return [np.concatenate([h, _whole(t)]) if t and len(h) < FEW else h for t, h in zip(texts, out, strict=True)]
+
+
 def filters(h: np.ndarray) -> np.ndarray:
     """Chained Bloom filters (rows of packed bits)."""
     n = -(-len(h) // FULL)

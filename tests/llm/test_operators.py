@@ -252,6 +252,26 @@ def test_fingerprint_segments_and_odd_rows(spark, monkeypatch):
     assert rare_digest.compare_neighbours(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_every_text_has_a_fingerprint_of_its_own():
+    rng = np.random.default_rng(1)
+    letters = np.frombuffer(b"etaoin shrdlu,.ETAOIN", dtype=np.uint8)
+    texts = [bytes(rng.choice(letters, n)) for n in range(1, 301) for _ in range(3)]
+    fps = [rare_digest.fingerprint(h) for h in rare_digest.features(texts)]
+    assert "0:" not in fps
+    assert all(rare_digest.likeness(a, b) < 1 for t, u, a, b in zip(texts, texts[1:], fps, fps[1:]) if t != u)
+    # A byte more, or another last byte, is another text.
+    short = [t for t in texts if len(t) < 190]
+    for other in ([t + b"x" for t in short], [t[:-1] + b"#" for t in short]):
+        got = [rare_digest.fingerprint(h) for h in rare_digest.features(other)]
+        alike = [rare_digest.likeness(a, b) for a, b in zip(fps, got)]
+        assert "0:" not in got and np.mean([x == 1 for x in alike]) < 0.02
+    runs = [unit * n for unit in (b"a", b"b", b"ab", b"cd", b"abcdefgh ") for n in (1, 63, 64, 65, 100, 126, 127, 140, 300, 2000, 300_000)]
+    fps = [rare_digest.fingerprint(h) for h in rare_digest.features(runs)]
+    assert "0:" not in fps
+    assert len({f for t, f in zip(runs, fps) if len(set(t)) == 1}) == 22
+    assert rare_digest.likeness(fps[runs.index(b"ab" * 300)], fps[runs.index(b"cd" * 300)]) < 0.5
+
+
 # --- warc ---
 
 
