@@ -1,4 +1,4 @@
-"""Small built-in tables for rules that the data tables never trigger.
+"""Small built-in tables for rules that the data tables never trigger, or seldom in all their cases.
 
 A fixture gives the same rows to Spark (``df``) and, as a ``VALUES`` list, to any SQL engine
 (``sql``).

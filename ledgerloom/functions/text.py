@@ -100,9 +100,9 @@ def excerpt(text: Column, target: Column, radius: int = 180) -> Column:
     return F.when(at > 0, strip(F.substring(text, first, upto - first)))
 
 
-def redact(text: Column, limit: int = 2000) -> Column:
-    """Replaces what looks like a secret in the first ``limit`` characters."""
-    out = F.left(text, F.lit(limit))
+def redact(text: Column, limit: int | None = 2000) -> Column:
+    """Replaces what looks like a secret in the first ``limit`` characters, or in all (``None``)."""
+    out = text if limit is None else F.left(text, F.lit(limit))
     for pattern in SECRETS:
         out = F.regexp_replace(out, pattern, "[REDACTED]")
     return out
@@ -113,9 +113,10 @@ def filename_component(text: Column, default: str = "publication") -> Column:
     return F.coalesce(F.nullif(safe, F.lit("")), F.lit(default))
 
 
-def bounded(text: Column, limit: int = 500) -> Column:
-    """One-line form of at most ``limit`` characters."""
-    return F.left(strip(F.regexp_replace(text, rf"{_U}\s+", " ")), F.lit(limit))
+def bounded(text: Column, limit: int | None = 500) -> Column:
+    """One-line form of at most ``limit`` characters, or of all (``None``)."""
+    line = strip(F.regexp_replace(text, rf"{_U}\s+", " "))
+    return line if limit is None else F.left(line, F.lit(limit))
 
 
 def risk_reasons(text: Column, language: Column) -> Column:

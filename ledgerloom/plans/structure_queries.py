@@ -13,7 +13,7 @@ from ..functions import text as tx
 from ..functions import values as vl
 from ..operators import bus, constraints, context, gates, ledger, terms
 from ..sources import records
-from .text_queries import LINES, _KEY, docs
+from .text_queries import LINES, _KEY, _WS, _anchors_sql, docs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -635,6 +635,14 @@ def jn09_so06_anchors(spark, sf):
     return gates.missing_anchors(PAGES_S.df(spark), PAGES_T.df(spark))
 
 
+@query(f"""WITH s AS (SELECT doc_id AS page, unnest({_anchors_sql("text")}) AS anchor FROM documents), t AS (SELECT doc_id - 1 AS page, regexp_replace(nfc_normalize(text), '[{_WS}]+', '', 'g') AS key FROM documents)
+SELECT s.page, list_sort(list_distinct(list(anchor))) AS missing, count(*) AS n FROM s LEFT JOIN t ON s.page = t.page WHERE coalesce(strpos(key, regexp_replace(nfc_normalize(anchor), '[{_WS}]+', '', 'g')), 0) = 0 GROUP BY s.page""")
+def jn09_so06_document_anchors(spark, sf):
+    """Anchors of every document that the one with the next id lacks, all of them shown."""
+    d = docs(spark, sf)
+    return gates.missing_anchors(d.select(F.col("doc_id").alias("page"), "text"), d.select((F.col("doc_id") - 1).alias("page"), "text"), show=2**31 - 1)
+
+
 @query("WITH s AS (SELECT doc_id % 7 AS page, source AS digest, count(*) AS n FROM documents GROUP BY ALL), t AS (SELECT doc_id % 7 AS page, source AS digest, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY ALL) SELECT s.page, s.digest, s.n - coalesce(t.n, 0) AS missing FROM s LEFT JOIN t ON s.page = t.page AND s.digest = t.digest WHERE s.n > coalesce(t.n, 0)")
 def se03_ag12_images(spark, sf):
     d = docs(spark, sf).select((F.col("doc_id") % 7).alias("page"), F.col("source").alias("digest"), "doc_id")

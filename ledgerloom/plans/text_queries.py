@@ -300,3 +300,76 @@ def src06_evidence_constraints(spark, sf):
 def src03_content_addressed(spark, sf):
     p = records.read_table(spark, sf, "pages").select(F.col("html").cast("binary").alias("content"))
     return blobs.addressed(p).select("sha256", "size", "relative_path")
+
+
+# --- the text functions over whole tables --------------------------------------------------------
+
+#: White space and word characters of Unicode, for classes of RE2.
+_WS = r"\s\x0B\x{85}\p{Z}"
+_WC = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}"
+
+
+def _anchors_sql(text: str) -> str:
+    """The list of anchors in SQL without lookaround: U+0001 is put around all that is no word character."""
+    apart = f"regexp_replace({text}, '([^{_WC}])', chr(1) || '\\1' || chr(1), 'g')"
+    numbers = rf"regexp_extract_all({apart}, '(?:^|\x01)(\p{{Nd}}+(?:\x01[.,]\x01\p{{Nd}}+)*(?:\x01%\x01)?)(?:\x01|$)', 1)"
+    urls = f"regexp_extract_all({text}, 'https?://[^{_WS}<>()]+')"
+    equations = rf"regexp_extract_all({text}, '(?:^|[^{_WC}])([A-Za-z][{_WS}]*=[{_WS}]*[A-Za-z0-9][A-Za-z0-9^+\-*/().]*)', 1)"
+    bare = f"list_transform(list_concat({urls}, list_transform({numbers}, lambda x: replace(x, chr(1), '')), {equations}), lambda x: regexp_replace(x, '[.,;:]+$', ''))"
+    return f"list_sort(list_distinct(list_filter({bare}, lambda x: x <> '')))"
+
+
+def _strip_sql(text: str) -> str:
+    return f"regexp_replace({text}, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
+
+
+@query(r"SELECT doc_id, nfc_normalize(regexp_replace(text, '\r\n?', chr(10), 'g')) AS v, sha256(nfc_normalize(regexp_replace(text, '\r\n?', chr(10), 'g'))) AS h FROM documents")
+def fn01_normalized_documents(spark, sf):
+    v = tx.normalize_text(F.col("text"))
+    return docs(spark, sf).select("doc_id", v.alias("v"), ids.sha256_text(v).alias("h"))
+
+
+@query("SELECT event_id, CAST(CAST(round_even(CAST(value AS DECIMAL(20,6)), 3) AS DECIMAL(20,3)) AS VARCHAR) AS q FROM events")
+def fn06_event_values(spark, sf):
+    return records.read_table(spark, sf, "events").select("event_id", vl.quantize_point(F.col("value")).alias("q"))
+
+
+@query(rf"""SELECT doc_id, CASE WHEN t <> '' AND NOT regexp_matches(t, '[{_WS}]') THEN lower(t) END AS tag, nullif({_strip_sql("nfc_normalize(regexp_replace(text, '\r\n?', chr(10), 'g'))")}, '') AS text
+FROM (SELECT *, {_strip_sql("lang")} AS t FROM documents)""")
+def fn07_fn08_document_tags(spark, sf):
+    return docs(spark, sf).select("doc_id", tx.language_tag(F.col("lang")).alias("tag"), tx.nonempty(F.col("text")).alias("text"))
+
+
+@query(rf"""SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\[\[PT2-[0-9a-f]{{12}}:[^\]]+\]\]'), lambda x: {_strip_sql("x")}),
+  lambda x: length(regexp_replace(x, '[{_WS}]+', '', 'g')) >= 2 AND regexp_matches(x, '[\p{{L}}\p{{N}}]')) AS parts FROM documents""")
+def fn11_document_fragments(spark, sf):
+    return docs(spark, sf).select("doc_id", tx.literal_fragments(F.col("text")).alias("parts"))
+
+
+@query(f"SELECT doc_id, {_anchors_sql('text')} AS anchors FROM documents")
+def fn12_document_anchors(spark, sf):
+    return docs(spark, sf).select("doc_id", tx.anchors(F.col("text")).alias("anchors"))
+
+
+@query(r"""SELECT page_id, CASE WHEN regexp_matches(host, '(^|\.)(termonline|cnterm)\.cn$') THEN 'AUTHORITY_TERMBANK' WHEN regexp_matches(host, '(^|\.)gov\.cn$') THEN 'OFFICIAL_NAMING' ELSE 'CORPUS_ATTESTATION' END AS kind,
+  CASE WHEN regexp_matches(host, '(^|\.)(termonline|cnterm)\.cn$') THEN 'A_AUTHORITY' WHEN regexp_matches(host, '(^|\.)gov\.cn$') THEN 'B_DOMAIN' ELSE 'C_CORPUS' END AS tier,
+  'web:' || coalesce(nullif(regexp_extract(host, '(^|\.)((termonline|cnterm|gov)\.cn)$', 2), ''), regexp_replace(host, '^www\.', '')) AS who
+  FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host FROM pages)""")
+def fn15_fn16_page_authority(spark, sf):
+    p = records.read_table(spark, sf, "pages")
+    c = vl.classify_uri(F.col("url"))
+    return p.select("page_id", c["kind"].alias("kind"), c["tier"].alias("tier"), vl.authority(F.col("url"), F.lit("")).alias("who"))
+
+
+@query(rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)(api[_-]?key|token|password|secret)[\s\x0B]*[:=][\s\x0B]*[^\s\x0B]+', '[REDACTED]', 'g'),
+  '(?i)bearer[\s\x0B]+[A-Za-z0-9._~+/=-]+', '[REDACTED]', 'g'), '\bsk-[A-Za-z0-9_-]{{8,}}\b', '[REDACTED]', 'g') AS red,
+  coalesce(nullif(regexp_replace(regexp_replace(text, '[^A-Za-z0-9._-]+', '-', 'g'), '^[.-]+|[.-]+$', '', 'g'), ''), 'publication') AS name,
+  left(line, 500) AS short, line FROM (SELECT *, {_strip_sql(f"regexp_replace(text, '[{_WS}]+', ' ', 'g')")} AS line FROM documents)""")
+def fn21_fn22_fn23_documents(spark, sf):
+    t = F.col("text")
+    return docs(spark, sf).select("doc_id", tx.redact(t, None).alias("red"), tx.filename_component(t).alias("name"), tx.bounded(t).alias("short"), tx.bounded(t, None).alias("line"))
+
+
+@query(r"""SELECT event_id, coalesce(regexp_matches(replace(lower(props), '-', '_'), '"[^"]*(api_key|token|secret|password|credential)[^"]*"\s*:'), false) AS bad FROM events""")
+def fn26_event_settings(spark, sf):
+    return records.read_table(spark, sf, "events").select("event_id", vl.has_secret_key(F.col("props")).alias("bad"))

@@ -28,3 +28,26 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name, table", [
+    ("fn01_normalized_documents", "documents"), ("fn06_event_values", "events"), ("fn07_fn08_document_tags", "documents"), ("fn11_document_fragments", "documents"), ("fn12_document_anchors", "documents"),
+    ("fn15_fn16_page_authority", "pages"), ("fn21_fn22_fn23_documents", "documents"), ("fn26_event_settings", "events"),
+])
+def test_text_functions_read_every_row(spark, name, table):
+    rows = spark.read.parquet(f"{SF}/{table}.parquet").count()
+    assert name in catalog.ORACLES and catalog.QUERIES[name](spark, SF).count() == rows
+
+
+def test_text_functions_find_something_in_the_tables(spark):
+    found = catalog.QUERIES["fn12_document_anchors"](spark, SF)
+    assert found.where("size(anchors) > 0").count() > 0
+    red = catalog.QUERIES["fn21_fn22_fn23_documents"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), "doc_id")
+    assert red.where("red = text AND length(text) > 2000").count() > 0
+    assert catalog.QUERIES["jn09_so06_document_anchors"](spark, SF).count() > 0
+
+
+def test_anchor_sql_on_the_fixture(con):
+    from ledgerloom.plans.text_queries import ANCHORS, _anchors_sql
+
+    assert con.execute(f"SELECT k FROM {ANCHORS.sql} WHERE {_anchors_sql('t')} <> want").fetchall() == []
