@@ -25,8 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no learned language: without letters, or too uncertain."""
-    found = language.predict(docs, language.fit(docs.select("doc_id", "text", "lang")))
+    """Drops documents in no learned language: without letters, or too uncertain; none if no language can be learnt."""
+    model = language.fit(docs.select("doc_id", "text", "lang"))
+    if model.net is None:
+        return docs
+    found = language.predict(docs, model)
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 

@@ -7,7 +7,9 @@ all positions of its whole text.  It is trained in numpy by backpropagation thro
 Training is bounded and deterministic: at most ``docs_per_language`` documents per language
 (those with the smallest md5 of their id among rows that are not held out), cut into windows on
 the executors, at most ``windows_per_doc`` spread evenly over the whole text.  The driver gets
-only these windows and takes a fixed number of steps, whatever the size of the corpus.
+only these windows and takes a number of steps that depends on the number of languages only,
+whatever the size of the corpus.  Every non-null language with a usable row is learnt, however
+rare it is and however many there are.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter; without any
 learnable language every document is ``und``.
@@ -153,14 +155,21 @@ class Network:
 
 
 def train(windows: np.ndarray, y: np.ndarray, labels: int, hidden: int = 12, steps: int = 320, batch: int = 96, seed: int = 5) -> Network:
-    """Adam on batches balanced over the labels."""
+    """Adam on batches balanced over the labels; more labels than a batch holds take turns in as many more steps."""
     rng = np.random.default_rng(seed)
+    steps = -(-steps * labels // batch) if labels > batch else steps
+    turns = np.zeros(0, dtype=np.int64)
     net = Network.random(hidden, labels, rng)
     by = [np.flatnonzero(y == k) for k in range(labels)]
     first = [np.zeros_like(p) for p in net.parts()]
     second = [np.zeros_like(p) for p in net.parts()]
     for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(b, -(-batch // labels)) for b in by])
+        if labels > batch:
+            turns = turns if len(turns) >= batch else np.concatenate([turns, rng.permutation(labels)])
+            now, turns = turns[:batch], turns[batch:]
+        else:
+            now = np.arange(labels)
+        pick = np.concatenate([rng.choice(by[k], -(-batch // len(now))) for k in now])
         _, grads = net.gradients(windows[pick], y[pick])
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         rate = 0.02 * (1 - 0.9 * step / steps)
@@ -179,6 +188,7 @@ class Model:
 
     def document(self, texts: list[str | None], at_once: int = 1024) -> list[tuple[str, float]]:
         """Language and pooled probability of whole texts."""
+        at_once = max(16, min(at_once, (at_once << 6) // max(1, len(self.languages))))  # bounds memory if there are many
         out = [(UNKNOWN, 0.0)] * len(texts)
         which = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.net else []
         sums = np.zeros((len(texts), len(self.languages)))
@@ -215,19 +225,19 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, docs_per_language: int = 150, windows_per_doc: int = 6, max_languages: int = 200, least_docs: int = 3, **training) -> Model:
-    """Learns from text and non-null lang of rows that are not held out."""
+def fit(docs: DataFrame, docs_per_language: int = 150, windows_per_doc: int = 6, **training) -> Model:
+    """Learns every non-null lang that has a row with text, with a letter, that is not held out."""
     small_batches(docs.sparkSession)
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    keyed = usable.select("lang", "text", F.md5(F.col("doc_id").cast("string")).alias("h"))
-    counts = {r.lang: r.n for r in docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
-    langs = sorted(k for k, n in counts.items() if n >= least_docs)
-    if len(langs) < 1:
+    keyed = usable.select("lang", "text", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
+    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return Model([], None)
     # A hash bar per language keeps about three times the bound, so no window sorts a whole language.
-    bar = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(f"{min(0xFFFFFFFF, int(3 * docs_per_language / counts[k] * 2**32)):08x}"))])
-    few = keep(keyed.where(F.col("lang").isin(langs) & (F.substring("h", 1, 8) <= bar[F.col("lang")])))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    bars = [(k, f"{min(0xFFFFFFFF, int(3 * docs_per_language / n * 2**32)):08x}") for k, n in sorted(counts.items())]
+    bar = F.broadcast(docs.sparkSession.createDataFrame(bars, "lang string, bar string"))
+    few = keep(keyed.join(bar, "lang").where(F.substring("h", 1, 8) <= F.col("bar")).drop("bar"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     picked = few.withColumn("k", place).where(F.col("k") <= docs_per_language).select("lang", "text")
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,13 +250,18 @@ def fit(docs: DataFrame, docs_per_language: int = 150, windows_per_doc: int = 6,
                     rows.append(w[i].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(tags, pa.string()), pa.array(rows, pa.binary())], names=["lang", "window"])
 
-    rows = sorted((r.lang, bytes(r.window)) for r in picked.mapInArrow(slices, "lang string, window binary").collect())
+    cut_up = lambda df: [(r.lang, bytes(r.window)) for r in df.mapInArrow(slices, "lang string, window binary").collect()]
+    rows = cut_up(picked)
     release(few)
+    # Many rows of one id share one hash, which may lie above the bar.
+    if missed := [(k,) for k in sorted(set(counts) - {r[0] for r in rows})]:
+        left = F.broadcast(docs.sparkSession.createDataFrame(missed, "lang string"))
+        rows += cut_up(keyed.join(left, "lang").groupBy("lang").agg(F.min(F.struct("h", "text")).alias("least")).select("lang", "least.text"))
+    rows.sort()
     langs = sorted({r[0] for r in rows})
-    if not langs:
-        return Model([], None)
     x = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint8).reshape(-1, WINDOW)
-    y = np.array([langs.index(r[0]) for r in rows])
+    number = {k: i for i, k in enumerate(langs)}
+    y = np.array([number[r[0]] for r in rows])
     return Model(langs, train(x, y, len(langs), **training))
 
 

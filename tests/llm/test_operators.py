@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pyarrow.dataset as ds
@@ -87,6 +88,25 @@ def test_language_held_out_and_und(spark):
     assert language.fit(docs.limit(0)).document(["text"]) == [("und", 0.0)]
 
 
+def test_every_language_is_learnt(spark):
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(3)
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    own = [i for i in range(2000) if not held(i)]
+    rows = [(own[k], "".join(chr(0x4E00 + 97 * k + int(x)) for x in rng.integers(0, 40, 40)), f"l{k:03}", "s", 40) for k in range(210)]
+    many = spark.createDataFrame(rows, DOCS)
+    model = language.fit(many, steps=2)
+    assert model.languages == [f"l{k:03}" for k in range(210)]  # one row each, and more than 200
+    assert len(model.document([r[1] for r in rows[:3]])) == 3
+    # Rows of no or one id, and many rows without letters, do not hide a language.
+    odd = [(None, "no id at all", "xx", "s", 1)] * 600 + [(own[0], f"same id {i} ones", "yy", "s", 1) for i in range(600)]
+    odd += [(i, "12", "zz", "s", 2) for i in own] * 2 + [(own[5], "letters", "zz", "s", 7)]
+    assert language.fit(spark.createDataFrame(odd, DOCS), steps=2).languages == ["xx", "yy", "zz"]
+    unlabelled = many.withColumn("lang", F.lit(None).cast("string"))
+    assert P.keep_languages(spark, unlabelled, SF).count() == 210
+
+
 # --- mixing ---
 
 
