@@ -3,7 +3,7 @@
 Examples are a bounded sample of labelled rows: at most ``examples_per_class`` of each label,
 those with the smallest md5 of their id, so reruns agree.  Terms are words and their first four
 and five letters (inflected forms share those); of all terms of the sample those are kept that
-go with a label more than chance allows.  Document frequencies of the kept terms are counted over
+go with a label more than chance allows, all of them.  Document frequencies of the kept terms are counted over
 all documents, labelled or not.
 
 Search.  An inverted index holds, per term, the examples in blocks of ``BLOCK`` and the greatest
@@ -194,7 +194,7 @@ class Model:
     k: int
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples_per_class: int = 4000, max_terms: int = 3000, min_docs: int = 3, k: int = 15) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, examples_per_class: int = 4000, min_docs: int = 3, k: int = 15) -> Model:
     """Learns from ``labels`` (doc_id, toxic) of rows that are not held out."""
     small_batches(docs.sparkSession)
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples_per_class: int = 4000, max_
     bar = 2 * math.log(max(1, with_label.count()) / 0.1)
     part = lambda seen, share: F.when(seen > 0, seen * F.log(seen / ((F.col("pos") + F.col("neg")) * share))).otherwise(0.0)
     ratio = 2 * (part(F.col("pos"), p / (p + n)) + part(F.col("neg"), n / (p + n)))
-    kept = with_label.withColumn("ratio", ratio).where(F.col("ratio") >= bar).orderBy(F.desc("ratio"), "term").limit(max_terms).collect()
+    kept = with_label.withColumn("ratio", ratio).where(F.col("ratio") >= bar).select("term").collect()
     release(with_label)
     vocabulary = sorted(r.term for r in kept)
     if not vocabulary:

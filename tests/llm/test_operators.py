@@ -59,6 +59,14 @@ def test_toxicity_without_labels(spark):
     assert {r.tox_score for r in toxicity.score(odd_docs(spark), toxicity.fit(odd_docs(spark), none)).collect()} == {0.0}
 
 
+def test_toxicity_keeps_every_term_that_passes(spark):
+    words = [f"w{i}x" for i in range(3400)]
+    rows = [(i, " ".join(words if i % 2 else ["plain", "words"]), "en", "s", 1) for i in range(90)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, DOCS), labels)
+    assert {*words, "plain", "words"} <= set(model.vocabulary) and len(model.vocabulary) > 3400
+
+
 # --- language ---
 
 
