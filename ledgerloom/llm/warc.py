@@ -14,7 +14,10 @@ refer to it.  Digests meet ids in light rows only; payloads are moved once, by i
 Reading.  The reader takes whole archives, walks their members and checks each record: member
 checksum, version line, header block, content length, payload digest.  After a failed check it
 looks for the next place where a valid member or a version line begins, goes on there, and
-yields the skipped bytes as a gap.  Archives without compression are read by the same walk.
+yields the skipped bytes as a gap.  Archives without compression are read by the same walk, and
+so are the inflated bytes of a member: its good records are kept when others are bad, also if it is
+damaged or cut off, as far as it can be inflated.  Those rows have the place of the member.  A
+member whose checksum alone is wrong, so that no record of it is known to be bad, is a gap.
 
 Defined results: a null payload is an empty one; a null id is kept as null and never revisits;
 rows that repeat the smallest id of a digest are all responses; an empty table gives no archive.
@@ -94,11 +97,12 @@ def write_archives(records: DataFrame, path: str, records_per_file: int = 4000)
 
 #: Where a gzip member or an uncompressed record may begin.
 _STARTS = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 
 
 def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     """The record at ``at`` of uncompressed data: header, body, end; or what is wrong with it."""
-    if not re.compile(rb"WARC/1\.[01]\r\n").match(data, at):
+    if not _LINE.match(data, at):
         return "no version line"
     end = data.find(b"\r\n\r\n", at)
     if end < 0:
@@ -133,44 +137,92 @@ def _inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int | No
     return b"".join(out), None
 
 
-def _records(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int] | str:
-    """The records of the member (or the plain record) at ``at`` and its end; or what is wrong."""
+def _inflate_part(data: bytes, at: int) -> bytes:
+    """What a damaged or unfinished member gives before the first byte that fails."""
+    z, out, view, step = zlib.decompressobj(31), [], memoryview(data), 1 << 16
+    while at < len(data) and step and not z.eof:
+        before = z.copy()
+        try:
+            out.append(z.decompress(view[at : at + step]))
+            at += step
+        except zlib.error:
+            z, step = before, step // 2
+    return b"".join(out)
+
+
+def _reached(data: bytes, at: int, size: int) -> int:
+    """Where the compressed bytes end that give the first ``size`` bytes of the member at ``at``."""
+    z, view, step = zlib.decompressobj(31), memoryview(data), 1 << 16
+    while size > 0 and step:
+        before = z.copy()
+        try:
+            size -= len(z.decompress(view[at : at + step], size))
+            at = min(at + step, len(data)) - len(z.unconsumed_tail)
+        except zlib.error:  # the bytes after ``size`` are bad
+            z, step = before, step // 2
+    return at
+
+
+def _inner(plain: bytes) -> list[tuple[int, int, dict[str, str] | None, bytes, str | None]]:
+    """Records and gaps of uncompressed bytes."""
+    out, k, lost, why = [], 0, None, None
+    while k < len(plain):
+        got = _parse(plain, k)
+        if isinstance(got, str):
+            lost, why = (k, got) if lost is None else (lost, why)
+            later = _LINE.search(plain, k + 1)
+            k = later.start() if later else len(plain)
+            continue
+        if lost is not None:
+            out.append((lost, k, None, b"", why))
+            lost = None
+        out.append((k, got[2], got[0], got[1], None))
+        k = got[2]
+    if lost is not None:
+        out.append((lost, len(plain), None, b"", why))
+    return out
+
+
+def _records(data: bytes, at: int) -> tuple[list[tuple[int, int, dict[str, str] | None, bytes, str | None]], int, str | None]:
+    """Records and gaps of the member (or the plain record) at ``at``, up to where they go, and what is wrong from there on."""
     if not data.startswith(b"\x1f\x8b\x08", at):
         got = _parse(data, at)
-        return got if isinstance(got, str) else ([(got[0], got[1])], got[2])
+        return ([], at, got) if isinstance(got, str) else ([(at, got[2], got[0], got[1], None)], got[2], None)
+    wrong = None
     try:
         plain, stop = _inflate(data, at)
+        if stop is None:
+            wrong = "unfinished member"
     except zlib.error as e:
-        return f"damaged member: {str(e)[:60]}"
-    if stop is None:
-        return "unfinished member"
-    inner, k = [], 0
-    while k < len(plain):
-        got = _parse(plain, k)
-        if isinstance(got, str):
-            return got
-        inner.append((got[0], got[1]))
-        k = got[2]
-    return inner, stop
+        plain, stop, wrong = _inflate_part(data, at), None, f"damaged member: {str(e)[:60]}"
+    inner = _inner(plain)
+    # If only the checksum of the whole is wrong, any of the headers may be.
+    blameless = wrong is not None and wrong.endswith("incorrect data check") and all(x[2] for x in inner)
+    if blameless or not any(x[2] for x in inner):
+        return [], at if inner or wrong else stop, wrong or (inner[0][4] if inner else None)
+    if wrong:
+        if inner[-1][2] is None:  # belongs to what is lost
+            inner.pop()
+        stop = _reached(data, at, inner[-1][1])
+    return [(at, stop, head, body, why and f"{why} (bytes {a} to {b} of the member)") for a, b, head, body, why in inner], stop, wrong
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str | None]]:
     """Yields ``(begin, end, header, body, None)`` per record and ``(begin, end, None, b"", why)`` per gap."""
     at, lost, why = 0, None, None
     while at < len(data):
-        got = _records(data, at)
-        if isinstance(got, str):
-            lost, why = (at, got) if lost is None else (lost, why)
-            later = _STARTS.search(data, at + 1)
-            at = later.start() if later else len(data)
-            continue
-        if lost is not None:
+        got, stop, wrong = _records(data, at)
+        if lost is not None and (got or wrong is None):
             yield lost, at, None, b"", why
             lost = None
-        for head, body in got[0]:
-            yield at, got[1], head, body, None
-        at = got[1]
-    if lost is not None:
+        yield from got
+        if wrong is None:
+            at = stop
+            continue
+        lost, why = (stop, wrong) if lost is None else (lost, why)
+        later = _STARTS.search(data, max(stop, at + 1))
+        at = later.start() if later else len(data)
+    if lost is not None and lost < len(data):
         yield lost, len(data), None, b"", why
 
 

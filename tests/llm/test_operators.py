@@ -303,6 +303,36 @@ def test_every_text_has_a_fingerprint_of_its_own():
 # --- warc ---
 
 
+def test_warc_salvage_inside_members():
+    rng = np.random.default_rng(4)
+
+    def rec(i, body):
+        return warc.record_bytes(i, f"http://h/{i}", body, len(body), hashlib.sha256(body).hexdigest(), None)
+
+    def found(data):
+        got = list(warc.salvage(data))
+        return [int(h["warc-record-id"][12:-1]) for _, _, h, _, _ in got if h], [g for g in got if g[2] is None]
+
+    plain = [rec(i, bytes(rng.integers(0, 256, 3000 + i, dtype=np.uint8))) for i in range(8)]
+    bad = plain[:3] + [plain[3].replace(b"sha256:", b"sha256:0")] + plain[4:]
+    after = gzip.compress(rec(99, b"after " * 30))
+    ids, gaps = found(gzip.compress(b"".join(bad)) + after)
+    assert ids == [0, 1, 2, 4, 5, 6, 7, 99] and len(gaps) == 1 and "digest" in gaps[0][4]
+    for level in (0, 6):  # stored or packed
+        one = gzip.compress(b"".join(plain), level)
+        ids, gaps = found(one[: len(one) * 6 // 8])
+        assert ids == [0, 1, 2, 3, 4, 5][: len(ids)] and len(ids) >= 5 and len(gaps) == 1 and gaps[0][1] == len(one) * 6 // 8
+        ids, gaps = found(one[: len(one) * 6 // 8] + after)  # the next member is not lost with the rest
+        assert ids == [*range(len(ids) - 1), 99] and len(ids) >= 6
+    ids, gaps = found(one[:-8] + b"12345678" + after)  # wrong checksum
+    assert ids == [99] and len(gaps) == 1
+    stored = bytearray(gzip.compress(b"".join(plain), 0))
+    stored[len(stored) // 2] ^= 1  # in one payload: the digest tells which
+    ids, gaps = found(bytes(stored) + after)
+    assert ids in ([0, 1, 2, 4, 5, 6, 7, 99], [0, 1, 2, 3, 5, 6, 7, 99]) and len(gaps) == 2
+    assert found(gzip.compress(b"") + after) == ([99], [])
+
+
 def test_warc_salvage(spark, tmp_path):
     def rec(i, body):
         return warc.record_bytes(i, f"http://h/{i}", body, len(body), hashlib.sha256(body).hexdigest(), None)
@@ -369,5 +399,3 @@ def test_pipeline_stages(spark):
     assert mixed.columns == docs.columns and mixed.count() > docs.count()
     done = P.run(spark, SF)
     assert done.count() > 0 and "ids_sha256" in done.columns
-
-
