@@ -33,18 +33,37 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 
+def one_row_per_text(docs: DataFrame) -> DataFrame:
+    """Adds ``_node``, a number for every document, to the rows that remain.
+
+    Of rows that share id and text the least remains.  The least text of an id has the id for its
+    number, other texts of that id have numbers above all ids, in the order of id and text; rows
+    without id have none.
+    """
+    repeated = keep(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return docs.withColumn("_node", F.col("doc_id"))
+    texts = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    texts = cut(texts, "repeated")
+    first = texts.groupBy("doc_id").agg(F.min(F.struct("text")).alias("first"))
+    texts = texts.join(first, "doc_id").withColumn("_first", F.col("text").eqNullSafe(F.col("first.text")))
+    top = docs.agg(F.max("doc_id").alias("top")).first().top
+    more = texts.where("NOT _first").orderBy("doc_id", "text").withColumn("_node", F.monotonically_increasing_id() + F.lit(top + 1))
+    numbered = texts.where("_first").withColumn("_node", F.col("doc_id")).unionByName(more).select(*docs.columns, "_node")
+    return docs.join(repeated, "doc_id", "left_anti").select(docs.columns).withColumn("_node", F.col("doc_id")).unionByName(cut(numbered, "numbered"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
-    groups = cut(hyperminhash.near_duplicates(docs, words=5, percent=80), "groups")
-    gone = keep(groups.where("id != root").select(F.col("id").alias("doc_id")).distinct())
+    """Keeps the smallest id of each group of near copies (five-word shingles, similarity 0.8).
+
+    Different texts of one id are documents of their own (see :func:`one_row_per_text`).
+    """
+    rows = one_row_per_text(docs)
+    groups = cut(hyperminhash.near_duplicates(rows.select(F.col("_node").alias("doc_id"), "text"), words=5, percent=80), "groups")
+    gone = keep(groups.where("id != root").select(F.col("id").alias("_node")).distinct())
     if gone.count() <= hyperminhash.BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = keep(groups.where("id = root").groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id")))
-    if again.isEmpty():
-        return kept.select(docs.columns)
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    return rows.join(gone, "_node", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -399,3 +399,16 @@ def test_pipeline_stages(spark):
     assert mixed.columns == docs.columns and mixed.count() > docs.count()
     done = P.run(spark, SF)
     assert done.count() > 0 and "ids_sha256" in done.columns
+
+
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline as P
+
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(1, text(1)), (7, text(1)), (7, text(2)), (7, text(2)), (7, ""), (7, None), (8, text(2) + " more"), (9, text(3)), (9, text(3)), (None, text(4)), (None, text(4))]
+    docs = spark.createDataFrame([(i, t, "en", s, 1) for (i, t), s in zip(rows, "abcdefghijk")], DOCS)
+    want = [("1", text(1), "a"), ("7", "", "e"), ("7", "None", "f"), ("8", text(2) + " more", "g"), ("9", text(3), "h"), ("None", text(4), "j"), ("None", text(4), "k")]
+    for order in ("source", F.desc("source")):
+        got = P.drop_near_duplicates(spark, docs.orderBy(order).repartition(3), SF)
+        assert got.columns == docs.columns
+        assert sorted((str(r.doc_id), str(r.text), r.source) for r in got.collect()) == sorted(want)
