@@ -11,7 +11,9 @@ labels, so :func:`labelled_pages` makes a seeded set with the usual kinds of lay
 ``(html, labels in document order)`` serves as well.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks
-are joined by one line feed.  Scripts, styles, comments and the head never count as text.
+are joined by one line feed.  Scripts, styles, templates, inline frames, text areas, comments and
+the head never count as text.  Inside ``svg`` and ``math`` all elements are inline up to the first
+that HTML does not allow there.
 
 Defined results: null and empty pages give an empty text; unclosed, stray and cut-off markup is
 read as browsers do in the common cases; nesting may be of any depth.
@@ -36,13 +38,17 @@ from .common import small_batches
 #: Fixed values of HTML: elements without content, inline elements, elements whose content is raw.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var br img wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var br img wbr math svg object canvas".split()
 )
-RAW = frozenset("script style noscript template iframe textarea svg math object select canvas".split())
+#: Without an end tag these reach to the end of the page, in browsers too.
+RAW = frozenset("script style template iframe textarea".split())
+FOREIGN = frozenset(("math", "svg"))
 #: Elements that end an open paragraph when they start.
 ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
+#: Elements that end open ``svg`` and ``math`` when they start.
+ENDS_FOREIGN = ENDS_P | frozenset("body head html dd dt li tbody td th tr thead tfoot button noscript select".split())
 #: An element that starts ends an open element of these, unless one of the others lies between.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -76,6 +82,7 @@ def parse(page: str | None) -> Dom:
         return dom
     stack = [0]  # open block elements
     links = 0  # open <a> elements
+    foreign = 0  # open <svg> and <math> elements
     run: list[str] = []
     at = 0
 
@@ -110,7 +117,9 @@ def parse(page: str | None) -> Dom:
             continue
         name = name.lower()
         if m[1]:
-            if name == "a":
+            if name in FOREIGN:
+                foreign = max(0, foreign - 1)
+            elif name == "a":
                 links = max(0, links - 1)
             elif name == "p" and not any(dom.tags[s] == "p" for s in stack):
                 close()
@@ -125,8 +134,12 @@ def parse(page: str | None) -> Dom:
                 end = re.compile(rf"</{name}\s*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else size
             continue
-        if name in INLINE:
-            if name == "a":
+        if name in ENDS_FOREIGN:
+            foreign = 0
+        if name in INLINE or foreign:
+            if name in FOREIGN:
+                foreign += not m[0].endswith("/>")
+            elif name == "a":
                 links += 1
             elif name == "br":
                 run.append(" ")

@@ -300,6 +300,23 @@ def test_every_text_has_a_fingerprint_of_its_own():
     assert rare_digest.likeness(fps[runs.index(b"ab" * 300)], fps[runs.index(b"cd" * 300)]) < 0.5
 
 
+def test_html_keeps_text_of_and_after_embedded_elements():
+    text = lambda page: [t for _, t in html_extract.parse(page).blocks]
+    assert text("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p><p>Next</p>") == ["Let x=2 be.", "Next"]
+    assert text("<p>See <svg><g><path d='M0'/><text>label</text></g></svg> here</p><p>Next</p>") == ["See label here", "Next"]
+    assert text("<p>a <object data=x>instead</object> b <canvas>drawn</canvas> c</p>") == ["a instead b drawn c"]
+    assert text("<div>one<noscript>two</noscript>three</div>") == ["one", "two", "three"]
+    for tag in ("object", "math", "svg", "canvas", "noscript", "select"):  # without an end tag
+        assert text(f"<p>first</p><{tag}><p>second</p><div><p>third</p></div>")[-2:] == ["second", "third"]
+    for tag in ("script", "style", "template", "iframe", "textarea"):
+        assert text(f"<p>first</p><{tag}>x < y</{tag}><p>second</p>") == ["first", "second"]
+        assert text(f"<p>first</p><{tag}><p>second</p>") == ["first"]
+    model = html_extract.train(html_extract.labelled_pages())
+    body = " ".join(["Plain words of a long paragraph go on here."] * 6)
+    page = f"<html><body><article><h1>Title</h1><p>{body}</p><object data=x><p>{body} Last.</p></article></body></html>"
+    assert "Last." in model.extract(page)
+
+
 # --- warc ---
 
 
