@@ -616,6 +616,20 @@ def ud01_ud02_ud03_services(spark, sf):
     return bus.memoized(q, stored, lambda r: services.call("echo", r))
 
 
+def _whole_echo(pdf):
+    return pdf.assign(reply=pdf.text)[["call", "reply"]]
+
+
+@query("SELECT conv_id * 100 + turn AS call, text AS reply FROM conversations")
+def ud01_ud02_ud03_whole_replies(spark, sf):
+    """As above, but with whole texts for replies."""
+    services = bus.Registry()
+    services.add("echo", "call long, reply string")(_whole_echo)
+    q = tab(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("call"), "text", "role")
+    stored = q.where("role = 'user'").select("call", F.col("text").alias("reply"))
+    return bus.memoized(q, stored, lambda r: services.call("echo", r))
+
+
 # --- gates -------------------------------------------------------------------------------------
 
 

@@ -51,3 +51,9 @@ def test_anchor_sql_on_the_fixture(con):
     from ledgerloom.plans.text_queries import ANCHORS, _anchors_sql
 
     assert con.execute(f"SELECT k FROM {ANCHORS.sql} WHERE {_anchors_sql('t')} <> want").fetchall() == []
+
+
+def test_service_replies_are_whole_texts(spark):
+    replies = catalog.QUERIES["ud01_ud02_ud03_whole_replies"](spark, SF)
+    texts = spark.read.parquet(f"{SF}/conversations.parquet").selectExpr("conv_id * 100 + turn AS call", "text AS reply")
+    assert replies.exceptAll(texts).isEmpty() and replies.count() == texts.count() and texts.where("length(reply) > 20").count() > 0
