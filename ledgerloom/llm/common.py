@@ -21,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster.  Only where that is unset (tests, local
-    mode) a temporary folder of this machine takes its place.
+    ``spark.checkpoint.dir`` names it.  Where that is unset, a session in local mode, which has no
+    other machine, gets a folder of its own; any other raises.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -74,8 +76,15 @@ def release(*frames: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds Arrow batches by rows, so that long texts do not pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bounds Arrow batches by rows, so that long texts do not pile up in a Python worker.
+
+    The session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` is lowered and stays so, since the
+    frames that operators return run under it later; a smaller value of the caller stands.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "0") or 0)
+    if not 0 < now <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def held_out(doc_id: Column) -> Column:

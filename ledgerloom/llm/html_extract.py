@@ -1,7 +1,7 @@
 """Main-text extraction by a tree-structured graphical model over the DOM.
 
-Every block element of a page is a node with a hidden label: content, boilerplate or frame.  Edges
-between parent and child carry potentials, nodes carry evidence (tag, words of class, id and
+Every block element of a page, and loose text between such elements, is a node with a hidden label:
+content, boilerplate or frame.  Edges between parent and child carry potentials, nodes carry evidence (tag, words of class, id and
 role, amount of own text, share of link text).  Sum-product messages pass from the leaves to the
 root and back, which gives each node its exact marginal; text blocks of nodes that are more
 likely content than not make up the main text, in page order.
@@ -16,7 +16,9 @@ the head never count as text.  Inside ``svg`` and ``math`` all elements are inli
 that HTML does not allow there.
 
 Defined results: null and empty pages give an empty text; unclosed, stray and cut-off markup is
-read as browsers do in the common cases; nesting may be of any depth.
+read as browsers do in the common cases; nesting may be of any depth, and time is linear in the
+page; equal rows give equal texts; an empty table gives an empty result; a column named
+``main_text`` is replaced.
 """
 
 from __future__ import annotations
@@ -55,7 +57,8 @@ ENDS = {
     "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody"}, {"table"}),
 }
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Possessive throughout, so that no page makes it look at a byte more than a few times; quotes count after ``=`` only.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?)*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -66,7 +69,7 @@ LABELS = 3
 
 @dataclass
 class Dom:
-    """Block elements in document order; node 0 is the root."""
+    """Block elements in document order, node 0 being the root, then ``#text`` nodes (see :func:`parse`)."""
 
     tags: list[str] = field(default_factory=lambda: ["#root"])
     parents: list[int] = field(default_factory=lambda: [-1])
@@ -74,35 +77,65 @@ class Dom:
     text: list[int] = field(default_factory=lambda: [0])
     link_text: list[int] = field(default_factory=lambda: [0])
     blocks: list[tuple[int, str]] = field(default_factory=list)  # node, clean text
+    elements: int = 1  # how many of the nodes are elements (or the root)
+
+
+class _Open:
+    """The stack of open block elements, with the places of each tag, so that no search walks the stack."""
+
+    def __init__(self, tags: list[str]):
+        self.tags, self.nodes, self.at = tags, [0], defaultdict(list)
+
+    def push(self, node: int) -> None:
+        self.at[self.tags[node]].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, names) -> int:
+        """The place of the innermost open element of one of these tags, 0 if there is none."""
+        return max((places[-1] for n in names if (places := self.at.get(n))), default=0)
+
+    def cut(self, place: int) -> None:
+        while len(self.nodes) > place:
+            self.at[self.tags[self.nodes.pop()]].pop()
 
 
 def parse(page: str | None) -> Dom:
+    """The tree of a page.
+
+    Text that stands directly in an element with block elements of its own, or in ``body``, ``html``
+    or nothing at all, belongs to a ``#text`` node below that element, so that the label of a frame
+    does not decide about it.
+    """
     dom = Dom()
     if not page:
         return dom
-    stack = [0]  # open block elements
+    stack = _Open(dom.tags)
     links = 0  # open <a> elements
     foreign = 0  # open <svg> and <math> elements
     run: list[str] = []
+    size_run = link_run = 0  # characters other than spaces of the run, and those in links
+    runs: list[tuple[int, str, int, int]] = []  # node, clean text, characters, characters in links
     at = 0
 
     def close() -> None:
+        nonlocal size_run, link_run
         if run:
             if clean := " ".join(_html.unescape("".join(run)).split()):
-                dom.blocks.append((stack[-1], clean))
+                runs.append((stack.nodes[-1], clean, size_run, link_run))
             run.clear()
+            size_run = link_run = 0
 
     def add_text(piece: str) -> None:
+        nonlocal size_run, link_run
         if piece:
             run.append(piece)
             n = len(piece) - piece.count(" ")
-            dom.text[stack[-1]] += n
-            if links:
-                dom.link_text[stack[-1]] += n
+            size_run += n
+            link_run += n if links else 0
 
-    def pop_to(k: int) -> None:
+    def pop_to(place: int) -> None:
         close()
-        del stack[k:]
+        stack.cut(place)
 
     size = len(page)
     while at < size:
@@ -121,13 +154,11 @@ def parse(page: str | None) -> Dom:
                 foreign = max(0, foreign - 1)
             elif name == "a":
                 links = max(0, links - 1)
-            elif name == "p" and not any(dom.tags[s] == "p" for s in stack):
-                close()
             elif name not in INLINE:
-                for k in range(len(stack) - 1, 0, -1):
-                    if dom.tags[stack[k]] == name:
-                        pop_to(k)
-                        break
+                if place := stack.last((name,)):
+                    pop_to(place)
+                elif name == "p":
+                    close()
             continue
         if name in RAW:
             if not m[0].endswith("/>"):
@@ -148,41 +179,52 @@ def parse(page: str | None) -> Dom:
             if name == "hr":
                 close()
             continue
-        if name in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                tag = dom.tags[stack[k]]
-                if tag == "p":
-                    pop_to(k)
-                    break
-                if tag in ("table", "td", "button"):
-                    break
+        if name in ENDS_P and (place := stack.last(("p",))) > stack.last(("table", "td", "button")):
+            pop_to(place)
         if name in ENDS:
             ended, walls = ENDS[name]
-            for k in range(len(stack) - 1, 0, -1):
-                tag = dom.tags[stack[k]]
-                if tag in walls:
+            wall = stack.last(walls)
+            while (place := stack.last(ended)) > wall:
+                last = name != "tr" or dom.tags[stack.nodes[place]] == "tr"
+                pop_to(place)
+                if last:
                     break
-                if tag in ended:
-                    pop_to(k)
-                    if name != "tr" or tag == "tr":
-                        break
         close()
-        attrs = tuple(w.lower() for _, v in _ATTR.findall(m[3] or "") for w in _NAME.findall(v))
         dom.tags.append(name)
-        dom.parents.append(stack[-1])
-        dom.words.append(attrs)
-        dom.text.append(0)
-        dom.link_text.append(0)
-        stack.append(len(dom.tags) - 1)
+        dom.parents.append(stack.nodes[-1])
+        dom.words.append(tuple(w.lower() for _, v in _ATTR.findall(m[3] or "") for w in _NAME.findall(v)))
+        stack.push(len(dom.tags) - 1)
         links = 0 if name not in ("li", "h1", "h2", "h3", "p") else links
     close()
+    dom.elements = len(dom.tags)
+    mixed = {i for i in range(dom.elements) if dom.tags[i] in ("#root", "html", "body")}.union(dom.parents[1:])
+    dom.text, dom.link_text = [0] * dom.elements, [0] * dom.elements
+    for node, clean, n, in_links in runs:
+        if node in mixed:
+            dom.tags.append("#text")
+            dom.parents.append(node)
+            dom.words.append(())
+            dom.text.append(0)
+            dom.link_text.append(0)
+            node = len(dom.tags) - 1
+        dom.text[node] += n
+        dom.link_text[node] += in_links
+        dom.blocks.append((node, clean))
     return dom
 
 
+#: Edges differ by the child: loose text, an element without class, id and role, one with.
+LOOSE, PLAIN, NAMED = 0, 1, 2
+
+
+def kind_of(dom: Dom, i: int) -> int:
+    return LOOSE if dom.tags[i] == "#text" else NAMED if dom.words[i] else PLAIN
+
+
 def evidence(dom: Dom, i: int) -> list[tuple[str, str]]:
     """What is seen of a node: (kind, value) pairs, taken as independent given its label."""
     n = dom.text[i]
-    out = [("tag", dom.tags[i]), ("length", str(0 if n == 0 else min(6, 1 + int(math.log(n, 4)))))]
+    out = [("tag", dom.tags[i] + "+" * (kind_of(dom, i) == NAMED)), ("length", str(0 if n == 0 else min(6, 1 + int(math.log(n, 4)))))]
     if n:
         out.append(("links", str(round(3 * dom.link_text[i] / n))))
     out += [("word", w) for w in set(dom.words[i])]
@@ -192,7 +234,7 @@ def evidence(dom: Dom, i: int) -> list[tuple[str, str]]:
 @dataclass
 class Model:
     root: list[float]  # P(label of the root)
-    edge: list[list[float]]  # P(child label | parent label), parent first
+    edges: list[list[list[float]]]  # per kind of child: P(child label | parent label), parent first
     seen: dict[tuple[str, str], tuple[float, ...]]  # log P(value | label)
     cache: dict = field(default_factory=dict)
 
@@ -211,11 +253,12 @@ class Model:
     def marginals(self, dom: Dom) -> list[float]:
         """P(content) of every node, by sum-product messages up and down the tree."""
         n, every = len(dom.tags), range(LABELS)
+        edges = [self.edges[kind_of(dom, i)] for i in range(n)]
         up = [list(self.unary(dom, i)) for i in range(n)]
         message: list[list[float]] = [[]] * n
         for i in range(n - 1, 0, -1):  # children come after their parents
             own, p = up[i], up[dom.parents[i]]
-            m = [sum(e[y] * own[y] for y in every) for e in self.edge]
+            m = [sum(e[y] * own[y] for y in every) for e in edges[i]]
             total = sum(m)
             message[i] = m = [x / total for x in m]
             for y in every:
@@ -228,7 +271,7 @@ class Model:
         for i in range(1, n):
             # The parent's belief without this child's own message, passed down the edge.
             rest = [b / max(m, 1e-300) for b, m in zip(out[dom.parents[i]], message[i], strict=True)]
-            out[i] = _unit([sum(rest[x] * self.edge[x][y] for x in every) * up[i][y] for y in every])
+            out[i] = _unit([sum(rest[x] * edges[i][x][y] for x in every) * up[i][y] for y in every])
         return [o[CONTENT] for o in out]
 
     def extract(self, page: str | None, bar: float = 0.5) -> str:
@@ -245,18 +288,22 @@ def _unit(xs: list[float]) -> list[float]:
 
 
 def train(labelled: list[tuple[str, list[int]]], smooth: float = 0.3) -> Model:
-    """Counts over pages with a label per block element, in document order after the root (a frame)."""
-    edge = np.full((LABELS, LABELS), smooth)
+    """Counts over pages with a label per block element, in document order after the root (a frame).
+
+    ``#text`` nodes have their parent's label, and are content in a frame.
+    """
+    edges = np.full((3, LABELS, LABELS), smooth)
     counts: dict[str, dict[str, list[float]]] = defaultdict(lambda: defaultdict(lambda: [smooth] * LABELS))
     nodes = [0.0] * LABELS
     for page, labels in labelled:
         dom = parse(page)
         labels = [FRAME, *labels]
-        if len(labels) != len(dom.tags):
-            raise ValueError(f"{len(labels) - 1} labels for {len(dom.tags) - 1} block elements")
+        if len(labels) != dom.elements:
+            raise ValueError(f"{len(labels) - 1} labels for {dom.elements - 1} block elements")
+        labels += [CONTENT if labels[p] == FRAME else labels[p] for p in dom.parents[dom.elements :]]
         for i in range(1, len(labels)):
             y = labels[i]
-            edge[labels[dom.parents[i]], y] += 1
+            edges[kind_of(dom, i), labels[dom.parents[i]], y] += 1
             nodes[y] += 1
             for kind, value in evidence(dom, i):
                 counts[kind][value][y] += 1
@@ -265,7 +312,7 @@ def train(labelled: list[tuple[str, list[int]]], smooth: float = 0.3) -> Model:
         total = [nodes[y] + smooth if kind == "word" else sum(v[y] for v in values.values()) for y in range(LABELS)]
         for value, v in values.items():
             seen[kind, value] = tuple(math.log(v[y] / total[y]) for y in range(LABELS))
-    return Model([0.001, 0.001, 0.998], (edge / edge.sum(axis=1, keepdims=True)).tolist(), seen)
+    return Model([0.001, 0.001, 0.998], (edges / edges.sum(axis=2, keepdims=True)).tolist(), seen)
 
 
 class _Page:
@@ -284,11 +331,16 @@ class _Page:
         return " ".join("".join(self.pick("la", "en", "ti", "or", "ne", "sa") for _ in range(int(self.rng.integers(1, 5)))) for _ in range(int(self.rng.integers(a, b))))
 
     def el(self, tag: str, label: int, inside, attrs: str = "") -> None:
+        if label == BOILERPLATE and tag in ("nav", "footer", "aside", "header", "form") and self.chance(0.4):
+            attrs = ""  # the tag says it
         self.html.append(f"<{tag}{' ' + attrs if attrs else ''}>")
         self.labels.append(label)
         inside() if callable(inside) else self.html.append(inside)
         self.html.append(f"</{tag}>")
 
+    def any_class(self) -> str:
+        return f'class="{self.pick(*"qrstuvwxyz")}{self.pick(*"abcdefgh")}"'
+
     def menu(self, n: int) -> None:
         self.el("ul", 0, lambda: [self.el("li", 0, f'<a href="/x">{self.words(1, 3)}</a>') for _ in range(n)])
 
@@ -296,14 +348,19 @@ class _Page:
         text = self.words(1, 6) if self.chance(0.15) else self.words(8, 120)
         if self.chance(0.2):
             text = f'<b>{text}</b> <a href="/y">{self.words(1, 4)}</a> {self.words(3, 30)}'
-        self.el(tag, label, text)
+        named = label == CONTENT and self.chance(0.2)
+        self.el(tag, label, text, self.pick('class="lead"', 'class="intro"', 'id="p1"', 'class="text"', 'class="body-text"', self.any_class()) if named else "")
+
+    def loose(self) -> None:
+        """Lines that stand in the element around them, without one of their own."""
+        self.html.append("<br>".join(self.words(4, 60) for _ in range(int(self.rng.integers(1, 4)))))
 
     def small_print(self, tag: str, attrs: str) -> None:
         kind = self.rng.random()
         if kind < 0.5:
             self.el(tag, 0, self.words(3, 25), attrs)
         elif kind < 0.8:
-            self.el(tag, 0, lambda: [self.sentence_block(0) for _ in range(int(self.rng.integers(1, 3)))], attrs)
+            self.el(tag, 0, lambda: [self.loose() if self.chance(0.2) else self.sentence_block(0) for _ in range(int(self.rng.integers(1, 3)))], attrs)
         else:
             self.el(tag, 0, lambda: self.menu(int(self.rng.integers(2, 6))), attrs)
 
@@ -349,7 +406,9 @@ class _Page:
                 self.el("h1", 1, self.words(2, 12))
             for _ in range(int(self.rng.integers(1, 14))):
                 kind = self.rng.random()
-                if kind < 0.72:
+                if kind < 0.05:
+                    self.loose()
+                elif kind < 0.72:
                     self.sentence_block(1)
                 elif kind < 0.79:
                     self.el(self.pick("h2", "h3", "h4"), 1, self.words(1, 9))
@@ -371,8 +430,14 @@ class _Page:
                 self.comments()
 
         kind = self.rng.random()
-        if kind < 0.55:
-            self.el("article", 1, inside, self.pick("", "", 'class="post"'))
+        if kind < 0.08:  # without an element around it
+            for _ in range(int(self.rng.integers(1, 7))):
+                self.loose() if self.chance(0.4) else self.sentence_block(1, self.pick("p", "p", "p", "h2"))
+                self.html.append(self.pick("", "<hr>"))
+        elif kind < 0.13:
+            self.el("div", 1, lambda: [self.loose(), self.html.append("<br><br>"), self.loose()], self.pick("", 'class="content"', 'class="text"', self.any_class()))
+        elif kind < 0.55:
+            self.el("article", 1, inside, self.pick("", "", 'class="post"', self.any_class()))
         elif kind < 0.75:
             self.el("main", 1, inside, self.pick("", 'id="content"', 'role="main"'))
         elif kind < 0.95:

@@ -11,13 +11,15 @@ only these windows and takes a number of steps that depends on the number of lan
 whatever the size of the corpus.  Every non-null language with a usable row is learnt, however
 rare it is and however many there are.
 
-Defined results: ``und`` with score 0 for null texts and texts without a letter; without any
-learnable language every document is ``und``.
+Defined results: ``und`` with score 0 for null texts and texts without a letter (a character of
+general category L, in training as well); without any learnable language every document is
+``und``; with a single one it is the answer for every text with a letter; repeated rows are
+judged each; an empty table gives an empty result; columns that carry the names of the new ones
+are replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,10 +32,14 @@ from pyspark.sql import types as T
 from .common import held_out, keep, release, small_batches
 
 WINDOW = 64
-_LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a letter (general category L; digits, fractions and letter-like numbers are none)."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def windows_of(data: bytes) -> np.ndarray:
     """All windows of a text (rows of bytes, the last padded with zeros)."""
     n = -(-len(data) // WINDOW)
@@ -190,7 +196,7 @@ class Model:
         """Language and pooled probability of whole texts."""
         at_once = max(16, min(at_once, (at_once << 6) // max(1, len(self.languages))))  # bounds memory if there are many
         out = [(UNKNOWN, 0.0)] * len(texts)
-        which = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.net else []
+        which = [i for i, t in enumerate(texts) if has_letter(t)] if self.net else []
         sums = np.zeros((len(texts), len(self.languages)))
         held: list[np.ndarray] = []
         owner: list[np.ndarray] = []

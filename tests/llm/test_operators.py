@@ -92,10 +92,47 @@ def test_language_held_out_and_und(spark):
     assert (got.lang == got.lang_pred).mean() > 0.98
     model = language.fit(docs, steps=60)
     odd = {r.doc_id: r for r in language.predict(odd_docs(spark), model).collect()}
+    assert model.document(["½", "²³", "Ⅷ", "①", "_", "５", None, ""]) == [("und", 0.0)] * 8
+    assert model.document(["ª½"])[0][0] != "und"
     assert [odd[i].lang_pred for i in (1, 2, 3, 5)] == ["und"] * 4 and odd[4].lang_pred != "und"
     assert language.fit(docs.limit(0)).document(["text"]) == [("und", 0.0)]
 
 
+def test_language_labels_equal_a_plain_network():
+    """The fast pass against gates written out one position at a time."""
+    rng = np.random.default_rng(7)
+    net = language.Network.random(5, 3, rng)
+    x = rng.integers(1, 255, (3, language.WINDOW)).astype(np.uint8)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    got = net.label(x)
+    for w in range(3):
+        states = np.zeros((2, language.WINDOW, 5))
+        for d in (0, 1):
+            state = np.zeros(5)
+            for t in range(language.WINDOW) if d == 0 else range(language.WINDOW - 1, -1, -1):
+                own, back = net.table[d][x[w, t]].astype(float), state @ net.inner[d].astype(float)
+                z, r = sigmoid(own[:5] + back[:5]), sigmoid(own[5:10] + back[5:10])
+                state = (1 - z) * np.tanh(own[10:] + r * back[10:]) + z * state
+                states[d, t] = state
+        logits = np.concatenate([states[0], states[1]], axis=1) @ net.out + net.bias
+        want = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+        assert np.abs(got[:, :, w] - want).max() < 1e-4
+
+
+def test_language_odd_tables(spark):
+    schema = "doc_id long, text string, lang string, lang_pred int, lang_score string"
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    own = [i for i in range(100) if not held(i)]
+    one = spark.createDataFrame([(i, "only words of one tongue", "xx", 1, "s") for i in own] + [(None, None, None, None, None)], schema)
+    model = language.fit(one, steps=5)
+    assert model.languages == ["xx"]
+    got = language.predict(one, model)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "lang_score"]
+    assert {(r.lang_pred, r.lang_score) for r in got.collect()} == {("xx", 1.0), ("und", 0.0)} and got.count() == len(own) + 1
+    assert language.predict(one.limit(0), model).count() == 0
+    assert language.fit(one.limit(0)).net is None
+
+
 def test_every_language_is_learnt(spark):
     import corpus_pipeline as P
 
@@ -160,19 +197,64 @@ def test_html_marginals_match_enumeration():
     from itertools import product
 
     model = html_extract.train(html_extract.labelled_pages(60))
-    dom = html_extract.parse("<div class=content><p>some words in here</p><ul><li>a<li>b</ul></div>")
+    dom = html_extract.parse("<div class=content><p>some words in here</p>loose<ul><li>a<li>b</ul></div>")
     n, total, own = len(dom.tags), 0.0, [0.0] * 6
     own = [0.0] * n
     for labels in product(range(html_extract.LABELS), repeat=n):
         p = model.root[labels[0]]
         for i in range(n):
-            p *= model.unary(dom, i)[labels[i]] * (model.edge[labels[dom.parents[i]]][labels[i]] if i else 1)
+            p *= model.unary(dom, i)[labels[i]] * (model.edges[html_extract.kind_of(dom, i)][labels[dom.parents[i]]][labels[i]] if i else 1)
         total += p
         for i in range(n):
             own[i] += p * (labels[i] == html_extract.CONTENT)
     assert model.marginals(dom) == pytest.approx([x / total for x in own], rel=1e-6)
 
 
+def test_html_text_in_frames_is_kept():
+    model = html_extract.train(html_extract.labelled_pages())
+    assert model.extract("<body>text one two three that goes on<br>next line</body>") == "text one two three that goes on next line"
+    assert model.extract("just text with <b>bold</b> and <math><mi>x</mi></math>") == "just text with bold and x"
+    page = "<html><body><nav><ul><li><a href=x>home</a></li></ul></nav>Article text in the body.<div class=ad>Buy now</div>Its end.</body></html>"
+    assert model.extract(page) == "Article text in the body.\nIts end."
+    page = "<div class=wrapper>text of a wrapper that goes on for some words<div class=sidebar><p>side</p></div></div>"
+    assert model.extract(page) == "text of a wrapper that goes on for some words"
+    assert model.extract("<article>Intro text <p>para</p> more text</article>") == "Intro text\npara\nmore text"
+    math = "<article><p>We let <math><mi>a</mi><mo>=</mo><mn>1</mn></math> hold for the rest of this text.</p></article>"
+    assert model.extract(math) == "We let a=1 hold for the rest of this text."
+
+
+def test_html_parser_is_linear():
+    import time
+
+    hostile = ["<div>", "<p><x>", "<li><ul><x>", "<table><tr><td>", "<svg><div>", '<a "', "<a b='", '<a b="', "<!x", "</p>", "<li><p><x-y>", "</div>", "<ul><li>"]
+    for unit in hostile:
+        begun = time.process_time()
+        html_extract.parse(unit * 20_000 + "x")
+        assert time.process_time() - begun < 0.5, unit
+    begun = time.process_time()
+    html_extract.parse("<li><ul>" + "<x>" * 20_000 + "<li>a</li>" * 20_000)
+    assert time.process_time() - begun < 1
+
+
+def test_html_tags_as_browsers_read_them():
+    text = lambda page: [t for _, t in html_extract.parse(page).blocks]
+    assert text('<p title="5" screen">one</p><p a=">">two</p><p a=\'x>y\'>three</p><p a=b"c>four</p>') == ["one", "two", "three", "four"]
+    assert text("<table><tr><td>a<td>b<tr><th>c</table><p>d<p>e<div>f</div>") == ["a", "b", "c", "d", "e", "f"]
+    assert text("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><dl><dt>e<dd>f</dl>") == ["a", "b", "c", "d", "e", "f"]
+    assert text("<p>a<table><tr><td><p>b</td></tr></table>") == ["a", "b"] and text("a</p>b") == ["a", "b"]
+
+
+def test_html_odd_tables(spark):
+    model = html_extract.train(html_extract.labelled_pages(60))
+    schema = "page_id long, html string, main_text int, text string"
+    assert html_extract.extract(spark.createDataFrame([], schema), model).count() == 0
+    body = "<article><p>Plain words of a paragraph that is long enough to be one.</p></article>"
+    got = html_extract.extract(spark.createDataFrame([(1, body, 7, "t"), (1, body, 7, "t"), (2, None, 8, None)], schema), model)
+    assert got.columns == ["page_id", "html", "text", "main_text"]
+    rows = sorted((r.page_id, r.main_text, r.text) for r in got.collect())
+    assert rows == [(1, "Plain words of a paragraph that is long enough to be one.", "t")] * 2 + [(2, "", None)]
+
+
 def test_html_pages_of_the_table(spark):
     import html
     import re
