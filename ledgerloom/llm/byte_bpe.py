@@ -10,7 +10,9 @@ full), maps the bytes of new ones to characters and hands these to the library,
 a time.
 
 Defined results: a null text encodes like an empty one (no ids) and decodes to empty bytes;
-special-token strings are ordinary text; any text round-trips byte for byte.
+special-token strings are ordinary text; any text round-trips byte for byte; repeated rows are
+encoded each; an empty table gives an empty result; columns that carry the names of the new ones
+are replaced; a text whose ids take 2 GiB (more than half a billion) raises.
 """
 
 from __future__ import annotations
@@ -168,9 +170,21 @@ def _extended(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
 
 
 def _binary(data: bytes, at: np.ndarray) -> pa.Array:
+    if len(data) >= 1 << 31:  # batches are cut well below that, unless one text alone exceeds it
+        raise OverflowError(f"{len(data)} bytes in a batch of {len(at) - 1} rows; a cell of Spark holds less than 2 GiB")
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data)])
 
 
+def _shares(batches: Iterator[pa.RecordBatch], text_col: str, most: int = 1 << 26) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where their texts exceed ``most`` bytes together."""
+    for batch in batches:
+        size = pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(text_col))), 0).to_numpy(zero_copy_only=False)
+        share = np.cumsum(size, dtype=np.int64) // most
+        edges = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            yield batch.slice(a, b - a)
+
+
 def _kept(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
     return [batch.column(batch.schema.get_field_index(n)) for n in names]
 
@@ -189,7 +203,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
-        for batch in batches:
+        for batch in _shares(batches, text_col):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             ids, at = codec.encode(texts)
             data, token_at = codec.decode(ids)

@@ -50,13 +50,17 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_cut(*frames: DataFrame) -> None:
     """Deletes the files behind frames that :func:`cut` made and nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
         for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            drop_path(df.sparkSession, f)
 
 
 def keep(df: DataFrame) -> DataFrame:

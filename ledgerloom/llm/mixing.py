@@ -10,14 +10,16 @@ where the arc into the end holds a source's quota.  The repetition costs 1, 3, 5
 convex, so a cheapest maximal flow fills first readings everywhere before it repeats anything.
 The flow through a pattern is then turned into documents: every document is taken as often as
 full readings go, and a seeded order (the md5 of seed and id) decides who is taken once more.
-The cut in that order is found from 4096 hash ranges per pattern and then within one range, so
-no task ever sorts a whole source.
+The cut in that order is found from 4096 hash ranges per pattern, then from 4096 parts of one of
+them, and only then among rows, so no task ever sorts a whole source (at 10^11 documents of one
+source some 6,000 rows are left).
 
 Driver memory: one number per pattern and source.  ``max_patterns`` bounds and checks it.
 
 Defined results: a null or empty text has size 0 and is taken 0 words; a document without any
 source is taken 0 times; a null source is a source of its own, last in order; rows with equal
-ids share their hash and are taken alike; reruns agree.
+ids share their hash and are taken alike; reruns agree; an empty table gives an empty mix; a
+column named like the new one (``copies``) is replaced.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import cut, drop_cut, n_words
 
-RANGES = 4096
+#: The cut is found from 4096 parts of the order, each cut into 4096 again so often.
+REFINED = 2
 
 
 def share_out(sizes: Sequence[int], weights: Sequence[float], total: float, most: float) -> list[float]:
@@ -60,7 +63,12 @@ class _Arc:
 
 
 class FlowNetwork:
-    """Min-cost max-flow by cheapest augmenting paths with node potentials (integers only)."""
+    """Min-cost max-flow by the primal-dual method, in integers.
+
+    For every distinct cost of a cheapest path, one pass of shortest distances gives the node
+    prices, and blocking flows fill all paths of that cost at once.  Repetitions cost 1, 3, ..., so
+    there are few such costs, however many patterns there are.
+    """
 
     def __init__(self, nodes: int):
         self.arcs: list[list[_Arc]] = [[] for _ in range(nodes)]
@@ -72,33 +80,66 @@ class FlowNetwork:
         return there
 
     def run(self, start: int, end: int) -> int:
-        n, sent = len(self.arcs), 0
-        height = [0] * n
+        price, sent = [0] * len(self.arcs), 0
+        while self._reprice(start, end, price):
+            while more := self._block(start, end, price):
+                sent += more
+        return sent
+
+    def _reprice(self, start: int, end: int, price: list[int]) -> bool:
+        """Adds shortest distances under reduced costs to the prices; false if the end is out of reach."""
+        far = float("inf")
+        dist: list[float] = [far] * len(self.arcs)
+        dist[start], heap = 0, [(0, start)]
+        while heap:
+            d, u = heapq.heappop(heap)
+            if d > dist[u]:
+                continue
+            for arc in self.arcs[u]:
+                if arc.room > 0 and (to := d + arc.cost + price[u] - price[arc.to]) < dist[arc.to]:
+                    dist[arc.to] = to
+                    heapq.heappush(heap, (to, arc.to))
+        if dist[end] == far:
+            return False
+        for v, d in enumerate(dist):
+            price[v] += int(min(d, dist[end]))
+        return True
+
+    def _block(self, start: int, end: int, price: list[int]) -> int:
+        """A blocking flow over the arcs of no reduced cost, level by level; 0 if none is left."""
+        level = [-1] * len(self.arcs)
+        level[start], queue = 0, [start]
+        for u in queue:
+            for arc in self.arcs[u]:
+                if arc.room > 0 and level[arc.to] < 0 and arc.cost + price[u] == price[arc.to]:
+                    level[arc.to] = level[u] + 1
+                    queue.append(arc.to)
+        if level[end] < 0:
+            return 0
+        at, path, sent, u = [0] * len(self.arcs), [], 0, start
         while True:
-            dist: list[float] = [float("inf")] * n
-            came: list[tuple[int, int] | None] = [None] * n
-            dist[start], heap = 0, [(0, start)]
-            while heap:
-                d, u = heapq.heappop(heap)
-                if d > dist[u]:
-                    continue
-                for k, arc in enumerate(self.arcs[u]):
-                    if arc.room > 0 and (to := d + arc.cost + height[u] - height[arc.to]) < dist[arc.to]:
-                        dist[arc.to], came[arc.to] = to, (u, k)
-                        heapq.heappush(heap, (to, arc.to))
-            if came[end] is None:
-                return sent
-            height = [h + int(d) if d < float("inf") else h for h, d in zip(height, dist, strict=True)]
-            path, v = [], end
-            while v != start:
-                u, k = came[v]
-                path.append(self.arcs[u][k])
-                v = u
-            amount = min(a.room for a in path)
-            for a in path:
-                a.room -= amount
-                self.arcs[a.to][a.back].room += amount
-            sent += amount
+            if u == end:
+                amount = min(a.room for a in path)
+                for a in path:
+                    a.room -= amount
+                    self.arcs[a.to][a.back].room += amount
+                sent += amount
+                del path[next(i for i, a in enumerate(path) if not a.room) :]
+            else:
+                arcs = self.arcs[u]
+                while at[u] < len(arcs):
+                    a = arcs[at[u]]
+                    if a.room > 0 and level[a.to] == level[u] + 1 and a.cost + price[u] == price[a.to]:
+                        break
+                    at[u] += 1
+                if at[u] < len(arcs):
+                    path.append(arcs[at[u]])
+                elif path:
+                    path.pop()
+                    at[path[-1].to if path else start] += 1
+                else:
+                    return sent
+            u = path[-1].to if path else start
 
 
 def route(patterns: Sequence[tuple[Sequence[int], int]], quotas: Sequence[int], repeats: int = 2) -> list[int]:
@@ -164,34 +205,31 @@ def solve(
     repeats = int(-(-most // 1))
     flow = route([([number[m] for m in set(r.members)], r.size) for r in rows], [round(t) for t in targets], repeats)
     need = [(r.pattern, f // r.size if r.size else 0, f % r.size if r.size else 0) for r, f in zip(rows, flow, strict=True)]
-    needs = spark.createDataFrame(need, "pattern string, full int, more long")
-
-    # Who is taken once more: first the hash range, then the place within it.
-    ranged = sized.where(F.size("members") > 0).withColumn("range", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
-    upto = Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = (
-        ranged.groupBy("pattern", "range").agg(F.sum("size").alias("size"))
-        .withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0)))
-        .join(F.broadcast(needs), "pattern")
-        .where((F.col("before") <= F.col("more")) & (F.col("more") < F.col("before") + F.col("size")))
-        .select("pattern", "range", "before", "more")
-    )
-    inside = Window.partitionBy("pattern").orderBy("h")  # equal hashes count together
+    # Who is taken once more: the place of the cut, three digits of the hash at a time, then within the rows left.
+    place = "pattern string, prefix string, before long, more long"
+    edges = spark.createDataFrame([(p, "", 0, more) for p, _, more in need if more], place)
+    for digits in range(3, 3 * REFINED + 1, 3):
+        inside = Window.partitionBy("pattern").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = (
+            sized.join(F.broadcast(edges), "pattern").where(F.startswith("h", "prefix"))
+            .groupBy("pattern", "before", "more", F.substring("h", 1, digits).alias("part")).agg(F.sum("size").alias("size"))
+            .withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+            .where((F.col("before") <= F.col("more")) & (F.col("more") < F.col("before") + F.col("size")))
+        )
+        edges = spark.createDataFrame(parts.select("pattern", F.col("part").alias("prefix"), "before", "more").collect(), place)  # a row a pattern at most
+    upto = F.col("before") + F.sum("size").over(Window.partitionBy("pattern").orderBy("h"))  # equal hashes count together
     last = (
-        ranged.join(F.broadcast(ranges), ["pattern", "range"])
-        .groupBy("pattern", "range", "before", "more", "h").agg(F.sum("size").alias("size"))
-        .withColumn("upto", F.col("before") + F.sum("size").over(inside))
-        .where(2 * F.col("upto") - F.col("size") <= 2 * F.col("more"))
+        sized.join(F.broadcast(edges), "pattern").where(F.startswith("h", "prefix"))
+        .groupBy("pattern", "before", "more", "h").agg(F.sum("size").alias("size"))
+        .withColumn("upto", upto).where(2 * F.col("upto") - F.col("size") <= 2 * F.col("more"))
         .groupBy("pattern").agg(F.max("h").alias("last"))
     )
-    edge = ranges.select("pattern", F.lpad(F.lower(F.hex("range")), 3, "0").alias("edge"))
-    # Below the cut range all are taken; within it those up to ``last``; "" takes no one.
-    plan = (
-        needs.join(edge, "pattern", "left").join(last, "pattern", "left")
-        .select("pattern", "full", F.coalesce(F.when(F.col("more") > 0, F.coalesce("last", "edge")), F.lit("")).alias("last"))
-    )
+    # Hashes before the prefix are all taken; of those that begin with it, up to ``last``; "" takes no one.
+    cuts = {r.pattern: r.prefix for r in edges.collect()} | {r.pattern: r.last for r in last.collect()}
+    drop_cut(sized)
+    plan = [(p, full, cuts.get(p, "")) for p, full, _ in need]
     totals = spark.createDataFrame([(s, sizes[i], float(targets[i])) for s, i in number.items()], "source string, source_size long, target double")
-    return Mix(spark.createDataFrame(plan.collect(), plan.schema), totals)
+    return Mix(spark.createDataFrame(plan, "pattern string, full int, last string"), totals)
 
 
 def order_key(doc_id: Column, seed: int) -> Column:
@@ -200,10 +238,13 @@ def order_key(doc_id: Column, seed: int) -> Column:
 
 def copies(docs: DataFrame, mix: Mix, sources: Column, doc_id: Column, seed: int = 7, name: str = "copies") -> DataFrame:
     """Adds ``name``: how often the mix reads each document.  Joins one row per pattern by broadcast."""
-    plan = mix.plan.select(F.col("pattern").alias("_mix_pattern"), F.col("full").alias("_mix_full"), F.col("last").alias("_mix_last"))
+    free = "_mix"
+    while any(c.startswith(free) for c in docs.columns):
+        free = "_" + free
+    plan = mix.plan.select(F.col("pattern").alias(f"{free}_pattern"), F.col("full").alias(f"{free}_full"), F.col("last").alias(f"{free}_last"))
     return (
-        docs.withColumn("_mix_pattern", _pattern(sources))
-        .join(F.broadcast(plan), "_mix_pattern", "left")
-        .withColumn(name, F.coalesce(F.col("_mix_full") + (order_key(doc_id, seed) <= F.col("_mix_last")).cast("int"), F.lit(0)))
-        .drop("_mix_pattern", "_mix_full", "_mix_last")
+        docs.withColumn(f"{free}_pattern", _pattern(sources))
+        .join(F.broadcast(plan), f"{free}_pattern", "left")
+        .withColumn(name, F.coalesce(F.col(f"{free}_full") + (order_key(doc_id, seed) <= F.col(f"{free}_last")).cast("int"), F.lit(0)))
+        .drop(f"{free}_pattern", f"{free}_full", f"{free}_last")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, html_extract, hyperminhash, language, mixing, mtree, rare_digest, toxicity, url_filter, warc
-from .common import fresh_path, held_out, small_batches, table
+from .common import cut, drop_path, fresh_path, held_out, small_batches, table
 
 
 def tokenizer_files(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
@@ -103,8 +103,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark, 128)
     path = fresh_path(spark, "warc")
     warc.write_archives(warc.plan_records(pages, "page_id", "url", "html"), path)
-    back = warc.read_archives(spark, path, with_payload=False)
-    return back.where("error is null").select(
+    back = cut(warc.read_archives(spark, path, with_payload=False), "records")
+    drop_path(spark, path)
+    return warc.whole(back).select(
         F.col("rec_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to"
     )
 

@@ -1,9 +1,10 @@
 """Document fingerprints from improbable features in chained Bloom filters.
 
 Every window of ``W`` bytes gets its entropy, in fixed-point integers so that equal bytes give
-equal results anywhere.  A window is the rarer, the further its entropy lies from what prose
-usually has (``USUAL``); nearly constant windows are worth nothing.  Of every ``W`` neighbouring
-windows the rarest (the first, if several) gets a vote; windows with at least ``VOTES`` votes are
+equal results anywhere.  How often each entropy occurs, in steps of 1/64 bit, is counted over all
+windows of all texts (:func:`measure`); a window is the rarer, the seldomer its entropy.  Nearly
+constant windows are worth nothing.  Fingerprints are comparable if they were made with the same
+table; it is small and can be stored.  Of every ``W`` neighbouring windows the rarest (the first, if several) gets a vote; windows with at least ``VOTES`` votes are
 the features.  A text without any (short ones, or endless repetition) has half that bar, and half
 again, until a window reaches it.  A text of less than ``FEW`` features also has its whole bytes
 as one, so different short texts differ.  The hashes go, in order, into Bloom filters of ``BITS`` bits; a full filter
@@ -19,7 +20,8 @@ features as in one piece.
 
 Defined results: null counts as empty; only an empty text has the fingerprint ``0:``, which is
 alike (1) only to itself; texts shorter than a window, and those of nearly constant windows only,
-are one feature.
+are one feature; repeated rows and ids are documents of their own; an empty table gives an empty
+result; a column of the fingerprint's name is replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, small_batches
 
@@ -40,7 +43,9 @@ W = 64
 VOTES = 16
 FEW = 4
 BITS, HASHES, FULL = 1024, 5, 80
-USUAL = 4.05  # bits; the entropy of most 64-byte windows of prose
+STEPS = 6  # binary places of the entropies that are counted
+LEAST = 1 << (STEPS - 1)  # half a bit: below, a window is nearly constant
+BINS = (W.bit_length() - 1 << STEPS) + 1
 SEGMENT = 1 << 19
 TOGETHER = 1 << 16  # bytes of short texts that are worked on at once, to stay in the cache
 _U = np.uint64
@@ -75,21 +80,29 @@ def _counts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out_ends, out_begins
 
 
-def _features(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, bar: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start positions and hashes of the windows of ``bar`` votes in texts laid end to end, each of W bytes or more."""
-    n = len(data)
+def _entropies(data: np.ndarray) -> np.ndarray:
+    """Entropy of the window at every place, in steps of 1 / 2**STEPS bit."""
     ends, begins = _counts(data)
     s = np.cumsum(_G[ends])
     s[W:] -= np.cumsum(_G[begins])[:-W]
     weight = s[W - 1 :]  # per window start: sum of c log c
-    entropy = (int(np.log2(W)) << _FIX) - weight // W
-    far = np.abs(entropy - int(USUAL * 2**_FIX)) >> (_FIX - 6)
-    far[entropy < (1 << _FIX) // 2] = -1
+    return np.clip(((W.bit_length() - 1 << _FIX) - weight // W) >> (_FIX - STEPS), 0, BINS - 1)
+
+
+def _inside(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which of ``n`` places lie in one of the ranges."""
+    edge = np.zeros(n + 1, dtype=np.int32)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + lengths, -1)
+    return np.cumsum(edge[:n]) > 0
+
+
+def _features(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, bar: int, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start positions and hashes of the windows of ``bar`` votes in texts laid end to end, each of W bytes or more."""
+    n = len(data)
+    far = rarity[_entropies(data)]
     windows = lengths - W + 1
-    inside = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, starts + windows, -1)
-    inside = np.cumsum(inside[: n - W + 1]) > 0
+    inside = _inside(n - W + 1, starts, windows)
     at = np.arange(n - W + 1, dtype=np.int64)
     key = np.where(inside & (far >= 0), (far << 32) | (0xFFFFFFFF - at), -1)
     # The rarest of W neighbouring windows, by doubling.
@@ -97,12 +110,9 @@ def _features(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, bar: in
     while span < W:
         best = np.maximum(best[:-span], best[span:]) if len(best) > span else best
         span *= 2
-    whole = np.zeros(n + 1, dtype=np.int32)
     groups = windows - W + 1
     ok = groups > 0
-    np.add.at(whole, starts[ok], 1)
-    np.add.at(whole, starts[ok] + groups[ok], -1)
-    whole = np.cumsum(whole[: len(best)]) > 0
+    whole = _inside(len(best), starts[ok], groups[ok])
     winners = best[whole & (best >= 0)] if len(windows) and ok.any() else best[:0]
     votes = np.bincount(0xFFFFFFFF - (winners & 0xFFFFFFFF), minlength=n)
     chosen = votes >= bar
@@ -126,10 +136,12 @@ def _whole(text: bytes) -> np.ndarray:
     return _mix(np.array([int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big")], dtype=np.uint64))
 
 
-def _chosen(texts: list[bytes], bar: int) -> list[np.ndarray]:
-    """Hashes of the windows of at least ``bar`` votes of each text, in order of place, each once."""
-    out: list[list[np.ndarray]] = [[] for _ in texts]
-    pieces: list[tuple[int, bytes, int, int]] = []  # text, bytes, first and last place that count
+def _pieces(texts: list[bytes]) -> Iterator[tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts of W bytes or more, laid end to end in shares that fit the cache, long ones cut to overlapping segments.
+
+    Gives per share the pieces (text, and between which of its places they count), bytes, starts and lengths.
+    """
+    pieces: list[tuple[int, bytes, int, int]] = []
     for i, t in enumerate(texts):
         if len(t) <= SEGMENT:
             if len(t) >= W:
@@ -139,7 +151,7 @@ def _chosen(texts: list[bytes], bar: int) -> list[np.ndarray]:
                 lo = max(0, a - 2 * W)
                 part = t[lo : a + SEGMENT + 3 * W]
                 if len(part) >= W:
-                    pieces.append((i, part, a - lo, a - lo + SEGMENT))
+                    pieces.append((i, part, a - lo, min(a - lo + SEGMENT, len(part))))
     k = 0
     while k < len(pieces):
         m, total = k, 0
@@ -149,11 +161,52 @@ def _chosen(texts: list[bytes], bar: int) -> list[np.ndarray]:
         own = pieces[k:m]
         lengths = np.array([len(p[1]) for p in own])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        pos, h = _features(np.frombuffer(b"".join(p[1] for p in own), dtype=np.uint8), starts, lengths, bar)
-        for (i, _, lo, hi), start, size in zip(own, starts, lengths, strict=True):
-            a, b = np.searchsorted(pos, [start + lo, start + min(hi, size)])
-            out[i].append(h[a:b])
+        yield [(i, lo, hi) for i, _, lo, hi in own], np.frombuffer(b"".join(p[1] for p in own), dtype=np.uint8), starts, lengths
         k = m
+
+
+def histogram(texts: list[bytes]) -> np.ndarray:
+    """How many windows of the texts have each entropy."""
+    out = np.zeros(BINS, dtype=np.int64)
+    for own, data, starts, lengths in _pieces(texts):
+        lo, hi = (np.array([p[k] for p in own]) for k in (1, 2))
+        counted = _inside(len(data) - W + 1, starts + lo, np.maximum(0, np.minimum(hi, lengths - W + 1) - lo))
+        out += np.bincount(_entropies(data)[counted], minlength=BINS)
+    return out
+
+
+def rarity_of(counts: np.ndarray) -> np.ndarray:
+    """Rarity of each entropy: its surprisal in fixed point; -1 for nearly constant windows."""
+    out = np.round(np.log2((counts.sum() + 1) / (counts + 1)) * (1 << 16)).astype(np.int64)
+    out[:LEAST] = -1
+    return out
+
+
+def measure(df: DataFrame, text: str = "text") -> np.ndarray:
+    """The rarity table of all texts of a table, from counts summed on the executors (``BINS`` numbers)."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BINS, dtype=np.int64)
+        for batch in batches:
+            total += histogram([(t or "").encode() for t in batch.column(0).to_pylist()])
+        own = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], names=["bin", "n"])
+
+    counts = np.zeros(BINS, dtype=np.int64)
+    for r in df.select(F.col(text).cast("string")).mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        counts[r.bin] = r.n
+    return rarity_of(counts)
+
+
+def _chosen(texts: list[bytes], bar: int, rarity: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the windows of at least ``bar`` votes of each text, in order of place, each once."""
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    for own, data, starts, lengths in _pieces(texts):
+        pos, h = _features(data, starts, lengths, bar, rarity)
+        for (i, lo, hi), start in zip(own, starts, strict=True):
+            a, b = np.searchsorted(pos, [start + lo, start + hi])
+            out[i].append(h[a:b])
     done = []
     for parts in out:
         h = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
@@ -161,12 +214,12 @@ def _chosen(texts: list[bytes], bar: int) -> list[np.ndarray]:
     return done
 
 
-def features(texts: list[bytes]) -> list[np.ndarray]:
+def features(texts: list[bytes], rarity: np.ndarray) -> list[np.ndarray]:
     """Hashes of the features of each text, in order of place, each once."""
-    out = _chosen(texts, VOTES)
+    out = _chosen(texts, VOTES, rarity)
     bar = VOTES // 2
     while bar and (without := [i for i, h in enumerate(out) if not len(h) and len(texts[i]) >= W]):
-        for i, h in zip(without, _chosen([texts[i] for i in without], bar), strict=True):
+        for i, h in zip(without, _chosen([texts[i] for i in without], bar, rarity), strict=True):
             out[i] = h
         bar //= 2
     return [np.concatenate([h, _whole(t)]) if t and len(h) < FEW else h for t, h in zip(texts, out, strict=True)]
@@ -214,17 +267,16 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def fingerprints(df: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
-    """Adds ``name`` to every row; the general form of the operator."""
+def fingerprints(df: DataFrame, text: str = "text", name: str = "fingerprint", rarity: np.ndarray | None = None) -> DataFrame:
+    """Adds ``name`` to every row; the general form of the operator.  The table is measured on ``df`` if none is given."""
     small_batches(df.sparkSession)
-    from pyspark.sql import types as T
-
+    rarity = measure(df, text) if rarity is None else rarity
     kept = [c for c in df.columns if c != name]
     where = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(h) for h in features([(t or "").encode() for t in batch.column(where).to_pylist()])]
+            fps = [fingerprint(h) for h in features([(t or "").encode() for t in batch.column(where).to_pylist()], rarity)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(fps, pa.string())], names=[*kept, name])
 
     return df.mapInArrow(run, T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, T.StringType())]))
@@ -235,10 +287,10 @@ _NAMES = [x.split()[0] for x in _ROW.split(", ")]
 _TYPES = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in _ROW.split(", ")]
 
 
-def _compare(ids: list, texts: list[str], nexts: list[str], own: list[str], after: list[str]) -> list[tuple]:
+def _compare(ids: list, texts: list[str], nexts: list[str], own: list[str], after: list[str], rarity: np.ndarray) -> list[tuple]:
     changed = [edited(t, n) for t, n in zip(texts, nexts, strict=True)]
     raw = [c.encode() for c in changed]
-    fps = [fingerprint(h) for h in features(raw)]
+    fps = [fingerprint(h) for h in features(raw, rarity)]
     return [
         (i, len(t), hashlib.sha256(r).hexdigest(), f, e, likeness(f, e), likeness(f, x))
         for i, t, r, f, e, x in zip(ids, texts, raw, own, fps, after, strict=True)
@@ -248,16 +300,19 @@ def _compare(ids: list, texts: list[str], nexts: list[str], own: list[str], afte
 def compare_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text's fingerprint, that of its edited form, and likenesses to it and to the next document.
 
-    Documents are ordered by falling id (null last, equal ids by text); after the last comes the
-    first.  One range shuffle deals the texts out in order; only the last text of each partition
+    Documents are ordered by falling id (null last, equal ids by a hash of the text); after the last
+    comes the first.  One range shuffle deals the texts out in order; ranges also split one id, and
+    equal texts of one id by the partition they were read in.  Only the last text of each partition
     must still meet the first of the next one, which a small join does.
     """
     spark = docs.sparkSession
     small_batches(spark, 256)
+    rarity = measure(docs, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "read_in": F.spark_partition_id()})
+    order = [F.col("doc_id").desc_nulls_last(), F.col("hash"), F.col("read_in")]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, order[0]).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
 
     def pack(done: list[tuple], part: int, ends: list[tuple[str, int | None, str]]) -> pa.RecordBatch:
         """Finished rows, and the first and last text of the partition as rows of their own."""
@@ -278,10 +333,10 @@ def compare_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             new = batch.column(1).to_pylist()
             ids += batch.column(0).to_pylist()
             texts += new
-            fps += [fingerprint(h) for h in features([t.encode() for t in new])]
+            fps += [fingerprint(h) for h in features([t.encode() for t in new], rarity)]
             heads = [] if begun else [("head", ids[0], texts[0])]
             begun = True
-            yield pack(_compare(ids[:-1], texts[:-1], texts[1:], fps[:-1], fps[1:]), part, heads)
+            yield pack(_compare(ids[:-1], texts[:-1], texts[1:], fps[:-1], fps[1:], rarity), part, heads)
             ids, texts, fps = ids[-1:], texts[-1:], fps[-1:]
         if begun:
             yield pack([], part, [("tail", ids[0], texts[0])])
@@ -295,8 +350,8 @@ def compare_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, after = (batch.column(i).to_pylist() for i in range(3))
-            own, nxt = ([fingerprint(h) for h in features([t.encode() for t in x])] for x in (texts, after))
-            done = _compare(ids, texts, after, own, nxt)
+            own, nxt = ([fingerprint(h) for h in features([t.encode() for t in x], rarity)] for x in (texts, after))
+            done = _compare(ids, texts, after, own, nxt, rarity)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*done, strict=True)) or [()] * len(_TYPES), _TYPES, strict=True)], names=_NAMES)
 
     joined = tails.join(heads, "following").select("doc_id", "text", "after").mapInArrow(last, _ROW)

@@ -17,7 +17,13 @@ a document that shares no term with any example gets the frequency found for suc
 
 Defined results: null and empty texts score like texts without a known term; without labels
 of both kinds every score is the frequency of label 1 (0 if there are no labels at all);
-several labels of one document count as toxic if one of them does; null labels count for nothing.
+several labels of one document count as toxic if one of them does; null labels count for nothing;
+of several texts of one labelled id the least is the example; every row is scored, repeated ones
+alike; an empty table gives an empty result; columns that carry the names of the new ones are
+replaced.
+
+Bounds: ``examples_per_class`` rows of each label and terms that ``min_docs`` of them hold; the driver
+and the broadcast model get no more.  Everything else covers all documents.
 """
 
 from __future__ import annotations
@@ -205,7 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples_per_class: int = 4000, min_
         return Model([], Index(np.zeros(0), np.zeros(0), np.zeros(0), [], np.zeros((0, 1), int), np.zeros((0, 0)), level, nothing=level), k)
     picked = usable.where("toxic = 0").orderBy("h").limit(examples_per_class).union(usable.where("toxic = 1").orderBy("h").limit(examples_per_class))
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    sample = keep(text.join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id").select("doc_id", "toxic", "text"))
+    # One text for each id, so the sample has no more rows than there are picked ids, however often an id repeats.
+    sample = keep(text.join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,12 +224,13 @@ def fit(docs: DataFrame, labels: DataFrame, examples_per_class: int = 4000, min_
 
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     p, n = sizes.get(1, 0), sizes.get(0, 0)
+    share = p / max(1, p + n)
     with_label = sample.select("toxic", "text").mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") + F.col("neg") >= min_docs)
     with_label = keep(with_label)
     # Likelihood ratio of "the label matters" to chance; the bar lets 0.1 chance terms through on average.
     bar = 2 * math.log(max(1, with_label.count()) / 0.1)
     part = lambda seen, share: F.when(seen > 0, seen * F.log(seen / ((F.col("pos") + F.col("neg")) * share))).otherwise(0.0)
-    ratio = 2 * (part(F.col("pos"), p / (p + n)) + part(F.col("neg"), n / (p + n)))
+    ratio = 2 * (part(F.col("pos"), share) + part(F.col("neg"), 1 - share))
     kept = with_label.withColumn("ratio", ratio).where(F.col("ratio") >= bar).select("term").collect()
     release(with_label)
     vocabulary = sorted(r.term for r in kept)

@@ -11,7 +11,9 @@ Rules are applied in SQL: a rule such as ``example.net/en/`` names a host and a
 the host and all its subdomains if the path starts with the rule's; the longest rule wins.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and
-is judged by its features (all zero for null).
+is judged by its features (for null all are zero but the two junk rates, which are the usual one);
+urls of any length are read whole; repeated rows are judged each; an empty table gives an empty
+result; columns named like the new ones (``host``, ``path``, ``rule``, ``junk``, ``verdict``) are replaced.
 """
 
 from __future__ import annotations

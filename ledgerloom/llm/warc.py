@@ -20,7 +20,8 @@ damaged or cut off, as far as it can be inflated.  Those rows have the place of
 member whose checksum alone is wrong, so that no record of it is known to be bad, is a gap.
 
 Defined results: a null payload is an empty one; a null id is kept as null and never revisits;
-rows that repeat the smallest id of a digest are all responses; an empty table gives no archive.
+rows that repeat the smallest id of a digest are all responses; an empty table gives archives
+without records, which read back as none; other columns of the table play no part.
 """
 
 from __future__ import annotations
@@ -83,16 +84,51 @@ def member(record: bytes, level: int = 6) -> bytes:
     return out
 
 
-def write_archives(records: DataFrame, path: str, records_per_file: int = 4000) -> None:
-    """Writes what :func:`plan_records` gives as archives below ``path``."""
+#: Records of up to so many payload bytes share a row of the writer; the greater are written by size class.
+PACK = 1 << 19
+
+
+def write_archives(records: DataFrame, path: str, archive_bytes: int = 64 * PACK) -> None:
+    """Writes what :func:`plan_records` gives as archives of about ``archive_bytes`` at most below ``path``.
+
+    Spark rolls files by rows, so rows get a bounded size: small members are joined to rows of
+    ``PACK`` bytes; records of up to 8 and up to 64 such units, and longer ones, are written by jobs
+    of their own, which run only if there are any, with as many rows a file as always fit.  Only a
+    single record may make an archive longer.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["member"])
+
         for batch in batches:
             cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("rec_id", "url", "payload", "n_bytes", "digest", "refers_to")]
-            yield pa.RecordBatch.from_arrays([pa.array([member(record_bytes(*row))[:-1] for row in zip(*cols, strict=True)], pa.binary())], names=["member"])
-
-    rows = records.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
-    rows.write.option("lineSep", "\u0000").option("maxRecordsPerFile", records_per_file).text(path)
+            for values in zip(*cols, strict=True):
+                held.append(member(record_bytes(*values)))
+                size += len(held[-1])
+                if size >= PACK:
+                    yield row()
+                    held, size = [], 0
+        if held:
+            yield row()
+
+    stored = F.when(F.col("refers_to").isNull(), F.col("n_bytes")).otherwise(0)
+    longest = records.agg(F.max("n_bytes").alias("n")).first().n or 0
+    bounds = [0, PACK, 8 * PACK, archive_bytes]
+    mode = "errorifexists"
+    for k, low in enumerate(bounds):
+        if k and longest <= low:
+            break
+        own = records.where(stored > low) if k else records
+        if k + 1 < len(bounds):
+            own = own.where(stored <= bounds[k + 1])
+        most = max(1, archive_bytes // (2 * bounds[k + 1])) if k + 1 < len(bounds) else 1
+        rows = own.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
+        rows.write.mode(mode).option("lineSep", "\u0000").option("maxRecordsPerFile", most).text(path)
+        mode = "append"
 
 
 #: Where a gzip member or an uncompressed record may begin.
@@ -121,6 +157,8 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
         return "content length does not fit"
     body = data[begin:stop]
     kind, said = head.get("warc-type"), head.get("warc-payload-digest", "")
+    if kind == "response" and head.get("x-payload-length", str(len(body))) != str(len(body)):
+        return "payload length does not fit"
     if kind == "response" and said.startswith("sha256:") and hashlib.sha256(body).hexdigest() != said[7:]:
         return "payload digest does not fit"
     return head, body, stop + 4
@@ -240,8 +278,9 @@ def _number(urn: str | None) -> int | None:
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Records and gaps (rows with ``error``) of every archive below ``path``.
 
-    A task holds the archives of one file partition (``spark.sql.files.maxPartitionBytes``);
-    ``write_archives`` bounds archives by their records.
+    A worker holds one archive at a time and hands its records on in parts of 4 MB of payload;
+    ``write_archives`` bounds archives by bytes.  An archive of 2 GiB or more, which only others
+    write, is beyond Spark's file reader, which says so.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,6 +307,22 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     return files.mapInArrow(run, _ARCHIVE)
 
 
+class Damaged(RuntimeError):
+    """Archives have gaps where there should be none."""
+
+
+def quarantined(back: DataFrame) -> DataFrame:
+    """The log of skipped bytes: ``path, begin, end, error`` of every gap of what :func:`read_archives` gives."""
+    return back.where("error is not null").select("path", "begin", "end", "error")
+
+
+def whole(back: DataFrame) -> DataFrame:
+    """The records, if no bytes had to be skipped; raises :class:`Damaged` with the first gaps otherwise."""
+    if gaps := quarantined(back).orderBy("path", "begin").limit(5).collect():
+        raise Damaged("; ".join(f"{g.path} bytes {g.begin} to {g.end}: {g.error}" for g in gaps))
+    return back.where("error is null")
+
+
 _FIELDS = [(p.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[p.split()[1]]) for p in _ARCHIVE.split(", ")]
 
 

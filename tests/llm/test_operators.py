@@ -59,6 +59,93 @@ def test_toxicity_without_labels(spark):
     assert {r.tox_score for r in toxicity.score(odd_docs(spark), toxicity.fit(odd_docs(spark), none)).collect()} == {0.0}
 
 
+def plain_isotonic(x, y, w):
+    """Weighted isotonic fit by the max-min formula: ``(first x, last x, fit, weight)`` per run of equal fits."""
+    xs = sorted(set(x))
+    ys = [sum(w[i] * y[i] for i in range(len(x)) if x[i] == v) for v in xs]
+    ws = [sum(w[i] for i in range(len(x)) if x[i] == v) for v in xs]
+    mean = lambda j, k: sum(ys[j : k + 1]) / sum(ws[j : k + 1])
+    fit = [max(min(mean(j, k) for k in range(i, len(xs))) for j in range(i + 1)) for i in range(len(xs))]
+    runs = []
+    for v, f, m in zip(xs, fit, ws):
+        if runs and abs(runs[-1][2] - f) < 1e-12:
+            runs[-1] = (runs[-1][0], v, f, runs[-1][3] + m)
+        else:
+            runs.append((v, v, f, m))
+    return runs
+
+
+def test_toxicity_votes_and_calibration_equal_plain_ones():
+    rng = np.random.default_rng(5)
+    n, k, level = 150, 7, 0.1
+    vectors = [{int(t): int(rng.integers(1, 4)) for t in rng.choice(12, int(rng.integers(0, 5)), replace=False)} for _ in range(n)]
+    vectors[3], vectors[4] = dict(vectors[5]), dict(vectors[5])  # ties
+    labels = [int(any(t < 3 for t in v) and rng.random() < 0.8) for v in vectors]
+    idf = rng.uniform(0.5, 5, 12)
+    index = toxicity.Index.build(vectors, labels, list(range(n)), idf)
+    own, truth = list(index.vectors), [int(x) for x in index.labels]
+    index.calibrate(k, level)
+
+    def unit(v):
+        raw = {t: (1 + np.log(c)) * idf[t] for t, c in v.items()}
+        norm = sum(x * x for x in raw.values()) ** 0.5
+        return {t: x / norm for t, x in raw.items()}
+
+    full = [unit(v) for v in own]
+    cosine = lambda a, b: sum(x * b.get(t, 0.0) for t, x in a.items())
+
+    def near(q, leave_out=-1):
+        found = sorted((-round(c, 11), i) for i, f in enumerate(full) if i != leave_out and (c := cosine(q, f)) > 0)
+        return [(-c, i) for c, i in found[:k]]
+
+    def vote(found):
+        weights = [1 / (toxicity.TINY + max(0.0, 1 - c)) for c, _ in found]
+        return round(sum(w * truth[i] for w, (_, i) in zip(weights, found)) / sum(weights), 9)
+
+    found = [near(f, i) for i, f in enumerate(full)]
+    some = [i for i in range(n) if found[i]]
+    ones = sum(truth)
+    mass = [level / ones if y else (1 - level) / (n - ones) for y in truth]
+    runs = plain_isotonic([vote(found[i]) for i in some], [truth[i] for i in some], [mass[i] for i in some])
+    total, positive = sum(mass[i] for i in some), sum(mass[i] * truth[i] for i in some)
+    shrink = total / len(some)
+    want_x = [(a + b) / 2 for a, b, _, _ in runs]
+    want_y = [(f * m + shrink * positive / total) / (m + shrink) for _, _, f, m in runs]
+    assert index.knots[0] == pytest.approx(want_x, abs=1e-6) and index.knots[1] == pytest.approx(np.maximum.accumulate(want_y), abs=1e-6)
+    none = [i for i in range(n) if not found[i]]
+    assert none and index.nothing == pytest.approx(sum(mass[i] * truth[i] for i in none) / sum(mass[i] for i in none))
+    for q in vectors[:40]:
+        got = index.search(q, k)
+        if not q:
+            assert got == [] and index.score(got) == index.nothing
+            continue
+        want = near(unit(q))
+        assert [c for c, _ in got] == pytest.approx([c for c, _ in want], abs=1e-9)
+        if got:
+            assert index.score(got) == pytest.approx(np.interp(vote([(c, i) for c, i in got]), want_x, np.maximum.accumulate(want_y)), abs=1e-6)
+
+
+def test_toxicity_odd_rows(spark):
+    schema = "doc_id long, text string, tox_score string, tox_examples int"
+    own = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, "vile nasty words here" if i % 4 == 0 else "kind gentle words here", "x", 1) for i in own]
+    rows += [(own[0], "vile nasty words here", "x", 1)] * 500 + [(None, "vile", "x", 1), (9000, None, "x", 1), (9001, "", "x", 1), (9002, "vile " * 50_000, "x", 1)]
+    docs = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in own] + [(own[0], 0), (own[1], None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert len(model.index.ids) == len(set(model.index.ids)) == len(own)  # repeated ids add no examples
+    got = toxicity.score(docs, model)
+    assert got.columns == ["doc_id", "text", "tox_score", "tox_examples", "tox_similarity"] and got.count() == len(rows)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.doc_id, set()).add(r.tox_score)
+    assert all(len(v) == 1 for v in by.values())  # equal texts score alike
+    score = {k: min(v) for k, v in by.items()}
+    assert score[9002] > 0.7 > score[own[1]] and score[9000] == score[9001] == model.index.nothing
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    assert toxicity.score(docs, toxicity.fit(docs.limit(0), labels)).count() == len(rows)
+
+
 def test_toxicity_keeps_every_term_that_passes(spark):
     words = [f"w{i}x" for i in range(3400)]
     rows = [(i, " ".join(words if i % 2 else ["plain", "words"]), "en", "s", 1) for i in range(90)]
@@ -165,6 +252,75 @@ def test_share_out_and_flow():
     assert mixing.route([([0], 10), ([0], 10)], [20]) == [10, 10]
 
 
+def plain_flow(patterns, quotas, repeats=2):
+    """Cost and size of a cheapest maximal flow, one unit at a time by Bellman-Ford."""
+    end = 1 + len(patterns) + len(quotas)
+    arcs = []
+    add = lambda a, b, room, cost: arcs.extend([[a, b, room, cost], [b, a, 0, -cost]])
+    for p, (members, size) in enumerate(patterns):
+        for r in range(repeats):
+            add(0, 1 + p, size, 2 * r + 1)
+        for s in members:
+            add(1 + p, 1 + len(patterns) + s, repeats * size, 0)
+    for s, quota in enumerate(quotas):
+        add(1 + len(patterns) + s, end, quota, 0)
+    sent = cost = 0
+    while True:
+        dist, via = {0: 0}, {}
+        for _ in range(end + 1):
+            for k, (a, b, room, c) in enumerate(arcs):
+                if room and a in dist and dist[a] + c < dist.get(b, 1 << 60):
+                    dist[b], via[b] = dist[a] + c, k
+        if end not in dist:
+            return sent, cost
+        v = end
+        while v:
+            arcs[via[v]][2] -= 1
+            arcs[via[v] ^ 1][2] += 1
+            v = arcs[via[v]][0]
+        sent, cost = sent + 1, cost + dist[end]
+
+
+def test_flow_equals_a_plain_one():
+    rng = np.random.default_rng(3)
+    for _ in range(25):
+        sources = int(rng.integers(1, 4))
+        patterns = [(sorted(set(rng.integers(0, sources, int(rng.integers(1, 4))).tolist())), int(rng.integers(0, 9))) for _ in range(int(rng.integers(1, 6)))]
+        quotas = [int(x) for x in rng.integers(0, 25, sources)]
+        got = mixing.route(patterns, quotas)
+        cost = sum(min(f, size) + 3 * max(0, f - size) for f, (_, size) in zip(got, patterns))
+        assert (sum(got), cost) == plain_flow(patterns, quotas) and all(f <= 2 * size for f, (_, size) in zip(got, patterns))
+
+
+def test_flow_of_many_patterns_is_quick():
+    import time
+
+    rng = np.random.default_rng(0)
+    patterns = [(sorted(set(rng.integers(0, 50, int(rng.integers(1, 4))).tolist())), int(rng.integers(1, 1000))) for _ in range(20_000)]
+    begun = time.process_time()
+    assert sum(mixing.route(patterns, [200_000] * 50)) == 10_000_000
+    assert time.process_time() - begun < 5
+
+
+def test_mixing_cut_and_clashing_columns(spark):
+    """Against a plain walk through the seeded order, with columns named like those of the operator."""
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randrange(0, 30), rng.choice(["a", "a", "a", "b", None]), 1, 2, "z") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, source_size int, _mix_full string")
+    src = F.array("source")
+    mix = mixing.solve(docs, src, F.col("doc_id"), F.col("text"))
+    got = {r.doc_id: r.copies for r in mixing.copies(docs, mix, src, F.col("doc_id")).select("doc_id", "copies").collect()}
+    sizes = {s: sum(len(t.split()) for _, t, x, *_ in rows if x == s) for s in ("a", "b", None)}
+    targets = mixing.share_out([sizes[s] for s in ("a", "b", None)], [3, 1, 2], 1.5 * sum(sizes.values()), 2)
+    assert {r.source: r.target for r in mix.totals.collect()} == pytest.approx(dict(zip(("a", "b", None), targets)))
+    for s, target in zip(("a", "b", None), targets):
+        own = sorted((hashlib.md5(f"7:{i}".encode()).hexdigest(), i, len(t.split())) for i, t, x, *_ in rows if x == s)
+        full, more, upto = round(target) // sizes[s], round(target) % sizes[s], 0
+        for _, i, size in own:
+            upto += size
+            assert got[i] == full + (more > 0 and 2 * upto - size <= 2 * more), (s, i)
+
+
 def test_mixing_odd_rows_and_reruns(spark):
     docs = odd_docs(spark)
     src = F.array("source")
@@ -312,6 +468,26 @@ def test_bpe_equals_tiktoken_and_round_trips(spark):
         assert not r.token_ids or (r.char_starts[0] == 0 and r.char_ends[-1] == len(t))
 
 
+def test_bpe_odd_tables(spark):
+    path, pattern = queries.tokenizer_files()
+    schema = "token_ids string, k long, text string, packed int, decoded int"
+    empty = byte_bpe.encode(spark.createDataFrame([], schema), path, pattern, decoded=True)
+    assert empty.count() == 0 and empty.columns == ["k", "text", "token_ids", "char_starts", "char_ends", "packed", "decoded"]
+    assert byte_bpe.decode(empty.drop("decoded"), path).count() == 0
+    got = byte_bpe.encode(spark.createDataFrame([("x", 1, "a b", 1, 1), ("y", 1, "a b", 1, 1), ("z", 2, None, 1, 1)], schema), path, pattern, decoded=True).collect()
+    assert sorted((r.k, bytes(r.decoded), len(r.token_ids)) for r in got) == [(1, b"a b", 2), (1, b"a b", 2), (2, b"", 0)]
+
+
+def test_bpe_cuts_batches_by_bytes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 30, None, "", "b" * 50, "c" * 200, "d"])], names=["t"])
+    got = [b.column(0).to_pylist() for b in byte_bpe._shares(iter([batch, batch.slice(0, 0)]), "t", most=60)]
+    assert sum(got, []) == batch.column(0).to_pylist() and all(sum(n) - max(n) < 60 for g in got if (n := [len(t or "") for t in g]))
+    with pytest.raises(OverflowError):
+        byte_bpe._binary(memoryview(np.zeros(1 << 31, dtype=np.uint8)), np.array([0, 1 << 31]))
+
+
 # --- urls ---
 
 
@@ -330,13 +506,164 @@ def test_url_rules_and_model(spark):
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule) and (verdict is None or got[i].verdict == verdict), cases[i]
 
 
+def test_url_trees_equal_plain_ones():
+    """Boosting and prediction against one row, one feature and one bar at a time."""
+    import math
+
+    labelled = url_filter.labelled_urls(240, seed=2)
+    model = url_filter.fit(labelled, trees=4, depth=2)
+    urls, y = [u for u, _ in labelled], [v for _, v in labelled]
+    x = [url_filter.features(u, model.rates, model.usual) for u in urls]
+    bars = [sorted(set(np.quantile([r[f] for r in x], np.linspace(0.02, 0.98, 33)))) for f in range(len(url_filter.FEATURES))]
+    score = [model.start] * len(y)
+    for tree in model.trees:
+        p = [1 / (1 + math.exp(-s)) for s in score]
+
+        def grow(node, rows, level):
+            g, h = sum(y[i] - p[i] for i in rows), sum(p[i] * (1 - p[i]) for i in rows)
+            best = None
+            for f, cuts in enumerate(bars) if level < 2 else ():
+                for bar in cuts:
+                    left = [i for i in rows if x[i][f] <= bar]
+                    gl, hl = sum(y[i] - p[i] for i in left), sum(p[i] * (1 - p[i]) for i in left)
+                    gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
+                    best = max(best or (1e-6, 0, 0.0), (gain, -f, bar), key=lambda b: round(b[0], 9))
+            f, bar, value = tree[node]
+            if best is None or best[0] <= 1e-6:
+                assert f == -1 and value == pytest.approx(0.2 * g / (h + 1))
+                for i in rows:
+                    score[i] += value
+                return
+            left = [i for i in rows if x[i][f] <= bar]
+            gl, hl = sum(y[i] - p[i] for i in left), sum(p[i] * (1 - p[i]) for i in left)
+            assert gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1) == pytest.approx(best[0])  # no better split
+            grow(2 * node + 1, left, level + 1)
+            grow(2 * node + 2, [i for i in rows if x[i][f] > bar], level + 1)
+
+        grow(0, list(range(len(y))), 0)
+    assert model.probability(urls) == pytest.approx([1 / (1 + math.exp(-s)) for s in score])
+
+
+def test_url_odd_tables(spark):
+    model = url_filter.fit(url_filter.labelled_urls(400))
+    schema = "page_id long, url string, host int, junk string, verdict int, rule int"
+    assert url_filter.judge(spark.createDataFrame([], schema), queries.URL_RULES, model).count() == 0
+    long = "http://a.net/" + "x/" * 200_000 + "?" + "a=1&" * 50_000
+    rows = [(1, long, 1, "j", 1, 1), (2, None, 1, "j", 1, 1), (2, None, 1, "j", 1, 1), (3, "http://b.com/y", 1, "j", 1, 1)]
+    got = url_filter.judge(spark.createDataFrame(rows, schema), queries.URL_RULES, model).collect()
+    assert len(got) == 4
+    by = {r.page_id: r for r in got}
+    assert (by[1].host, by[1].path, by[1].rule, by[1].verdict) == ("a.net", "/" + "x/" * 200_000, "net/", "block")
+    assert (by[2].host, by[2].path, by[2].rule) == ("", "", None) and by[2].verdict in ("allow", "block")
+    assert url_filter.features(None, model.rates, model.usual) == [0] * 14 + [model.usual] * 2
+
+
 # --- fingerprints ---
 
 
+def plain_features(text, rarity):
+    """The features of a text by their definition: one window, one group of windows at a time."""
+    import math
+
+    w, n = rare_digest.W, len(text)
+    steps = 1 << rare_digest.STEPS
+    scaled = [round(c * math.log2(c) * 2**16) if c else 0 for c in range(w + 1)]
+
+    def far(i):
+        weight = sum(scaled[text[i : i + w].count(b)] for b in set(text[i : i + w]))
+        return int(rarity[((6 << 16) - weight // w) * steps >> 16])
+
+    fars = [far(i) for i in range(n - w + 1)]
+    groups = range(len(fars) - w + 1)
+    votes = [0] * len(fars)
+    for g in groups:
+        best = max(range(g, g + w), key=lambda i: (fars[i], -i))
+        votes[best] += fars[best] >= 0
+    chosen = []
+    if not groups and fars:
+        best = max(range(len(fars)), key=lambda i: (fars[i], -i))
+        chosen = [best] * (fars[best] >= 0)
+    bar = rare_digest.VOTES
+    while groups and not chosen and bar:
+        chosen = [i for i, v in enumerate(votes) if v >= bar]
+        bar //= 2
+    base, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def mix(x):
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = ((x ^ (x >> 33)) * m) & mask
+        return x ^ (x >> 33)
+
+    out = list(dict.fromkeys(mix(sum((b + 1) * pow(base, k, 1 << 64) for k, b in enumerate(text[i : i + w])) & mask) for i in chosen))
+    if text and len(out) < rare_digest.FEW:
+        out.append(mix(int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big")))
+    return out
+
+
+def plain_filters(features):
+    return [{(h >> (11 * k)) % 1024 for h in features[a : a + 80] for k in range(5)} for a in range(0, len(features), 80)]
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = plain_filters(a), plain_filters(b)
+    if not x or not y:
+        return 0.0
+    if len(x) > len(y):
+        x, y = y, x
+
+    def alike(p, q):
+        chance, most = len(p) * len(q) / 1024, min(len(p), len(q))
+        return min(1.0, max(0.0, (len(p & q) - chance) / max(most - chance, 1e-9)))
+
+    return sum(max(alike(p, q) for q in y) for p in x) / len(x)
+
+
+def test_fingerprints_equal_plain_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    counts = [0] * rare_digest.BINS
+    for t in texts.values():
+        for i in range(len(t) - 63):
+            seen = np.bincount(np.frombuffer(t[i : i + 64], dtype=np.uint8))
+            weight = sum(round(int(c) * np.log2(c) * 2**16) for c in seen if c)
+            counts[((6 << 16) - weight // 64) >> 10] += 1
+    rarity = rare_digest.measure(docs)
+    assert (rarity == rare_digest.rarity_of(np.array(counts))).all()
+    order = [i for i in sorted(texts, reverse=True) if len(texts[i]) < 3000]
+    got = {r.doc_id: r for r in queries.op9_rare_digest(spark, "/root/testdata/sf0.001").collect()}
+    unpacked = lambda fp: [set(np.flatnonzero(np.unpackbits(row)).tolist()) for row in rare_digest.unpack(fp)]
+    ids, done = sorted(texts, reverse=True), 0
+    for k, i in enumerate(ids):
+        nxt = texts[ids[(k + 1) % len(ids)]]
+        if len(texts[i]) > 2500 or len(nxt) > 2500 or done > 25:
+            continue
+        done += 1
+        changed = rare_digest.edited(texts[i].decode(), nxt.decode()).encode()
+        own, other, edit = (plain_features(t, rarity) for t in (texts[i], nxt, changed))
+        r = got[i]
+        assert r.fingerprint.split(":")[0] == str(len(own)) and unpacked(r.fingerprint) == plain_filters(own)
+        assert r.edited_fingerprint.split(":")[0] == str(len(edit)) and unpacked(r.edited_fingerprint) == plain_filters(edit)
+        assert r.near_edited == pytest.approx(plain_likeness(own, edit), abs=1e-9) or len(plain_filters(own)) == len(plain_filters(edit)) > 1
+        assert r.near_next == pytest.approx(plain_likeness(own, other), abs=1e-9) or len(plain_filters(own)) == len(plain_filters(other)) > 1
+    assert done > 10 and order
+
+
+def test_fingerprint_clashing_columns_and_hot_ids(spark):
+    docs = spark.createDataFrame([(7, f"text {i % 3} " * 40, "x", 1) for i in range(400)] + [(None, "t" * 90, "x", 1)] * 5, "doc_id long, text string, fingerprint string, hash int")
+    got = rare_digest.fingerprints(docs)
+    assert got.columns == ["doc_id", "text", "hash", "fingerprint"] and got.count() == 405
+    out = rare_digest.compare_neighbours(docs).collect()
+    assert len(out) == 405 and sum(r.near_next == 1 for r in out) >= 400 - 3
+    assert rare_digest.fingerprints(docs.limit(0)).count() == 0
+
+
 def test_fingerprints(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").toPandas().sort_values("doc_id", ascending=False).reset_index(drop=True)
     got = queries.op9_rare_digest(spark, "/root/testdata/sf0.001").toPandas().set_index("doc_id")
-    fps = [rare_digest.fingerprint(h) for h in rare_digest.features([t.encode() for t in docs.text])]
+    raw = [t.encode() for t in docs.text]
+    fps = [rare_digest.fingerprint(h) for h in rare_digest.features(raw, rare_digest.rarity_of(rare_digest.histogram(raw)))]
     for i in range(len(docs)):
         k = (i + 1) % len(docs)
         e = rare_digest.edited(docs.text[i], docs.text[k])
@@ -351,10 +678,12 @@ def test_fingerprints(spark):
 def test_fingerprint_segments_and_odd_rows(spark, monkeypatch):
     rng = np.random.default_rng(0)
     big = bytes(rng.choice(list(b"etaoin shrdlu,."), 300_000).tolist())
-    whole = rare_digest.features([big])[0]
+    counts = rare_digest.histogram([big])
+    table = rare_digest.rarity_of(counts)
+    whole = rare_digest.features([big], table)[0]
     monkeypatch.setattr(rare_digest, "SEGMENT", 1 << 16)
-    assert (rare_digest.features([big])[0] == whole).all()
-    assert rare_digest.fingerprint(rare_digest.features([b""])[0]) == "0:" and rare_digest.likeness("0:", "0:") == 1
+    assert (rare_digest.features([big], table)[0] == whole).all() and (rare_digest.histogram([big]) == counts).all()
+    assert rare_digest.fingerprint(rare_digest.features([b""], table)[0]) == "0:" and rare_digest.likeness("0:", "0:") == 1
     out = rare_digest.compare_neighbours(odd_docs(spark))
     assert out.count() == 8
     one = rare_digest.compare_neighbours(odd_docs(spark).where("doc_id = 6")).first()
@@ -366,17 +695,18 @@ def test_every_text_has_a_fingerprint_of_its_own():
     rng = np.random.default_rng(1)
     letters = np.frombuffer(b"etaoin shrdlu,.ETAOIN", dtype=np.uint8)
     texts = [bytes(rng.choice(letters, n)) for n in range(1, 301) for _ in range(3)]
-    fps = [rare_digest.fingerprint(h) for h in rare_digest.features(texts)]
+    table = rare_digest.rarity_of(rare_digest.histogram(texts))
+    fps = [rare_digest.fingerprint(h) for h in rare_digest.features(texts, table)]
     assert "0:" not in fps
     assert all(rare_digest.likeness(a, b) < 1 for t, u, a, b in zip(texts, texts[1:], fps, fps[1:]) if t != u)
     # A byte more, or another last byte, is another text.
     short = [t for t in texts if len(t) < 190]
     for other in ([t + b"x" for t in short], [t[:-1] + b"#" for t in short]):
-        got = [rare_digest.fingerprint(h) for h in rare_digest.features(other)]
+        got = [rare_digest.fingerprint(h) for h in rare_digest.features(other, table)]
         alike = [rare_digest.likeness(a, b) for a, b in zip(fps, got)]
         assert "0:" not in got and np.mean([x == 1 for x in alike]) < 0.02
     runs = [unit * n for unit in (b"a", b"b", b"ab", b"cd", b"abcdefgh ") for n in (1, 63, 64, 65, 100, 126, 127, 140, 300, 2000, 300_000)]
-    fps = [rare_digest.fingerprint(h) for h in rare_digest.features(runs)]
+    fps = [rare_digest.fingerprint(h) for h in rare_digest.features(runs, table)]
     assert "0:" not in fps
     assert len({f for t, f in zip(runs, fps) if len(set(t)) == 1}) == 22
     assert rare_digest.likeness(fps[runs.index(b"ab" * 300)], fps[runs.index(b"cd" * 300)]) < 0.5
@@ -474,6 +804,39 @@ def test_warc_round_trip_with_odd_rows(spark, tmp_path):
     assert data.count(b"WARC/1.1\r\nWARC-Type") == len(rows)  # ordinary gzip readers agree
     empty = df.limit(0)
     warc.write_archives(warc.plan_records(empty, "page_id", "url", "html"), f"{path}2")
+    assert warc.read_archives(spark, f"{path}2").count() == 0
+
+
+def test_warc_archives_are_bounded_by_bytes(spark, tmp_path):
+    import os
+
+    rng = np.random.default_rng(6)
+    text = lambda n: bytes(rng.integers(33, 127, n, dtype=np.uint8)).decode()
+    big = [text(n) for n in (700_000, 900_000, 5_000_000, 600_000)]
+    rows = [(i, "u", text(3000)) for i in range(600)] + [(1000 + i, "u", t) for i, t in enumerate(big)] + [(2000, "u", big[2])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(warc.plan_records(df, "page_id", "url", "html"), path, archive_bytes=2 << 20)
+    sizes = [os.path.getsize(f"{tmp_path}/w/{f}") for f in os.listdir(tmp_path / "w") if f.startswith("part-")]
+    assert sum(s > 2 << 20 for s in sizes) == 1 and len(sizes) >= 4  # only the record that is longer by itself
+    back = warc.whole(warc.read_archives(spark, path)).collect()
+    got = {r.rec_id: (r.warc_type, r.payload_bytes, bytes(r.payload).decode()) for r in back}
+    assert len(back) == len(rows) and got[2000] == ("revisit", 5_000_000, "")
+    assert all(got[i][2] == t for i, _, t in rows if i != 2000)
+
+
+def test_warc_gaps_are_logged_and_fatal(spark, tmp_path):
+    body = b"x" * 150
+    good = warc.record_bytes(1, "u", body, 150, hashlib.sha256(body).hexdigest(), None)
+    wrong = good.replace(b"X-Payload-Length: 150", b"X-Payload-Length: 151")
+    (tmp_path / "a.warc").write_bytes(good + wrong + good)
+    back = warc.read_archives(spark, f"file://{tmp_path}/a.warc")
+    (gap,) = warc.quarantined(back).collect()
+    assert (gap.begin, gap.end, gap.error) == (len(good), len(good) + len(wrong), "payload length does not fit")
+    with pytest.raises(warc.Damaged, match="payload length"):
+        warc.whole(back)
+    clashing = spark.createDataFrame([(1, "u", "h", 5, "d")], "page_id long, url string, html string, n_bytes int, digest string")
+    assert warc.plan_records(clashing, "page_id", "url", "html").first().n_bytes == 1
 
 
 # --- pipeline ---
