@@ -441,6 +441,43 @@ def test_top_k_with_ties_and_odd_vectors(spark):
     assert mtree.top_k(df.where("vec_id <= 2"), F.col("vec_id") % 50 == 0).count() == 2
 
 
+def test_search_skips_what_bounds_exclude():
+    """Clustered rows: exact against brute force, with most scores never computed."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 1, (40, 16))
+    rows = np.floor(1024 * (centres[rng.integers(0, 40, 3000)] + rng.normal(0, 0.02, (3000, 16)))).astype(np.int64)
+    ids = rng.permutation(3000)
+    r2 = float((rows.astype(float) ** 2).sum(axis=1).max())
+    pivot = mtree.lifted(rows[:1], r2)[0]
+    tree, count = mtree.build(ids, rows, r2, pivot), [0]
+    assert sorted(tree.ids) == list(range(3000)) and max(len(n.parent_distance) for n in _leaves(tree.root)) <= mtree.PAGE
+    own = rng.choice(3000, 50, replace=False)
+    got = mtree.search(tree, pivot, rows[own], ids[own], r2, 5, count=count)
+    for q, i, s, found in zip(rows[own], ids[own], got.scores, got.ids):
+        want = sorted((-int(q @ r), int(j)) for r, j in zip(rows, ids) if j != i)[:5]
+        assert [(-int(a), int(b)) for a, b in zip(s, found)] == want
+    assert count[0] < 0.5 * 50 * 3000
+    far = mtree.search(tree, pivot, rows[own], ids[own], r2, 5, kth=np.full(50, 1e12), count=(none := [0]))
+    assert none[0] == 0 and (far.ids == np.iinfo(np.int64).max).all()
+    with pytest.raises(OverflowError):
+        mtree.search(tree, pivot, rows[own] << 40, ids[own], r2, 5)
+    big = mtree.search(tree, pivot, rows[own] << 28, ids[own], r2, 5)  # beyond exact floats
+    assert big.scores.dtype == np.int64 and (big.ids == got.ids).all()
+
+
+def _leaves(node):
+    return [node] if node.children is None else [x for c in node.children for x in _leaves(c)]
+
+
+def test_top_k_of_rows_that_share_an_id(spark):
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [0.5, 0.5])] + [(7, [1.0, float(i % 3)]) for i in range(500)] + [(8, [0.25, 1.0]), (9, [0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for order in ("embedding", F.desc("embedding")):
+        got = mtree.top_k(df.orderBy(order).repartition(4), F.col("vec_id") % 100 == 0, k=10, block_rows=2)
+        # 100 is (0.5, 0.5), 7 is (1, 0), 9 is (0.25, 0)
+        assert sorted(tuple(r) for r in got.collect()) == [(100, 1, 8, 512 * 256 + 512 * 1024), (100, 2, 7, 512 * 1024), (100, 3, 9, 512 * 256)]
+
+
 # --- tokens ---
 
 
