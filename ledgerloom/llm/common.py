@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +41,29 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list] = []
+
+
+@contextmanager
+def temporaries() -> Iterator[list[DataFrame]]:
+    """Gives up, at the end of the block, all tables that :func:`cut` wrote and frames that :func:`keep` kept in it.
+
+    Frames that are put into the list it yields stay.  For callers that have consumed an operator's
+    result, which reads such tables until then.
+    """
+    spared: list[DataFrame] = []
+    _scopes.append([])
+    try:
+        yield spared
+    finally:
+        kept = {f.rsplit("/", 1)[0] for df in spared for f in df.inputFiles()}
+        for made in _scopes.pop():
+            if isinstance(made, DataFrame):
+                made.unpersist()
+            elif not any(k.endswith(made[1].rsplit("/", 1)[-1]) for k in kept):
+                drop_path(*made)
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, so its lineage ends there.
 
@@ -46,6 +71,8 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     other than the default codec, holds no direct buffers until the next full garbage collection.
     """
     path = fresh_path(df.sparkSession, label)
+    if _scopes:
+        _scopes[-1].append((df.sparkSession, path))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -69,6 +96,8 @@ def keep(df: DataFrame) -> DataFrame:
     What a lost executor held is computed again from its lineage, which stays.
     """
     df = df.persist(StorageLevel.DISK_ONLY)
+    if _scopes:
+        _scopes[-1].append(df)
     df.count()
     return df
 

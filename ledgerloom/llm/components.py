@@ -1,8 +1,10 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a minimum per node (partial aggregates first) and one join, so a node with very
-many links neither gathers them in a task nor on the driver.  Lineage is cut by a table in the
-shared folder after each round; rounds grow with the logarithm of the longest path.
+Edges are kept once, from the greater node ``u`` to the smaller ``v``.  A step needs the least
+neighbour of each node only: a small table of its own, so that both sides of the join are plain
+shuffles, which adaptive execution splits where a node has very many links.  Nothing gathers in a
+task or on the driver.  Lineage is cut by a table in the shared folder after each round; rounds grow
+with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -10,19 +12,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, keep, release
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges ``(u, v)`` with ``u > v``; gives edges of the same kind."""
-    if large:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+def _least(edges: DataFrame) -> DataFrame:
+    return keep(edges.groupBy("u").agg(F.min("v").alias("m")))
+
+
+def _large_star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Hangs every greater neighbour of a node to the least of the node's neighbours and itself."""
+    below = least.withColumnRenamed("u", "v")
+    return edges.join(below, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+
+
+def _small_star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Hangs a node and all its smaller neighbours to the least of these."""
+    out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return out.where("u > v").union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -30,15 +36,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Loops and repeated edges are harmless; no edges give no rows.
     """
-    now = cut(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges"
-    )
+    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
     mark = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == mark or not state.n:
             return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
         mark = state
-        after = cut(_star(_star(now, large=True), large=False), "edges")
+        first = _least(now)
+        middle = keep(_large_star(now, first))
+        second = _least(middle)
+        after = cut(_small_star(middle, second), "edges")
+        release(first, middle, second)
         drop_cut(now)
         now = after

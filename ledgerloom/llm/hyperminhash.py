@@ -21,15 +21,19 @@ added and t the threshold, a link between ``x`` and ``y`` needs
 whoever is not linked to the hub; also ``|D(y) - D(x)|`` cannot exceed ``(1 / t - 1) * |y|``.
 Both bound the overlap from below, so the rarest few elements of both sides must meet, early
 enough to leave room for the rest (the prefix and position filters of set-similarity joins).
-Only pairs that meet are tested, which is exact: no cap,
-and a bucket of a third of all rows costs a few rows per member.
+Links within a component change nothing, so elements that only one component has count as the
+rarest and meet no one; members of a component that share all other elements differ in ``w`` only,
+and the lightest of them is linked if any is, so it stands for all; and members meet those of other
+components only.  Pairs that meet are tested, which is exact: no cap, and a bucket of a third of
+all rows costs a few rows per member.
 
 Confirmation.  Sizes must allow the threshold; the collision-corrected estimate from the
 registers must not fall more than ``SIGMAS`` standard deviations below it; then the full sets
 decide, in integers: ``100 * intersection >= percent * union``.
 
 Defined results: null or wordless text has an empty set and links to nothing; rows with a null
-id link to nothing; rows with one id are one node; an empty table gives an empty result.
+id link to nothing; rows with one id are one node; an empty table gives an empty result.  Other
+columns of the table play no part.
 """
 
 from __future__ import annotations
@@ -171,7 +175,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int, count: int) -
             yield batch.select([0, 1]).filter(pa.array(j >= level - SIGMAS * np.sqrt(level * (1 - level) / count)))
 
     side = lambda c: classes.select(F.col("id").alias(c), F.col("registers").alias(f"r{c}"), F.col("n").alias(f"n{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "na", "rb", "nb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ra", "na", "rb", "nb").mapInArrow(run, "a long, b long")
 
 
 def _sets(ids: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
@@ -193,8 +197,9 @@ def _sets(ids: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int) -
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with both sets.  ``a``, the hub, comes last, so its set is not shuffled once for every member."""
     side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b")
+    return pairs.join(side("b"), "b").join(side("a"), "a")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
@@ -256,22 +261,26 @@ def _completion(members: DataFrame, docs: DataFrame, doc_id: str, text: str, wor
     sets = _sets(asked, docs, doc_id, text, words)
     found = keep(_differences(_with_sets(members.select(F.col("hub").alias("a"), F.col("id").alias("b")), sets), percent))
     release(sets)
-    common = found.groupBy("hub", "e").agg(F.count("*").alias("often")).where("often > 1")  # others meet no one
-    place = F.row_number().over(Window.partitionBy("hub", "id").orderBy(F.coalesce("often", F.lit(1)), "e"))
-    short = keep(
-        found.join(common, ["hub", "e"], "left").withColumn("place", place)
-        .where((F.col("place") <= F.greatest("as_any", "as_outside")) & F.col("often").isNotNull())
-        .join(members, ["hub", "id"])
-    )
+    rooted = found.join(members, ["hub", "id"])
+    shared = rooted.groupBy("hub", "e").agg(F.count("*").alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("hub", "e", "often")
+    place = F.row_number().over(Window.partitionBy("hub", "id").orderBy(F.coalesce("often", F.lit(0)), "e"))
+    met_by = keep(rooted.join(shared, ["hub", "e"], "left").withColumn("place", place).where("often IS NOT NULL"))
+    # Of members of one component with the same shared elements the lightest.
+    same = [F.count("*").alias("k"), F.bit_xor(F.xxhash64("e")).alias("x"), F.sum(F.xxhash64("e", F.lit(1)).cast("decimal(38,0)")).alias("s")]
+    marks = met_by.groupBy("hub", "root", "id").agg(*same, F.first("w").alias("w"))
+    lightest = marks.groupBy("hub", "root", "k", "x", "s").agg(F.min(F.struct("w", "id")).alias("least")).select("hub", F.col("least.id").alias("id"))
+    short = keep(met_by.where(F.col("place") <= F.greatest("as_any", "as_outside")).join(lightest, ["hub", "id"]))
     # An element met at these places leaves at most so many more to share; the pair needs as many as its weights ask.
     side = lambda df, c: df.select("hub", "e", *(F.col(x).alias(x + c) for x in ("id", "root", "n", "w")), (F.col("size") - F.col("place")).alias("rest" + c))
-    x = side(short.where("outside and place <= as_outside"), "_a").join(short.select("hub", "hub_n").distinct(), "hub")
     y = side(short.where("place <= as_any"), "_b")
+    others = y.select("hub", "e", "root_b").distinct()
+    x = short.where("outside and place <= as_outside")
+    x = side(x, "_a").join(x.select("hub", "hub_n").distinct(), "hub").join(others, ["hub", "e"]).where("root_a != root_b")
     reach = (1 + t) * (1 + F.least("rest_a", "rest_b")) >= F.col("w_a") + F.col("w_b") - (1 - t) * F.col("hub_n") - 1e-6
     size = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    met = x.join(y, (x["hub"] == y["hub"]) & (x["e"] == y["e"]) & (F.col("root_a") != F.col("root_b")) & size & reach)
+    met = x.join(y, ["hub", "e", "root_b"]).where(size & reach)
     out = cut(met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), "completion")
-    release(found, short)
+    release(found, met_by, short)
     return out
 
 
@@ -297,7 +306,7 @@ def near_duplicates(
     release(shared)
 
     def test(pairs: DataFrame) -> DataFrame:
-        """The links among distinct pairs ``(a, b)`` with ``a < b`` and sizes that allow one."""
+        """The links among distinct pairs ``(a, b)`` with sizes that allow one."""
         near = keep(_estimated(pairs, classes, percent, bands * rows))
         out = _confirmed(near, docs, doc_id, text, words, percent)
         release(near)
@@ -305,7 +314,7 @@ def near_duplicates(
 
     side = lambda c: sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
     to_hub = members.join(side("hub"), "hub").join(side("id"), "id").where(100 * F.least("n_hub", "n_id") >= percent * F.greatest("n_hub", "n_id"))
-    links = test(to_hub.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct())
+    links = test(to_hub.select(F.col("hub").alias("a"), F.col("id").alias("b")))
     # An id that repeats with another text joins the classes of its texts.
     repeated = base.where("set_key is not null").groupBy("id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x != y").select("id")
     own = base.join(repeated, "id", "left_semi").join(classes.select("set_key", F.col("id").alias("a")), "set_key").where("id != a").select("a", F.col("id").alias("b"))

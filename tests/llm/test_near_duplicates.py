@@ -90,3 +90,43 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(200, 200)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(2, 41)} | {k: 100 for k in range(101, 160)}
+
+
+def test_components_equal_a_plain_search(spark):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (330, 2))] + [(500, k) for k in range(400, 500)] + [(k, 600) for k in range(601, 700)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    root = {}
+    for i in sorted(near):
+        todo = [i]
+        while todo:
+            j = todo.pop()
+            if j not in root:
+                root[j] = i
+                todo += near[j]
+    got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: r for i, r in root.items() if i != r}
+
+
+@pytest.mark.parametrize("share", [0.68, 0.74])
+def test_clusters_that_share_buckets(spark, share):
+    """Clusters of near copies whose centres are alike, but less than the threshold: links between them are rare or none."""
+    rng = np.random.default_rng(int(100 * share))
+    vocab = [f"w{i}" for i in range(3000)]
+    base = list(rng.choice(vocab, 120, replace=False))
+    rows, i = [], 0
+    for k in range(3):
+        own = list(base)
+        for j in range(int(120 * (1 - share) / (1 + share) / 2)):
+            own[(7 * k + j) % 120] = f"c{k}x{j}"
+        for _ in range(70):
+            t = list(own)
+            for _ in range(int(rng.integers(0, 5))):
+                t[int(rng.integers(120))] = str(rng.choice(vocab))
+            rows.append((i, " ".join(t)))
+            i += 1
+    got = H.near_duplicates(spark.createDataFrame([(i, t, "") for i, t in rows], SCHEMA), words=2, percent=80).collect()
+    assert {r.id: r.root for r in got} == brute(rows, 2, 80)
