@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import byte_bpe, hyperminhash, language, mixing, toxicity
-from ledgerloom.llm.common import cut, keep, table
+from ledgerloom.llm.common import cut, drop_cut, keep, table, temporaries
 from ledgerloom.llm.queries import TOXIC_AT, tokenizer_files
 
 #: Documents whose language is less certain than this go, as do those without letters.
@@ -99,8 +99,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``.  What a stage wrote for itself goes when its result is written."""
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with temporaries() as kept:
+            after = cut(stage(spark, docs, sf_dir), name)
+            kept.append(after)
+        if docs is not before:
+            drop_cut(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
