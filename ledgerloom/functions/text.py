@@ -93,11 +93,18 @@ def visible(text: Column, images: Column) -> Column:
 
 
 def excerpt(text: Column, target: Column, radius: int = 180) -> Column:
-    """The first case-insensitive hit with up to ``radius`` characters on both sides; null if none."""
-    at = F.instr(F.lower(text), F.lower(target))
-    first = F.greatest(F.lit(1), at - radius)
-    upto = at + F.length(target) + radius
-    return F.when(at > 0, strip(F.substring(text, first, upto - first)))
+    """The first case-insensitive hit with up to ``radius`` characters on both sides; null if none.
+
+    The text is split at the hit, so places are those of the text itself, also where other letters
+    change their length between cases.
+    """
+    quoted = F.concat(F.lit(r"(?iu)\Q"), F.replace(target, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    parts = F.split(text, quoted, 2)
+    before = F.element_at(parts, 1)
+    hit = F.length(text) - F.length(before) - F.length(F.element_at(parts, -1))
+    first = F.greatest(F.lit(1), F.length(before) + 1 - radius)
+    upto = F.length(before) + 1 + hit + radius
+    return F.when((F.size(parts) > 1) & (target != ""), strip(F.substring(text, first, upto - first)))
 
 
 def redact(text: Column, limit: int | None = 2000) -> Column:

@@ -64,6 +64,15 @@ def classify_uri(url: Column) -> Column:
     return _case(kinds, F.struct(F.lit("CORPUS_ATTESTATION").alias("kind"), F.lit("C_CORPUS").alias("tier")))
 
 
+def authority_key(url: Column, declared: Column) -> Column:
+    """Group key of evidence: the digest of its publishing authority, or of the declared source."""
+    from .identity import NS_AUTHORITY, digest
+
+    who = authority(url, declared)
+    web, named = digest(NS_AUTHORITY, web_authority=F.substring(who, 5, 2**30)), digest(NS_AUTHORITY, declared_source=declared)
+    return F.when(F.startswith(who, F.lit("web:")), web).otherwise(named)
+
+
 def authority(url: Column, declared: Column) -> Column:
     """Who publishes: the host without ``www.``, known authorities joined, else the declared source."""
     h = F.regexp_replace(F.regexp_replace(F.coalesce(host(url), F.lit("")), r"\.$", ""), r"^www\.", "")
@@ -72,18 +81,26 @@ def authority(url: Column, declared: Column) -> Column:
     return F.when(web, F.concat(F.lit("web:"), known)).otherwise(F.concat(F.lit("declared:"), declared))
 
 
-def globally_routable(address: Column) -> Column:
-    """Whether a dotted IPv4 address is outside private, loopback, link-local and reserved ranges."""
-    octet = lambda i: F.try_element_at(F.split(address, r"\."), F.lit(i)).try_cast("int")
-    a, b = octet(1), octet(2)
-    shape = address.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    bad = a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
-    return F.coalesce(shape & ~bad, F.lit(False))
+@F.pandas_udf(T.BooleanType())
+def globally_routable(address: pd.Series) -> pd.Series:
+    """Whether an IPv4 or IPv6 address is globally reachable by the special-purpose registries; false for anything else.
+
+    The registries come with Python's ``ipaddress``, which also reads every notation of IPv6.
+    """
+    from ipaddress import ip_address
+
+    def one(a: str | None) -> bool:
+        try:
+            return a is not None and ip_address(a).is_global
+        except ValueError:
+            return False
+
+    return address.map(one)
 
 
 @F.pandas_udf(T.BooleanType())
 def has_secret_key(settings: pd.Series) -> pd.Series:
-    """Whether any key of a JSON text, at any depth, names a secret.  Recursion needs Python."""
+    """Whether any key of a JSON text, at any depth, names a secret; null for text that is no JSON.  Recursion needs Python."""
     import json
 
     def found(v: object) -> bool:
@@ -91,7 +108,13 @@ def has_secret_key(settings: pd.Series) -> pd.Series:
             return any(any(m in str(k).lower().replace("-", "_") for m in SECRET_MARKERS) or found(x) for k, x in v.items())
         return isinstance(v, list) and any(map(found, v))
 
-    return settings.map(lambda s: False if s is None else found(json.loads(s)))
+    def one(s: str | None) -> bool | None:
+        try:
+            return s is not None and found(json.loads(s))
+        except (ValueError, RecursionError):
+            return None
+
+    return settings.map(one)
 
 
 def ink_ratio(pixels: Column, bar: int = 245) -> Column:

@@ -106,6 +106,69 @@ def outcome_set(outcomes_: DataFrame, key: str = "doc_id", pos: str = "para") ->
     return outcomes_.groupBy(key).agg(F.count("*").alias("n"), F.sha2(F.concat_ws("\n", F.transform(rows, lambda r: r["outcome_id"])), 256).alias("outcome_set_id"))
 
 
+def release(outcomes_: DataFrame, key: str = "doc_id", pos: str = "pos", fan: int = 4096) -> dict:
+    """One digest over the outcome sets of all documents in the order of their ids, and the counts.
+
+    A tree of digests: ``fan`` neighbours at most meet in a task on every level, up to one.
+    """
+    sets = outcome_set(outcomes_, key, pos)
+    counts = sets.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("outcomes"), F.max(key).alias("top"), F.min(key).alias("low")).first()
+    level = sets.select((F.col(key) - F.lit(counts.low)).alias("at"), F.col("outcome_set_id").alias("h"))
+    span = 1 if counts.top is None else int(counts.top) - int(counts.low) + 1
+    while True:
+        rows = F.array_sort(F.collect_list(F.struct("at", "h")))
+        level = level.groupBy(F.expr(f"at div {fan}").alias("g")).agg(F.sha2(F.concat_ws("\n", F.transform(rows, lambda r: r["h"])), 256).alias("h")).select(F.col("g").alias("at"), "h")
+        span = -(-span // fan)
+        if span <= 1:
+            break
+    top = level.first()
+    return {"release_id": top.h if top else None, "documents": counts.documents, "outcomes": counts.outcomes}
+
+
+def option_sets(options_: DataFrame) -> DataFrame:
+    """Per unit its options in the order of their keys (a unit has a few lanes)."""
+    return options_.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("option_key", "target_text"))).alias("options"))
+
+
+def report(options_: DataFrame, findings: DataFrame) -> DataFrame:
+    """A review report per unit: options and findings in the order of their ids, and the digest of the option set."""
+    opts = option_sets(options_)
+    found = findings.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("finding_id", "option_key", "severity"))).alias("findings"))
+    set_id = F.sha2(F.concat_ws("\n", F.transform("options", lambda o: o["option_key"])), 256)
+    none = F.array().cast("array<struct<finding_id:string,option_key:string,severity:string>>")
+    return opts.join(found, "unit", "left").select("unit", set_id.alias("option_set_id"), "options", F.coalesce("findings", none).alias("findings"))
+
+
+def by_rules(requests: DataFrame) -> DataFrame:
+    """Adjudication by rule: the first option without a serious finding, whose rivals' serious findings it avoids.
+
+    Where every option has one, there is no selection and the text must come from a service, so the
+    reply is an error.
+    """
+    bad = F.transform(F.filter("findings", lambda f: f["severity"].isin(*SERIOUS)), lambda f: f["option_key"])
+    clean = F.filter("options", lambda o: ~F.array_contains(bad, o["option_key"]))
+    chosen = F.try_element_at(clean, F.lit(1))["option_key"]
+    done = F.transform(F.filter("findings", lambda f: f["severity"].isin(*SERIOUS)), lambda f: F.struct(f["finding_id"].alias("finding_id"), F.lit("AVOIDED").alias("action")))
+    return requests.select(
+        "call", F.lit("SELECT").alias("mode"), chosen.alias("selected"), F.lit(None).cast("string").alias("text"), done.alias("resolutions"),
+        F.when(chosen.isNull(), "every option has a serious finding").alias("error"),
+    )
+
+
+def unit_keys(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """Adds ``unit_key``, read at ``stage.context.unit_key`` of a JSON payload; null where it is malformed."""
+    return payloads.withColumn("unit_key", F.nullif(F.get_json_object(payload, "$.stage.context.unit_key"), F.lit("")))
+
+
+def unknown_citations(observations: DataFrame, known: DataFrame, chunk: str = "chunk") -> DataFrame:
+    """Citations of units that their chunk does not hold, and observations without any (null key).
+
+    ``observations``: ``chunk, observation, unit_keys`` (array); ``known``: ``chunk, unit_key``.
+    """
+    cited = observations.select(chunk, "observation", F.explode_outer("unit_keys").alias("unit_key"))
+    return cited.join(known.select(chunk, "unit_key").distinct(), [chunk, "unit_key"], "left_anti")
+
+
 def adjudicate(options_: DataFrame, findings: DataFrame) -> DataFrame:
     """Per unit the first option without a serious finding (SELECT), or none (SYNTHESIZE).
 

@@ -190,3 +190,25 @@ def plan_problems(routes: DataFrame, units: DataFrame, lanes: DataFrame, actors:
     both = actors.groupBy("actor_key").agg(F.array_sort(F.collect_set("role")).alias("roles"))
     shared = both.where(F.arrays_overlap("roles", F.array(F.lit("TRANSLATOR"))) & F.arrays_overlap("roles", F.array(F.lit("BILINGUAL_REVIEWER")))).select(F.lit("shared actor").alias("problem"), F.col("actor_key").alias("subject"))
     return cover.unionByName(unknown).unionByName(shared)
+
+
+def target_binding_problems(unit: Column, said_unit: Column, text: Column, directives: Column, applications: Column) -> Column:
+    """Whether a rendered target belongs to its unit and applies exactly the directives it must.
+
+    ``directives``: array of (occurrence_key, required); ``applications``: array of (occurrence_key,
+    s, e, rendered), the places being 0-based and half-open.
+    """
+    wanted, got = F.transform(directives, lambda d: d["occurrence_key"]), F.transform(applications, lambda a: a["occurrence_key"])
+    covered = (F.size(got) == F.size(F.array_distinct(got))) & (F.array_sort(wanted) == F.array_sort(got))
+    required = lambda a: F.filter(directives, lambda d: d["occurrence_key"] == a["occurrence_key"])[0]["required"]
+    stale = F.exists(applications, lambda a: (a["e"] > F.length(text)) | (F.substring(text, a["s"] + 1, a["e"] - a["s"]) != a["rendered"]))
+    wrong = F.exists(applications, lambda a: F.substring(text, a["s"] + 1, a["e"] - a["s"]) != required(a))
+    clash = F.exists(applications, lambda a: F.exists(applications, lambda b: (a["occurrence_key"] != b["occurrence_key"]) & (a["s"] < b["e"]) & (b["s"] < a["e"])))
+    return broken((unit != said_unit, "unit"), (~covered, "coverage"), (covered & stale, "slice"), (covered & wrong, "rendering"), (covered & clash, "overlap"))
+
+
+def analysis_problems(reply: Column) -> Column:
+    """Shape of an analysis: a brief that is not blank, and lists of concepts and risks."""
+    d = F.from_json(reply, "struct<brief:string,concepts:string,risks:string>")
+    is_list = lambda c: F.coalesce(F.startswith(F.trim(c), F.lit("[")), F.lit(False))
+    return broken((F.coalesce(strip(d["brief"]), F.lit("")) == "", "brief"), (~is_list(d["concepts"]), "concepts"), (~is_list(d["risks"]), "risks"))

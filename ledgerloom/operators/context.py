@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import ordered_fold
+
 
 def context_windows(records: DataFrame, key: str = "doc_id", pos: str = "para", text: str = "source_text", before: int = 4, after: int = 4, budget: int = 6000, only: Column | None = None) -> DataFrame:
     """Neighbours of each record under a character budget.
@@ -33,16 +35,14 @@ def context_windows(records: DataFrame, key: str = "doc_id", pos: str = "para",
 
 def chunks(items: DataFrame, key: str = "doc_id", pos: str = "para", size: str = "n", limit: int = 40_000) -> DataFrame:
     """``key, pos, chunk``: greedy fill in order; a chunk is closed only when it would overflow."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(size).cast("long").alias("n"))))
-    step = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("chunk"), F.array().cast("array<struct<p:int,chunk:int>>").alias("out"))
 
-    def add(a: Column, x: Column) -> Column:
-        flush = (a["used"] > 0) & (a["used"] + x["n"] > limit)
-        chunk = a["chunk"] + flush.cast("int")
-        return F.struct(F.when(flush, x["n"]).otherwise(a["used"] + x["n"]).alias("used"), chunk.alias("chunk"), F.concat(a["out"], F.array(F.struct(x["p"].alias("p"), chunk.alias("chunk")))).alias("out"))
+    def add(state: tuple[int, int], row: tuple) -> tuple[tuple[int, int], tuple]:
+        used, chunk = state
+        state = (row[0], chunk + 1) if used > 0 and used + row[0] > limit else (used + row[0], chunk)
+        return state, (state[1],)
 
-    grouped = items.groupBy(key).agg(F.aggregate(rows, step, add, lambda a: a["out"]).alias("_o"))
-    return grouped.select(key, F.inline("_o")).withColumnRenamed("p", pos)
+    rows = items.select(key, pos, F.col(size).cast("long").alias("_size"))
+    return ordered_fold(rows, [key], [pos], ["_size"], (0, 0), add, "chunk int").drop("_size")
 
 
 def oversize(items: DataFrame, size: str, limit: int) -> DataFrame:

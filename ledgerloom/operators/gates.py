@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import anchors, literal_fragments, search_text
@@ -12,12 +12,15 @@ def missing_literals(units: DataFrame, pages: DataFrame, show: int = 3, cut: int
     """Units whose text fragments their page lacks, compared without white space.
 
     ``units``: ``unit, page, text``; ``pages``: ``page, page_text``.  The first ``show`` missing
-    fragments are given as evidence.
+    fragments in the order of the text, repeated ones too, are given as evidence.
     """
-    want = units.withColumn("fragment", F.explode(literal_fragments(F.col("text"))))
+    want = units.select("unit", "page", F.posexplode(literal_fragments(F.col("text"))).alias("at", "fragment"))
     j = want.join(pages.select("page", search_text(F.col("page_text")).alias("_key")), "page", "left")
-    gone = ~F.coalesce(F.contains("_key", search_text(F.col("fragment"))), F.lit(False))
-    return j.where(gone).groupBy("unit").agg(F.count("*").alias("n_missing"), F.transform(F.slice(F.array_sort(F.collect_set("fragment")), 1, show), lambda x: F.left(x, F.lit(cut))).alias("evidence"))
+    gone = j.where(~F.coalesce(F.contains("_key", search_text(F.col("fragment"))), F.lit(False)))
+    place = F.row_number().over(Window.partitionBy("unit").orderBy("at"))
+    ranked = gone.withColumn("place", place)
+    first = F.array_sort(F.collect_list(F.when(F.col("place") <= show, F.struct("at", F.left("fragment", F.lit(cut)).alias("t")))))
+    return ranked.groupBy("unit").agg(F.count("*").alias("n_missing"), F.transform(first, lambda x: x["t"]).alias("evidence"))
 
 
 def missing_anchors(source: DataFrame, target: DataFrame, show: int = 5) -> DataFrame:
@@ -96,3 +99,8 @@ def verdict(severities: Column) -> Column:
 def report(findings: DataFrame, key: str) -> DataFrame:
     """Verdict and ordered findings per report key."""
     return findings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("category", "severity"))).alias("findings")).withColumn("verdict", verdict(F.transform("findings", lambda f: f["severity"])))
+
+
+def binding_problems(*keys: str) -> Column:
+    """Names of the keys that a report states (``said_<key>``) otherwise than they are."""
+    return F.filter(F.array(*(F.when(~F.col(k).eqNullSafe(F.col(f"said_{k}")), F.lit(k)) for k in keys)), lambda x: x.isNotNull())

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import ordered_fold
+
+
+class Conflict(RuntimeError):
+    """A write-once slot already holds other data."""
+
 
 def history(revisions: DataFrame, key: str, seq: str, payload: str) -> DataFrame:
     """Revisions in order with their predecessor and whether they are current.
@@ -36,9 +44,23 @@ def pointed(pointer: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return rows.join(pointer.select(key), key)
 
 
-def insert_once(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Rows to append to a write-once table: identical replays and conflicts fall away."""
-    return incoming.join(stored.select(key), key, "left_anti")
+def write_once(stored: DataFrame, incoming: DataFrame, key: str, payload: str) -> DataFrame:
+    """``key, state`` per incoming key: ``new``, ``replay`` (equal to what is stored) or ``conflict``.
+
+    Equal rows of one key in a batch are one; different ones conflict, whatever is stored.
+    """
+    seen = incoming.groupBy(key).agg(F.min(F.struct(payload)).alias("_lo"), F.max(F.struct(payload)).alias("_hi"))
+    held = stored.select(key, F.col(payload).alias("_held"), F.lit(True).alias("_there"))
+    clash = (F.col("_lo") != F.col("_hi")) | (F.col("_there").isNotNull() & ~F.col(f"_lo.{payload}").eqNullSafe(F.col("_held")))
+    return seen.join(held, key, "left").select(key, F.when(clash, "conflict").when(F.col("_there"), "replay").otherwise("new").alias("state"))
+
+
+def insert_once(stored: DataFrame, incoming: DataFrame, key: str, payload: str) -> DataFrame:
+    """The rows to append to a write-once table, one a key; raises :class:`Conflict` rather than drop different data."""
+    states = write_once(stored, incoming, key, payload)
+    if clash := states.where("state = 'conflict'").orderBy(key).limit(5).collect():
+        raise Conflict(f"{key} already holds different data: {', '.join(str(r[key]) for r in clash)}")
+    return incoming.join(states.where("state = 'new'").select(key), key, "left_semi").dropDuplicates([key])
 
 
 def classify_error(kind: Column) -> Column:
@@ -73,32 +95,33 @@ def cached_results(calls: DataFrame, results: DataFrame) -> DataFrame:
 def admit_by_budget(attempts: DataFrame, scope: str, order: list[str], cost: str, cap: float, max_calls: int | None = None) -> DataFrame:
     """Which attempts a budget admits, in order; refused ones are not charged, so a later smaller one may fit.
 
-    A fold per scope over its ordered attempts.  Returns ``scope`` and per attempt the order
-    columns, ``admitted`` and the ``spent`` total after it.
+    Returns ``scope`` and per attempt the order columns, ``admitted`` and the ``spent`` total after it.
     """
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(cost).alias("_c"))))
-    item = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in attempts.select(*order).schema.fields)
-    start = F.struct(F.lit(0.0).alias("spent"), F.lit(0).alias("calls"), F.array().cast(f"array<struct<{item}, admitted: boolean, spent: double>>").alias("out"))
 
-    def add(a: Column, x: Column) -> Column:
-        fits = (a["spent"] + x["_c"]) <= cap
-        if max_calls is not None:
-            fits = fits & (a["calls"] + 1 <= max_calls)
-        spent = F.when(fits, a["spent"] + x["_c"]).otherwise(a["spent"])
-        row = F.struct(*(x[o].alias(o) for o in order), fits.alias("admitted"), spent.alias("spent"))
-        return F.struct(spent.alias("spent"), (a["calls"] + fits.cast("int")).alias("calls"), F.concat(a["out"], F.array(row)).alias("out"))
+    def add(state: tuple[float, int], row: tuple) -> tuple[tuple[float, int], tuple]:
+        spent, calls = state
+        fits = spent + row[0] <= cap and (max_calls is None or calls < max_calls)
+        state = (spent + row[0], calls + 1) if fits else state
+        return state, (fits, state[0])
 
-    return attempts.groupBy(scope).agg(F.aggregate(rows, start, add, lambda a: a["out"]).alias("_o")).select(scope, F.inline("_o"))
+    rows = attempts.select(scope, *order, F.col(cost).cast("double").alias("_cost"))
+    return ordered_fold(rows, [scope], order, ["_cost"], (0.0, 0), add, "admitted boolean, spent double").drop("_cost")
 
 
-def lease_takeovers(acquisitions: DataFrame, key: str, order: list[str], ttl_seconds: int) -> DataFrame:
-    """For each acquisition whether the previous one of its key had run out (or there was none).
+def leases(acquisitions: DataFrame, key: str, order: list[str], ttl_seconds: int) -> DataFrame:
+    """Adds ``granted`` and ``takeover`` to acquisitions of exclusive leases.
 
-    The first column of ``order`` is the time, the others break ties.
+    The first column of ``order`` is the time, the others break ties.  A lease is granted if none is
+    held or the one held has run out; a refused acquisition leaves the held lease as it is.  A
+    takeover follows a lease that ran out.
     """
-    before = F.lag(order[0]).over(Window.partitionBy(key).orderBy(*order))
-    free = before + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl_seconds))
-    return acquisitions.withColumn("_free", free).withColumn("granted", F.col("_free").isNull() | (F.col(order[0]) >= F.col("_free"))).drop("_free")
+    life = timedelta(seconds=ttl_seconds)
+
+    def acquire(until: datetime | None, row: tuple) -> tuple[datetime | None, tuple]:
+        granted = until is None or row[0] >= until
+        return (row[0] + life if granted else until), (granted, granted and until is not None)
+
+    return ordered_fold(acquisitions, [key], order, [order[0]], None, acquire, "granted boolean, takeover boolean")
 
 
 def fenced_commits(commits: DataFrame, leases: DataFrame) -> DataFrame:

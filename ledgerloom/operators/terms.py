@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.values import CONVENTIONALITY, TIER_WEIGHT, rank_of
 
@@ -20,34 +24,87 @@ def clear_concepts(concepts: DataFrame, joined_text: Column | None = None) -> Da
     return usable.groupBy("source_term").agg(F.count_distinct("sense_id").alias("senses"), F.max_by(F.struct("sense_id", "forms"), "seq").alias("c")).where("senses = 1").select("source_term", "c.*")
 
 
-def occurrences(units: DataFrame, terms: list[str]) -> DataFrame:
-    """``unit columns, term, s, e``: literal, case-sensitive hits, longest terms first.
+def non_overlapping(hits: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """Of hits ``(rank, start, end)`` those that count, best rank first.
 
-    The few terms of a document set are literals of the plan; a unit's hits of one term are found
-    left to right without overlap, and hits that touch a longer term's hit are dropped by a fold.
-    Narrow: no shuffle and no join.
+    Hits of one term are taken from left to right without overlap; then a hit that touches one of
+    a better rank falls away.
     """
-    import re
-
-    ordered = sorted(set(terms), key=lambda t: (-len(t), t))
-    text = F.col("source_text")
-
-    def hits(rank: int, term: str) -> Column:
-        parts = F.split(text, re.escape(term) if term.isalnum() else "\\Q" + term + "\\E", -1)
-        ends = F.aggregate(
-            F.slice(parts, 1, F.size(parts) - 1),
-            F.array().cast("array<int>"),
-            lambda acc, p: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(p) + len(term))),
-        )
-        return F.transform(ends, lambda e: F.struct(F.lit(rank).alias("rank"), (e - len(term)).alias("s"), e.alias("e"), F.lit(term).alias("term")))
-
-    every = F.concat(*(F.when(F.contains(text, F.lit(t)), hits(i, t)).otherwise(F.array().cast("array<struct<rank:int,s:int,e:int,term:string>>")) for i, t in enumerate(ordered)))
-    kept = F.aggregate(
-        F.array_sort(every),
-        F.array().cast("array<struct<rank:int,s:int,e:int,term:string>>"),
-        lambda acc, x: F.when(F.exists(acc, lambda o: (x["s"] < o["e"]) & (o["s"] < x["e"])), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return units.withColumn("_hit", F.explode(kept)).select(*units.columns, F.col("_hit.term").alias("term"), F.col("_hit.s").alias("s"), F.col("_hit.e").alias("e"))
+    taken, out = bytearray(size), []
+    rank, upto = -1, 0
+    for r, s, e in sorted(hits):
+        if r == rank and s < upto:
+            continue
+        rank, upto = r, e
+        if not any(taken[s:e]):
+            taken[s:e] = b"\1" * (e - s)
+            out.append((r, s, e))
+    return out
+
+
+def occurrences(units: DataFrame, terms: DataFrame | list[str], text: str = "source_text", max_terms: int = 1_000_000) -> DataFrame:
+    """Adds ``term, s, e`` to units, a row per hit: literal, case-sensitive, longest terms first.
+
+    One automaton over all terms reads each text once, so the number of terms does not matter.  The
+    terms of a project are broadcast; more than ``max_terms`` distinct ones raise.  Narrow: no shuffle.
+    """
+    spark = units.sparkSession
+    if isinstance(terms, DataFrame):
+        rows = terms.select("term").where("term <> ''").distinct().limit(max_terms + 1).collect()
+        terms = [r.term for r in rows]
+    ordered = sorted(set(terms) - {""}, key=lambda t: (-len(t), t))
+    if len(ordered) > max_terms:
+        raise ValueError(f"more than {max_terms} terms")
+    shared = spark.sparkContext.broadcast(ordered)
+    kept = [f for f in units.schema.fields if f.name not in ("term", "s", "e")]
+    added = T.StructType.fromDDL("term string, s int, e int").fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        names, find = shared.value, ahocorasick.Automaton()
+        for i, t in enumerate(names):
+            find.add_word(t, i)
+        find.make_automaton()
+        for batch in batches:
+            place, found = [], []
+            for i, t in enumerate(batch.column(batch.schema.get_field_index(text)).to_pylist() if names else ()):
+                if t:
+                    own = non_overlapping([(r, e + 1 - len(names[r]), e + 1) for e, r in find.iter(t)], len(t))
+                    place += [i] * len(own)
+                    found += own
+            cols = [batch.column(batch.schema.get_field_index(f.name)).take(pa.array(place, pa.int64())) for f in kept]
+            ranks, starts, ends = zip(*found, strict=True) if found else ((), (), ())
+            cols += [pa.array([names[r] for r in ranks], pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*(f.name for f in kept), "term", "s", "e"])
+
+    return units.select(*(f.name for f in kept)).mapInArrow(run, T.StructType([*kept, *added]))
+
+
+def guidance(directives: DataFrame, terms: DataFrame, context: DataFrame) -> DataFrame:
+    """Per unit its directives with their term revisions, sorted by directive id, and what is wrong.
+
+    ``directives``: ``unit, directive_id, term_revision``; ``terms``: ``term_revision, source_term``;
+    ``context``: ``unit, directive_ids`` (array).  A unit's directives are few.  ``problem`` is
+    ``context`` if the ids differ from those of the context, ``term`` if a revision is unknown.
+    """
+    j = directives.join(terms.select("term_revision", "source_term"), "term_revision", "left")
+    per = j.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("directive_id", "term_revision", "source_term"))).alias("guidance"))
+    both = per.join(context.select("unit", "directive_ids"), "unit", "full_outer")
+    none = F.array().cast("array<string>")
+    own = F.coalesce(F.transform("guidance", lambda g: g["directive_id"]), none)
+    problem = F.when(own != F.array_sort(F.coalesce("directive_ids", none)), "context").when(F.exists("guidance", lambda g: g["source_term"].isNull()), "term")
+    return both.select("unit", "guidance", problem.alias("problem"))
+
+
+def for_unit(directives: DataFrame, units: DataFrame) -> DataFrame:
+    """The directives of some units, with the order column as it was."""
+    return directives.join(units.select("unit").distinct(), "unit", "left_semi")
+
+
+def evidence_for(concepts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Evidence of each concept by term and sense."""
+    return concepts.select("source_term", "sense_id").distinct().join(evidence, ["source_term", "sense_id"])
 
 
 def with_first_use(found: DataFrame, key: str = "term", order: tuple[str, ...] = ("doc_id", "para", "s", "e")) -> DataFrame:
@@ -74,9 +131,9 @@ def confidence(evidence: DataFrame, by: tuple[str, ...] = ("term", "form")) -> D
         F.coalesce(F.bool_or(support & F.col("tier").isin("A_AUTHORITY", "B_DOMAIN")), F.lit(False)).alias("strong"),
         F.coalesce(F.bool_or(against & (F.col("tier") == "A_AUTHORITY")), F.lit(False)).alias("contradicted"),
         F.sum(F.when(support, weight).otherwise(0)).alias("evidence_rank"),
-        F.max("conventionality").alias("claimed"),
-    )
-    conv = F.when(F.col("sources") == 0, "UNATTESTED").when((F.col("sources") == 1) & (F.col("claimed") == "ESTABLISHED"), "ATTESTED").otherwise(F.col("claimed"))
+        F.max(rank_of(F.col("conventionality"), CONVENTIONALITY)).alias("_rank"),
+    ).withColumn("claimed", F.get(F.array(*(F.lit(c) for c in CONVENTIONALITY)), F.col("_rank"))).drop("_rank")
+    conv = F.when((F.col("sources") == 0) | F.col("claimed").isNull(), "UNATTESTED").when((F.col("sources") == 1) & (F.col("claimed") == "ESTABLISHED"), "ATTESTED").otherwise(F.col("claimed"))
     out = out.withColumn("conventionality", conv).drop("claimed")
     label = (
         F.when((F.col("sources") >= 2) & F.col("strong") & ~F.col("contradicted") & F.col("conventionality").isin("ESTABLISHED", "ATTESTED"), "VERIFIED")

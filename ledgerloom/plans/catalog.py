@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import flow_queries, span_queries, stream_queries, structure_queries, text_queries
+from . import flow_queries, rule_queries, span_queries, stream_queries, structure_queries, text_queries
 
-MODULES = (text_queries, structure_queries, span_queries, flow_queries, stream_queries)
+MODULES = (text_queries, structure_queries, span_queries, flow_queries, stream_queries, rule_queries)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
+
+#: Rules over typed fixtures, compared by the tests only.
+CASES = {k: v for m in MODULES for k, v in getattr(m, "CASES", {}).items()}
+CASE_SQL = {k: v for m in MODULES for k, v in getattr(m, "CASE_SQL", {}).items()}

@@ -1,67 +1,114 @@
-"""One run of the review bus over all units, stage by stage, resumable from its stage tables.
+"""The review bus over all units of a part: candidates, review, adjudication, edit, verification, then the
+review of whole documents and the release.
 
-Every stage keeps what it has in a table of the run's folder and calls its service only for units
-without a stored row, so a rerun continues at the first missing row and a completed run calls
-nothing.  Units run in parallel; only the final pointer is written by the driver.
+Every service call goes through an :class:`Executor`: what has a stored result is not called again,
+so a run that was broken off continues at the first missing call and a completed one calls nothing.
+Units run in parallel, a stage at a time.  Nothing is released unless every unit and every document
+passed; the release itself is one small file that is moved into place.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity as ids
-from ..operators import bus
+from ..operators import bus, constraints, context
+from ..operators.executor import Executor
 from .project import Project
 
 Stage = Callable[[DataFrame], DataFrame]
 
+CANDIDATE = "target_text string"
+FINDINGS = "findings array<struct<finding_id:string,option_key:string,severity:string,message:string>>"
+ADJUDICATION = "mode string, selected string, text string, resolutions array<struct<finding_id:string,action:string>>"
+EDIT = "edited_text string, impact string"
+VERDICT = "verdict string, notes array<string>"
+
 
 class Blocked(RuntimeError):
-    """Some unit or the document review did not pass."""
+    """Some unit, adjudication or document did not pass."""
+
+
+@dataclass
+class Services:
+    """The calls of a run, each from a table of requests to a table of replies with the same ``call``.
+
+    ``generate`` reads unit, lane, source_text; ``review`` unit, source_text and blind options;
+    ``adjudicate`` unit, options and findings; ``edit`` unit, source_text and target_text; ``verify``
+    unit, source_text and edited_text; ``review_document`` the texts of a chunk of a document;
+    ``synthesize`` the number of chunks.  ``adjudicate`` defaults to the rules of
+    :func:`bus.by_rules`.
+    """
+
+    generate: Stage
+    review: Stage
+    edit: Stage
+    verify: Stage
+    review_document: Stage
+    synthesize: Stage
+    adjudicate: Stage = field(default=lambda requests: bus.by_rules(requests))
 
 
 class Kernel:
-    """``services``: generate(unit, lane, source_text) → target_text; review(unit, options) → severity;
-    edit(unit, target_text) → edited_text, impact.  Each maps a DataFrame to one keyed the same way."""
-
-    def __init__(self, spark: SparkSession, folder: str, services: dict[str, Stage]):
-        self.spark, self.folder, self.services = spark, folder.rstrip("/"), services
-        self.calls: dict[str, int] = {}
-
-    def _stored(self, stage: str) -> DataFrame | None:
-        path = f"{self.folder}/{stage}"
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        exists = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-        return self.spark.read.parquet(path) if exists else None
-
-    def _stage(self, stage: str, requests: DataFrame, key: list[str], call: Stage) -> DataFrame:
-        """Stored rows of the stage after calling for what is missing."""
-        stored = self._stored(stage)
-        missing = requests if stored is None else requests.join(stored.select(*key), key, "left_anti")
-        self.calls[stage] = missing.count()
-        if self.calls[stage] or stored is None:
-            call(missing).write.mode("append").parquet(f"{self.folder}/{stage}")
-        return self.spark.read.parquet(f"{self.folder}/{stage}")
+    def __init__(self, spark: SparkSession, executor: Executor, services: Services, chunk_characters: int = 40_000):
+        self.spark, self.executor, self.services, self.chunk_characters = spark, executor, services, chunk_characters
+
+    def _stage(self, stage: str, requests: DataFrame, key: list[str], service: Stage, schema: str) -> DataFrame:
+        """Requests with the replies of their calls; a call is known by its stage and all that it reads."""
+        reads = F.to_json(F.struct(*sorted(requests.columns)), {"ignoreNullFields": "false"})
+        # Written once, so that no later stage plans or runs this one's joins again.
+        path = f"{self.executor.folder}/requests/{stage}-{uuid.uuid4().hex}"
+        requests.withColumn("call", ids.call_key(F.lit(stage), reads)).write.parquet(path)
+        asked = self.spark.read.parquet(path)
+        done = self.executor.execute(stage, asked, service, schema)
+        return asked.join(done, "call").drop("call")
 
     def run(self, routes: DataFrame, units: DataFrame, project: Project | None = None, part: str = "main") -> DataFrame:
-        """Outcomes of all units; raises :class:`Blocked` unless all pass.  ``units``: unit, pos, source_text."""
-        requests = bus.lanes(routes).select("unit", "lane").join(units, "unit")
-        candidates = self._stage("candidates", requests, ["unit", "lane"], self.services["generate"])
-        made = candidates.withColumn("candidate_id", F.sha2(F.concat_ws("\n", F.col("unit").cast("string"), "lane", "target_text"), 256))
-        blind = bus.options(made)
-        per_unit = blind.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("option_key", "target_text"))).alias("options"))
-        findings = self._stage("reviews", per_unit, ["unit"], self.services["review"])
-        chosen = per_unit.select("unit", F.col("options")[0]["target_text"].alias("target_text"))
-        edited = self._stage("edits", chosen, ["unit"], self.services["edit"])
-        verified = bus.verify(bus.edits(chosen, edited), findings)
-        passed = bus.outcomes(verified).withColumn("outcome_id", ids.digest(ids.NS_OPTION, candidate=F.sha2("edited_text", 256), unit=F.col("unit").cast("string")))
-        if verified.where("verdict = 'BLOCK'").limit(1).count():
-            raise Blocked("a unit did not pass verification")
-        out = passed.join(units.select("unit", "pos"), "unit")
+        """Outcomes ``unit, doc_id, pos, edited_text, impact, outcome_id`` of all units; raises :class:`Blocked` unless all pass.
+
+        ``routes``: unit, lanes; ``units``: unit, doc_id, pos, source_text.
+        """
+        s, texts = self.services, units.select("unit", "source_text")
+        made = self._stage("generate", bus.lanes(routes).select("unit", "lane").join(texts, "unit"), ["unit", "lane"], s.generate, CANDIDATE)
+        named = made.withColumn("candidate_id", F.sha2(F.concat_ws("\n", F.col("unit").cast("string"), "lane", "target_text"), 256))
+        per_unit = bus.option_sets(bus.options(named)).join(texts, "unit")
+        reviewed = self._stage("review", per_unit, ["unit"], s.review, FINDINGS)
+        judged = self._stage("adjudicate", reviewed, ["unit"], s.adjudicate, ADJUDICATION)
+        wrong = constraints.adjudication_problems(F.col("mode"), F.col("selected"), F.col("findings"), F.col("resolutions"))
+        text = F.when(F.col("mode") == "SELECT", F.filter("options", lambda o: o["option_key"] == F.col("selected"))[0]["target_text"]).otherwise(F.col("text"))
+        judged = judged.withColumns({"wrong": wrong, "target_text": text})
+        self._none(judged.where((F.size("wrong") > 0) | F.col("target_text").isNull()), "adjudication")
+        edited = self._stage("edit", judged.select("unit", "source_text", "target_text"), ["unit"], s.edit, EDIT)
+        edited = edited.withColumn("changed", ~F.col("target_text").eqNullSafe(F.col("edited_text")))
+        checked = self._stage("verify", edited, ["unit"], s.verify, FINDINGS)
+        verdict = F.when(bus.is_serious(F.col("findings")) | (F.col("impact") == "DEGRADES"), "BLOCK").otherwise("PASS")
+        verified = checked.withColumn("verdict", verdict)
+        self._none(verified.where("verdict = 'BLOCK'"), "verification")
+        key = ids.digest(ids.NS_OPTION, candidate=F.sha2("edited_text", 256), unit=F.col("unit").cast("string"))
+        outcomes = verified.select("unit", "edited_text", "impact", key.alias("outcome_id")).join(units.select("unit", "doc_id", "pos"), "unit")
+        self._documents(outcomes)
         if project is not None:
-            release = bus.outcome_set(out.withColumn("doc_id", F.lit(part)), pos="pos").first()
-            project.point("release", part, {"outcome_set_id": release.outcome_set_id, "outcomes": release.n})
-        return out
+            project.point("release", part, bus.release(outcomes, "doc_id", "pos"))
+        return outcomes
+
+    def _documents(self, outcomes: DataFrame) -> None:
+        """Review of whole documents, in chunks of bounded size; several passing chunks need a synthesis."""
+        sized = outcomes.withColumn("n", F.length("edited_text"))
+        parts = context.chunks(sized, "doc_id", "pos", "n", self.chunk_characters).join(outcomes.select("doc_id", "pos", "edited_text"), ["doc_id", "pos"])
+        rows = F.array_sort(F.collect_list(F.struct("pos", "edited_text")))
+        chunks = parts.groupBy("doc_id", "chunk").agg(F.transform(rows, lambda r: r["edited_text"]).alias("texts"))
+        reports = self._stage("review_document", chunks, ["doc_id", "chunk"], self.services.review_document, VERDICT)
+        merged = bus.merge_reports(reports)
+        self._none(merged.where("verdict = 'BLOCK'"), "document review")
+        both = self._stage("synthesize", merged.where("needs_synthesis").select("doc_id", "n_chunks"), ["doc_id"], self.services.synthesize, VERDICT)
+        self._none(both.where("verdict = 'BLOCK'"), "synthesis")
+
+    @staticmethod
+    def _none(bad: DataFrame, what: str) -> None:
+        if rows := bad.limit(1).collect():
+            raise Blocked(f"{what}: {rows[0].unit if 'unit' in bad.columns else rows[0].doc_id} did not pass")

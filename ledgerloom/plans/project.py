@@ -10,32 +10,49 @@ import hashlib
 import json
 import os
 import shutil
+import sys
 import tempfile
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
+
+#: What each older version of the control manifest lacks; migrations only add.
+MIGRATIONS = {1: {"parts": ["main"]}}
 
 
 class ControlError(ValueError):
     """Inputs or files of a project are not what they were bound to."""
 
 
+#: Roles that may have a model of their own.
+ROLES = ("planner", "researcher", "translator", "reviewer", "adjudicator", "editor", "verifier", "document_reviewer")
+
+
 @dataclass(frozen=True)
 class Config:
     """Limits and names of a run; unknown or wrongly typed fields are refused."""
 
     source_language: str = "en"
     target_language: str = "zh-hans"
+    profile_name: str = "publication"
+    provider: str = "injected"
+    endpoint: str = "https://localhost"
+    api_key_env: str = "LEDGERLOOM_API_KEY"
+    default_model: str = "default"
+    role_models: dict = field(default_factory=dict)
+    reasoning_effort: str = "high"
+    request_timeout_seconds: int = 300
+    enable_web_research: bool = True
+    max_planning_calls: int = 500
+    max_calls: int = 100_000
+    max_tokens: int = 1_000_000_000
+    max_cost: int = 1_000_000_000
+    max_attempts: int = 3
+    chunk_characters: int = 40_000
     context_before: int = 4
     context_after: int = 4
     context_characters: int = 6000
-    chunk_characters: int = 40_000
-    max_attempts: int = 3
-    max_calls: int = 100_000
-    max_cost: int = 1_000_000_000
-    request_timeout_seconds: int = 300
-    endpoint: str = "https://localhost"
 
     @classmethod
     def load(cls, path: str | os.PathLike) -> Config:
@@ -51,7 +68,14 @@ class Config:
         out = cls(**raw)
         if not out.endpoint.startswith("https://"):
             raise ControlError("endpoint must use https")
-        if min(out.context_before, out.context_after) < 0 or min(out.chunk_characters, out.max_attempts, out.max_calls, out.max_cost, out.request_timeout_seconds, out.context_characters) < 1:
+        if out.reasoning_effort not in ("low", "medium", "high"):
+            raise ControlError("reasoning_effort must be low, medium or high")
+        if set(out.role_models) - set(ROLES) or not all(isinstance(m, str) and m.strip() for m in out.role_models.values()):
+            raise ControlError("role_models must name models of known roles")
+        if not all(getattr(out, n).strip() for n in ("source_language", "target_language", "profile_name", "provider", "api_key_env", "default_model")):
+            raise ControlError("names must not be blank")
+        limits = (out.chunk_characters, out.max_attempts, out.max_planning_calls, out.max_calls, out.max_tokens, out.max_cost, out.request_timeout_seconds, out.context_characters)
+        if min(out.context_before, out.context_after) < 0 or min(limits) < 1:
             raise ControlError("limits must be positive")
         return out
 
@@ -96,7 +120,7 @@ class Project:
     def init(self, source: str | os.PathLike, config: Config | None = None) -> dict:
         """Binds the source and configuration by digest; a second call with the same inputs changes nothing."""
         config = config or Config()
-        manifest = {"schema_version": SCHEMA_VERSION, "source_name": Path(source).name, "source_sha256": sha256_file(source), "source_size": os.path.getsize(source), "config_sha256": hashlib.sha256(_json(asdict(config))).hexdigest()}
+        manifest = {"schema_version": SCHEMA_VERSION, "source_name": Path(source).name, "source_sha256": sha256_file(source), "source_size": os.path.getsize(source), "config_sha256": hashlib.sha256(_json(asdict(config))).hexdigest(), "parts": ["main"]}
         if self._control.exists():
             if self.manifest() != manifest:
                 raise ControlError("project is bound to other inputs")
@@ -112,11 +136,18 @@ class Project:
     def manifest(self) -> dict:
         """The bound manifest: exact fields, exact types, files unchanged."""
         raw = json.loads(self._control.read_text())
-        want = {"schema_version": int, "source_name": str, "source_sha256": str, "source_size": int, "config_sha256": str}
-        if set(raw) != set(want) or any(type(raw[k]) is not t for k, t in want.items()):
+        version = raw.get("schema_version") if isinstance(raw, dict) else None
+        if type(version) is not int or version < 1:
             raise ControlError("control manifest has wrong fields")
-        if raw["schema_version"] > SCHEMA_VERSION:
+        if version > SCHEMA_VERSION:
             raise ControlError("project was written by a newer version")
+        if version < SCHEMA_VERSION:
+            for v in range(version, SCHEMA_VERSION):
+                raw = MIGRATIONS[v] | raw | {"schema_version": v + 1}
+            write_atomic(self._control, _json(raw))
+        want = {"schema_version": int, "source_name": str, "source_sha256": str, "source_size": int, "config_sha256": str, "parts": list}
+        if set(raw) != set(want) or any(type(raw[k]) is not t for k, t in want.items()):
+            raise ControlError("control manifest has wrong fields")
         for name, digest in ((raw["source_name"], raw["source_sha256"]), ("config.json", raw["config_sha256"])):
             if sha256_file(self.folder / "inputs" / name) != digest:
                 raise ControlError(f"{name} changed after it was bound")
@@ -163,17 +194,23 @@ class Project:
             return "VERIFYING"
         return "IN_PROGRESS" if units else "NEW"
 
-    def doctor(self) -> list[tuple[str, str]]:
-        """Preflight checks as (name, PASS, WARN or BLOCK)."""
-        out = []
+    def doctor(self, least_free: int = 1 << 30) -> list[tuple[str, str]]:
+        """Preflight checks as (name, PASS, WARN or BLOCK): what a run needs, without starting one."""
+        out = [("python", "PASS" if sys.version_info >= (3, 10) else "BLOCK"), ("java", "PASS" if os.environ.get("JAVA_HOME") or shutil.which("java") else "BLOCK")]
+        config = None
         for name, check in (("control", self.manifest), ("inputs", self.inputs)):
             try:
-                check()
+                config = check()
                 out.append((name, "PASS"))
             except (OSError, ValueError):
+                config = None
                 out.append((name, "BLOCK"))
-        free = shutil.disk_usage(self.folder if self.folder.exists() else ".").free
-        out.append(("disk", "PASS" if free > 1 << 30 else "WARN"))
+        there = next(p for p in (self.folder, *self.folder.resolve().parents) if p.exists())
+        out.append(("location", "PASS" if os.access(there, os.W_OK) else "BLOCK"))
+        if config is not None and config[1].provider != "injected":
+            out.append(("credential", "PASS" if os.environ.get(config[1].api_key_env) else "BLOCK"))
+        free = shutil.disk_usage(there).free
+        out.append(("disk", "PASS" if free > least_free else "WARN"))
         return out
 
     def publish(self, part: str, payload: bytes) -> str:

@@ -22,11 +22,11 @@ QUERIES["st10_stream_replay"] = st10_stream_replay
 ORACLES["st10_stream_replay"] = "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type"
 
 
-def ud08_event_windows(spark: SparkSession, sf: str) -> DataFrame:
+def st10_event_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Daily counts per type, the batch form of the windowed stream."""
     e = spark.read.parquet(f"{sf}/events.parquet")
     return ledger_stream.windowed(e, "ts", "event_type").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-QUERIES["ud08_event_windows"] = ud08_event_windows
-ORACLES["ud08_event_windows"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL"
+QUERIES["st10_event_windows"] = st10_event_windows
+ORACLES["st10_event_windows"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL"

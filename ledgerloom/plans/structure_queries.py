@@ -13,12 +13,17 @@ from ..functions import text as tx
 from ..functions import values as vl
 from ..operators import bus, constraints, context, gates, ledger, terms
 from ..sources import records
-from .text_queries import LINES, _KEY, _WS, _anchors_sql, docs
+from .text_queries import LINES, _KEY, _REV, _WS, _anchors_sql, docs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Rules over small typed fixtures with the answers beside them: for the tests, not registered.
+CASES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+CASE_SQL: dict[str, str] = {}
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -29,6 +34,14 @@ def query(sql: str | None = None):
     return add
 
 
+def case(sql: str):
+    def add(f):
+        CASES[f.__name__], CASE_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
 def units(spark, sf) -> DataFrame:
     return records.segment(docs(spark, sf)).where("disposition = 'translatable'")
 
@@ -53,7 +66,7 @@ def _specs():
     return F.array(s("rich_style", O, C), s("formula", FM, None))
 
 
-@query(f"SELECT k, want AS problems FROM {DAMAGE.sql}")
+@case(f"SELECT k, want AS problems FROM {DAMAGE.sql}")
 def pr01_placeholder_damage(spark, sf):
     return DAMAGE.df(spark).select("k", constraints.placeholder_problems(F.col("t"), F.lit(NS), _specs()).alias("problems"))
 
@@ -64,7 +77,7 @@ CONTRACTS = Fixture("k bigint, ns string, a string, b string, want array<string>
 ])
 
 
-@query(f"SELECT k, want AS problems FROM {CONTRACTS.sql}")
+@case(f"SELECT k, want AS problems FROM {CONTRACTS.sql}")
 def pr02_placeholder_contract(spark, sf):
     specs = F.array(F.struct(F.lit("rich_style").alias("kind"), F.col("a").alias("open_token"), F.col("b").alias("close_token")))
     return CONTRACTS.df(spark).select("k", constraints.contract_problems(F.col("ns"), specs).alias("problems"))
@@ -76,7 +89,7 @@ RECORDS = Fixture("k bigint, d string, r string, unit boolean, box boolean, vert
 ])
 
 
-@query(f"SELECT k, want AS problems FROM {RECORDS.sql}")
+@case(f"SELECT k, want AS problems FROM {RECORDS.sql}")
 def pr03_record_rules(spark, sf):
     c = F.col
     return RECORDS.df(spark).select("k", constraints.record_problems(c("d"), c("r"), c("unit"), c("box"), c("vert")).alias("problems"))
@@ -114,20 +127,11 @@ ROUTES = Fixture("k bigint, level string, lanes array<string>, reasons array<str
 ])
 
 
-@query(f"SELECT k, want AS problems FROM {ROUTES.sql}")
+@case(f"SELECT k, want AS problems FROM {ROUTES.sql}")
 def pr09_routes(spark, sf):
     return ROUTES.df(spark).select("k", constraints.route_problems(F.col("level"), F.col("lanes"), F.col("reasons")).alias("problems"))
 
 
-@query("SELECT 'missing' AS problem, d.doc_id::VARCHAR AS subject FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL UNION ALL SELECT 'unknown lane', 'q0' WHERE EXISTS (SELECT 1 FROM labels WHERE quality = 0) UNION ALL SELECT 'shared actor', 'm1'")
-def pr10_se02_plan(spark, sf):
-    u = tab(spark, sf, "documents").select(F.col("doc_id").alias("unit_key"), F.lit(1).alias("unit_revision"))
-    r = tab(spark, sf, "labels").select(F.col("doc_id").alias("unit_key"), F.lit(1).alias("unit_revision"), F.array(F.concat(F.lit("q"), F.col("quality").cast("string"))).alias("lane_keys"))
-    lanes_ = spark.createDataFrame([("q1",)], "lane_key string")
-    actors = spark.createDataFrame([("m1", "TRANSLATOR"), ("m1", "BILINGUAL_REVIEWER"), ("m2", "ADJUDICATOR")], "actor_key string, role string")
-    return constraints.plan_problems(r, u, lanes_, actors)
-
-
 DECISIONS = Fixture("k bigint, conf string, a string, b string, n bigint, strong bigint, contra boolean, conv string, fit string, best bigint, why string, form string, term string, want array<string>", [
     (1, "VERIFIED", "x", "y", 2, 1, False, "ESTABLISHED", "CONFIRMED", 3, "", "f", "t", []), (2, "VERIFIED", "x", "x", 1, 1, False, "RARE", "CONFIRMED", 1, "", "f", "t", ["same actor", "verified evidence", "verified form"]),
     (3, "SUPPORTED", "x", "y", 1, 0, False, "ATTESTED", "CONFIRMED", 2, "", "f", "t", ["supported evidence"]), (4, "SUPPORTED", "x", "y", 2, 1, False, "RARE", "CONFIRMED", 3, " ", "f", "t", ["mainstream"]),
@@ -136,7 +140,7 @@ DECISIONS = Fixture("k bigint, conf string, a string, b string, n bigint, strong
 ])
 
 
-@query(f"SELECT k, want AS problems FROM {DECISIONS.sql}")
+@case(f"SELECT k, want AS problems FROM {DECISIONS.sql}")
 def pr11_decisions(spark, sf):
     c = F.col
     p = constraints.decision_problems(c("conf"), c("a"), c("b"), c("n"), c("strong"), c("contra"), c("conv"), c("fit"), c("best"), c("why"), c("form"), c("term"))
@@ -148,7 +152,7 @@ TREATMENTS = Fixture("k bigint, tr string, conf string, want array<string>", [
 ])
 
 
-@query(f"SELECT k, want AS problems FROM {TREATMENTS.sql}")
+@case(f"SELECT k, want AS problems FROM {TREATMENTS.sql}")
 def pr12_treatments(spark, sf):
     return TREATMENTS.df(spark).select("k", constraints.treatment_problems(F.col("tr"), F.col("conf")).alias("problems"))
 
@@ -158,7 +162,7 @@ SPANS = Fixture("k bigint, t string, s bigint, e bigint, q string, want array<st
 ])
 
 
-@query(f"SELECT k, want AS problems FROM {SPANS.sql}")
+@case(f"SELECT k, want AS problems FROM {SPANS.sql}")
 def pr19_spans(spark, sf):
     c = F.col
     return SPANS.df(spark).select("k", constraints.span_problems(c("t"), c("s").cast("int"), c("e").cast("int"), c("q")).alias("problems"))
@@ -167,7 +171,7 @@ def pr19_spans(spark, sf):
 INTERVALS = Fixture("k bigint, s bigint, e bigint", [(1, 0, 5), (1, 5, 9), (1, 8, 12), (2, 0, 10), (2, 2, 3), (2, 9, 11), (3, 1, 2), (3, 4, 6)])
 
 
-@query(f"SELECT k, s, e FROM (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM {INTERVALS.sql}) WHERE u > s")
+@case(f"SELECT k, s, e FROM (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM {INTERVALS.sql}) WHERE u > s")
 def pr14_wn05_overlaps(spark, sf):
     return constraints.overlapping(INTERVALS.df(spark), "k")
 
@@ -180,7 +184,7 @@ ADJUDICATIONS = Fixture(f"k bigint, mode string, sel string, {FINDINGS}, want ar
 ])
 
 
-@query(f"SELECT k, want AS problems FROM {ADJUDICATIONS.sql}")
+@case(f"SELECT k, want AS problems FROM {ADJUDICATIONS.sql}")
 def pr15_pr16_adjudication(spark, sf):
     part = lambda names: (lambda x: F.struct(*(F.split(x, r"\|")[i].alias(n) for i, n in enumerate(names))))
     f = F.transform("f", part(["finding_id", "option_key", "severity"]))
@@ -193,7 +197,7 @@ VERDICTS = Fixture("k bigint, v string, serious boolean, impact string, changed
 ])
 
 
-@query(f"SELECT k, want AS problems FROM {VERDICTS.sql}")
+@case(f"SELECT k, want AS problems FROM {VERDICTS.sql}")
 def pr17_pr18_verdicts(spark, sf):
     c = F.col
     return VERDICTS.df(spark).select("k", constraints.verdict_problems(c("v"), c("serious"), c("impact"), c("changed")).alias("problems"))
@@ -230,18 +234,22 @@ def _occ(spark, sf):
     return terms.occurrences(units(spark, sf).select("doc_id", "para", "source_text"), TERMS).drop("source_text")
 
 
-@query(f"""WITH RECURSIVE {LINES}, en AS (SELECT * FROM rec WHERE disposition = 'translatable'), hits AS ({_HITS}),
-n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, para ORDER BY rank, s) AS i FROM hits),
+#: Hits in the order of their terms, folded one by one: a hit counts unless it overlaps an earlier one.
+_KEPT = f"""hits AS ({_HITS}),
 w AS (SELECT doc_id, para, list([rank, s, e] ORDER BY rank, s) AS hs FROM hits GROUP BY doc_id, para),
 f AS (SELECT doc_id, para, hs, 1 AS i, []::BIGINT[][] AS acc FROM w UNION ALL
   SELECT doc_id, para, hs, i + 1, CASE WHEN len(list_filter(acc, lambda o: hs[i][2] < o[3] AND o[2] < hs[i][3])) > 0 THEN acc ELSE list_append(acc, hs[i]) END FROM f WHERE i <= len(hs)),
-k AS (SELECT doc_id, para, unnest(acc) AS h FROM f WHERE i = len(hs) + 1)
+k AS (SELECT doc_id, para, unnest(acc) AS h FROM f WHERE i = len(hs) + 1)"""
+
+
+@query(f"""WITH RECURSIVE {LINES}, en AS (SELECT * FROM rec WHERE disposition = 'translatable'), {_KEPT}
 SELECT doc_id, para::INT AS para, ['of the', 'thing', 'then', 'and', 'the', 'in'][h[1] + 1] AS term, h[2]::INT AS s, h[3]::INT AS e FROM k""")
 def jn05_sp01_sp02_occurrences(spark, sf):
     return _occ(spark, sf)
 
 
-@query()
+@query(f"""WITH RECURSIVE {LINES}, en AS (SELECT * FROM rec WHERE disposition = 'translatable'), {_KEPT}, o AS (SELECT doc_id, para::INT AS para, ['of the', 'thing', 'then', 'and', 'the', 'in'][h[1] + 1] AS term, h[2]::INT AS s, h[3]::INT AS e FROM k)
+SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id, para, s, e) = 1 AS first_use FROM o""")
 def wn04_first_use(spark, sf):
     return terms.with_first_use(_occ(spark, sf))
 
@@ -251,7 +259,7 @@ CONCEPTS = Fixture("source_term string, sense_id string, forms array<string>, se
 ])
 
 
-@query("SELECT * FROM (VALUES ('heat', 's1', ['热量']), ('work', 's1', ['功'])) t(source_term, sense_id, forms)")
+@case("SELECT * FROM (VALUES ('heat', 's1', ['热量']), ('work', 's1', ['功'])) t(source_term, sense_id, forms)")
 def ag09_clear_concepts(spark, sf):
     return terms.clear_concepts(CONCEPTS.df(spark))
 
@@ -259,7 +267,7 @@ def ag09_clear_concepts(spark, sf):
 # Evidence from the data: a page speaks for a term in its language with its host as authority.
 _EV = """ev AS (SELECT substr(regexp_extract(url, '://[^/]*/([^/?#]*)', 1), 1, 2) AS term, regexp_extract(url, '://[^/]*\\.([a-z]+)[/?#]?', 1) AS form, 'web:' || regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.', '') AS authority,
   CASE page_id % 5 WHEN 0 THEN 'A_AUTHORITY' WHEN 1 THEN 'B_DOMAIN' WHEN 2 THEN 'C_CORPUS' WHEN 3 THEN 'D_REFERENCE' ELSE 'E_WEAK' END AS tier,
-  CASE WHEN page_id % 11 = 0 THEN 'CONTRADICTS' ELSE 'SUPPORTS' END AS stance, page_id % 3 > 0 AS sense_match, page_id % 7 > 0 AS domain_match FROM pages)"""
+  CASE WHEN page_id % 11 = 0 THEN 'CONTRADICTS' ELSE 'SUPPORTS' END AS stance, page_id % 3 > 0 AS sense_match, page_id % 7 > 0 AS domain_match, page_id % 4 AS conv FROM pages)"""
 
 
 def _evidence(spark, sf):
@@ -267,16 +275,16 @@ def _evidence(spark, sf):
     tier = F.element_at(F.array(*(F.lit(t) for t in vl.TIER_WEIGHT)), (F.col("page_id") % 5 + 1).cast("int"))
     return p.select(
         F.substring(F.regexp_extract("url", "://[^/]*/([^/?#]*)", 1), 1, 2).alias("term"), F.regexp_extract("url", r"://[^/]*\.([a-z]+)[/?#]?", 1).alias("form"), vl.authority(F.col("url"), F.lit("")).alias("authority"),
-        tier.alias("tier"), F.when(F.col("page_id") % 11 == 0, "CONTRADICTS").otherwise("SUPPORTS").alias("stance"), (F.col("page_id") % 3 > 0).alias("sense_match"), (F.col("page_id") % 7 > 0).alias("domain_match"), F.lit("ESTABLISHED").alias("conventionality"),
+        tier.alias("tier"), F.when(F.col("page_id") % 11 == 0, "CONTRADICTS").otherwise("SUPPORTS").alias("stance"), (F.col("page_id") % 3 > 0).alias("sense_match"), (F.col("page_id") % 7 > 0).alias("domain_match"), F.get(F.array(*(F.lit(c) for c in vl.CONVENTIONALITY)), (F.col("page_id") % 4).cast("int")).alias("conventionality"),
     )
 
 
 _CONF = f"""{_EV}, g AS (SELECT term, form, count(DISTINCT CASE WHEN sense_match AND domain_match AND stance = 'SUPPORTS' THEN authority END) AS sources,
   coalesce(bool_or(sense_match AND domain_match AND stance = 'SUPPORTS' AND tier IN ('A_AUTHORITY', 'B_DOMAIN')), false) AS strong,
   coalesce(bool_or(sense_match AND domain_match AND stance = 'CONTRADICTS' AND tier = 'A_AUTHORITY'), false) AS contradicted,
-  sum(CASE WHEN sense_match AND domain_match AND stance = 'SUPPORTS' THEN CASE tier WHEN 'A_AUTHORITY' THEN 5 WHEN 'B_DOMAIN' THEN 4 WHEN 'C_CORPUS' THEN 2 WHEN 'D_REFERENCE' THEN 1 ELSE 0 END ELSE 0 END)::BIGINT AS evidence_rank
-  FROM ev GROUP BY term, form), c AS (SELECT *, CASE WHEN sources = 0 THEN 'UNATTESTED' WHEN sources = 1 THEN 'ATTESTED' ELSE 'ESTABLISHED' END AS conventionality FROM g),
-conf AS (SELECT *, CASE WHEN sources >= 2 AND strong AND NOT contradicted THEN 'VERIFIED' WHEN sources > 0 AND (strong OR sources >= 2) AND NOT contradicted THEN 'SUPPORTED' WHEN sources > 0 THEN 'PROVISIONAL' ELSE 'RETAINED_UNRESOLVED' END AS confidence FROM c)"""
+  sum(CASE WHEN sense_match AND domain_match AND stance = 'SUPPORTS' THEN CASE tier WHEN 'A_AUTHORITY' THEN 5 WHEN 'B_DOMAIN' THEN 4 WHEN 'C_CORPUS' THEN 2 WHEN 'D_REFERENCE' THEN 1 ELSE 0 END ELSE 0 END)::BIGINT AS evidence_rank, max(conv) AS best
+  FROM ev GROUP BY term, form), c AS (SELECT * EXCLUDE (best), CASE WHEN sources = 0 THEN 'UNATTESTED' ELSE ['UNATTESTED', 'RARE', 'ATTESTED', 'ESTABLISHED'][1 + CASE WHEN sources = 1 THEN least(best, 2) ELSE best END] END AS conventionality FROM g),
+conf AS (SELECT *, CASE WHEN sources >= 2 AND strong AND NOT contradicted AND conventionality IN ('ESTABLISHED', 'ATTESTED') THEN 'VERIFIED' WHEN sources > 0 AND (strong OR sources >= 2) AND NOT contradicted THEN 'SUPPORTED' WHEN sources > 0 THEN 'PROVISIONAL' ELSE 'RETAINED_UNRESOLVED' END AS confidence FROM c)"""
 
 
 @query(f"WITH {_CONF} SELECT term, form, sources, strong, contradicted, evidence_rank, conventionality, confidence FROM conf")
@@ -284,7 +292,7 @@ def ag01_ag02_ag03_confidence(spark, sf):
     return terms.confidence(_evidence(spark, sf))
 
 
-@query(f"""WITH {_CONF}, r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY CASE conventionality WHEN 'UNATTESTED' THEN 0 WHEN 'ATTESTED' THEN 2 ELSE 3 END DESC, evidence_rank DESC, form DESC) AS i FROM conf)
+@query(f"""WITH {_CONF}, r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY CASE conventionality WHEN 'UNATTESTED' THEN 0 WHEN 'RARE' THEN 1 WHEN 'ATTESTED' THEN 2 ELSE 3 END DESC, evidence_rank DESC, form DESC) AS i FROM conf)
 SELECT term, form FROM r WHERE i = 1""")
 def so02_select_form(spark, sf):
     c = terms.confidence(_evidence(spark, sf)).withColumns({"fit": F.lit("CONFIRMED"), "selected": F.lit(False), "override": F.lit("")})
@@ -297,7 +305,7 @@ CHOICES = Fixture("term string, form string, fit string, conventionality string,
 ])
 
 
-@query("SELECT * FROM (VALUES ('a', 'main'), ('b', 'rare'), ('c', 'c'), ('d', 'y')) t(term, form)")
+@case("SELECT * FROM (VALUES ('a', 'main'), ('b', 'rare'), ('c', 'c'), ('d', 'y')) t(term, form)")
 def so02_select_cases(spark, sf):
     return terms.select_form(CHOICES.df(spark))
 
@@ -307,7 +315,7 @@ USES = Fixture("k bigint, conf string, first_use boolean, form string, src strin
 ])
 
 
-@query(f"""SELECT k, CASE WHEN conf = 'VERIFIED' THEN 'TRANSLATE_ONLY' WHEN conf = 'RETAINED_UNRESOLVED' THEN 'RETAIN_SOURCE' ELSE 'TRANSLATE_WITH_SOURCE_FIRST' END AS treatment,
+@case(f"""SELECT k, CASE WHEN conf = 'VERIFIED' THEN 'TRANSLATE_ONLY' WHEN conf = 'RETAINED_UNRESOLVED' THEN 'RETAIN_SOURCE' ELSE 'TRANSLATE_WITH_SOURCE_FIRST' END AS treatment,
   CASE WHEN conf = 'RETAINED_UNRESOLVED' THEN src WHEN conf <> 'VERIFIED' AND first_use THEN form || '（' || src || '）' ELSE form END AS rendering FROM {USES.sql}""")
 def sp03_so04_renderings(spark, sf):
     t = terms.treatment(F.col("conf"))
@@ -322,10 +330,13 @@ def jn11_assessments(spark, sf):
     return terms.last_assessments(a, m).select("doc_id", F.col("form").alias("quality"), "uri", "tier")
 
 
-@query("SELECT d.doc_id, e.page_id FROM documents d JOIN pages e ON regexp_extract(e.url, '://[^/]*/([^/?#]*)', 1) = d.lang AND e.page_id = d.doc_id")
+@query(r"""WITH c AS (SELECT DISTINCT lang AS source_term, ['com', 'org', 'net'][1 + doc_id % 3] AS sense_id FROM documents)
+SELECT source_term, sense_id, page_id, url FROM c JOIN (SELECT page_id, url, regexp_extract(url, '://[^/]*/([^/?#]*)', 1) AS t, regexp_extract(url, '://[^/]*\.([a-z]+)([/?#]|$)', 1) AS z FROM pages) ON t = source_term AND z = sense_id""")
 def jn04_evidence_lookup(spark, sf):
-    p = tab(spark, sf, "pages").select("page_id", F.col("page_id").alias("doc_id"), F.regexp_extract("url", "://[^/]*/([^/?#]*)", 1).alias("lang"))
-    return docs(spark, sf).select("doc_id", "lang").join(p, ["doc_id", "lang"]).select("doc_id", "page_id")
+    """Pages as evidence for the concepts that documents raise: language as term, a top-level label as sense."""
+    e = tab(spark, sf, "pages").select(F.regexp_extract("url", "://[^/]*/([^/?#]*)", 1).alias("source_term"), F.regexp_extract("url", r"://[^/]*\.([a-z]+)([/?#]|$)", 1).alias("sense_id"), "page_id", "url")
+    sense = F.get(F.array(F.lit("com"), F.lit("org"), F.lit("net")), (F.col("doc_id") % 3).cast("int"))
+    return terms.evidence_for(docs(spark, sf).select(F.col("lang").alias("source_term"), sense.alias("sense_id")), e)
 
 
 # --- routing -----------------------------------------------------------------------------------
@@ -354,7 +365,18 @@ def jn07_jn13_pl13_routing(spark, sf):
 # --- context and chunks ------------------------------------------------------------------------
 
 
-@query()
+#: Neighbours of every record, nearest first, kept while they fit into ``BUDGET`` characters.
+_NEAR = """nb AS (SELECT a.doc_id, a.para, list([abs(b.para - a.para), CASE WHEN b.para > a.para THEN 1 ELSE 0 END, b.para, length(b.source_text)] ORDER BY abs(b.para - a.para), b.para) AS ns
+  FROM rec a JOIN rec b ON a.doc_id = b.doc_id AND b.para BETWEEN a.para - 4 AND a.para + 4 AND a.para <> b.para GROUP BY a.doc_id, a.para),
+f AS (SELECT doc_id, para, ns, 1 AS i, 0::BIGINT AS used, []::BIGINT[] AS kept FROM nb UNION ALL
+  SELECT doc_id, para, ns, i + 1, CASE WHEN used + ns[i][4] > BUDGET THEN used ELSE used + ns[i][4] END, CASE WHEN used + ns[i][4] > BUDGET THEN kept ELSE list_append(kept, ns[i][3]) END FROM f WHERE i <= len(ns)),
+g AS (SELECT doc_id, para, list_sort(kept) AS kept FROM f WHERE i = len(ns) + 1)"""
+_SIDES = "coalesce(list_filter(kept, lambda x: x < rec.para), []) AS before, coalesce(list_filter(kept, lambda x: x > rec.para), []) AS after FROM rec LEFT JOIN g ON rec.doc_id = g.doc_id AND rec.para = g.para"
+
+
+@query(f"""WITH RECURSIVE {LINES}, {_NEAR.replace("BUDGET", "6000")} SELECT rec.doc_id, rec.para::INT AS para, {_KEY.replace("doc_id", "rec.doc_id").replace("|| para", "|| rec.para")} AS record_key, {_REV.replace("|| doc_id", "|| rec.doc_id").replace("|| para", "|| rec.para")} AS record_revision,
+  CASE WHEN regexp_matches(source_text, '(^|[^A-Za-z])\\d') OR (lang = 'en' AND regexp_matches(lower(source_text),
+  '(^|\\W)(not|no|never|neither|unless|except|only|must|shall|should|may|might|can|cannot|could|would|at\\s+least|at\\s+most|more\\s+than|less\\s+than|respectively)($|\\W)')) THEN 'R2' ELSE 'R1' END AS risk, {_SIDES} WHERE disposition = 'translatable'""")
 def flagship_context(spark, sf):
     """Paragraph records with identity, risk floor and context window."""
     r = records.identify(records.segment(docs(spark, sf)))
@@ -362,12 +384,7 @@ def flagship_context(spark, sf):
     return w.select("doc_id", "para", "record_key", "record_revision", tx.risk_floor(F.col("source_text"), F.col("lang")).alias("risk"), "before", "after")
 
 
-@query(f"""WITH RECURSIVE {LINES}, nb AS (SELECT a.doc_id, a.para, list([abs(b.para - a.para), CASE WHEN b.para > a.para THEN 1 ELSE 0 END, b.para, length(b.source_text)] ORDER BY abs(b.para - a.para), b.para) AS ns
-  FROM rec a JOIN rec b ON a.doc_id = b.doc_id AND b.para BETWEEN a.para - 4 AND a.para + 4 AND a.para <> b.para GROUP BY a.doc_id, a.para),
-f AS (SELECT doc_id, para, ns, 1 AS i, 0::BIGINT AS used, []::BIGINT[] AS kept FROM nb UNION ALL
-  SELECT doc_id, para, ns, i + 1, CASE WHEN used + ns[i][4] > 300 THEN used ELSE used + ns[i][4] END, CASE WHEN used + ns[i][4] > 300 THEN kept ELSE list_append(kept, ns[i][3]) END FROM f WHERE i <= len(ns)),
-g AS (SELECT doc_id, para, list_sort(kept) AS kept FROM f WHERE i = len(ns) + 1)
-SELECT rec.doc_id, rec.para::INT AS para, coalesce(list_filter(kept, lambda x: x < rec.para), []) AS before, coalesce(list_filter(kept, lambda x: x > rec.para), []) AS after FROM rec LEFT JOIN g ON rec.doc_id = g.doc_id AND rec.para = g.para""")
+@query(f"WITH RECURSIVE {LINES}, {_NEAR.replace('BUDGET', '300')} SELECT rec.doc_id, rec.para::INT AS para, {_SIDES}")
 def wn01_context_windows(spark, sf):
     return context.context_windows(records.segment(docs(spark, sf)), budget=300).select("doc_id", "para", "before", "after")
 
@@ -414,10 +431,15 @@ def jn01_jn02_jn03_jn14_resolve(spark, sf):
     return ledger.resolve_active(active, c.withColumnRenamed("conv_id", "unit_key"), u, r).select("unit_key", "role", "lang", "quality")
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn = 1) AND turn = 0")
+@query("""WITH st AS (SELECT conv_id, text FROM conversations WHERE turn = 1), inc AS (SELECT conv_id, text FROM conversations WHERE turn IN (0, 2) UNION ALL SELECT conv_id, text FROM st WHERE conv_id % 2 = 0)
+SELECT inc.conv_id, CASE WHEN count(DISTINCT coalesce(inc.text, chr(1))) > 1 OR bool_or(st.conv_id IS NOT NULL AND inc.text IS DISTINCT FROM st.text) THEN 'conflict' WHEN bool_or(st.conv_id IS NOT NULL) THEN 'replay' ELSE 'new' END AS state
+FROM inc LEFT JOIN st ON st.conv_id = inc.conv_id GROUP BY inc.conv_id""")
 def src12_st11_insert_once(spark, sf):
-    c = tab(spark, sf, "conversations")
-    return ledger.insert_once(c.where("turn = 1"), c.where("turn = 0"), "conv_id").select("conv_id", "turn")
+    """Second turns are stored; first and third turns and half of the stored ones come in for the same slots."""
+    c = tab(spark, sf, "conversations").select("conv_id", "turn", "text")
+    stored = c.where("turn = 1")
+    incoming = c.where("turn IN (0, 2)").unionByName(stored.where("conv_id % 2 = 0"))
+    return ledger.write_once(stored, incoming, "conv_id", "text")
 
 
 # Events as attempts: a user's events of a day, in time order, are the attempts of one call.
@@ -465,9 +487,14 @@ def ag06_usage(spark, sf):
     return ledger.usage(_attempts(spark, sf), "call", "value").withColumn("estimated_cost", F.round("estimated_cost", 4))
 
 
-@query("SELECT user_id, event_id, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 3600 SECOND, true) AS granted FROM events")
+@query("""WITH RECURSIVE w AS (SELECT user_id, list(ts ORDER BY ts, event_id) AS tt, list(event_id ORDER BY ts, event_id) AS es FROM events GROUP BY user_id),
+f AS (SELECT user_id, tt, es, 1 AS i, NULL::TIMESTAMP AS until, []::BOOLEAN[] AS g, []::BOOLEAN[] AS o FROM w UNION ALL
+  SELECT user_id, tt, es, i + 1, CASE WHEN until IS NULL OR tt[i] >= until THEN tt[i] + INTERVAL 86400 SECOND ELSE until END, list_append(g, until IS NULL OR tt[i] >= until), list_append(o, until IS NOT NULL AND tt[i] >= until) FROM f WHERE i <= len(tt)),
+r AS (SELECT user_id, es, g, o FROM f WHERE i = len(tt) + 1)
+SELECT user_id, unnest(es) AS event_id, unnest(g) AS granted, unnest(o) AS takeover FROM r""")
 def st03_leases(spark, sf):
-    return ledger.lease_takeovers(tab(spark, sf, "events"), "user_id", ["ts", "event_id"], 3600).select("user_id", "event_id", "granted")
+    """A user's events as acquisitions of a lease of a day."""
+    return ledger.leases(tab(spark, sf, "events").select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"], 86_400).drop("ts")
 
 
 LEASES = Fixture("call string, token string, acquired_at timestamp_ntz, expires_at timestamp_ntz", [
@@ -478,12 +505,12 @@ COMMITS = Fixture("call string, token string, done_at timestamp_ntz, want boolea
 ])
 
 
-@query(f"SELECT call, token, done_at, want AS valid FROM {COMMITS.sql}")
+@case(f"SELECT call, token, done_at, want AS valid FROM {COMMITS.sql}")
 def st04_st12_fencing(spark, sf):
     return ledger.fenced_commits(COMMITS.df(spark).drop("want"), LEASES.df(spark))
 
 
-@query(f"SELECT k, CASE WHEN e IN ('rate_limit', 'transient', 'timeout', 'connection', 'os_error') THEN true ELSE false END AS retry, CASE WHEN code = 429 THEN 'rate_limit' WHEN code IN (408, 409) OR code >= 500 THEN 'transient' WHEN code >= 400 THEN 'permanent' ELSE 'ok' END AS class FROM (VALUES (1, 'timeout', 429), (2, 'value', 404), (3, 'os_error', 503), (4, 'rate_limit', 200), (5, 'x', 409)) t(k, e, code)")
+@case(f"SELECT k, CASE WHEN e IN ('rate_limit', 'transient', 'timeout', 'connection', 'os_error') THEN true ELSE false END AS retry, CASE WHEN code = 429 THEN 'rate_limit' WHEN code IN (408, 409) OR code >= 500 THEN 'transient' WHEN code >= 400 THEN 'permanent' ELSE 'ok' END AS class FROM (VALUES (1, 'timeout', 429), (2, 'value', 404), (3, 'os_error', 503), (4, 'rate_limit', 200), (5, 'x', 409)) t(k, e, code)")
 def st05_src18_errors(spark, sf):
     f = Fixture("k int, e string, code int", [(1, "timeout", 429), (2, "value", 404), (3, "os_error", 503), (4, "rate_limit", 200), (5, "x", 409)]).df(spark)
     return f.select("k", ledger.classify_error(F.col("e")).alias("retry"), ledger.retryable_status(F.col("code")).alias("class"))
@@ -519,7 +546,7 @@ STATES = Fixture("k bigint, err boolean, art boolean, reports bigint, rel boolea
 ])
 
 
-@query(f"SELECT k, want AS state FROM {STATES.sql}")
+@case(f"SELECT k, want AS state FROM {STATES.sql}")
 def so01_project_state(spark, sf):
     c = F.col
     return STATES.df(spark).select("k", ledger.project_state(c("err"), c("art"), c("reports"), c("rel"), c("units")).alias("state"))
@@ -633,10 +660,14 @@ def ud01_ud02_ud03_whole_replies(spark, sf):
 # --- gates -------------------------------------------------------------------------------------
 
 
-@query("""SELECT b.item_id AS unit, 1::BIGINT AS n_missing, [left(trim(b.text), 120)] AS evidence FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id
-WHERE length(regexp_replace(b.text, '\\s+', '', 'g')) >= 2 AND (d.doc_id IS NULL OR strpos(regexp_replace(d.text, '\\s+', '', 'g'), regexp_replace(b.text, '\\s+', '', 'g')) = 0)""")
+@query(rf"""WITH u AS (SELECT item_id AS unit, item_id AS page, string_split(replace(text, ' the ', '[[PT2-0123456789ab:F:0001]]'), '[[PT2-0123456789ab:F:0001]]') AS parts FROM benchmark),
+p AS (SELECT unit, page, unnest(range(0, len(parts))) AS place, trim(unnest(parts)) AS fragment FROM u),
+k AS (SELECT *, regexp_replace(fragment, '\s+', '', 'g') AS bare FROM p), g AS (SELECT k.* FROM k LEFT JOIN documents d ON d.doc_id = page
+  WHERE length(bare) >= 2 AND regexp_matches(fragment, '[\p{{L}}\p{{N}}]') AND (d.doc_id IS NULL OR strpos(regexp_replace(d.text, '\s+', '', 'g'), bare) = 0))
+SELECT unit, count(*) AS n_missing, list_slice(list(left(fragment, 120) ORDER BY place), 1, 3) AS evidence FROM g GROUP BY unit""")
 def jn08_so05_literals(spark, sf):
-    u = tab(spark, sf, "benchmark").select(F.col("item_id").alias("unit"), F.col("item_id").alias("page"), "text")
+    """Benchmark texts, cut at their articles by protected tokens, against the document of the same number."""
+    u = tab(spark, sf, "benchmark").select(F.col("item_id").alias("unit"), F.col("item_id").alias("page"), F.replace("text", F.lit(" the "), F.lit("[[PT2-0123456789ab:F:0001]]")).alias("text"))
     return gates.missing_literals(u, docs(spark, sf).select(F.col("doc_id").alias("page"), F.col("text").alias("page_text")))
 
 
@@ -644,7 +675,7 @@ PAGES_S = Fixture("page bigint, text string", [(1, "In 1999 E = mc2 at https://a
 PAGES_T = Fixture("page bigint, text string", [(1, "1999 年 E=mc2"), (2, ""), (3, "12 13")])
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, ['https://a.org/x'], 1::BIGINT), (3, ['14'], 1)) t(page, missing, n)")
+@case("SELECT * FROM (VALUES (1::BIGINT, ['https://a.org/x'], 1::BIGINT), (3, ['14'], 1)) t(page, missing, n)")
 def jn09_so06_anchors(spark, sf):
     return gates.missing_anchors(PAGES_S.df(spark), PAGES_T.df(spark))
 
@@ -695,27 +726,72 @@ _FOUND = [(2, "BLANK_PAGE", "BLOCKING"), (2, "CONTENT_DENSITY", "BLOCKING"), (2,
 FOUND = Fixture("page bigint, category string, severity string", _FOUND)
 
 
-@query(f"SELECT * FROM {FOUND.sql}")
+@case(f"SELECT * FROM {FOUND.sql}")
 def pl17_page_gate(spark, sf):
     return gates.page_findings(PAIRS.df(spark))
 
 
-@query(f"SELECT page, list(category || ' ' || severity ORDER BY category, severity) AS findings, 'BLOCK' AS verdict FROM {FOUND.sql} GROUP BY page")
+@case(f"SELECT page, list(category || ' ' || severity ORDER BY category, severity) AS findings, 'BLOCK' AS verdict FROM {FOUND.sql} GROUP BY page")
 def ag07_ag14_report(spark, sf):
     r = gates.report(gates.page_findings(PAIRS.df(spark)), "page")
     return r.withColumn("findings", F.transform("findings", lambda f: F.concat_ws(" ", f["category"], f["severity"])))
 
 
-@query("SELECT lang, len(list_distinct(list(source))) AS n, list_sort(list_distinct(list(source))) AS keys FROM documents GROUP BY lang")
+@query("""SELECT conv_id // 10 AS chunk, conv_id::VARCHAR AS unit_key, count(*) AS n FROM conversations WHERE turn % 5 <> 4 GROUP BY ALL
+UNION ALL SELECT conv_id // 10, NULL, count(*) FROM conversations WHERE turn % 5 = 4 GROUP BY ALL""")
 def se05_key_sets(spark, sf):
-    return docs(spark, sf).groupBy("lang").agg(F.count_distinct("source").alias("n"), F.array_sort(F.collect_set("source")).alias("keys"))
+    """Unit keys of the nested payloads of a review chunk; every fifth turn is malformed."""
+    c = tab(spark, sf, "conversations")
+    key = F.when(F.col("turn") % 5 != 4, F.col("conv_id").cast("string"))
+    payload = F.to_json(F.struct(F.struct(F.struct(key.alias("unit_key")).alias("context")).alias("stage"), F.col("role").alias("padding")))
+    return bus.unit_keys(c.select(F.expr("conv_id div 10").alias("chunk"), payload.alias("payload"))).groupBy("chunk", "unit_key").agg(F.count("*").alias("n"))
+
+
+@query("""WITH o AS (SELECT doc_id // 10 AS chunk, doc_id AS observation, unnest([doc_id, doc_id + 7]) AS unit_key FROM labels WHERE doc_id % 11 > 0 UNION ALL SELECT doc_id // 10, doc_id, NULL FROM labels WHERE doc_id % 11 = 0)
+SELECT chunk, observation, unit_key FROM o WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id // 10 = o.chunk AND d.doc_id = o.unit_key)""")
+def se04_unknown_citations(spark, sf):
+    """Observations of a chunk of ten documents that cite a document outside it, or none."""
+    l = tab(spark, sf, "labels")
+    cites = F.when(F.col("doc_id") % 11 > 0, F.array(F.col("doc_id"), F.col("doc_id") + 7)).otherwise(F.array().cast("array<long>"))
+    o = l.select(F.expr("doc_id div 10").alias("chunk"), F.col("doc_id").alias("observation"), cites.alias("unit_keys"))
+    return bus.unknown_citations(o, docs(spark, sf).select(F.expr("doc_id div 10").alias("chunk"), F.col("doc_id").alias("unit_key"))).select("chunk", "observation", "unit_key")
+
+
+@query("""WITH o AS (SELECT conv_id AS unit, sha256(text) AS k, turn, role FROM conversations), s AS (SELECT unit, list_sort(list(k)) AS ks FROM o GROUP BY unit),
+f AS (SELECT unit, list_sort(list(sha256(unit || '-' || turn))) AS fs FROM o WHERE role = 'user' GROUP BY unit)
+SELECT s.unit, sha256(array_to_string(ks, chr(10))) AS option_set_id, ks AS option_keys, coalesce(fs, []) AS finding_ids FROM s LEFT JOIN f ON f.unit = s.unit""")
+def so03_review_reports(spark, sf):
+    """Review reports with options and findings in the order of their ids."""
+    c = tab(spark, sf, "conversations")
+    o = c.select(F.col("conv_id").alias("unit"), F.sha2("text", 256).alias("option_key"), F.col("text").alias("target_text"))
+    f = c.where("role = 'user'").select(F.col("conv_id").alias("unit"), F.sha2(F.concat_ws("-", "conv_id", "turn"), 256).alias("finding_id"), F.sha2("text", 256).alias("option_key"), F.lit("MINOR").alias("severity"))
+    r = bus.report(o, f)
+    return r.select("unit", "option_set_id", F.transform("options", lambda x: x["option_key"]).alias("option_keys"), F.transform("findings", lambda x: x["finding_id"]).alias("finding_ids"))
+
+
+def _directives(spark, sf):
+    l = tab(spark, sf, "labels")
+    return l.select(F.expr("doc_id div 5").alias("unit"), F.sha2(F.col("doc_id").cast("string"), 256).alias("directive_id"), F.concat(F.lit("r"), F.col("toxic") * 2 + F.col("quality")).alias("term_revision"), "doc_id")
+
+
+_DIR = "dir AS (SELECT doc_id // 5 AS unit, sha256(doc_id::VARCHAR) AS directive_id, 'r' || (toxic * 2 + quality) AS term_revision, doc_id FROM labels)"
 
 
-@query("SELECT doc_id, source IN ('src1', 'src2', 'src3') AS known FROM documents")
-def se04_subset(spark, sf):
-    return docs(spark, sf).select("doc_id", (F.size(F.array_except(F.array("source"), F.array(F.lit("src1"), F.lit("src2"), F.lit("src3")))) == 0).alias("known"))
+@query(f"""WITH {_DIR}, g AS (SELECT unit, list_sort(list(directive_id)) AS ids, list(CASE term_revision WHEN 'r3' THEN NULL ELSE 'term ' || term_revision END ORDER BY directive_id) AS ts FROM dir GROUP BY unit),
+c AS (SELECT unit, list_sort(list(directive_id)) AS ids FROM dir WHERE doc_id % 13 > 0 GROUP BY unit)
+SELECT unit, coalesce(g.ids, []) AS directive_ids, coalesce(g.ts, []) AS terms, CASE WHEN coalesce(g.ids, []) <> coalesce(c.ids, []) THEN 'context' WHEN len(list_filter(g.ts, lambda t: t IS NULL)) > 0 THEN 'term' END AS problem FROM g LEFT JOIN c USING (unit)""")
+def jn06_guidance(spark, sf):
+    """Directives with their term revisions per unit; some contexts lack a directive, one revision is unknown."""
+    d = _directives(spark, sf)
+    known = spark.createDataFrame([(f"r{i}", f"term r{i}") for i in range(3)], "term_revision string, source_term string")
+    context_ = d.where("doc_id % 13 > 0").groupBy("unit").agg(F.collect_list("directive_id").alias("directive_ids"))
+    g = terms.guidance(d, known, context_)
+    none = F.array().cast("array<string>")
+    part = lambda f: F.coalesce(F.transform("guidance", lambda x: x[f]), none)
+    return g.select("unit", part("directive_id").alias("directive_ids"), part("source_term").alias("terms"), "problem")
 
 
-@query("SELECT quality AS k, count(*) AS n, list_sort(list(doc_id)) AS members FROM labels GROUP BY quality")
-def so03_jn06_sp11_guidance(spark, sf):
-    return tab(spark, sf, "labels").groupBy(F.col("quality").alias("k")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("members"))
+@query(f"WITH {_DIR} SELECT unit, directive_id, term_revision, doc_id AS place FROM dir WHERE unit IN (SELECT conv_id FROM conversations)")
+def sp11_directives_of_units(spark, sf):
+    u = tab(spark, sf, "conversations").select(F.col("conv_id").alias("unit"))
+    return terms.for_unit(_directives(spark, sf).withColumnRenamed("doc_id", "place"), u).select("unit", "directive_id", "term_revision", "place")

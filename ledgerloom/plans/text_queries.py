@@ -29,6 +29,19 @@ def query(sql: str | None = None):
     return add
 
 
+#: Rules over small typed fixtures: for the tests, not registered.
+CASES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+CASE_SQL: dict[str, str] = {}
+
+
+def case(sql: str):
+    def add(f):
+        CASES[f.__name__], CASE_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     return records.read_table(spark, sf, "documents")
 
@@ -78,7 +91,7 @@ UNICODE = Fixture("k bigint, t string", [
 ])
 
 
-@query(f"SELECT k, nfc_normalize(regexp_replace(t, '\\r\\n?', chr(10), 'g')) AS v, sha256(nfc_normalize(regexp_replace(t, '\\r\\n?', chr(10), 'g'))) AS h FROM {UNICODE.sql}")
+@case(f"SELECT k, nfc_normalize(regexp_replace(t, '\\r\\n?', chr(10), 'g')) AS v, sha256(nfc_normalize(regexp_replace(t, '\\r\\n?', chr(10), 'g'))) AS h FROM {UNICODE.sql}")
 def fn01_normalize_text(spark, sf):
     v = tx.normalize_text(F.col("t"))
     return UNICODE.df(spark).select("k", v.alias("v"), ids.sha256_text(v).alias("h"))
@@ -98,7 +111,7 @@ def fn04_fn05_sha256(spark, sf):
 POINTS = Fixture("k bigint, x double", [(1, 2.0005), (2, 2.0015), (3, -0.0001), (4, 12.3456), (5, 0.0), (6, -7.1255), (7, None), (8, 1234567.5)])
 
 
-@query(f"SELECT k, CAST(CAST(round_even(CAST(x AS DECIMAL(20,6)), 3) AS DECIMAL(20,3)) AS VARCHAR) AS q FROM {POINTS.sql}")
+@case(f"SELECT k, CAST(CAST(round_even(CAST(x AS DECIMAL(20,6)), 3) AS DECIMAL(20,3)) AS VARCHAR) AS q FROM {POINTS.sql}")
 def fn06_quantize_point(spark, sf):
     return POINTS.df(spark).select("k", vl.quantize_point(F.col("x")).alias("q"))
 
@@ -106,7 +119,7 @@ def fn06_quantize_point(spark, sf):
 TAGS = Fixture("k bigint, t string", [(1, " EN "), (2, "zh-Hans"), (3, "  "), (4, "e n"), (5, None), (6, "De")])
 
 
-@query(f"SELECT k, CASE WHEN trim(t) <> '' AND NOT regexp_matches(trim(t), '\\s') THEN lower(trim(t)) END AS tag, nullif(trim(t), '') AS text FROM {TAGS.sql}")
+@case(f"SELECT k, CASE WHEN trim(t) <> '' AND NOT regexp_matches(trim(t), '\\s') THEN lower(trim(t)) END AS tag, nullif(trim(t), '') AS text FROM {TAGS.sql}")
 def fn07_fn08_tags(spark, sf):
     return TAGS.df(spark).select("k", tx.language_tag(F.col("t")).alias("tag"), tx.nonempty(F.col("t")).alias("text"))
 
@@ -127,7 +140,7 @@ FRAGMENTS = Fixture("k bigint, t string", [
 ])
 
 
-@query(f"""SELECT k, list_filter(list_transform(string_split_regex(t, '\\[\\[PT2-[0-9a-f]{{12}}:[^\\]]+\\]\\]'), lambda x: trim(x)),
+@case(f"""SELECT k, list_filter(list_transform(string_split_regex(t, '\\[\\[PT2-[0-9a-f]{{12}}:[^\\]]+\\]\\]'), lambda x: trim(x)),
   lambda x: length(replace(x, ' ', '')) >= 2 AND regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) AS parts FROM {FRAGMENTS.sql}""")
 def fn11_literal_fragments(spark, sf):
     return FRAGMENTS.df(spark).select("k", tx.literal_fragments(F.col("t")).alias("parts"))
@@ -140,7 +153,7 @@ ANCHORS = Fixture("k bigint, t string, want array<string>", [
 ])
 
 
-@query(f"SELECT k, want AS anchors FROM {ANCHORS.sql}")
+@case(f"SELECT k, want AS anchors FROM {ANCHORS.sql}")
 def fn12_anchors(spark, sf):
     return ANCHORS.df(spark).select("k", tx.anchors(F.col("t")).alias("anchors"))
 
@@ -161,7 +174,7 @@ RISKY = Fixture("k bigint, t string, lang string, want array<string>", [
 ])
 
 
-@query(f"SELECT k, want AS reasons, CASE WHEN len(want) > 0 THEN 'R2' ELSE 'R1' END AS risk FROM {RISKY.sql}")
+@case(f"SELECT k, want AS reasons, CASE WHEN len(want) > 0 THEN 'R2' ELSE 'R1' END AS risk FROM {RISKY.sql}")
 def fn18_risk_cases(spark, sf):
     return RISKY.df(spark).select("k", tx.risk_reasons(F.col("t"), F.col("lang")).alias("reasons"), tx.risk_floor(F.col("t"), F.col("lang")).alias("risk"))
 
@@ -182,10 +195,15 @@ URIS = Fixture("k bigint, u string, kind string, tier string, who string, ip str
     (6, "urn:isbn:123", "CORPUS_ATTESTATION", "C_CORPUS", "declared:key6", "169.254.3.4", False),
     (7, None, "CORPUS_ATTESTATION", "C_CORPUS", "declared:key7", None, False),
     (8, "https://blog.example.org", "CORPUS_ATTESTATION", "C_CORPUS", "web:blog.example.org", "not an ip", False),
+    (9, None, "CORPUS_ATTESTATION", "C_CORPUS", "declared:key9", "192.0.2.1", False), (10, None, "CORPUS_ATTESTATION", "C_CORPUS", "declared:key10", "198.18.0.1", False),
+    (11, None, "CORPUS_ATTESTATION", "C_CORPUS", "declared:key11", "203.0.113.9", False), (12, None, "CORPUS_ATTESTATION", "C_CORPUS", "declared:key12", "8.999.1.1", False),
+    (13, None, "CORPUS_ATTESTATION", "C_CORPUS", "declared:key13", "2606:4700::1111", True), (14, None, "CORPUS_ATTESTATION", "C_CORPUS", "declared:key14", "fe80::1", False),
+    (15, None, "CORPUS_ATTESTATION", "C_CORPUS", "declared:key15", "::1", False), (16, None, "CORPUS_ATTESTATION", "C_CORPUS", "declared:key16", "2001:db8::1", False),
+    (17, None, "CORPUS_ATTESTATION", "C_CORPUS", "declared:key17", "fc00::1", False), (18, None, "CORPUS_ATTESTATION", "C_CORPUS", "declared:key18", "100.64.0.1", False),
 ])
 
 
-@query(f"SELECT k, kind, tier, who, public FROM {URIS.sql}")
+@case(f"SELECT k, kind, tier, who, public FROM {URIS.sql}")
 def fn15_fn16_fn17_authority(spark, sf):
     c = vl.classify_uri(F.col("u"))
     return URIS.df(spark).select("k", c["kind"].alias("kind"), c["tier"].alias("tier"), vl.authority(F.col("u"), F.concat(F.lit("key"), F.col("k").cast("string"))).alias("who"), vl.globally_routable(F.col("ip")).alias("public"))
@@ -220,7 +238,7 @@ UNTRANSLATED = Fixture("k bigint, s string, t string, lang string, terms array<s
 ])
 
 
-@query(f"SELECT k, want AS blocked FROM {UNTRANSLATED.sql}")
+@case(f"SELECT k, want AS blocked FROM {UNTRANSLATED.sql}")
 def fn20_untranslated(spark, sf):
     c = F.col
     return UNTRANSLATED.df(spark).select("k", tx.untranslated(c("s"), c("t"), c("lang"), c("terms"), c("rend"), c("keep")).alias("blocked"))
@@ -234,7 +252,7 @@ MESSAGES = Fixture("k bigint, t string, red string, name string, short string",
 ])
 
 
-@query(f"SELECT k, red, name, short FROM {MESSAGES.sql}")
+@case(f"SELECT k, red, name, short FROM {MESSAGES.sql}")
 def fn21_fn22_fn23_messages(spark, sf):
     t = F.col("t")
     return MESSAGES.df(spark).select("k", tx.redact(t).alias("red"), tx.filename_component(t).alias("name"), tx.bounded(t).alias("short"))
@@ -252,7 +270,7 @@ SETTINGS = Fixture("k bigint, j string, bad boolean", [
 ])
 
 
-@query(f"SELECT k, bad FROM {SETTINGS.sql}")
+@case(f"SELECT k, bad FROM {SETTINGS.sql}")
 def fn26_secret_keys(spark, sf):
     return SETTINGS.df(spark).select("k", vl.has_secret_key(F.col("j")).alias("bad"))
 
@@ -262,7 +280,7 @@ RANKS = Fixture("k bigint, risk string, conv string, sev string, n bigint, hint
 ])
 
 
-@query(f"""SELECT k, CASE risk WHEN 'R1' THEN 1 WHEN 'R2' THEN 2 WHEN 'R3' THEN 3 END AS risk_rank, CASE conv WHEN 'UNATTESTED' THEN 0 WHEN 'RARE' THEN 1 WHEN 'ATTESTED' THEN 2 WHEN 'ESTABLISHED' THEN 3 END AS conv_rank,
+@case(f"""SELECT k, CASE risk WHEN 'R1' THEN 1 WHEN 'R2' THEN 2 WHEN 'R3' THEN 3 END AS risk_rank, CASE conv WHEN 'UNATTESTED' THEN 0 WHEN 'RARE' THEN 1 WHEN 'ATTESTED' THEN 2 WHEN 'ESTABLISHED' THEN 3 END AS conv_rank,
   sev IN ('MAJOR', 'CRITICAL', 'BLOCKING') AS serious, coalesce(CASE WHEN risk IN ('R1', 'R2', 'R3') THEN risk END, 'R1') AS risk_or_r1,
   least(30.0, greatest(pow(2, greatest(0, n - 1)), coalesce(hint, 0)))::DOUBLE AS delay FROM {RANKS.sql}""")
 def fn19_fn27_fn30_fn31_ranks(spark, sf):
@@ -275,7 +293,7 @@ def fn19_fn27_fn30_fn31_ranks(spark, sf):
 PIXELS = Fixture("k bigint, px array<bigint>", [(1, [0, 255, 244, 245]), (2, [255, 255]), (3, []), (4, [10, 20, 30])])
 
 
-@query(f"SELECT k, CASE WHEN len(px) > 0 THEN len(list_filter(px, lambda p: p < 245)) / len(px)::DOUBLE ELSE 0.0 END AS ink FROM {PIXELS.sql}")
+@case(f"SELECT k, CASE WHEN len(px) > 0 THEN len(list_filter(px, lambda p: p < 245)) / len(px)::DOUBLE ELSE 0.0 END AS ink FROM {PIXELS.sql}")
 def fn29_ink_ratio(spark, sf):
     return PIXELS.df(spark).select("k", vl.ink_ratio(F.col("px")).alias("ink"))
 
@@ -290,10 +308,9 @@ ENTRIES = Fixture("k bigint, target_form string, excerpt string, source_key stri
 ])
 
 
-@query(f"SELECT k, CASE WHEN k = 3 THEN ['blank text', 'excerpt lacks target'] ELSE want END AS problems FROM {ENTRIES.sql}")
+@case(f"SELECT k, want AS problems FROM {ENTRIES.sql}")
 def src06_evidence_constraints(spark, sf):
-    e = ENTRIES.df(spark).withColumn("excerpt", F.when(F.col("k") == 3, F.lit("x")).otherwise(F.col("excerpt")))
-    return e.select("k", evidence.problems().alias("problems"))
+    return ENTRIES.df(spark).select("k", evidence.problems().alias("problems"))
 
 
 @query("SELECT sha256(html) AS sha256, strlen(any_value(html)) AS size, 'objects/' || left(sha256(html), 2) || '/' || sha256(html) AS relative_path FROM pages GROUP BY sha256(html)")
@@ -373,3 +390,30 @@ def fn21_fn22_fn23_documents(spark, sf):
 @query(r"""SELECT event_id, coalesce(regexp_matches(replace(lower(props), '-', '_'), '"[^"]*(api_key|token|secret|password|credential)[^"]*"\s*:'), false) AS bad FROM events""")
 def fn26_event_settings(spark, sf):
     return records.read_table(spark, sf, "events").select("event_id", vl.has_secret_key(F.col("props")).alias("bad"))
+
+
+#: Special-purpose blocks that are not globally reachable, as first and last address in numbers; the two exceptions are anycast addresses.
+_BLOCKS = "((0, 16777215), (167772160, 184549375), (1681915904, 1686110207), (2130706432, 2147483647), (2851995648, 2852061183), (2886729728, 2887778303), (3221225472, 3221225727), (3221225984, 3221226239), (3232235520, 3232301055), (3323068416, 3323199487), (3325256704, 3325256959), (3405803776, 3405804031), (4026531840, 4294967295))"
+
+
+@query(f"""WITH b AS (SELECT unnest([{", ".join("[" + x.strip("() ") + "]" for x in _BLOCKS[1:-1].split("), ("))}]) AS r), a AS (SELECT event_id, (event_id * 2654435761) % 4294967296 AS n, event_id % 8 AS k FROM events),
+v AS (SELECT event_id, k, CASE k WHEN 0 THEN n WHEN 1 THEN 167772160 + n % 16777216 WHEN 2 THEN 3323068416 + n % 131072 WHEN 3 THEN 3405803776 + n % 256 WHEN 4 THEN 3221225984 + n % 512 ELSE n END AS n FROM a)
+SELECT event_id, CASE WHEN k = 5 THEN n % 2 = 0 WHEN k = 6 THEN false ELSE NOT EXISTS (SELECT 1 FROM b WHERE n BETWEEN r[1] AND r[2]) OR n IN (3221225481, 3221225482) END AS public FROM v""")
+def fn16_addresses(spark, sf):
+    """Addresses made from event numbers: all of IPv4, some of its special blocks, IPv6 of two blocks, and text that is no address."""
+    n = (F.col("event_id") * 2654435761) % 4294967296
+    k = F.col("event_id") % 8
+    n = F.when(k == 1, 167772160 + n % 16777216).when(k == 2, 3323068416 + n % 131072).when(k == 3, 3405803776 + n % 256).when(k == 4, 3221225984 + n % 512).otherwise(n)
+    octet = lambda i: F.shiftright(n, i).bitwiseAND(255)
+    v4 = F.concat_ws(".", octet(24), octet(16), octet(8), octet(0))
+    v6 = F.concat(F.when(n % 2 == 0, "2606:4700::").otherwise("fd00::"), F.lower(F.hex(n % 65536)))
+    a = F.when(k == 5, v6).when(k == 6, F.concat_ws(".", F.lit(8), F.lit(999), octet(8), octet(0))).otherwise(v4)
+    return records.read_table(spark, sf, "events").select("event_id", vl.globally_routable(a).alias("public"))
+
+
+@query(r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN sha256('{"namespace":"ledgerloom.authority/1","payload":{"declared_source":"s' || page_id || '"}}')
+  ELSE sha256('{"namespace":"ledgerloom.authority/1","payload":{"web_authority":"' || regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\.', '') || '"}}') END AS k FROM pages""")
+def fn17_authority_keys(spark, sf):
+    p = records.read_table(spark, sf, "pages")
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("urn:x:"), F.col("page_id"))).otherwise(F.col("url"))
+    return p.select("page_id", vl.authority_key(url, F.concat(F.lit("s"), F.col("page_id"))).alias("k"))

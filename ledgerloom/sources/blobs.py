@@ -10,21 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def addressed(df: DataFrame, content: str = "content") -> DataFrame:
-    """``sha256, size, relative_path, prefix, content`` of distinct contents; null is no blob."""
+def addressed(df: DataFrame, content: str = "content", suffix: str = "") -> DataFrame:
+    """``sha256, size, relative_path, prefix, content`` of distinct contents; null is no blob.
+
+    Final artifacts go to a store of their own, with a ``suffix`` to their names.
+    """
     sha = F.sha2(F.col(content), 256)
     return (
         df.where(F.col(content).isNotNull())
         .select(sha.alias("sha256"), F.length(content).cast("long").alias("size"), F.col(content).alias("content"))
         .dropDuplicates(["sha256"])
         .withColumn("prefix", F.left("sha256", F.lit(2)))
-        .withColumn("relative_path", F.concat(F.lit("objects/"), F.col("prefix"), F.lit("/"), F.col("sha256")))
+        .withColumn("relative_path", F.concat(F.lit("objects/"), F.col("prefix"), F.lit("/"), F.col("sha256"), F.lit(suffix)))
     )
 
 
-def put(df: DataFrame, store: str, content: str = "content") -> None:
+def put(df: DataFrame, store: str, content: str = "content", suffix: str = "") -> None:
     """Appends what ``store`` does not hold yet."""
-    spark, new = df.sparkSession, addressed(df, content)
+    spark, new = df.sparkSession, addressed(df, content, suffix)
     path = spark._jvm.org.apache.hadoop.fs.Path(store)
     if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         new = new.join(spark.read.parquet(store).select("sha256"), "sha256", "left_anti")
@@ -36,6 +39,26 @@ def get(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.parquet(store).withColumn("intact", (F.sha2("content", 256) == F.col("sha256")) & (F.length("content") == F.col("size")))
 
 
+def lookup(spark: SparkSession, references: DataFrame, store: str) -> DataFrame:
+    """Adds ``state`` to references (``sha256, size`` and others): intact, corrupt or missing in the store."""
+    held = get(spark, store).groupBy("sha256").agg(F.bool_and("intact").alias("_intact"), F.max("size").alias("_size"))
+    j = references.join(held, "sha256", "left")
+    return j.withColumn("state", F.when(F.col("_intact").isNull(), "missing").when(F.col("_intact") & (F.col("_size") == F.col("size")), "intact").otherwise("corrupt")).drop("_intact", "_size")
+
+
+def context_problems(contexts: DataFrame, states: DataFrame) -> DataFrame:
+    """``context_key, problems`` of rows that bind a prepared artifact to its context.
+
+    ``contexts``: ``context_key, project_key, part_key, payload`` (JSON with the same three keys) and
+    ``sha256``; ``states``: ``sha256, state`` as :func:`lookup` gives them.
+    """
+    said = lambda k: F.get_json_object("payload", f"$.{k}")
+    j = contexts.join(states.select("sha256", "state").distinct(), "sha256", "left")
+    rules = [(~said(k).eqNullSafe(F.col(k)), k.split("_")[0]) for k in ("context_key", "project_key", "part_key")]
+    rules.append((~F.col("state").eqNullSafe(F.lit("intact")), "artifact"))
+    return j.select("context_key", F.filter(F.array(*(F.when(c, F.lit(n)) for c, n in rules)), lambda x: x.isNotNull()).alias("problems"))
+
+
 def digest_files(spark: SparkSession, path: str) -> DataFrame:
     """``name, sha256, size`` of files, as a delivery manifest lists them."""
     files = spark.read.format("binaryFile").load(path)

@@ -113,3 +113,30 @@ def fetch(citations: DataFrame, pages: DataFrame) -> DataFrame:
     held = pages.groupBy("url").agg(F.max("html").alias("html"))
     allowed = F.when(fetchable(F.col("url")), F.col("html"))
     return citations.join(held, "url", "left").withColumn("page_text", visible_text(allowed)).drop("html")
+
+
+#: Pages are read up to so many bytes; longer ones are refused.
+LARGEST_PAGE = 2_000_000
+
+
+def resolve(urls: DataFrame, redirects: DataFrame, addresses: DataFrame, pages: DataFrame, hops: int = 4) -> DataFrame:
+    """``url, final_url, page_text`` of pages reached by at most ``hops`` requests; null text where any step is refused.
+
+    ``redirects``: ``url, location``; ``addresses``: ``host, address`` (all of a host's must be public);
+    ``pages``: ``url, html``.  Every step must be an address that may be fetched.  The tables take the
+    place of the network.
+    """
+    from ..functions.values import globally_routable, host
+
+    public = addresses.groupBy("host").agg(F.bool_and(globally_routable(F.col("address"))).alias("public"))
+    moved = redirects.groupBy("url").agg(F.max("location").alias("location")).withColumnRenamed("url", "now")
+    step = urls.select("url").distinct().withColumns({"now": F.col("url"), "ended": F.lit(False)})
+    for _ in range(hops):
+        open_ = step.where("NOT ended").withColumn("host", host(F.col("now"))).join(public, "host", "left")
+        allowed = fetchable(F.col("now")) & F.coalesce("public", F.lit(False))
+        went = open_.withColumn("ok", allowed).join(moved, "now", "left")
+        went = went.select("url", F.when(~F.col("ok"), None).otherwise(F.coalesce("location", "now")).alias("now"), (~F.col("ok") | F.col("location").isNull()).alias("ended"))
+        step = step.where("ended").unionByName(went)
+    final = step.select("url", F.when(F.col("ended"), F.col("now")).alias("final_url"))
+    held = pages.where(F.octet_length("html") <= LARGEST_PAGE).groupBy(F.col("url").alias("final_url")).agg(F.max("html").alias("html"))
+    return final.join(held, "final_url", "left").select("url", "final_url", visible_text(F.col("html")).alias("page_text"))

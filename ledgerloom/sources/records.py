@@ -61,6 +61,44 @@ def gaps(records: DataFrame) -> DataFrame:
     )
 
 
+class Divergent(ValueError):
+    """Supplied data do not carry the keys that they should."""
+
+
+def divergent(supplied: DataFrame, snapshot: str = "snapshot-1") -> DataFrame:
+    """Records of an external source whose key or revision is not the one that their content has."""
+    own = identify(supplied.drop("record_key", "record_revision", "source_sha256"), snapshot).select("doc_id", "para", F.col("record_key").alias("_key"), F.col("record_revision").alias("_rev"))
+    j = supplied.join(own, ["doc_id", "para"])
+    wrong = F.filter(F.array(F.when(F.col("record_key") != F.col("_key"), "key"), F.when(F.col("record_revision") != F.col("_rev"), "revision")), lambda x: x.isNotNull())
+    return j.withColumn("wrong", wrong).where(F.size("wrong") > 0).select("doc_id", "para", "wrong")
+
+
+def ingest(supplied: DataFrame) -> DataFrame:
+    """The supplied records, in which every key is proved; raises :class:`Divergent` otherwise."""
+    if bad := divergent(supplied).orderBy("doc_id", "para").limit(3).collect():
+        raise Divergent("; ".join(f"document {r.doc_id}, paragraph {r.para}: {', '.join(r.wrong)}" for r in bad))
+    return supplied
+
+
+#: A part of the registered manifest: one JSON blob per part.
+PART = "struct<part_key:string,records:array<struct<para:int,source_text:string,disposition:string,reason:string>>>"
+
+
+def register(records: DataFrame, part: str) -> DataFrame:
+    """``part_key, blob``: the records of each part as one JSON document, as the manifest holds them."""
+    rows = F.array_sort(F.collect_list(F.struct("para", "source_text", "disposition", "reason")))
+    return records.groupBy(F.col(part).cast("string").alias("part_key")).agg(rows.alias("records")).select("part_key", F.to_json(F.struct("part_key", "records")).alias("blob"))
+
+
+def load_document(manifest: DataFrame, part: str) -> DataFrame:
+    """The typed records of one part; raises :class:`KeyError` if the manifest does not hold it or it cannot be read."""
+    found = manifest.where(F.col("part_key") == part).select(F.from_json("blob", PART).alias("d"))
+    first = found.select(F.col("d.records").isNotNull().alias("ok")).limit(2).collect()
+    if len(first) != 1 or not first[0].ok:
+        raise KeyError(part)
+    return found.select(F.inline("d.records"))
+
+
 def load_part(docs: DataFrame, column: str, part: str) -> DataFrame:
     """The documents of one part; the filter reaches the scan."""
     return docs.where(F.col(column) == part)

@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession, label: str) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="ledgerloom-stream-")
-    return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from .folders import shared_folder
 
 
 def follow(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
@@ -34,7 +28,7 @@ def windowed(events: DataFrame, at: str, by: str, width: str = "1 day", late: st
 
 def replayed(spark: SparkSession, path: str) -> DataFrame:
     """The ledger as a stream would have written it: source → append sink → batch read."""
-    table, checkpoint = _folder(spark, "ledger"), _folder(spark, "offsets")
+    table, checkpoint = shared_folder(spark, "ledger"), shared_folder(spark, "offsets")
     append(follow(spark, path), table, checkpoint)
     append(follow(spark, path), table, checkpoint)  # nothing new: exactly once
     return spark.read.parquet(table)

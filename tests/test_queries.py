@@ -18,9 +18,13 @@ def test_query_equals_sql(spark, con, name):
     same(catalog.QUERIES[name](spark, SF), con, catalog.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_query_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() > 0
+@pytest.mark.parametrize("name", sorted(catalog.CASES))
+def test_rule_on_typed_cases(spark, con, name):
+    same(catalog.CASES[name](spark, SF), con, catalog.CASE_SQL[name])
+
+
+def test_every_query_has_sql_and_reads_a_table():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES) and not set(catalog.CASES) & set(catalog.QUERIES)
 
 
 def test_entry(spark):
