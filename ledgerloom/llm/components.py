@@ -44,9 +44,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
         mark = state
         first = _least(now)
-        middle = keep(_large_star(now, first))
+        middle = cut(_large_star(now, first), "edges")
         second = _least(middle)
         after = cut(_small_star(middle, second), "edges")
-        release(first, middle, second)
-        drop_cut(now)
+        release(first, second)
+        drop_cut(now, middle)
         now = after

@@ -264,23 +264,24 @@ def _completion(members: DataFrame, docs: DataFrame, doc_id: str, text: str, wor
     rooted = found.join(members, ["hub", "id"])
     shared = rooted.groupBy("hub", "e").agg(F.count("*").alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("hub", "e", "often")
     place = F.row_number().over(Window.partitionBy("hub", "id").orderBy(F.coalesce("often", F.lit(0)), "e"))
-    met_by = keep(rooted.join(shared, ["hub", "e"], "left").withColumn("place", place).where("often IS NOT NULL"))
+    # Tables, not kept frames: the plans that follow use them several times and would hold all of this each time.
+    met_by = cut(rooted.join(shared, ["hub", "e"], "left").withColumn("place", place).where("often IS NOT NULL").drop("often"), "met")
+    release(found)
     # Of members of one component with the same shared elements the lightest.
     same = [F.count("*").alias("k"), F.bit_xor(F.xxhash64("e")).alias("x"), F.sum(F.xxhash64("e", F.lit(1)).cast("decimal(38,0)")).alias("s")]
     marks = met_by.groupBy("hub", "root", "id").agg(*same, F.first("w").alias("w"))
     lightest = marks.groupBy("hub", "root", "k", "x", "s").agg(F.min(F.struct("w", "id")).alias("least")).select("hub", F.col("least.id").alias("id"))
-    short = keep(met_by.where(F.col("place") <= F.greatest("as_any", "as_outside")).join(lightest, ["hub", "id"]))
+    short = cut(met_by.where(F.col("place") <= F.greatest("as_any", "as_outside")).join(lightest, ["hub", "id"]), "short")
     # An element met at these places leaves at most so many more to share; the pair needs as many as its weights ask.
-    side = lambda df, c: df.select("hub", "e", *(F.col(x).alias(x + c) for x in ("id", "root", "n", "w")), (F.col("size") - F.col("place")).alias("rest" + c))
+    side = lambda df, c, *more: df.select("hub", "e", *more, *(F.col(x).alias(x + c) for x in ("id", "root", "n", "w")), (F.col("size") - F.col("place")).alias("rest" + c))
     y = side(short.where("place <= as_any"), "_b")
     others = y.select("hub", "e", "root_b").distinct()
-    x = short.where("outside and place <= as_outside")
-    x = side(x, "_a").join(x.select("hub", "hub_n").distinct(), "hub").join(others, ["hub", "e"]).where("root_a != root_b")
+    x = side(short.where("outside and place <= as_outside"), "_a", "hub_n").join(others, ["hub", "e"]).where("root_a != root_b")
     reach = (1 + t) * (1 + F.least("rest_a", "rest_b")) >= F.col("w_a") + F.col("w_b") - (1 - t) * F.col("hub_n") - 1e-6
     size = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     met = x.join(y, ["hub", "e", "root_b"]).where(size & reach)
     out = cut(met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), "completion")
-    release(found, met_by, short)
+    drop_cut(met_by, short)
     return out
 
 
@@ -329,7 +330,7 @@ def near_duplicates(
     if not unsettled.isEmpty():
         more = test(_completion(unsettled, docs, doc_id, text, words, percent))
         if not more.isEmpty():
-            roots = components(links.union(more))
+            roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))
 
     named = cut(classes.join(roots, "id", "left").select("set_key", F.coalesce("root", "id").alias("root")), "named")
     drop_cut(classes, members, links, unsettled)
