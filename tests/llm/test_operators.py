@@ -900,6 +900,34 @@ def test_pipeline_stages(spark):
     assert done.count() > 0 and "ids_sha256" in done.columns
 
 
+def test_pipeline_stages_on_empty_and_odd_tables(spark):
+    import corpus_pipeline as P
+
+    more = "doc_id long, text string, lang string, source string, n_chars long, id long, tox_score string, lang_pred int, copies int, token_ids string, root long"
+    empty = spark.createDataFrame([], more)
+    odd = spark.createDataFrame([(None, None, None, None, None, 1, "x", 1, 1, "t", 1), (3, "", "en", "s", 0, 2, "x", 1, 1, "t", 1), (3, "", "en", "s", 0, 2, "x", 1, 1, "t", 1), (4, "words of a text " * 9, "en", "s", 1, 3, "x", 1, 1, "t", 1)], more)
+    for name, stage in P.STAGES:
+        assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0, name
+        got = stage(spark, odd, "/root/testdata/sf0.001")
+        assert 4 in {r.doc_id for r in got.collect()} or name == "language", name
+        assert name == "byte_bpe" or got.columns == odd.columns
+
+
+def test_temporaries_are_given_up(spark):
+    from ledgerloom.llm.common import cut, keep, temporaries
+
+    paths = lambda *frames: [f for df in frames for f in df.inputFiles()]
+    with temporaries() as kept:
+        a, b = cut(spark.range(5)), cut(spark.range(7))
+        c = keep(spark.range(3))
+        kept.append(b)
+        files = paths(a, b)
+    assert not c.is_cached and b.count() == 7
+    import os
+
+    assert [os.path.exists(f.removeprefix("file://")) for f in files] == [False] * len(paths(a)) + [True] * len(paths(b))
+
+
 def test_pipeline_keeps_different_texts_of_one_id(spark):
     import corpus_pipeline as P
 
