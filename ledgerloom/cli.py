@@ -30,7 +30,6 @@ def _run(project: Project, services: str | None, again: bool) -> dict:
     """A run from the bound inputs only; ``again`` demands that one was begun before."""
     from pyspark.sql import SparkSession
 
-    from .operators.executor import Executor
     from .plans import publication
 
     if not services:
@@ -41,11 +40,10 @@ def _run(project: Project, services: str | None, again: bool) -> dict:
         raise ControlError("there is no run to resume")
     module, _, name = services.partition(":")
     spark = SparkSession.builder.getOrCreate()
-    folder = f"file://{tables.resolve()}"
-    executor = Executor(spark, f"{folder}/calls", max_attempts=config.max_attempts, lease_seconds=max(300, config.request_timeout_seconds + 60), max_calls=config.max_calls, max_cost=config.max_cost)
-    made = publication.Publication(spark, folder, project, getattr(importlib.import_module(module), name)(), executor, config.chunk_characters)
+    services_ = getattr(importlib.import_module(module), name)()
+    made = publication.wire(spark, f"file://{tables.resolve()}", project, config, services_)
     result = made.run(publication.read_source(spark, str(Path(source).resolve())))
-    return {"state": project.status(), "release": result.release, "calls": sum(executor.calls.values())}
+    return {"state": project.status(), "release": result.release, "calls": sum(made.executor.calls.values())}
 
 
 def perform(command: str, folder: str, source: str | None = None, destination: str | None = None, config: str | None = None, services: str | None = None) -> object:

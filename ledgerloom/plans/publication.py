@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -22,7 +23,7 @@ from ..operators import bus, constraints, gates
 from ..operators.executor import Executor
 from ..sources import records
 from .kernel import Blocked, Kernel, Services
-from .project import Project, write_atomic
+from .project import Config, Project, write_atomic
 
 
 class MissingApprovals(RuntimeError):
@@ -82,13 +83,31 @@ def findings(units: DataFrame, outcomes: DataFrame, text: DataFrame) -> DataFram
     return lost.unionByName(gone).unionByName(blank)
 
 
+@dataclass(frozen=True)
+class Points:
+    """Where a run may be extended: how units are routed, rendered and checked."""
+
+    plan: Callable[[DataFrame], DataFrame] = routes_of  # units → unit, lanes
+    render: Callable[[DataFrame, DataFrame], DataFrame] = render  # units, approvals → doc_id, text
+    verify: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = findings  # units, approvals, text → doc_id, category, severity
+
+
+def wire(spark: SparkSession, folder: str, project: Project, config: Config, services: Services, points: Points = Points()) -> Publication:
+    """A publication under a project's limits: budget, attempts, lease and the size of review chunks."""
+    executor = Executor(
+        spark, f"{folder.rstrip('/')}/calls", owner="review-bus", max_attempts=config.max_attempts, lease_seconds=max(300, config.request_timeout_seconds + 60),
+        max_calls=config.max_calls, max_cost=config.max_cost,
+    )
+    return Publication(spark, folder, project, services, executor, config.chunk_characters, points)
+
+
 class Publication:
     """``folder``: shared folder of the run's tables; ``project``: bound inputs, pointers and reports."""
 
-    def __init__(self, spark: SparkSession, folder: str, project: Project, services: Services, executor: Executor | None = None, chunk_characters: int = 40_000):
+    def __init__(self, spark: SparkSession, folder: str, project: Project, services: Services, executor: Executor | None = None, chunk_characters: int = 40_000, points: Points = Points()):
         self.spark, self.folder, self.project, self.services = spark, folder.rstrip("/"), project, services
         self.executor = executor or Executor(spark, f"{self.folder}/calls")
-        self.chunk_characters = chunk_characters
+        self.chunk_characters, self.points = chunk_characters, points
 
     def _approvals(self, release: dict | None) -> DataFrame | None:
         return None if release is None else self.spark.read.parquet(f"{self.folder}/approvals/{release['release_id']}")
@@ -100,18 +119,18 @@ class Publication:
             stored = self._approvals(before)
             if stored is None:
                 raise MissingApprovals("no release yet")
-            rendered = render(units, stored)
+            rendered = self.points.render(units, stored)
         except MissingApprovals:
             capture = True
         todo = units.where("disposition = 'translatable'").select("unit", "doc_id", "pos", "source_text")
-        routes = routes_of(units.where("disposition = 'translatable'"))
+        routes = self.points.plan(units.where("disposition = 'translatable'"))
         outcomes = Kernel(self.spark, self.executor, self.services, self.chunk_characters).run(routes, todo)
         release = bus.release(outcomes, "doc_id", "pos")
         if release != before:
             outcomes.write.mode("overwrite").parquet(f"{self.folder}/approvals/{release['release_id']}")
             self.project.point("release", part, release)
         approved = self._approvals(release)
-        text = rendered if rendered is not None and release == before else render(units, approved)
+        text = rendered if rendered is not None and release == before else self.points.render(units, approved)
         # What was rendered must be what the release holds, and the release must still be the active one.
         expected = outcomes.select("unit", F.lit(1).alias("revision"))
         if constraints.exact_cover(expected, approved.select("unit", F.lit(1).alias("revision")), "unit", "revision").limit(1).count() or bus.release(approved, "doc_id", "pos") != release:
@@ -124,7 +143,7 @@ class Publication:
         return Result(release, self._publish(part, release, units, approved, text), text, capture)
 
     def _publish(self, part: str, release: dict, units: DataFrame, approved: DataFrame, text: DataFrame) -> dict:
-        found = findings(units, approved, text).groupBy("category", "severity").agg(F.count("*").alias("n")).collect()
+        found = self.points.verify(units, approved, text).groupBy("category", "severity").agg(F.count("*").alias("n")).collect()
         digest = bus.release(text.select("doc_id", F.lit(0).alias("pos"), F.sha2("text", 256).alias("outcome_id")), "doc_id", "pos")
         place = f"{self.folder}/text/{release['release_id']}"
         delivery = json.dumps({"text": place, "digest": digest["release_id"], "documents": digest["documents"]}, sort_keys=True).encode()

@@ -67,7 +67,7 @@ _ASCII = r"regexp_replace(text, '[^\x00-\x7F]+', '', 'g')"
 
 
 @query(rf"""WITH s AS (SELECT conv_id, turn, {_ASCII} AS s, (conv_id + turn) % 6 AS k FROM conversations),
-t AS (SELECT *, CASE k WHEN 0 THEN s WHEN 1 THEN '热量向下流动' WHEN 2 THEN left(s, (length(s) * 9 // 10)::INT) || '热' WHEN 3 THEN s || repeat('热', (length(s) // 2)::INT) WHEN 4 THEN upper(s) ELSE left(s, (length(s) // 2)::INT) END AS t, CASE WHEN k = 4 AND turn % 2 = 0 THEN 'de' ELSE 'zh-Hans' END AS lang FROM s),
+t AS (SELECT *, CASE k WHEN 0 THEN s WHEN 1 THEN '热量向下流动' WHEN 2 THEN left(s, (length(s) * 9 // 10)::INT) || ' 热' WHEN 3 THEN s || ' ' || repeat('热', (length(s) // 2)::INT) WHEN 4 THEN upper(s) ELSE left(s, (length(s) // 2)::INT) END AS t, CASE WHEN k = 4 AND turn % 2 = 0 THEN 'de' ELSE 'zh-Hans' END AS lang FROM s),
 w AS (SELECT *, regexp_extract_all(s, '(?i)\b[A-Z][A-Z''-]{{1,}}\b') AS ws, len(regexp_extract_all(t, '[㐀-鿿]')) AS cjk FROM t),
 k AS (SELECT *, len(ws) AS n, len(list_filter(ws, lambda w: regexp_matches(t, '(?i)\b' || w || '\b'))) AS kept FROM w)
 SELECT conv_id, turn, lang LIKE 'zh%' AND n > 0 AND (lower(trim(regexp_replace(s, '\s+', ' ', 'g'))) = lower(trim(regexp_replace(t, '\s+', ' ', 'g'))) OR (n >= 2 AND kept >= 0.8 * n AND cjk < greatest(4, n * 2)) OR (n = 1 AND kept = 1 AND cjk = 0)) AS blocked FROM k""")
@@ -76,7 +76,7 @@ def fn20_untranslated_turns(spark, sf):
     s = F.regexp_replace("text", r"[^\x00-\x7F]+", "")
     k, n = (F.col("conv_id") + F.col("turn")) % 6, F.length("s")
     part = lambda m: F.left("s", m.cast("int"))
-    t = F.when(k == 0, F.col("s")).when(k == 1, "热量向下流动").when(k == 2, F.concat(part(F.floor(n * 9 / 10)), F.lit("热"))).when(k == 3, F.concat("s", F.repeat(F.lit("热"), F.floor(n / 2).cast("int"))))
+    t = F.when(k == 0, F.col("s")).when(k == 1, "热量向下流动").when(k == 2, F.concat(part(F.floor(n * 9 / 10)), F.lit(" 热"))).when(k == 3, F.concat("s", F.lit(" "), F.repeat(F.lit("热"), F.floor(n / 2).cast("int"))))
     t = t.when(k == 4, F.upper("s")).otherwise(part(F.floor(n / 2)))
     lang = F.when((k == 4) & (F.col("turn") % 2 == 0), "de").otherwise("zh-Hans")
     none = F.array().cast("array<string>")

@@ -95,10 +95,11 @@ def pr03_record_rules(spark, sf):
     return RECORDS.df(spark).select("k", constraints.record_problems(c("d"), c("r"), c("unit"), c("box"), c("vert")).alias("problems"))
 
 
-@query(f"WITH {LINES} SELECT source, count(*) FILTER (disposition = 'safe_exclusion') AS blockers FROM rec GROUP BY source HAVING count(*) FILTER (disposition = 'safe_exclusion') > 0")
+@query(rf"WITH {LINES} SELECT doc_id, count(*) AS blockers FROM rec WHERE regexp_matches(source_text, '\d') GROUP BY doc_id")
 def pr05_blockers(spark, sf):
-    r = records.segment(docs(spark, sf)).withColumn("disposition", F.when(F.col("disposition") == "safe_exclusion", "blocker").otherwise(F.col("disposition")))
-    return constraints.blocked(r, "source")
+    """Paragraphs with digits taken for blockers: the documents that they stop."""
+    r = records.segment(docs(spark, sf)).withColumn("disposition", F.when(F.col("source_text").rlike(r"\d"), "blocker").otherwise(F.col("disposition")))
+    return constraints.blocked(r, "doc_id")
 
 
 # Approvals: each turn of a conversation is a revision of its unit; the documents are the units.
@@ -703,10 +704,12 @@ def _lines(spark, sf):
     return tab(spark, sf, "pages").select((i % 5).alias("page"), (i % 4).alias("block"), i.alias("line"), d(i * 37 % 500).alias("x0"), d(i * 53 % 700).alias("y0"), d(i * 37 % 500 + 20 + i % 90).alias("x1"), d(i * 53 % 700 + 10 + i % 40).alias("y1"))
 
 
-@query(f"""WITH {_BOX}, j AS (SELECT a.page, least(a.x1, c.x1) - greatest(a.x0, c.x0) AS w, least(a.y1, c.y1) - greatest(a.y0, c.y0) AS h, least((a.x1 - a.x0) * (a.y1 - a.y0), (c.x1 - c.x0) * (c.y1 - c.y0)) AS m
-FROM b a JOIN b c ON a.page = c.page AND a.line < c.line AND a.block <> c.block) SELECT page, count(*) AS overlaps FROM j WHERE w > 0 AND h > 0 AND w * h > 0.3 * m GROUP BY page""")
+@query(f"""WITH {_BOX}, e AS (SELECT line % 2 AS page, block, line, x0, y0, x1 + 2 * (x1 - x0) AS x1, y1 + 2 * (y1 - y0) AS y1 FROM b), j AS (SELECT a.page, least(a.x1, c.x1) - greatest(a.x0, c.x0) AS w, least(a.y1, c.y1) - greatest(a.y0, c.y0) AS h, least((a.x1 - a.x0) * (a.y1 - a.y0), (c.x1 - c.x0) * (c.y1 - c.y0)) AS m
+FROM e a JOIN e c ON a.page = c.page AND a.line < c.line AND a.block <> c.block) SELECT page, count(*) AS overlaps FROM j WHERE w > 0 AND h > 0 AND w * h > 0.3 * m GROUP BY page""")
 def jn10_overlaps(spark, sf):
-    return gates.overlapping_lines(_lines(spark, sf), threshold=0.3)
+    """Lines of every page, three times as wide and high, of which many overlap."""
+    wide = _lines(spark, sf).withColumns({"page": F.col("line") % 2, "x1": F.col("x1") + 2 * (F.col("x1") - F.col("x0")), "y1": F.col("y1") + 2 * (F.col("y1") - F.col("y0"))})
+    return gates.overlapping_lines(wide, threshold=0.3)
 
 
 @query(f"WITH {_BOX} SELECT page, block::INT AS block, line::INT AS line, x0, y0, x1, y1 FROM (SELECT page, dense_rank() OVER (PARTITION BY page ORDER BY block) - 1 AS block, row_number() OVER (PARTITION BY page, block ORDER BY line) - 1 AS line, x0, y0, x1 - 40 AS x1, y1 FROM b) WHERE x1 > x0")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import strip
 
-#: The parts of a reply that are read; anything else in it is ignored.
+#: Names of the reply format that are read; anything else in a reply is ignored.
 REPLY = "struct<output:array<struct<type:string,content:array<struct<type:string,text:string,annotations:array<map<string,string>>>>>>>"
 
 
