@@ -75,7 +75,7 @@ def build_tokenizer(ranks: dict[bytes, int]) -> str:
 class Codec:
     """Encodes and decodes batches of texts; one per Python worker."""
 
-    def __init__(self, tokenizer_json: str, pattern: str, cache_pieces: int = 200_000):
+    def __init__(self, tokenizer_json: str, pattern: str, cache_pieces: int = 50_000):
         import regex
         from tokenizers import Tokenizer
 

@@ -46,7 +46,7 @@ BITS, HASHES, FULL = 1024, 5, 80
 STEPS = 6  # binary places of the entropies that are counted
 LEAST = 1 << (STEPS - 1)  # half a bit: below, a window is nearly constant
 BINS = (W.bit_length() - 1 << STEPS) + 1
-SEGMENT = 1 << 19
+SEGMENT = 1 << 17
 TOGETHER = 1 << 16  # bytes of short texts that are worked on at once, to stay in the cache
 _U = np.uint64
 _FIX = 16  # binary places of entropies
