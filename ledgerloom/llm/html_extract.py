@@ -92,7 +92,11 @@ class _Open:
 
     def last(self, names) -> int:
         """The place of the innermost open element of one of these tags, 0 if there is none."""
-        return max((places[-1] for n in names if (places := self.at.get(n))), default=0)
+        found = 0
+        for n in names:
+            if (places := self.at.get(n)) and places[-1] > found:
+                found = places[-1]
+        return found
 
     def cut(self, place: int) -> None:
         while len(self.nodes) > place:
@@ -143,7 +147,8 @@ def parse(page: str | None) -> Dom:
         if not m:
             add_text(page[at:])
             break
-        add_text(page[at : m.start()])
+        if m.start() > at:
+            add_text(page[at : m.start()])
         at = m.end()
         name = m[2]
         if not name:
@@ -179,7 +184,7 @@ def parse(page: str | None) -> Dom:
             if name == "hr":
                 close()
             continue
-        if name in ENDS_P and (place := stack.last(("p",))) > stack.last(("table", "td", "button")):
+        if name in ENDS_P and (place := stack.last(("p",))) and place > stack.last(("table", "td", "button")):
             pop_to(place)
         if name in ENDS:
             ended, walls = ENDS[name]
@@ -189,10 +194,11 @@ def parse(page: str | None) -> Dom:
                 pop_to(place)
                 if last:
                     break
-        close()
+        if run:
+            close()
         dom.tags.append(name)
         dom.parents.append(stack.nodes[-1])
-        dom.words.append(tuple(w.lower() for _, v in _ATTR.findall(m[3] or "") for w in _NAME.findall(v)))
+        dom.words.append(tuple(w.lower() for _, v in _ATTR.findall(m[3]) for w in _NAME.findall(v)) if m[3] else ())
         stack.push(len(dom.tags) - 1)
         links = 0 if name not in ("li", "h1", "h2", "h3", "p") else links
     close()
