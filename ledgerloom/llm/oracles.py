@@ -93,3 +93,39 @@ WITH v AS (
 )
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+
+def _k_means_sql(k: int = 40, rounds: int = 5, width: int = 64) -> str:
+    """Assignment and replacement written out once for each round."""
+    distance = "(list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, c.x) + list_inner_product(c.x, c.x))"
+    text = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda y: floor(256 * y::DOUBLE)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = {width} AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x
+  FROM (SELECT sha256('2:' || vec_id::VARCHAR) AS h, x FROM v WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT {k})
+)"""
+    for i in range(rounds + 1):
+        text += f""", a{i} AS MATERIALIZED (
+  SELECT v.r, min(struct_pack(d := {distance}::BIGINT, c := c.c)) AS b FROM v CROSS JOIN c{i} c GROUP BY v.r
+)"""
+        if i < rounds:
+            text += f""", m{i} AS (
+  SELECT c, p, sum(y::BIGINT) AS s, count(*) AS n
+  FROM (SELECT a.b.c AS c, unnest(v.x) AS y, unnest(range({width})) AS p FROM v JOIN a{i} a ON v.r = a.r) GROUP BY c, p
+), c{i + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(n.x, c.x) AS x FROM c{i} c
+  LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY p) AS x FROM m{i} GROUP BY c) n ON c.c = n.c
+)"""
+    return (
+        text
+        + f"""
+SELECT v.vec_id, a.b.c::INT AS cluster, a.b.d AS distance, sum(a.b.d) OVER (PARTITION BY a.b.c)::BIGINT AS cluster_inertia, sum(a.b.d) OVER ()::BIGINT AS inertia,
+       sha256(list_aggregate(list_transform(c.x, lambda y: y::BIGINT::VARCHAR), 'string_agg', ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a ON v.r = a.r JOIN c{rounds} c ON c.c = a.b.c
+"""
+    )
+
+
+ORACLES["op11_centroids"] = _k_means_sql()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_extract, hyperminhash, language, mixing, mtree, rare_digest, toxicity, url_filter, warc
+from . import byte_bpe, centroids, html_extract, hyperminhash, language, mixing, mtree, packing, rare_digest, toxicity, url_filter, variants, warc
 from .common import cut, drop_path, fresh_path, held_out, small_batches, table
 
 
@@ -110,6 +110,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, clusters = centroids.k_means(table(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, scale=256, seed=2)
+    named = clusters.select("cluster", "cluster_inertia", "inertia", F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256).alias("centroid_sha256"))
+    return assigned.join(F.broadcast(named), "cluster").select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, _ = tokenizer_files("word_bpe_49k.json")
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), path, capacity=4096, end=1, keep_ids=False)
+    return packing.pack(pieces, capacity=4096).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return variants.spelling_variants(docs, least_length=5, least_count=3, ratio=2, delete_every=97).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 #: Scores from here on count as toxic.
 TOXIC_AT = 0.7
 
@@ -124,4 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_rare_digest": op9_rare_digest,
     "op10_warc": op10_warc,
+    "op11_centroids": op11_centroids,
+    "op12_packing": op12_packing,
+    "op13_variants": op13_variants,
 }
