@@ -1,17 +1,20 @@
-"""Calls to services: cached, leased, counted against a budget, retried; every step in append-only tables.
+"""Calls to services: cached, leased, counted against a budget, retried; every step one commit.
 
 A stage hands over a table of requests.  Whatever has a stored result costs nothing; the rest is
 called in batches, one Spark job for all calls of a round, and a round takes the calls whose last
-attempt may be repeated.  In a run's folder there are
-
-* ``attempts``: call, stage, ordinal, outcome (RUNNING, then one of the others), error, at, cost, and
-  the lease under which it runs: owner, token, expires_at;
-* ``replies/<stage>/<token>``: what the service said in a round, written before it is used, since Spark
-  may run a function again;
-* ``commits/<stage>/<token>``: empty files that make the replies of a round count, written only while
-  the lease holds.
-
-A state is never updated: it is the last row of its key.
+attempt may be repeated.  A run's folder is a :class:`CommitLog` with
+
+* ``attempts-<stage>``: call, stage, ordinal, outcome (RUNNING, then one of the others), error, at,
+  cost, and the lease under which it runs: owner, token, expires_at;
+* ``replies-<stage>``: what the service said, each call once;
+* ``leases``: what happened to leases: stage, epoch, owner, token, event, at, expires_at;
+* pointers ``lease:<stage>`` (the one that is held, with its epoch) and ``usage``.
+
+A round begins with one commit: it finds no lease or one that ran out, admits calls to the budget,
+writes their attempts and takes the lease with the next epoch.  It ends with one commit, which holds
+the replies, outcomes and the end of the lease, and is refused unless the lease that is held then
+is this round's, by token and epoch, and has not run out.  Commits are numbered files that are only ever
+created, so of two owners that start at once one takes the lease and the other finds it taken.
 """
 
 from __future__ import annotations
@@ -19,12 +22,16 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.values import retry_delay
+from ..sources.commits import CommitLog, Part, Transaction, Versions
+from ..streaming.folders import drop_path
 from . import ledger
 
 Service = Callable[[DataFrame], DataFrame]
@@ -43,7 +50,7 @@ class Exhausted(CallError):
 
 
 class Busy(CallError):
-    """Another owner holds a lease."""
+    """Another owner holds a lease, or this one's is lost."""
 
 
 class BudgetExceeded(CallError):
@@ -51,134 +58,195 @@ class BudgetExceeded(CallError):
 
 
 ATTEMPT = "call string, stage string, ordinal int, seq int, outcome string, error string, at timestamp, cost double, owner string, token string, expires_at timestamp"
+LEASE = "stage string, epoch long, owner string, token string, event string, at timestamp, expires_at timestamp"
+
+
+@dataclass(frozen=True)
+class Grant:
+    """A lease on the open calls of a stage, and what it was taken for."""
+
+    stage: str
+    epoch: int
+    token: str
+    until: datetime
+    requests: DataFrame
+    begun: Part
+    admitted: int
+    waiting: int
+    taken_over: int
+
 
 class Executor:
     """One owner's calls in one folder.  ``clock`` and ``sleep`` are injected for tests."""
 
     def __init__(
         self, spark: SparkSession, folder: str, owner: str = "bus", max_attempts: int = 3, lease_seconds: float = 300, max_calls: int | None = None, max_cost: float | None = None,
-        clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc), sleep: Callable[[float], None] = time.sleep,
+        clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc), sleep: Callable[[float], None] = time.sleep, versions: dict[str, Versions] | None = None,
     ):
         if max_attempts < 1 or lease_seconds <= 0 or not owner.strip():
             raise ValueError("an executor needs an owner, a positive lease and at least one attempt")
         self.spark, self.folder, self.owner = spark, folder.rstrip("/"), owner
         self.max_attempts, self.lease_seconds, self.max_calls, self.max_cost = max_attempts, lease_seconds, max_calls, max_cost
         self.clock, self.sleep = clock, sleep
+        self.log = CommitLog(spark, f"{self.folder}/calls", versions)
         self.calls: dict[str, int] = {}
         self.taken_over = 0
 
-    def _fs(self, name: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _exists(self, name: str) -> bool:
-        fs, p = self._fs(name)
-        return fs.exists(p)
+    # What the tables say
 
-    def _empty(self, schema: str) -> DataFrame:
-        return self.spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema).fields))
-
-    def _log(self, rows: DataFrame, outcome: Column, seq: int, at: datetime, error: Column | None = None) -> None:
-        error = F.lit(None).cast("string") if error is None else error
-        out = rows.select("call", "stage", F.col("ordinal").cast("int").alias("ordinal"), F.lit(seq).alias("seq"), outcome.alias("outcome"), error.alias("error"), F.lit(at).alias("at"), "cost", "owner", "token", "expires_at")
-        out.write.mode("append").parquet(f"{self.folder}/attempts")
-
-    def attempts(self) -> DataFrame:
+    @staticmethod
+    def _last(rows: DataFrame) -> DataFrame:
         """Every attempt with its last outcome."""
-        rows = self.spark.read.schema(ATTEMPT).parquet(f"{self.folder}/attempts") if self._exists("attempts") else self._empty(ATTEMPT)
         return rows.groupBy("call", "ordinal").agg(F.max_by(F.struct("stage", "outcome", "error", "cost", "owner", "token", "expires_at"), "seq").alias("r")).select("call", "ordinal", "r.*")
 
-    def status(self) -> DataFrame:
-        return ledger.call_status(self.attempts(), self.max_attempts)
+    def attempts(self, stage: str | None = None) -> DataFrame:
+        """Every attempt (of a stage) with its last outcome."""
+        now = self.log.snapshot()
+        names = [t for t in now.tables if t.startswith("attempts-")] if stage is None else [f"attempts-{stage}"]
+        out = self.spark.createDataFrame([], ATTEMPT)
+        for name in names:
+            out = out.unionByName(now.read(name, ATTEMPT))
+        return self._last(out)
+
+    def status(self, stage: str | None = None) -> DataFrame:
+        return ledger.call_status(self.attempts(stage), self.max_attempts)
 
     def usage(self) -> tuple[int, float]:
         """Attempts begun and their cost, over all stages."""
-        r = self.attempts().agg(F.count("*").alias("n"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("c")).first()
-        return r.n, r.c
+        used = self.log.snapshot().pointers.get("usage", {"calls": 0, "micro": 0})
+        return used["calls"], used["micro"] / 1e6
+
+    def lease_log(self) -> DataFrame:
+        return self.log.snapshot().read("leases", LEASE)
 
     def results(self, stage: str, schema: str) -> DataFrame:
         """``call`` and the reply of every committed call of a stage."""
-        fs, p = self._fs(f"commits/{stage}")
-        tokens = sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
-        if not tokens:
-            return self._empty(f"call string, {schema}")
-        said = self.spark.read.schema(f"call string, {schema}, error string").parquet(*(f"{self.folder}/replies/{stage}/{t}" for t in tokens))
-        return said.where("error IS NULL").drop("error")
+        return self.log.snapshot().read(f"replies-{stage}", f"call string, {schema}")
+
+    # A round
 
     def execute(self, stage: str, requests: DataFrame, service: Service, schema: str, cost: float = 0.0) -> DataFrame:
         """Results of all requests (``call`` and what the service reads), calling for those without one.
 
         ``service`` maps requests to replies: ``call`` (each once), the columns of ``schema`` and, if a
         call failed, ``error`` (a class of :func:`ledger.classify_error` or any other text) and
-        ``retry_after`` seconds.
+        ``retry_after`` seconds.  A column ``cost`` of the requests stands for the common ``cost``.
         """
         self.calls.setdefault(stage, 0)
-        if self._exists("attempts"):
-            ended = requests.select("call").join(self.status().where("status IN ('FAILED_PERMANENT', 'EXHAUSTED')"), "call").limit(1).collect()
-            if ended:
-                raise PermanentError(f"{stage}: call {ended[0].call} ended before as {ended[0].status}")
         while True:
-            pending = requests.join(self.results(stage, schema).select("call"), "call", "left_anti")
-            n = pending.count()
-            if not n:
+            grant = self.log.transact(lambda tx: self._acquire(tx, stage, requests, schema, cost))
+            if grant is None:
                 return requests.select("call").join(self.results(stage, schema), "call")
-            wait = self._round(stage, pending, n, service, schema, cost)
+            self.calls[stage] += grant.admitted
+            self.taken_over += grant.taken_over
+            wait = self._complete(grant, service, schema)
             if wait is not None:
                 self.sleep(wait)
 
-    def _round(self, stage: str, pending: DataFrame, n: int, service: Service, schema: str, cost: float) -> float | None:
-        now, spark = self.clock(), self.spark
-        before = self.attempts()
-        if self._exists("attempts"):
-            # A lease is held while its attempt runs; one that ran out leaves an abandoned attempt behind.
-            running = before.where("outcome = 'RUNNING'").join(pending.select("call"), "call", "left_semi")
-            r = running.agg(F.count("*").alias("n"), F.max(F.when(F.col("expires_at") > F.lit(now), F.struct("call", "owner"))).alias("busy")).first()
-            if r.busy:
-                raise Busy(f"{stage}: call {r.busy.call} is leased by {r.busy.owner}")
-            if r.n:
-                self._log(running, F.lit("ABANDONED"), 2, now)
-                self.taken_over += r.n
-        # The budget: equal costs within a stage, so what it admits is a prefix in the order of the calls.
-        room = n
-        if self.max_calls is not None or self.max_cost is not None:
-            used, spent = self.usage()
-            room = n if self.max_calls is None else min(n, self.max_calls - used)
-            if self.max_cost is not None and cost > 0:
-                room = min(room, int((self.max_cost - spent + 1e-9) // cost))
-            if room <= 0:
-                raise BudgetExceeded(f"{stage}: {used} calls and {spent:g} spent, {n} calls wait")
-        admitted = pending if room == n else pending.orderBy("call").limit(room)
+    def _event(self, stage: str, epoch: int, owner: str, token: str, event: str, at: datetime, until: datetime) -> DataFrame:
+        return self.spark.createDataFrame([(stage, epoch, owner, token, event, at, until)], LEASE)
+
+    @staticmethod
+    def _rows(rows: DataFrame, outcome: Column, seq: int, at: datetime, error: Column | None = None) -> DataFrame:
+        error = F.lit(None).cast("string") if error is None else error
+        return rows.select("call", "stage", F.col("ordinal").cast("int").alias("ordinal"), F.lit(seq).alias("seq"), outcome.alias("outcome"), error.alias("error"), F.lit(at).alias("at"), "cost", "owner", "token", "expires_at")
+
+    def _acquire(self, tx: Transaction, stage: str, requests: DataFrame, schema: str, cost: float) -> Grant | None:
+        """Takes the lease of a stage for its open calls, as far as the budget admits; nothing if none is open."""
+        now, name = self.clock(), f"attempts-{stage}"
+        tried = self._last(tx.read(name, ATTEMPT))
+        if ended := requests.select("call").join(ledger.call_status(tried, self.max_attempts).where("status IN ('FAILED_PERMANENT', 'EXHAUSTED')"), "call").limit(1).collect():
+            raise PermanentError(f"{stage}: call {ended[0].call} ended before as {ended[0].status}")
+        pending = requests.join(tx.read(f"replies-{stage}", f"call string, {schema}").select("call"), "call", "left_anti")
+        n = pending.count()
+        if not n:
+            return None
+        held, taken_over = tx.pointer(f"lease:{stage}"), 0
+        epoch = 0 if held is None else held["epoch"]
+        if held is not None and held["token"] is not None:
+            until = datetime.fromisoformat(held["until"])
+            if until > now:
+                raise Busy(f"{stage}: leased by {held['owner']} until {held['until']}")
+            # It ran out: its attempts that still run are abandoned.
+            running = tried.where((F.col("outcome") == "RUNNING") & (F.col("token") == held["token"]))
+            taken_over = running.count()
+            tx.append(name, self._rows(running, F.lit("ABANDONED"), 2, now))
+            tx.append("leases", self._event(stage, epoch, held["owner"], held["token"], "EXPIRED", now, until))
+        admitted, room, spent = self._admit(tx, stage, pending, n, cost)
         token, until = uuid.uuid4().hex, now + timedelta(seconds=self.lease_seconds)
-        tried = before.groupBy("call").agg(F.max("ordinal").alias("tried"))
-        begun = admitted.select("call").join(tried, "call", "left").select(
-            "call", F.lit(stage).alias("stage"), (F.coalesce("tried", F.lit(0)) + 1).alias("ordinal"), F.lit(float(cost)).alias("cost"),
+        last = tried.groupBy("call").agg(F.max("ordinal").alias("tried"))
+        begun = admitted.join(last, "call", "left").select(
+            "call", F.lit(stage).alias("stage"), (F.coalesce("tried", F.lit(0)) + 1).alias("ordinal"), (F.col("_micro") / 1e6).alias("cost"),
             F.lit(self.owner).alias("owner"), F.lit(token).alias("token"), F.lit(until).alias("expires_at"),
         )
-        self._log(begun, F.lit("RUNNING"), 1, now)
-        self.calls[stage] += room
-        own = spark.read.schema(ATTEMPT).parquet(f"{self.folder}/attempts").where(F.col("token") == token)
-        said = service(pending.join(own.select("call"), "call", "left_semi") if room < n else pending)
+        part = self.log.write(name, self._rows(begun, F.lit("RUNNING"), 1, now))
+        tx.add(part)
+        used = tx.pointer("usage") or {"calls": 0, "micro": 0}
+        tx.point("usage", {"calls": used["calls"] + room, "micro": used["micro"] + spent})
+        tx.point(f"lease:{stage}", {"owner": self.owner, "token": token, "epoch": epoch + 1, "until": until.isoformat()})
+        tx.append("leases", self._event(stage, epoch + 1, self.owner, token, "ACQUIRED", now, until))
+        return Grant(stage, epoch + 1, token, until, pending, part, room, n - room, taken_over)
+
+    def _admit(self, tx: Transaction, stage: str, pending: DataFrame, n: int, cost: float) -> tuple[DataFrame, int, int]:
+        """``call, _micro`` of the calls that the budget admits in the order of calls, their number and cost in millionths."""
+        micro = F.round(F.col("cost").cast("double") * 1_000_000).cast("long") if "cost" in pending.columns else F.lit(round(cost * 1_000_000))
+        priced = pending.select("call", micro.alias("_micro"))
+        if self.max_calls is None and self.max_cost is None:
+            return priced, n, priced.agg(F.coalesce(F.sum("_micro"), F.lit(0))).first()[0]
+        used = tx.pointer("usage") or {"calls": 0, "micro": 0}
+        cap = 2**61 if self.max_cost is None else max(0, round(self.max_cost * 1_000_000) - used["micro"])
+        most = None if self.max_calls is None else max(0, self.max_calls - used["calls"])
+        if "cost" not in pending.columns:  # equal costs: what the budget admits is a prefix
+            each = round(cost * 1_000_000)
+            room = min(n, n if most is None else most, cap // each if each else n)
+            if room <= 0:
+                raise BudgetExceeded(f"{stage}: {used['calls']} calls and {used['micro'] / 1e6:g} spent, {n} calls wait")
+            return (priced if room == n else priced.orderBy("call").limit(room)), room, room * each
+        own = ledger.admit_in_rounds(priced.withColumn("_scope", F.lit(0)), "_scope", ["call"], "_micro", cap, most).where("admitted").select("call")
+        admitted = priced.join(own, "call", "left_semi")
+        r = admitted.agg(F.count("*").alias("n"), F.coalesce(F.sum("_micro"), F.lit(0)).alias("c")).first()
+        if not r.n:
+            raise BudgetExceeded(f"{stage}: {used['calls']} calls and {used['micro'] / 1e6:g} spent, {n} calls wait")
+        return admitted, r.n, r.c
+
+    def _complete(self, grant: Grant, service: Service, schema: str) -> float | None:
+        """Calls, and commits what was said while the lease is held; the seconds to wait before the next round."""
+        stage, spark = grant.stage, self.spark
+        own = spark.read.schema(ATTEMPT).parquet(f"{self.log.folder}/{grant.begun.path}")
+        said = service(grant.requests.join(own.select("call"), "call", "left_semi") if grant.waiting else grant.requests)
         error = F.col("error") if "error" in said.columns else F.lit(None).cast("string")
         retry = F.col("retry_after").cast("double") if "retry_after" in said.columns else F.lit(None).cast("double")
-        place = f"{stage}/{token}"
-        said.select("call", *T.StructType.fromDDL(schema).names, error.alias("error"), retry.alias("retry_after")).write.parquet(f"{self.folder}/replies/{place}")
-        now = self.clock()
-        if now >= until:  # the lease ran out meanwhile: nothing of it may be committed
-            raise Busy(f"{stage}: the lease ran out before the calls returned")
-        got = spark.read.parquet(f"{self.folder}/replies/{place}").select("call", F.col("error").alias("_error"), "retry_after", F.lit(True).alias("_there"))
-        fs, p = self._fs(f"commits/{place}")
-        fs.create(p).close()
+        names = T.StructType.fromDDL(schema).names
+        # Written before it is used, since Spark may run a function again.
+        raw = self.log.write(f"said-{stage}", said.select("call", *names, error.alias("_error"), retry.alias("_retry")))
+        said = spark.read.parquet(f"{self.log.folder}/{raw.path}")
+        good = self.log.write(f"replies-{stage}", said.where("_error IS NULL").select("call", *names).join(own.select("call"), "call", "left_semi").dropDuplicates(["call"]))
+        got = said.groupBy("call").agg(F.max("_error").alias("_error"), F.max("_retry").alias("_retry"), F.lit(True).alias("_there"))
         outcome = F.when(F.col("_there").isNull(), "RETRYABLE_FAILURE").when(F.col("_error").isNull(), "SUCCEEDED").when(ledger.classify_error(F.col("_error")), "RETRYABLE_FAILURE").otherwise("PERMANENT_FAILURE")
         done = own.drop("outcome", "error").join(got, "call", "left")
-        self._log(done, outcome, 3, now, F.col("_error"))
+        ended = self.log.write(f"attempts-{stage}", self._rows(done, outcome, 3, self.clock(), F.col("_error")))
+
+        def commit(tx: Transaction) -> None:
+            now, held = self.clock(), tx.pointer(f"lease:{stage}")
+            if held is None or held["token"] != grant.token or held["epoch"] != grant.epoch:
+                raise Busy(f"{stage}: the lease of epoch {grant.epoch} is lost")
+            if now >= grant.until:
+                raise Busy(f"{stage}: the lease ran out before the calls returned")
+            tx.add(good)
+            tx.add(ended)
+            tx.point(f"lease:{stage}", held | {"owner": None, "token": None, "until": None})
+            tx.append("leases", self._event(stage, grant.epoch, self.owner, grant.token, "RELEASED", now, grant.until))
+
+        self.log.transact(commit)
         r = done.withColumn("outcome", outcome).agg(
             F.max(F.when(F.col("outcome") == "PERMANENT_FAILURE", F.col("_error"))).alias("refused"), F.count_if(F.col("outcome") == "RETRYABLE_FAILURE").alias("again"),
-            F.max(F.when(F.col("outcome") == "RETRYABLE_FAILURE", F.col("ordinal"))).alias("ordinal"), F.max("retry_after").alias("hint"),
-        ).first()
+            F.max(F.when(F.col("outcome") == "RETRYABLE_FAILURE", F.col("ordinal"))).alias("ordinal"), F.max("_retry").alias("hint"),
+        ).withColumn("wait", retry_delay(F.col("ordinal"), F.col("hint"))).first()
+        drop_path(spark, f"{self.log.folder}/{raw.path}")
         if r.refused is not None:
             raise PermanentError(f"{stage}: {r.refused}")
         if r.again and r.ordinal >= self.max_attempts:
             raise Exhausted(f"{stage}: {r.again} calls failed, {r.ordinal} attempts")
-        if room < n:
-            raise BudgetExceeded(f"{stage}: {n - room} calls wait")
-        return min(30.0, max(1.0 * 2 ** (r.ordinal - 1), r.hint or 0.0)) if r.again else None
+        if grant.waiting:
+            raise BudgetExceeded(f"{stage}: {grant.waiting} calls wait")
+        return r.wait if r.again else None

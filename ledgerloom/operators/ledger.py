@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming.folders import cut, drop_cut
 from .fold import ordered_fold
 
 
@@ -108,6 +109,70 @@ def admit_by_budget(attempts: DataFrame, scope: str, order: list[str], cost: str
     return ordered_fold(rows, [scope], order, ["_cost"], (0.0, 0), add, "admitted boolean, spent double").drop("_cost")
 
 
+def _numbered(rows: DataFrame, scope: str, order: list[str], label: str) -> DataFrame:
+    """``rows`` with ``_i``, which grows in the order of scope and ``order``, and ``_b``, the block it lies in; written once."""
+    dealt = rows.repartitionByRange(scope, *order).sortWithinPartitions(scope, *order)
+    return cut(dealt.withColumns({"_i": F.monotonically_increasing_id(), "_b": F.spark_partition_id()}), label)
+
+
+def _running(rows: DataFrame, scope: str, **sums: Column) -> DataFrame:
+    """Adds running sums down each scope, every row included, by two levels: blocks of rows, then rows within a block."""
+    blocks = rows.groupBy(scope, "_b").agg(*(F.sum(c).alias(f"_own_{k}") for k, c in sums.items()))
+    before = Window.partitionBy(scope).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(scope, "_b", *(F.coalesce(F.sum(f"_own_{k}").over(before), F.lit(0)).alias(f"_start_{k}") for k in sums))
+    within = Window.partitionBy(scope, "_b").orderBy("_i")
+    own = rows.withColumns({f"_in_{k}": F.sum(c).over(within) for k, c in sums.items()}).join(starts, [scope, "_b"])
+    return own.withColumns({k: (F.col(f"_start_{k}") + F.col(f"_in_{k}")).cast("long") for k in sums}).drop(*(f"_{a}_{k}" for k in sums for a in ("in", "start")))
+
+
+def admit_in_rounds(attempts: DataFrame, scope: str, order: list[str], cost: str, cap: int, max_calls: int | None = None) -> DataFrame:
+    """As :func:`admit_by_budget` for whole costs, but a scope of any size is spread over all tasks.
+
+    ``scope`` and ``order`` are not null, ``order`` is unique in its scope, costs are 0 or more.  A
+    round looks at the room that is left.  Attempts of at most half of it are small: they are admitted one after another
+    until less than half is left.  A large one is refused where it does not fit, since the room only
+    shrinks; the first that fits takes more than half of the room.  Either event ends the round, at a
+    place that running sums find; all before it is decided.  So room halves from round to round, and
+    there are no more rounds than binary digits in ``cap``.  Running sums go by blocks of a range
+    partitioning: a hot scope has many blocks.
+    """
+    keys = attempts.select(scope, *order, F.col(cost).cast("long").alias("_cost"))
+    open_ = _numbered(keys, scope, order, "attempts")
+    state = open_.select(scope).distinct().select(scope, F.lit(cap).cast("long").alias("_room"), F.lit(0).cast("long").alias("_calls"))
+    settled = []
+    spent, frames = F.col("_cost"), [open_]
+    none = F.lit(2**62 if max_calls is None else max_calls)
+    while True:
+        now = open_.join(state, scope)
+        # What no longer fits is refused at once, as is everything after the last call.
+        fits = (spent <= F.col("_room")) & (F.col("_calls") < none)
+        settled.append(open_.join(state, scope).where(~fits).select("_i", F.lit(False).alias("admitted")))
+        now = now.where(fits)
+        small = 2 * spent <= F.col("_room")
+        sums = _running(now, scope, _before=F.when(small, spent).otherwise(0), _n=small.cast("long"))
+        before, n = F.col("_before"), F.col("_n")
+        ends = F.when(small, (2 * (F.col("_room") - before) < F.col("_room")) | (F.col("_calls") + n >= none)).otherwise(before + spent <= F.col("_room"))
+        sums = cut(sums.withColumns({"_small": small, "_ends": ends}), "sums")
+        last = sums.where("_ends").groupBy(scope).agg(F.min(F.struct("_i", (before + F.when(F.col("_small"), 0).otherwise(spent)).alias("used"), (n + F.when(F.col("_small"), 0).otherwise(1)).alias("calls"))).alias("_last"))
+        placed = sums.join(last, scope, "left")
+        upto = F.coalesce(F.col("_i") <= F.col("_last._i"), F.lit(True))
+        done = placed.where(upto).select("_i", (F.col("_small") | F.coalesce(F.col("_i") == F.col("_last._i"), F.lit(False))).alias("admitted"))
+        settled[-1] = cut(settled[-1].unionByName(done), "settled")
+        open_ = cut(placed.where(~upto).select(*keys.columns, "_i", "_b"), "open")
+        state = cut(state.join(last, scope).select(scope, (F.col("_room") - F.col("_last.used")).alias("_room"), (F.col("_calls") + F.col("_last.calls")).alias("_calls")), "state")
+        frames += [open_, state, sums]
+        if open_.isEmpty():
+            break
+    decided = settled[0]
+    for s in settled[1:]:
+        decided = decided.unionByName(s)
+    joined = frames[0].join(decided, "_i")
+    out = _running(joined, scope, spent=F.when(F.col("admitted"), spent).otherwise(0)).select(scope, *order, "admitted", "spent")
+    out = cut(out, "admitted")
+    drop_cut(*frames, *settled)
+    return out
+
+
 def leases(acquisitions: DataFrame, key: str, order: list[str], ttl_seconds: int) -> DataFrame:
     """Adds ``granted`` and ``takeover`` to acquisitions of exclusive leases.
 

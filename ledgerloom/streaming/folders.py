@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -20,3 +20,23 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         named = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.sparkContext.setCheckpointDir(named)
     return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: its lineage ends there and outlives any executor."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_cut(*frames: DataFrame) -> None:
+    """Deletes the files behind frames that :func:`cut` made and nothing reads any more."""
+    for df in frames:
+        for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            drop_path(df.sparkSession, f)
