@@ -3,9 +3,8 @@
 Two words of equal length that differ in one place agree once that place is deleted, and a word
 equals a longer one with one code point deleted.  So every word gives
 
-* for each place, a key of the place and of what remains without it: equal keys are replacements;
-* a key of itself, and for each different deletion a key of what remains: a key of the one kind that
-  equals one of the other is an insertion.
+* for each place, a key of what remains without it: equal keys of equal places are replacements;
+* a key of itself: if it equals a key of what remains of a longer word, that is an insertion.
 
 The remainder is never written out.  With ``P`` the hash of the prefix before a place and ``S`` of
 the suffix behind it, both sums of ``code * base^position`` modulo two primes, the hash without the
@@ -54,13 +53,7 @@ def runs(text: str) -> list[bytes]:
     return text.encode("latin-1", "replace").translate(LETTERS).split()
 
 
-def damaged(doc_id: object, word: bytes, every: int) -> bytes:
-    """The word without one code point if ``every`` divides its hash with the id."""
-    own = word if word.isascii() else word.decode("latin-1").encode()
-    h = zlib.crc32(own, zlib.crc32(f"{doc_id}:".encode()))
-    if h % every:
-        return word
-    at = h % len(word)
+def without(word: bytes, at: int) -> bytes:
     return word[:at] + word[at + 1 :]
 
 
@@ -72,26 +65,27 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
     small_batches(docs.sparkSession)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: dict[bytes, int] = {}
+        known = held.get
 
         def out() -> pa.RecordBatch:
             words = [w.decode("latin-1") for w in held]
             return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for doc_id, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not own:
-                    continue
-                found = Counter(runs(own))
-                if delete_every is None or doc_id is None:
-                    mine = found
-                else:
-                    mine = Counter()
-                    for word, n in found.items():
-                        mine[damaged(doc_id, word, delete_every)] += n
-                for word, n in mine.items():
-                    if len(word) >= least_length:
-                        held[word] += n
+            for doc_id, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                every = None if doc_id is None else delete_every
+                start = zlib.crc32(f"{doc_id}:".encode())
+                for word, n in Counter(runs(own.as_py() or "")).items():
+                    if len(word) < least_length:  # deletions only shorten
+                        continue
+                    if every is not None:
+                        h = zlib.crc32(word if word.isascii() else word.decode("latin-1").encode(), start)
+                        if h % every == 0:
+                            word = without(word, h % len(word))
+                            if len(word) < least_length:
+                                continue
+                    held[word] = known(word, 0) + n
                 if len(held) >= HELD:
                     yield out()
                     held.clear()
@@ -110,19 +104,18 @@ def powers(base: int, p: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-def mixed(h: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """64-bit keys of hashes and places."""
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit keys of hashes, of which all bits are used."""
     with np.errstate(over="ignore"):
-        x = h ^ ((place.astype(np.int64).view(np.uint64) + np.uint64(2)) * np.uint64(0x9E3779B97F4A7C15))
+        x = h * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
 def deletion_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys of a batch of words: ``key, word (its place in the list), place, kind``.
 
-    Kind 0 is a word itself (place -1), 1 a deletion that may equal a shorter word, 2 a replaced place.
+    Kind 0 is a word itself (place -1), 1 a deletion, 2 one that leaves the same as the deletion before it.
     """
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     code = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
@@ -139,12 +132,10 @@ def deletion_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         suffix = (last[owner] - upto[1:]) % modulus
         whole |= ((last - first) % modulus) << np.uint64(shift)
         without |= ((prefix + suffix * back) % modulus) << np.uint64(shift)
-    new = np.ones(len(code), dtype=bool)  # of a run of one letter all deletions are the same: the first counts
-    new[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
-    none = np.full(len(words), -1, dtype=np.int64)
-    key = np.concatenate([mixed(whole, none), mixed(without[new], np.full(new.sum(), -1)), mixed(without, place)])
-    kind = np.repeat(np.array([0, 1, 2], dtype=np.int8), [len(words), int(new.sum()), len(code)])
-    return key, np.concatenate([np.arange(len(words)), owner[new], owner]), np.concatenate([none, place[new], place]), kind
+    again = np.zeros(len(code), dtype=bool)  # of a run of one letter all deletions leave the same
+    again[1:] = (code[1:] == code[:-1]) & (owner[1:] == owner[:-1])
+    kind = np.concatenate([np.zeros(len(words), dtype=np.int8), 1 + again.astype(np.int8)])
+    return mixed(np.concatenate([whole, without])), np.concatenate([np.arange(len(words)), owner]), np.concatenate([np.full(len(words), -1), place]), kind
 
 
 def keyed(words: DataFrame) -> DataFrame:
@@ -164,38 +155,44 @@ def keyed(words: DataFrame) -> DataFrame:
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """The rows whose key may pair them: two of kind 2, or one of kind 0 with one of kind 1.
+    """The rows whose key may pair them: deletions of one place, or a word with a deletion.
 
     Keys are dealt by their upper bits and sorted; a task looks at runs of equal keys as they stream by.
     """
     radix = F.shiftrightunsigned("key", 64 - RADIX_BITS)
-    dealt = keys.repartition(radix).sortWithinPartitions("key")
-    names = ["key", "id", "place", "kind"]
+    dealt = keys.repartition(radix).sortWithinPartitions("key", "place")
+
+    def pairs(t: pa.Table) -> pa.Table:
+        key, place, kind = (t[c].to_numpy() for c in ("key", "place", "kind"))
+        new = np.append(True, key[1:] != key[:-1])
+        run, inner = np.cumsum(new) - 1, np.cumsum(new | np.append(True, place[1:] != place[:-1])) - 1
+        own, cut_ = (np.bincount(run, kind == k, minlength=run[-1] + 1) > 0 for k in (0, 1))
+        alike = np.bincount(inner)[inner] > 1
+        return t.filter(pa.array(((kind > 0) & alike) | ((kind < 2) & (own & cut_)[run])))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        held: list[pa.RecordBatch] = []
+        n = 0
 
-        def pairs(t: pa.Table) -> pa.Table:
-            key, kind = t["key"].to_numpy(), t["kind"].to_numpy()
-            _, run = np.unique(key, return_inverse=True)
-            n = np.array([np.bincount(run, kind == k) for k in range(3)])
-            both = (n[0] > 0) & (n[1] > 0)
-            return t.filter(pa.array(np.where(kind == 2, n[2][run] > 1, both[run])))
+        def whole_runs(last: bool) -> pa.Table:
+            nonlocal held, n
+            now = pa.Table.from_batches(held).combine_chunks()
+            key = now["key"].to_numpy()
+            open_ = len(key) if last else int(np.searchsorted(key, key[-1]))  # the last run may go on
+            held = now.slice(open_).to_batches()
+            n = len(key) - open_
+            return pairs(now.slice(0, open_)) if open_ else now.slice(0, 0)
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = pa.Table.from_batches([batch])
-            if rest is not None:
-                now = pa.concat_tables([rest, now]).combine_chunks()
-            key = now["key"].to_numpy()
-            open_ = int(np.searchsorted(key, key[-1]))  # the last run may go on in the next batch
-            rest = now.slice(open_)
-            yield from pairs(now.slice(0, open_)).to_batches()
-        if rest is not None:
-            yield from pairs(rest).to_batches()
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= 50_000:
+                yield from whole_runs(False).to_batches()
+        if n:
+            yield from whole_runs(True).to_batches()
 
-    return dealt.select(names).mapInArrow(scan, "key long, id long, place int, kind byte")
+    return dealt.select("key", "id", "place", "kind").mapInArrow(scan, "key long, id long, place int, kind byte")
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -208,7 +205,7 @@ def near_words(words: DataFrame) -> DataFrame:
     named = found.join(words, "id")
     rest = F.concat(F.expr("left(word, place)"), F.expr("substr(word, place + 2)"))
     me = F.struct((-F.col("n")).alias("less"), F.col("word").alias("word"))
-    swap = cut(named.where("kind = 2").select("id", "key", "place", rest.alias("rest"), me.alias("me")), "swap")
+    swap = cut(named.where("kind > 0").select("id", "key", "place", rest.alias("rest"), me.alias("me")), "swap")
     group = swap.groupBy("key", "place", "rest").agg(F.count("*").alias("size"), F.min("me").alias("best")).where("size > 1")
     replaced = swap.join(group, ["key", "place", "rest"]).select("id", (F.col("size") - 1).alias("n_near"), "best")
     longer = named.where("kind = 1").select("key", rest.alias("rest"), F.col("id").alias("long"), me.alias("long_me"))

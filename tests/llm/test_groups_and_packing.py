@@ -326,5 +326,5 @@ def test_deletion_keys_equal_where_remainders_do():
     meaning = {}
     for k, w, p, t in zip(key.tolist(), who.tolist(), place.tolist(), kind.tolist(), strict=True):
         rest = words[w] if t == 0 else words[w][:p] + words[w][p + 1 :]
-        assert meaning.setdefault(k, (rest, p if t == 2 else -1)) == (rest, p if t == 2 else -1)
+        assert meaning.setdefault(k, rest) == rest and (t == 2) == (t > 0 and p > 0 and words[w][p] == words[w][p - 1])
     assert len(set(meaning.values())) == len(meaning)
