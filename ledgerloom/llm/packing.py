@@ -19,7 +19,7 @@ copy and place, by a search in the broadcast plan.  Every planned place is used,
 
 Tokens come from the ``tokenizers`` library.  The vocabulary's splitting never crosses ASCII white
 space, so runs between it are encoded by themselves, and those of Latin-1 in the pieces that the vocabulary
-splits them into; the ids of frequent pieces are kept.  Strings of special tokens in a text are ordinary text unless asked
+splits them into; the ids of frequent runs and pieces are kept.  Strings of special tokens in a text are ordinary text unless asked
 otherwise.
 
 Defined results: a null text counts as empty and has the end token only; rows with the same id are
@@ -30,10 +30,11 @@ gives no rows.
 from __future__ import annotations
 
 import re
-import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +46,13 @@ from .common import cut, small_batches
 
 RUN = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE = re.compile(r"[\x20\x09-\x0D]")
+SEPARATORS = re.compile(r"[\x1C-\x1F]")  # white space to Python, not to the vocabulary
 
 #: The vocabulary's own splitting, for lower-case text in Latin-1.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾\x20\x09-\x0D\x85\xa0]+")
 
-#: Pieces whose ids a worker keeps twice over, the longest of them, and the code points that are split in one go.
-CACHED, CACHED_LENGTH, STEP = 100_000, 48, 1 << 20
+#: Runs and pieces whose ids a worker keeps twice over, the longest of them, and the code points that are split in one go.
+CACHED, CACHED_LENGTH, STEP = 200_000, 48, 1 << 20
 
 #: Steps of one linear program, and how often what is left may have another.
 STEPS, PROGRAMS = 400, 3
@@ -59,6 +61,10 @@ STEPS, PROGRAMS = 400, 3
 BUCKET = 100_000
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 def in_latin(text: str) -> bool:
     if text.isascii():
         return True
@@ -69,6 +75,12 @@ def in_latin(text: str) -> bool:
     return True
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, special: bool) -> Encoder:
+    """One for all tasks of a worker, with what it knows."""
+    return Encoder(path, special)
+
+
 class Encoder:
     """Ids of whole texts by a vocabulary file, piece by piece."""
 
@@ -79,7 +91,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = not special
-        self.special = special
+        self.special, self.model = special, self.tokenizer.model
         bytes_shown = byte_table()
         self.shown = {c: "".join(bytes_shown[b] for b in chr(c).encode()) for c in range(256)}
         self.young: dict[str, bytes] = {}  # pieces seen since the last change of generations
@@ -97,50 +109,51 @@ class Encoder:
             at = upto
         return np.concatenate(out) if out else np.zeros(0, dtype="<u4")
 
-    def _split(self, text: str) -> list[str]:
-        if self.special:
-            return RUN.findall(text)
-        if in_latin(text):
-            return PIECE.findall(text.lower())
-        out = []
-        for run in RUN.findall(text):
-            if in_latin(run):
-                out += PIECE.findall(run.lower())
-            else:
-                out.append(run)
-        return out
-
     def _part(self, text: str) -> np.ndarray:
-        pieces = self._split(text)
-        found = list(map(self.young.get, pieces))
+        if self.special:
+            runs = RUN.findall(text)
+        elif in_latin(text) and not SEPARATORS.search(text):
+            runs = text.lower().split()
+        else:
+            runs = [r.lower() if in_latin(r) else r for r in RUN.findall(text)]
+        found = list(map(self.young.get, runs))
         if None in found:
-            found = self._more(pieces, found)
+            own = {r: self._run(r) for r in {r for r, ids in zip(runs, found, strict=True) if ids is None}}
+            found = [own[r] if ids is None else ids for r, ids in zip(runs, found, strict=True)]
         return np.frombuffer(b"".join(found), dtype="<u4")
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        """Packed ids: by the model for pieces of Latin-1, which it splits no further, else by the whole tokenizer."""
-        if self.special:
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        model, out = self.tokenizer.model, []
-        for p in pieces:
-            if in_latin(p):
-                ids = [t.id for t in model.tokenize(p.translate(self.shown))]
-            else:
-                ids = self.tokenizer.encode(p, add_special_tokens=False).ids
-            out.append(struct.pack(f"<{len(ids)}I", *ids))
-        return out
-
-    def _more(self, pieces: list[str], found: list) -> list[bytes]:
-        """Ids of the pieces that are not among the young ones."""
-        need = {p for p, ids in zip(pieces, found, strict=True) if ids is None}
-        own = {p: ids for p in need if (ids := self.old.get(p)) is not None}
-        new = list(need - own.keys())
-        own.update(zip(new, self._encode(new), strict=True))
-        if len(self.young) + len(own) > CACHED:
-            self.old, self.young = self.young, {}
-        if len(own) <= CACHED:
-            self.young.update((p, ids) for p, ids in own.items() if len(p) <= CACHED_LENGTH)
-        return [own[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+    def _keep(self, key: str, ids: bytes) -> bytes:
+        if len(key) <= CACHED_LENGTH:
+            if len(self.young) >= CACHED:
+                self.old, self.young = self.young, {}
+            self.young[key] = ids
+        return ids
+
+    def _run(self, run: str) -> bytes:
+        """Packed ids of a run between white space that is not among the young ones."""
+        if self.special or not in_latin(run):
+            ids = self.old.get(run)
+            return self._keep(run, packed(self.tokenizer.encode(run, add_special_tokens=False).ids) if ids is None else ids)
+        if run.isalpha():
+            return self._known(run)
+        if run[-1] in ".,;:!?" and run[:-1].isalpha():  # most runs that are no word: not kept, the word is
+            return self._known(run[:-1]) + self._known(run[-1])
+        if (ids := self.old.get(run)) is None:
+            ids = b"".join(map(self._known, PIECE.findall(run)))
+        return self._keep(run, ids)
+
+    def _known(self, piece: str) -> bytes:
+        ids = self.young.get(piece)
+        if ids is None:
+            ids = self.old.get(piece)
+            ids = self._keep(piece, self._piece(piece) if ids is None else ids)
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        """What the model makes of a piece, which the vocabulary splits no further."""
+        if not (piece.isascii() and piece.isprintable()):
+            piece = piece.translate(self.shown)
+        return packed([t.id for t in self.model.tokenize(piece)])
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1, special: bool = False, keep_ids: bool = True, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -156,10 +169,10 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(path, special)
+        own_encoder = encoder(path, special)
         for batch in batches:
             for i, own in enumerate(batch.column(1)):
-                ids = np.append(encoder.ids(own.as_py() or ""), np.uint32(end)).astype("<u4")
+                ids = np.append(own_encoder.ids(own.as_py() or ""), np.uint32(end)).astype("<u4")
                 starts = np.arange(0, len(ids), capacity)
                 pieces = [ids[s : s + capacity].tobytes() for s in starts]
                 n = len(pieces)
