@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -189,6 +190,54 @@ def leases(acquisitions: DataFrame, key: str, order: list[str], ttl_seconds: int
     return ordered_fold(acquisitions, [key], order, [order[0]], None, acquire, "granted boolean, takeover boolean")
 
 
+@dataclass(frozen=True)
+class Held:
+    """The lease of a call: until when (none: not held), of which attempt, and when that began."""
+
+    until: int | None = None
+    ordinal: int = 0
+    begun: int = 0
+
+
+ATTEMPT_LOG = "ordinal int, outcome string, begun long, ended long"
+
+
+def attempt_step(held: Held, at: int, done: bool, ttl: int) -> tuple[Held, list[tuple[int, str, int, int]]]:
+    """What an event does to a lease, and the rows ``ordinal, outcome, begun, ended`` that it settles.
+
+    An event asks for the lease or, if ``done``, commits under it.  A commit without a lease that holds is
+    STALE, a request while it holds BUSY; a lease that ran out leaves an ABANDONED attempt.
+    """
+    out = []
+    if held.until is not None and at >= held.until:
+        out.append((held.ordinal, "ABANDONED", held.begun, held.until))
+        held = Held(None, held.ordinal, 0)
+    if held.until is not None:
+        out.append((held.ordinal, "SUCCEEDED", held.begun, at) if done else (held.ordinal, "BUSY", at, at))
+        return (Held(None, held.ordinal, 0) if done else held), out
+    if done:
+        out.append((held.ordinal, "STALE", at, at))
+        return held, out
+    return Held(at + ttl, held.ordinal + 1, at), out
+
+
+def attempt_log(events: DataFrame, ttl_seconds: int) -> DataFrame:
+    """``call, ordinal, outcome, begun, ended`` (microseconds) of all events ``call, id, ts, done``: the fold that the stream equals."""
+    ttl = ttl_seconds * 1_000_000
+
+    def step(held: Held, row: tuple) -> tuple[Held, tuple]:
+        held, made = attempt_step(held, row[0], row[1], ttl)
+        return held, ([dict(zip(("ordinal", "outcome", "begun", "ended"), m, strict=True)) for m in made], held.ordinal, held.until)
+
+    rows = events.select("call", F.unix_micros("ts").alias("at"), "id", "done")
+    adds = f"made array<struct<{ATTEMPT_LOG.replace(' ', ':').replace(',:', ',')}>>, now int, until long"
+    folded = ordered_fold(rows, ["call"], ["at", "id"], ["at", "done"], Held(), step, adds)
+    # A lease that no later event meets ends by itself.
+    last = folded.groupBy("call").agg(F.max_by(F.struct("now", "until"), F.struct("at", "id")).alias("l")).where("l.until IS NOT NULL")
+    left = last.select("call", F.col("l.now").alias("ordinal"), F.lit("ABANDONED").alias("outcome"), (F.col("l.until") - ttl).alias("begun"), F.col("l.until").alias("ended"))
+    return folded.select("call", F.inline("made")).unionByName(left)
+
+
 def fenced_commits(commits: DataFrame, leases: DataFrame) -> DataFrame:
     """Commits with ``valid``: made under the latest lease at that time, unexpired, by its token.
 
