@@ -72,10 +72,14 @@ def edits(adjudications: DataFrame, edited: DataFrame) -> DataFrame:
 
 
 def verify(edits_: DataFrame, findings: DataFrame) -> DataFrame:
-    """Verdict per unit: BLOCK if any serious finding or a degrading edit."""
+    """Verdict per unit: BLOCK if any serious finding, a degrading edit or text that was left untranslated.
+
+    The last is a boolean column ``untranslated`` of the edits, if they have it: no service can overrule it.
+    """
+    kept = F.coalesce("untranslated", F.lit(False)) if "untranslated" in edits_.columns else F.lit(False)
     worst = findings.groupBy("unit").agg(F.bool_or(F.col("severity").isin(*SERIOUS)).alias("serious"), F.count("*").alias("n_findings"))
     j = edits_.join(worst, "unit", "left")
-    return j.withColumn("verdict", F.when(F.coalesce("serious", F.lit(False)) | (F.col("impact") == "DEGRADES"), "BLOCK").otherwise("PASS")).fillna({"n_findings": 0, "serious": False})
+    return j.withColumn("verdict", F.when(F.coalesce("serious", F.lit(False)) | (F.col("impact") == "DEGRADES") | kept, "BLOCK").otherwise("PASS")).fillna({"n_findings": 0, "serious": False})
 
 
 def outcomes(verified: DataFrame) -> DataFrame:
@@ -95,6 +99,17 @@ def merge_reports(reports: DataFrame) -> DataFrame:
     )
 
 
+def report_groups(reports: DataFrame, fan: int = 64) -> DataFrame:
+    """``doc_id, part, reports`` of documents with several reports: at most ``fan`` neighbours together.
+
+    ``reports``: ``doc_id, part, verdict, notes``, the parts of a document being 0, 1, ...
+    """
+    several = reports.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    own = reports.join(several, "doc_id", "left_semi").withColumn("_to", F.expr(f"int(part div {fan})"))
+    grouped = own.groupBy("doc_id", F.col("_to").alias("part")).agg(F.array_sort(F.collect_list(F.struct(F.col("part").alias("at"), "verdict", "notes"))).alias("reports"))
+    return grouped
+
+
 def merged_findings(findings: DataFrame) -> DataFrame:
     """Findings of all chunks, each (category, severity, unit, message) once."""
     return findings.dropDuplicates(["doc_id", "category", "severity", "unit", "message"])

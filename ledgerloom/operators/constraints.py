@@ -105,6 +105,39 @@ def route_problems(level: Column, lanes: Column, reasons: Column) -> Column:
     )
 
 
+def review_problems(options: Column, findings: Column, source: Column, citations: bool) -> Column:
+    """Shape of a review: known options, each finding once, quotations at the places they name.
+
+    ``options``: array of (option_key, target_text); ``findings``: array of (finding_id, option_key,
+    severity, message, source_span, target_span), the spans being (s, e, quoted), 0-based and half-open,
+    in the source and in the option's text.  With ``citations`` a serious finding needs one of them.
+    """
+    ids_ = F.transform(findings, lambda f: f["finding_id"])
+    keys = F.transform(options, lambda o: o["option_key"])
+    own = lambda f: F.try_element_at(F.filter(options, lambda o: o["option_key"] == f["option_key"]), F.lit(1))["target_text"]
+
+    def misquoted(text: Column, span: Column) -> Column:
+        return span.isNotNull() & (F.size(span_problems(text, span["s"], span["e"], span["quoted"])) > 0)
+
+    uncited = lambda f: f["severity"].isin(*SERIOUS) & f["source_span"].isNull() & f["target_span"].isNull()
+    return broken(
+        (F.exists(findings, lambda f: ~F.array_contains(keys, F.coalesce(f["option_key"], F.lit("")))), "unknown option"),
+        (F.size(ids_) != F.size(F.array_distinct(ids_)), "repeated finding"),
+        (F.exists(findings, lambda f: misquoted(source, f["source_span"]) | misquoted(own(f), f["target_span"])), "citation"),
+        (F.exists(findings, uncited) if citations else F.lit(False), "uncited"),
+    )
+
+
+def directive_problems(text: Column, directives: Column) -> Column:
+    """Whether a text holds every rendering that its directives demand, as often as they do.
+
+    ``directives``: array of (occurrence_key, source_term, required, treatment).
+    """
+    required = F.transform(directives, lambda d: d["required"])
+    lacks = lambda r: _count(text, r) < F.size(F.filter(required, lambda x: x == r))
+    return broken((F.exists(F.array_distinct(required), lacks), "rendering"))
+
+
 def span_problems(text: Column, start: Column, end: Column, quoted: Column) -> Column:
     """0-based half-open code-point span that must quote its text and not be blank."""
     inside = (start >= 0) & (start < end) & (end <= F.length(text))

@@ -6,9 +6,9 @@ attempt may be repeated.  A run's folder is a :class:`CommitLog` with
 
 * ``attempts-<stage>``: call, stage, ordinal, outcome (RUNNING, then one of the others), error, at,
   cost, and the lease under which it runs: owner, token, expires_at;
-* ``replies-<stage>``: what the service said, each call once;
-* ``leases``: what happened to leases: stage, epoch, owner, token, event, at, expires_at;
-* pointers ``lease:<stage>`` (the one that is held, with its epoch) and ``usage``.
+* ``replies-<stage>``: what the service said, with ``_error`` and ``_retry``; one row a call without error;
+* pointers ``lease:<stage>`` (the last one with its epoch, held or not) and ``usage``; the commits that
+  set them are the log of leases (:meth:`Executor.lease_log`).
 
 A round begins with one commit: it finds no lease or one that ran out, admits calls to the budget,
 writes their attempts and takes the lease with the next epoch.  It ends with one commit, which holds
@@ -31,7 +31,6 @@ from pyspark.sql import types as T
 
 from ..functions.values import retry_delay
 from ..sources.commits import CommitLog, Part, Transaction, Versions
-from ..streaming.folders import drop_path
 from . import ledger
 
 Service = Callable[[DataFrame], DataFrame]
@@ -117,11 +116,25 @@ class Executor:
         return used["calls"], used["micro"] / 1e6
 
     def lease_log(self) -> DataFrame:
-        return self.log.snapshot().read("leases", LEASE)
+        """What happened to leases, one row a step, as the commits tell."""
+        rows, before = [], {}
+        for version in range(1, self.log.latest() + 1):
+            for name, now in self.log.snapshot(version).pointers.items():
+                if name.startswith("lease:") and now != before.get(name):
+                    stage, at, until = name[6:], *(datetime.fromisoformat(now[k]) for k in ("at", "until"))
+                    if (gone := before.get(name)) is not None and gone["held"] and now["epoch"] != gone["epoch"]:
+                        rows.append((stage, gone["epoch"], gone["owner"], gone["token"], "EXPIRED", at, datetime.fromisoformat(gone["until"])))
+                    rows.append((stage, now["epoch"], now["owner"], now["token"], "ACQUIRED" if now["held"] else "RELEASED", at, until))
+                    before[name] = now
+        return self.spark.createDataFrame(rows, LEASE)
 
     def results(self, stage: str, schema: str) -> DataFrame:
         """``call`` and the reply of every committed call of a stage."""
-        return self.log.snapshot().read(f"replies-{stage}", f"call string, {schema}")
+        return self._replies(self.log.snapshot().read(f"replies-{stage}", f"call string, {schema}, _error string"))
+
+    @staticmethod
+    def _replies(rows: DataFrame) -> DataFrame:
+        return rows.where("_error IS NULL").drop("_error")
 
     # A round
 
@@ -143,9 +156,6 @@ class Executor:
             if wait is not None:
                 self.sleep(wait)
 
-    def _event(self, stage: str, epoch: int, owner: str, token: str, event: str, at: datetime, until: datetime) -> DataFrame:
-        return self.spark.createDataFrame([(stage, epoch, owner, token, event, at, until)], LEASE)
-
     @staticmethod
     def _rows(rows: DataFrame, outcome: Column, seq: int, at: datetime, error: Column | None = None) -> DataFrame:
         error = F.lit(None).cast("string") if error is None else error
@@ -155,23 +165,23 @@ class Executor:
         """Takes the lease of a stage for its open calls, as far as the budget admits; nothing if none is open."""
         now, name = self.clock(), f"attempts-{stage}"
         tried = self._last(tx.read(name, ATTEMPT))
-        if ended := requests.select("call").join(ledger.call_status(tried, self.max_attempts).where("status IN ('FAILED_PERMANENT', 'EXHAUSTED')"), "call").limit(1).collect():
-            raise PermanentError(f"{stage}: call {ended[0].call} ended before as {ended[0].status}")
-        pending = requests.join(tx.read(f"replies-{stage}", f"call string, {schema}").select("call"), "call", "left_anti")
-        n = pending.count()
+        pending = requests.join(self._replies(tx.read(f"replies-{stage}", f"call string, {schema}, _error string")).select("call"), "call", "left_anti")
+        ended = ledger.call_status(tried, self.max_attempts).where("status IN ('FAILED_PERMANENT', 'EXHAUSTED')").select("call", "status")
+        r = pending.select("call").join(ended, "call", "left").agg(F.count("*").alias("n"), F.min(F.when(F.col("status").isNotNull(), F.struct("call", "status"))).alias("ended")).first()
+        if r.ended is not None:
+            raise PermanentError(f"{stage}: call {r.ended.call} ended before as {r.ended.status}")
+        n = r.n
         if not n:
             return None
         held, taken_over = tx.pointer(f"lease:{stage}"), 0
         epoch = 0 if held is None else held["epoch"]
-        if held is not None and held["token"] is not None:
-            until = datetime.fromisoformat(held["until"])
-            if until > now:
+        if held is not None and held["held"]:
+            if datetime.fromisoformat(held["until"]) > now:
                 raise Busy(f"{stage}: leased by {held['owner']} until {held['until']}")
             # It ran out: its attempts that still run are abandoned.
             running = tried.where((F.col("outcome") == "RUNNING") & (F.col("token") == held["token"]))
             taken_over = running.count()
             tx.append(name, self._rows(running, F.lit("ABANDONED"), 2, now))
-            tx.append("leases", self._event(stage, epoch, held["owner"], held["token"], "EXPIRED", now, until))
         admitted, room, spent = self._admit(tx, stage, pending, n, cost)
         token, until = uuid.uuid4().hex, now + timedelta(seconds=self.lease_seconds)
         last = tried.groupBy("call").agg(F.max("ordinal").alias("tried"))
@@ -183,8 +193,7 @@ class Executor:
         tx.add(part)
         used = tx.pointer("usage") or {"calls": 0, "micro": 0}
         tx.point("usage", {"calls": used["calls"] + room, "micro": used["micro"] + spent})
-        tx.point(f"lease:{stage}", {"owner": self.owner, "token": token, "epoch": epoch + 1, "until": until.isoformat()})
-        tx.append("leases", self._event(stage, epoch + 1, self.owner, token, "ACQUIRED", now, until))
+        tx.point(f"lease:{stage}", {"held": True, "owner": self.owner, "token": token, "epoch": epoch + 1, "at": now.isoformat(), "until": until.isoformat()})
         return Grant(stage, epoch + 1, token, until, pending, part, room, n - room, taken_over)
 
     def _admit(self, tx: Transaction, stage: str, pending: DataFrame, n: int, cost: float) -> tuple[DataFrame, int, int]:
@@ -192,7 +201,7 @@ class Executor:
         micro = F.round(F.col("cost").cast("double") * 1_000_000).cast("long") if "cost" in pending.columns else F.lit(round(cost * 1_000_000))
         priced = pending.select("call", micro.alias("_micro"))
         if self.max_calls is None and self.max_cost is None:
-            return priced, n, priced.agg(F.coalesce(F.sum("_micro"), F.lit(0))).first()[0]
+            return priced, n, n * round(cost * 1_000_000) if "cost" not in pending.columns else priced.agg(F.coalesce(F.sum("_micro"), F.lit(0))).first()[0]
         used = tx.pointer("usage") or {"calls": 0, "micro": 0}
         cap = 2**61 if self.max_cost is None else max(0, round(self.max_cost * 1_000_000) - used["micro"])
         most = None if self.max_calls is None else max(0, self.max_calls - used["calls"])
@@ -218,31 +227,27 @@ class Executor:
         retry = F.col("retry_after").cast("double") if "retry_after" in said.columns else F.lit(None).cast("double")
         names = T.StructType.fromDDL(schema).names
         # Written before it is used, since Spark may run a function again.
-        raw = self.log.write(f"said-{stage}", said.select("call", *names, error.alias("_error"), retry.alias("_retry")))
-        said = spark.read.parquet(f"{self.log.folder}/{raw.path}")
-        good = self.log.write(f"replies-{stage}", said.where("_error IS NULL").select("call", *names).join(own.select("call"), "call", "left_semi").dropDuplicates(["call"]))
-        got = said.groupBy("call").agg(F.max("_error").alias("_error"), F.max("_retry").alias("_retry"), F.lit(True).alias("_there"))
+        replies = self.log.write(f"replies-{stage}", said.select("call", *names, error.alias("_error"), retry.alias("_retry")).join(own.select("call"), "call", "left_semi").dropDuplicates(["call"]))
+        got = spark.read.parquet(f"{self.log.folder}/{replies.path}").select("call", "_error", "_retry", F.lit(True).alias("_there"))
         outcome = F.when(F.col("_there").isNull(), "RETRYABLE_FAILURE").when(F.col("_error").isNull(), "SUCCEEDED").when(ledger.classify_error(F.col("_error")), "RETRYABLE_FAILURE").otherwise("PERMANENT_FAILURE")
         done = own.drop("outcome", "error").join(got, "call", "left")
         ended = self.log.write(f"attempts-{stage}", self._rows(done, outcome, 3, self.clock(), F.col("_error")))
 
         def commit(tx: Transaction) -> None:
             now, held = self.clock(), tx.pointer(f"lease:{stage}")
-            if held is None or held["token"] != grant.token or held["epoch"] != grant.epoch:
+            if held is None or not held["held"] or held["token"] != grant.token or held["epoch"] != grant.epoch:
                 raise Busy(f"{stage}: the lease of epoch {grant.epoch} is lost")
             if now >= grant.until:
                 raise Busy(f"{stage}: the lease ran out before the calls returned")
-            tx.add(good)
+            tx.add(replies)
             tx.add(ended)
-            tx.point(f"lease:{stage}", held | {"owner": None, "token": None, "until": None})
-            tx.append("leases", self._event(stage, grant.epoch, self.owner, grant.token, "RELEASED", now, grant.until))
+            tx.point(f"lease:{stage}", held | {"held": False, "at": now.isoformat()})
 
         self.log.transact(commit)
         r = done.withColumn("outcome", outcome).agg(
             F.max(F.when(F.col("outcome") == "PERMANENT_FAILURE", F.col("_error"))).alias("refused"), F.count_if(F.col("outcome") == "RETRYABLE_FAILURE").alias("again"),
             F.max(F.when(F.col("outcome") == "RETRYABLE_FAILURE", F.col("ordinal"))).alias("ordinal"), F.max("_retry").alias("hint"),
         ).withColumn("wait", retry_delay(F.col("ordinal"), F.col("hint"))).first()
-        drop_path(spark, f"{self.log.folder}/{raw.path}")
         if r.refused is not None:
             raise PermanentError(f"{stage}: {r.refused}")
         if r.again and r.ordinal >= self.max_attempts:

@@ -2,12 +2,50 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import anchors, literal_fragments, search_text
 
 
+def absent(wanted: DataFrame, pages: DataFrame, together: int = 20_000) -> DataFrame:
+    """The rows of ``wanted`` (``page, key`` and others) whose key the text of their page (``page, text_key``) lacks.
+
+    All keys of a page are one automaton, which reads the text once, so the work grows with the text
+    and the keys and not with their product.  A page of more than about ``together`` keys is dealt into groups, each
+    with a copy of the text: what meets in a task is one text and that many keys.
+    A page without text lacks everything; an empty key is in every text; of several texts of a page each is looked through.
+    """
+    slots = wanted.groupBy("page").agg(F.ceil(F.count("*") / together).cast("int").alias("_slots"))
+    own = wanted.join(slots, "page").withColumn("_slot", F.pmod(F.xxhash64("key"), F.col("_slots")).cast("int")).drop("_slots")
+    texts = pages.join(slots, "page").select("page", "text_key", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)).alias("_slot"))
+    names = wanted.columns
+
+    def find(rows: pa.Table, texts: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        rows = rows.select(names)
+        if not rows.num_rows or not texts.num_rows:
+            return rows
+        keys = rows["key"].to_pylist()
+        automaton = ahocorasick.Automaton()
+        for k in set(keys) - {"", None}:
+            automaton.add_word(k, k)
+        automaton.make_automaton()
+        out = []
+        for text in texts["text_key"].to_pylist():
+            there = {""} if text is not None else set()
+            if text and len(automaton):
+                there.update(k for _, k in automaton.iter(text))
+            out.append(rows.filter(pa.array([k not in there for k in keys], pa.bool_())))
+        return pa.concat_tables(out)
+
+    by = ("page", "_slot")
+    gone = own.groupBy(*by).cogroup(texts.groupBy(*by)).applyInArrow(find, wanted.schema)
+    return gone.unionByName(wanted.where("page IS NULL"))
+
+
 def missing_literals(units: DataFrame, pages: DataFrame, show: int = 3, cut: int = 120) -> DataFrame:
     """Units whose text fragments their page lacks, compared without white space.
 
@@ -15,19 +53,18 @@ def missing_literals(units: DataFrame, pages: DataFrame, show: int = 3, cut: int
     fragments in the order of the text, repeated ones too, are given as evidence.
     """
     want = units.select("unit", "page", F.posexplode(literal_fragments(F.col("text"))).alias("at", "fragment"))
-    j = want.join(pages.select("page", search_text(F.col("page_text")).alias("_key")), "page", "left")
-    gone = j.where(~F.coalesce(F.contains("_key", search_text(F.col("fragment"))), F.lit(False)))
+    want = want.select("unit", "page", "at", F.left("fragment", F.lit(cut)).alias("shown"), search_text(F.col("fragment")).alias("key"))
+    gone = absent(want, pages.select("page", search_text(F.col("page_text")).alias("text_key")))
     place = F.row_number().over(Window.partitionBy("unit").orderBy("at"))
     ranked = gone.withColumn("place", place)
-    first = F.array_sort(F.collect_list(F.when(F.col("place") <= show, F.struct("at", F.left("fragment", F.lit(cut)).alias("t")))))
+    first = F.array_sort(F.collect_list(F.when(F.col("place") <= show, F.struct("at", F.col("shown").alias("t")))))
     return ranked.groupBy("unit").agg(F.count("*").alias("n_missing"), F.transform(first, lambda x: x["t"]).alias("evidence"))
 
 
 def missing_anchors(source: DataFrame, target: DataFrame, show: int = 5) -> DataFrame:
     """Per page the anchors of the source text that the target lacks.  ``page, text`` each."""
-    s = source.select("page", F.explode(anchors(F.col("text"))).alias("anchor"))
-    j = s.join(target.select("page", search_text(F.col("text")).alias("_key")), "page", "left")
-    gone = j.where(~F.coalesce(F.contains("_key", search_text(F.col("anchor"))), F.lit(False)))
+    want = source.select("page", F.explode(anchors(F.col("text"))).alias("anchor")).withColumn("key", search_text(F.col("anchor")))
+    gone = absent(want, target.select("page", search_text(F.col("text")).alias("text_key")))
     return gone.groupBy("page").agg(F.slice(F.array_sort(F.collect_set("anchor")), 1, show).alias("missing"), F.count("*").alias("n"))
 
 

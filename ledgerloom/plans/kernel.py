@@ -13,22 +13,28 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity as ids
+from ..functions.text import untranslated
 from ..operators import bus, constraints, context
 from ..operators.executor import Executor
+from ..streaming.folders import drop_path
 from .project import Project
 
 Stage = Callable[[DataFrame], DataFrame]
 
+SPAN = "struct<s:int,e:int,quoted:string>"
 CANDIDATE = "target_text string"
-FINDINGS = "findings array<struct<finding_id:string,option_key:string,severity:string,message:string>>"
+FINDINGS = f"findings array<struct<finding_id:string,option_key:string,severity:string,message:string,source_span:{SPAN},target_span:{SPAN}>>"
 ADJUDICATION = "mode string, selected string, text string, resolutions array<struct<finding_id:string,action:string>>"
 EDIT = "edited_text string, impact string"
 VERDICT = "verdict string, notes array<string>"
 
+#: What units may bring along besides their text: all services but the document's read it.
+CARRIED = ("context", "directives", "risks", "namespace", "specs")
+
 
 class Blocked(RuntimeError):
     """Some unit, adjudication or document did not pass."""
@@ -40,9 +46,10 @@ class Services:
 
     ``generate`` reads unit, lane, source_text; ``review`` unit, source_text and blind options;
     ``adjudicate`` unit, options and findings; ``edit`` unit, source_text and target_text; ``verify``
-    unit, source_text and edited_text; ``review_document`` the texts of a chunk of a document;
-    ``synthesize`` the number of chunks.  ``adjudicate`` defaults to the rules of
-    :func:`bus.by_rules`.
+    unit, source_text and edited_text; all of them what the unit carries (context, directives, risks,
+    placeholder contract); ``review_document`` the texts of a chunk of a document; ``synthesize`` the
+    reports of up to 64 chunks, or of as many syntheses of these.  ``adjudicate`` defaults to the rules
+    of :func:`bus.by_rules`.
     """
 
     generate: Stage
@@ -55,14 +62,19 @@ class Services:
 
 
 class Kernel:
-    def __init__(self, spark: SparkSession, executor: Executor, services: Services, chunk_characters: int = 40_000):
+    """``target_language`` turns on the gate for text that was left untranslated, ``citations`` asks serious findings for quotations."""
+
+    def __init__(self, spark: SparkSession, executor: Executor, services: Services, chunk_characters: int = 40_000, target_language: str | None = None, citations: bool = False):
         self.spark, self.executor, self.services, self.chunk_characters = spark, executor, services, chunk_characters
+        self.target_language, self.citations = target_language, citations
+        self._asked: list[str] = []
 
-    def _stage(self, stage: str, requests: DataFrame, key: list[str], service: Stage, schema: str) -> DataFrame:
+    def _stage(self, stage: str, requests: DataFrame, service: Stage, schema: str) -> DataFrame:
         """Requests with the replies of their calls; a call is known by its stage and all that it reads."""
         reads = F.to_json(F.struct(*sorted(requests.columns)), {"ignoreNullFields": "false"})
         # Written once, so that no later stage plans or runs this one's joins again.
         path = f"{self.executor.folder}/requests/{stage}-{uuid.uuid4().hex}"
+        self._asked.append(path)
         requests.withColumn("call", ids.call_key(F.lit(stage), reads)).write.parquet(path)
         asked = self.spark.read.parquet(path)
         done = self.executor.execute(stage, asked, service, schema)
@@ -71,30 +83,78 @@ class Kernel:
     def run(self, routes: DataFrame, units: DataFrame, project: Project | None = None, part: str = "main") -> DataFrame:
         """Outcomes ``unit, doc_id, pos, edited_text, impact, outcome_id`` of all units; raises :class:`Blocked` unless all pass.
 
-        ``routes``: unit, lanes; ``units``: unit, doc_id, pos, source_text.
+        ``routes``: unit, lanes and, if known, level and reasons; ``units``: unit, doc_id, pos,
+        source_text and any of ``CARRIED``: context, risks, directives (array of occurrence_key,
+        source_term, required, treatment), namespace and specs of a placeholder contract.
         """
-        s, texts = self.services, units.select("unit", "source_text")
-        made = self._stage("generate", bus.lanes(routes).select("unit", "lane").join(texts, "unit"), ["unit", "lane"], s.generate, CANDIDATE)
+        try:
+            outcomes = self._units(routes, units)
+            self._documents(outcomes)
+            if project is not None:
+                project.point("release", part, bus.release(outcomes, "doc_id", "pos"))
+            return outcomes
+        finally:
+            while self._asked:
+                drop_path(self.spark, self._asked.pop())
+
+    def _plan(self, routes: DataFrame, units: DataFrame) -> None:
+        """Every unit has one route, every route a unit, and its lanes fit its level."""
+        one = F.lit(1).alias("revision")
+        self._none(constraints.exact_cover(units.select("unit", one), routes.select("unit", one), "unit", "revision"), "plan")
+        level = F.col("level") if "level" in routes.columns else F.when(F.size("lanes") > 1, "R2").otherwise("R1")
+        reasons = F.col("reasons") if "reasons" in routes.columns else F.array(F.lit("not stated"))
+        self._none(routes.withColumn("problem", constraints.route_problems(level, F.col("lanes"), reasons)).where(F.size("problem") > 0), "route")
+        if "disposition" in units.columns:
+            self._none(constraints.blocked(units, "unit"), "blocker")
+
+    def _texts(self, rows: DataFrame, text: str, stage: str, *others: Column) -> None:
+        """Texts that a service gave must be printable, keep protected tokens and hold what directives demand; ``others``: more problems."""
+        found = F.concat(*others, constraints.target_problems(F.col(text)))
+        if "specs" in rows.columns:
+            damage = constraints.placeholder_problems(F.col(text), F.col("namespace"), F.col("specs"))
+            found = F.concat(found, F.when(F.size("specs") > 0, damage).otherwise(F.array().cast("array<string>")))
+        if "directives" in rows.columns:
+            found = F.concat(found, F.coalesce(constraints.directive_problems(F.col(text), F.col("directives")), F.array().cast("array<string>")))
+        self._none(rows.withColumn("problem", found).where(F.col(text).isNull() | (F.size("problem") > 0)), stage)
+
+    def _untranslated(self, rows: DataFrame) -> Column:
+        if self.target_language is None:
+            return F.lit(False)
+        none = F.array().cast("array<string>")
+        own = lambda keep, name: F.coalesce(F.transform(F.filter("directives", keep), lambda d: d[name]), none) if "directives" in rows.columns else none
+        every, kept = (lambda d: F.lit(True)), (lambda d: d["treatment"] == "RETAIN_SOURCE")
+        return untranslated(F.col("source_text"), F.col("edited_text"), F.lit(self.target_language), own(every, "source_term"), own(every, "required"), own(kept, "source_term"))
+
+    def _units(self, routes: DataFrame, units: DataFrame) -> DataFrame:
+        s, carried = self.services, [c for c in CARRIED if c in units.columns]
+        self._plan(routes, units)
+        texts = units.select("unit", "source_text", *carried)
+        made = self._stage("generate", bus.lanes(routes).select("unit", "lane").join(texts, "unit"), s.generate, CANDIDATE)
+        self._texts(made, "target_text", "candidate")
         named = made.withColumn("candidate_id", F.sha2(F.concat_ws("\n", F.col("unit").cast("string"), "lane", "target_text"), 256))
         per_unit = bus.option_sets(bus.options(named)).join(texts, "unit")
-        reviewed = self._stage("review", per_unit, ["unit"], s.review, FINDINGS)
-        judged = self._stage("adjudicate", reviewed, ["unit"], s.adjudicate, ADJUDICATION)
+        reviewed = self._stage("review", per_unit, s.review, FINDINGS)
+        shape = constraints.review_problems(F.col("options"), F.col("findings"), F.col("source_text"), self.citations)
+        self._none(reviewed.withColumn("problem", shape).where(F.size("problem") > 0), "review")
+        judged = self._stage("adjudicate", reviewed, s.adjudicate, ADJUDICATION)
         wrong = constraints.adjudication_problems(F.col("mode"), F.col("selected"), F.col("findings"), F.col("resolutions"))
         text = F.when(F.col("mode") == "SELECT", F.filter("options", lambda o: o["option_key"] == F.col("selected"))[0]["target_text"]).otherwise(F.col("text"))
-        judged = judged.withColumns({"wrong": wrong, "target_text": text})
-        self._none(judged.where((F.size("wrong") > 0) | F.col("target_text").isNull()), "adjudication")
-        edited = self._stage("edit", judged.select("unit", "source_text", "target_text"), ["unit"], s.edit, EDIT)
+        judged = judged.withColumns({"problem": wrong, "target_text": text})
+        self._texts(judged, "target_text", "adjudication", F.col("problem"))
+        edited = self._stage("edit", judged.select("unit", "source_text", "target_text", *carried), s.edit, EDIT)
+        self._texts(edited, "edited_text", "edit")
         edited = edited.withColumn("changed", ~F.col("target_text").eqNullSafe(F.col("edited_text")))
-        checked = self._stage("verify", edited, ["unit"], s.verify, FINDINGS)
-        verdict = F.when(bus.is_serious(F.col("findings")) | (F.col("impact") == "DEGRADES"), "BLOCK").otherwise("PASS")
-        verified = checked.withColumn("verdict", verdict)
-        self._none(verified.where("verdict = 'BLOCK'"), "verification")
+        checked = self._stage("verify", edited, s.verify, FINDINGS)
+        serious = bus.is_serious(F.col("findings")) | self._untranslated(checked)
+        verdict = F.when(serious | (F.col("impact") == "DEGRADES"), "BLOCK").otherwise("PASS")
+        verified = checked.withColumn("verdict", verdict).withColumn("problem", constraints.verdict_problems(F.col("verdict"), serious, F.col("impact"), F.col("changed")))
+        self._none(verified.where((F.col("verdict") == "BLOCK") | (F.size("problem") > 0)), "verification")
         key = ids.digest(ids.NS_OPTION, candidate=F.sha2("edited_text", 256), unit=F.col("unit").cast("string"))
         outcomes = verified.select("unit", "edited_text", "impact", key.alias("outcome_id")).join(units.select("unit", "doc_id", "pos"), "unit")
-        self._documents(outcomes)
-        if project is not None:
-            project.point("release", part, bus.release(outcomes, "doc_id", "pos"))
-        return outcomes
+        # Read again from one place: the requests go when the run is over.
+        place = f"{self.executor.folder}/outcomes/{uuid.uuid4().hex}"
+        outcomes.write.parquet(place)
+        return self.spark.read.schema(outcomes.schema).parquet(place)
 
     def _documents(self, outcomes: DataFrame) -> None:
         """Review of whole documents, in chunks of bounded size; several passing chunks need a synthesis."""
@@ -102,13 +162,19 @@ class Kernel:
         parts = context.chunks(sized, "doc_id", "pos", "n", self.chunk_characters).join(outcomes.select("doc_id", "pos", "edited_text"), ["doc_id", "pos"])
         rows = F.array_sort(F.collect_list(F.struct("pos", "edited_text")))
         chunks = parts.groupBy("doc_id", "chunk").agg(F.transform(rows, lambda r: r["edited_text"]).alias("texts"))
-        reports = self._stage("review_document", chunks, ["doc_id", "chunk"], self.services.review_document, VERDICT)
-        merged = bus.merge_reports(reports)
-        self._none(merged.where("verdict = 'BLOCK'"), "document review")
-        both = self._stage("synthesize", merged.where("needs_synthesis").select("doc_id", "n_chunks"), ["doc_id"], self.services.synthesize, VERDICT)
-        self._none(both.where("verdict = 'BLOCK'"), "synthesis")
+        reports = self._stage("review_document", chunks, self.services.review_document, VERDICT)
+        self._none(bus.merge_reports(reports).where("verdict = 'BLOCK'"), "document review")
+        level = reports.select("doc_id", F.col("chunk").cast("int").alias("part"), "verdict", "notes")
+        while True:
+            groups = bus.report_groups(level)
+            some = groups.limit(1).count()
+            level = self._stage("synthesize", groups, self.services.synthesize, VERDICT).select("doc_id", "part", "verdict", "notes")
+            self._none(level.where("verdict = 'BLOCK'"), "synthesis")
+            if not some:
+                break
 
     @staticmethod
     def _none(bad: DataFrame, what: str) -> None:
         if rows := bad.limit(1).collect():
-            raise Blocked(f"{what}: {rows[0].unit if 'unit' in bad.columns else rows[0].doc_id} did not pass")
+            r = rows[0].asDict()
+            raise Blocked(f"{what}: {r.get('unit', r.get('doc_id'))} did not pass{': ' + str(r['problem']) if r.get('problem') else ''}")

@@ -177,8 +177,34 @@ class Project:
             self.point("artifact", part, {"report_id": report["report_id"], "sha256": report["target_sha256"]})
         return report["verdict"] == "PASS"
 
+    def release(self, part: str, payload: bytes, report: dict, state: dict) -> bool:
+        """Final file, report, pointer and output report as one step; whether the report passes.
+
+        What is to be done is written down first, in one file that appears at once.  A crash before that
+        changes nothing; after it, whoever looks at the project next does the rest (:meth:`recover`).
+        """
+        self.recover()
+        done = self.folder / "reports" / f"{report['report_id']}.json"
+        if done.exists() and done.read_bytes() != _json(report):
+            raise ControlError("a different report has this id")
+        write_atomic(self.folder / "journal" / f"{part}.json", _json({"part": part, "payload": payload.decode("utf-8"), "report": report, "state": state}))
+        self.recover()
+        return report["verdict"] == "PASS"
+
+    def recover(self) -> None:
+        """Does what a journal says and then removes it; doing it twice changes nothing."""
+        journals = self.folder / "journal"
+        for path in sorted(journals.glob("*.json")) if journals.exists() else ():
+            step = json.loads(path.read_text(encoding="utf-8"))
+            if step["report"]["verdict"] == "PASS":
+                self.publish(step["part"], step["payload"].encode("utf-8"))
+            self.record_report(step["part"], step["report"])
+            write_atomic(self.folder / "output" / "verification-report.json", _json(step["state"]) + b"\n")
+            path.unlink()
+
     def status(self, part: str = "main", units: int = 0) -> str:
         """State by precedence; a broken binding or a changed artifact blocks."""
+        self.recover()
         try:
             self.manifest()
         except FileNotFoundError:

@@ -22,8 +22,9 @@ from ..functions.text import risk_floor
 from ..operators import bus, constraints, gates
 from ..operators.executor import Executor
 from ..sources import records
+from ..sources.commits import CommitLog, Transaction
 from .kernel import Blocked, Kernel, Services
-from .project import Config, Project, write_atomic
+from .project import Config, Project
 
 
 class MissingApprovals(RuntimeError):
@@ -98,23 +99,50 @@ def wire(spark: SparkSession, folder: str, project: Project, config: Config, ser
         spark, f"{folder.rstrip('/')}/calls", owner="review-bus", max_attempts=config.max_attempts, lease_seconds=max(300, config.request_timeout_seconds + 60),
         max_calls=config.max_calls, max_cost=config.max_cost,
     )
-    return Publication(spark, folder, project, services, executor, config.chunk_characters, points)
+    return Publication(spark, folder, project, services, executor, config.chunk_characters, points, config.target_language, citations=True)
 
 
 class Publication:
     """``folder``: shared folder of the run's tables; ``project``: bound inputs, pointers and reports."""
 
-    def __init__(self, spark: SparkSession, folder: str, project: Project, services: Services, executor: Executor | None = None, chunk_characters: int = 40_000, points: Points = Points()):
+    def __init__(self, spark: SparkSession, folder: str, project: Project, services: Services, executor: Executor | None = None, chunk_characters: int = 40_000, points: Points = Points(), target_language: str | None = None, citations: bool = False):
         self.spark, self.folder, self.project, self.services = spark, folder.rstrip("/"), project, services
         self.executor = executor or Executor(spark, f"{self.folder}/calls")
-        self.chunk_characters, self.points = chunk_characters, points
+        self.store = CommitLog(spark, f"{self.folder}/store")
+        self.chunk_characters, self.points, self.target_language, self.citations = chunk_characters, points, target_language, citations
+
+    def _active(self, part: str) -> dict | None:
+        """The active release of a part, by the store; the project's own pointer follows it."""
+        release = self.store.snapshot().pointers.get(f"release:{part}")
+        if release is not None and self.project.active("release", part) != release:
+            self.project.point("release", part, release)  # a run ended between the two
+        return release
 
     def _approvals(self, release: dict | None) -> DataFrame | None:
-        return None if release is None else self.spark.read.parquet(f"{self.folder}/approvals/{release['release_id']}")
+        return None if release is None else self.store.snapshot().read("approvals").where(F.col("release_id") == release["release_id"]).drop("release_id")
+
+    def _commit(self, part: str, units: DataFrame, outcomes: DataFrame, release: dict) -> None:
+        """Records, units, approvals, event and pointer of a release, all or none of them."""
+        key = release["release_id"]
+        records_ = self.store.write("records", units.withColumn("release_id", F.lit(key)))
+        approvals = self.store.write("approvals", outcomes.withColumn("release_id", F.lit(key)))
+        event = self.store.write("events", self.spark.createDataFrame([(part, key, "RELEASE_ACTIVATED", release["documents"], release["outcomes"])], "part string, release_id string, event string, documents long, outcomes long"))
+
+        def step(tx: Transaction) -> None:
+            known = tx.pointer(f"known:{key}")
+            if known is None:  # a release that was active before keeps its rows
+                tx.add(records_)
+                tx.add(approvals)
+                tx.point(f"known:{key}", release)
+            tx.add(event)
+            tx.point(f"release:{part}", release)
+
+        self.store.transact(step)
+        self.project.point("release", part, release)
 
     def run(self, documents: DataFrame, part: str = "main") -> Result:
         units = units_of(documents)
-        before, rendered, capture = self.project.active("release", part), None, False
+        before, rendered, capture = self._active(part), None, False
         try:
             stored = self._approvals(before)
             if stored is None:
@@ -124,18 +152,17 @@ class Publication:
             capture = True
         todo = units.where("disposition = 'translatable'").select("unit", "doc_id", "pos", "source_text")
         routes = self.points.plan(units.where("disposition = 'translatable'"))
-        outcomes = Kernel(self.spark, self.executor, self.services, self.chunk_characters).run(routes, todo)
+        outcomes = Kernel(self.spark, self.executor, self.services, self.chunk_characters, self.target_language, self.citations).run(routes, todo)
         release = bus.release(outcomes, "doc_id", "pos")
         if release != before:
-            outcomes.write.mode("overwrite").parquet(f"{self.folder}/approvals/{release['release_id']}")
-            self.project.point("release", part, release)
+            self._commit(part, units, outcomes, release)
         approved = self._approvals(release)
         text = rendered if rendered is not None and release == before else self.points.render(units, approved)
         # What was rendered must be what the release holds, and the release must still be the active one.
         expected = outcomes.select("unit", F.lit(1).alias("revision"))
         if constraints.exact_cover(expected, approved.select("unit", F.lit(1).alias("revision")), "unit", "revision").limit(1).count() or bus.release(approved, "doc_id", "pos") != release:
             raise Blocked("approvals differ from the release")
-        if self.project.active("release", part) != release:
+        if self._active(part) != release:
             raise Blocked("the active release changed during rendering")
         target = f"{self.folder}/text/{release['release_id']}"
         text.write.mode("overwrite").parquet(target)
@@ -153,11 +180,7 @@ class Publication:
             "verdict": "BLOCK" if any(r.severity in ("ERROR", "BLOCKING") for r in found) else "PASS",
         }
         report["report_id"] = hashlib.sha256(json.dumps(report, sort_keys=True).encode()).hexdigest()
-        if report["verdict"] == "PASS":
-            self.project.publish(part, delivery)
-        passed = self.project.record_report(part, report)
-        state = {"state": "RELEASED" if passed else "BLOCKED", "report": report, "text": place}
-        write_atomic(self.project.folder / "output" / "verification-report.json", json.dumps(state, sort_keys=True).encode() + b"\n")
-        if not passed:
+        state = {"state": "RELEASED" if report["verdict"] == "PASS" else "BLOCKED", "report": report, "text": place}
+        if not self.project.release(part, delivery, report, state):
             raise Blocked(f"the finished text did not pass: {report['findings'][:3]}")
         return report

@@ -181,7 +181,7 @@ def test_a_stale_worker_cannot_commit(spark, tmp_path):
         one.execute("s", requests(spark, 2), slow, "y string")
     assert [r.y for r in two.results("s", "y string").collect()] == ["fresh", "fresh"] and two.taken_over == 2
     assert {(r.ordinal, r.outcome, r.owner) for r in two.attempts().collect()} == {(1, "ABANDONED", "one"), (2, "SUCCEEDED", "two")}
-    assert [(r.event, r.epoch) for r in two.lease_log().orderBy("epoch", "event").collect()] == [("ACQUIRED", 1), ("EXPIRED", 1), ("ACQUIRED", 2), ("RELEASED", 2)]
+    assert [(r.event, r.epoch, r.owner) for r in two.lease_log().orderBy("epoch", "event").collect()] == [("ACQUIRED", 1, "one"), ("EXPIRED", 1, "one"), ("ACQUIRED", 2, "two"), ("RELEASED", 2, "two")]
     assert two.usage()[0] == 4  # the abandoned attempts were paid for
 
 

@@ -82,6 +82,10 @@ def services(**other):
     return Services(**{**own, **other})
 
 
+def chinese():
+    return services(generate=lambda r: r.select("call", F.concat(F.lit("这是第一行的译文"), "lane").alias("target_text")))
+
+
 def two_units(spark):
     routes = spark.createDataFrame([("a", ["baseline"]), ("b", ["baseline", "alternative"])], "unit string, lanes array<string>")
     units = spark.createDataFrame([("a", 1, 0, "one"), ("b", 1, 1, "two")], "unit string, doc_id long, pos int, source_text string")
@@ -327,7 +331,10 @@ def test_older_projects_are_migrated(tmp_path):
 def test_cli_runs_a_project(spark, tmp_path, capsys):
     src = tmp_path / "a.txt"
     src.write_text("One line.\nAnother one.")
-    folder, factory = str(tmp_path / "p"), "tests.test_control:services"
+    folder, factory = str(tmp_path / "p"), "tests.test_control:chinese"
+    left = str(tmp_path / "left")  # the target language is Chinese: services that repeat the source are refused
+    assert cli.main(["translate", left, str(src), str(tmp_path / "none"), "--services", "tests.test_control:services"]) == 2 and Project(left).active("release", "main") is None
+    capsys.readouterr()
     assert cli.main(["translate", folder, str(src), str(tmp_path / "out"), "--services", factory]) == 0
     first = json.loads(capsys.readouterr().out.splitlines()[-1])
     assert first["state"] == "RELEASED" and first["calls"] == 2 + 2 * 4 + 1 and (tmp_path / "out" / "main").exists()
