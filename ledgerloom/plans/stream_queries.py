@@ -37,20 +37,20 @@ _HOURS = 12
 
 _STATES = f"""
 WITH RECURSIVE e AS (
-  SELECT user_id, epoch_us(ts) AS at, event_type = 'purchase' AS done, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events
+  SELECT user_id, epoch_us(ts) AS us, event_type = 'purchase' AS done, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events
 ), r AS (
-  SELECT DISTINCT user_id, 0::BIGINT AS i, 0::BIGINT AS at, NULL::BIGINT AS until, 0 AS ordinal, NULL::VARCHAR AS what FROM e
+  SELECT DISTINCT user_id, 0::BIGINT AS i, 0::BIGINT AS us, NULL::BIGINT AS until, 0 AS ordinal, NULL::VARCHAR AS what FROM e
   UNION ALL
-  SELECT e.user_id, e.i, e.at,
-         CASE WHEN e.at < r.until THEN CASE WHEN e.done THEN NULL ELSE r.until END WHEN e.done THEN NULL ELSE e.at + {_HOURS * 3600} * 1000000 END,
-         CASE WHEN NOT e.done AND coalesce(e.at >= r.until, true) THEN r.ordinal + 1 ELSE r.ordinal END,
-         CASE WHEN e.at < r.until THEN CASE WHEN e.done THEN 'SUCCEEDED' ELSE 'BUSY' END WHEN e.done THEN 'STALE' ELSE 'RUNNING' END
+  SELECT e.user_id, e.i, e.us,
+         CASE WHEN e.us < r.until THEN CASE WHEN e.done THEN NULL ELSE r.until END WHEN e.done THEN NULL ELSE e.us + {_HOURS * 3600}000000::BIGINT END,
+         CASE WHEN NOT e.done AND coalesce(e.us >= r.until, true) THEN r.ordinal + 1 ELSE r.ordinal END,
+         CASE WHEN e.us < r.until THEN CASE WHEN e.done THEN 'SUCCEEDED' ELSE 'BUSY' END WHEN e.done THEN 'STALE' ELSE 'RUNNING' END
   FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1
 ), b AS (
-  SELECT b.user_id, b.ordinal, b.at AS begun, s.at AS ended FROM r b LEFT JOIN r s ON s.user_id = b.user_id AND s.ordinal = b.ordinal AND s.what = 'SUCCEEDED' WHERE b.what = 'RUNNING'
+  SELECT b.user_id, b.ordinal, b.us AS begun, s.us AS ended FROM r b LEFT JOIN r s ON s.user_id = b.user_id AND s.ordinal = b.ordinal AND s.what = 'SUCCEEDED' WHERE b.what = 'RUNNING'
 )
-SELECT user_id, ordinal, what AS outcome, at AS begun, at AS ended FROM r WHERE what IN ('BUSY', 'STALE')
-UNION ALL SELECT user_id, ordinal, CASE WHEN ended IS NULL THEN 'ABANDONED' ELSE 'SUCCEEDED' END, begun, coalesce(ended, begun + {_HOURS * 3600} * 1000000) FROM b
+SELECT user_id, ordinal, what AS outcome, us AS begun, us AS ended FROM r WHERE what IN ('BUSY', 'STALE')
+UNION ALL SELECT user_id, ordinal, CASE WHEN ended IS NULL THEN 'ABANDONED' ELSE 'SUCCEEDED' END, begun, coalesce(ended, begun + {_HOURS * 3600}000000::BIGINT) FROM b
 """
 
 

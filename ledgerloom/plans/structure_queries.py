@@ -583,12 +583,32 @@ def pl06_edits(spark, sf):
     return bus.edits(a, b).select("unit", "changed")
 
 
-_VER = f"""{_FIND}, e AS (SELECT conv_id AS unit, CASE WHEN conv_id % 9 = 0 THEN 'DEGRADES' ELSE 'IMPROVES' END AS impact FROM conversations WHERE turn = 0),
-v AS (SELECT e.unit, impact, coalesce(severity IN ('MAJOR', 'CRITICAL', 'BLOCKING'), false) AS serious, (CASE WHEN severity IS NULL THEN 0 ELSE 1 END)::BIGINT AS n_findings, CASE WHEN coalesce(severity IN ('MAJOR', 'CRITICAL', 'BLOCKING'), false) OR impact = 'DEGRADES' THEN 'BLOCK' ELSE 'PASS' END AS verdict FROM e LEFT JOIN find ON find.doc_id = e.unit)"""
+#: What is no ASCII but part of a word counts as one that no Latin word holds, so all engines see the same borders.
+_LATIN = r"regexp_replace({}, '[^\x00-\x7F\pP\pS\pZ\pC]', '_', 'g')"
+
+
+def gate_sql(source: str, target: str) -> str:
+    """Rows of a relation with text columns ``source`` and ``target``: whether the gate for untranslated text holds them."""
+    s, t = _LATIN.format(source), _LATIN.format(target)
+    line = lambda x: rf"lower(trim(regexp_replace({x}, '\s+', ' ', 'g')))"
+    ws = rf"regexp_extract_all({s}, '(?i)\b[A-Z][A-Z''-]{{1,}}\b')"
+    kept = rf"len(list_filter({ws}, lambda w: regexp_matches({t}, '(?i)\b' || w || '\b')))"
+    cjk = f"len(regexp_extract_all({target}, '[㐀-鿿]'))"
+    return f"(len({ws}) > 0 AND ({line(source)} = {line(target)} OR (len({ws}) >= 2 AND {kept} >= 0.8 * len({ws}) AND {cjk} < greatest(4, len({ws}) * 2)) OR (len({ws}) = 1 AND {kept} = 1 AND {cjk} = 0)))"
+
+
+_VER = f"""{_FIND}, e AS (SELECT a.conv_id AS unit, CASE WHEN a.text = b.text THEN 'EQUIVALENT' WHEN length(b.text) * 4 < length(a.text) THEN 'DEGRADES' ELSE 'IMPROVES' END AS impact,
+  {gate_sql("a.text", "CASE WHEN length(a.text) < length(b.text) THEN a.text ELSE b.text END")} AS untranslated FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1),
+v AS (SELECT e.unit, impact, untranslated, coalesce(severity IN ('MAJOR', 'CRITICAL', 'BLOCKING'), false) AS serious, (CASE WHEN severity IS NULL THEN 0 ELSE 1 END)::BIGINT AS n_findings, CASE WHEN coalesce(severity IN ('MAJOR', 'CRITICAL', 'BLOCKING'), false) OR impact = 'DEGRADES' OR untranslated THEN 'BLOCK' ELSE 'PASS' END AS verdict FROM e LEFT JOIN find ON find.doc_id = e.unit)"""
 
 
 def _verified(spark, sf):
-    e = tab(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").alias("unit"), F.when(F.col("conv_id") % 9 == 0, "DEGRADES").otherwise("IMPROVES").alias("impact"))
+    """First turns as sources, the shorter of the first and second as their Chinese targets, which the gate holds where they only repeat the source."""
+    c = tab(spark, sf, "conversations")
+    pair = c.where("turn = 0").select("conv_id", F.col("text").alias("a")).join(c.where("turn = 1").select("conv_id", F.col("text").alias("b")), "conv_id")
+    impact = F.when(F.col("a") == F.col("b"), "EQUIVALENT").when(F.length("b") * 4 < F.length("a"), "DEGRADES").otherwise("IMPROVES")
+    none, target = F.array().cast("array<string>"), F.when(F.length("a") < F.length("b"), F.col("a")).otherwise(F.col("b"))
+    e = pair.select(F.col("conv_id").alias("unit"), impact.alias("impact"), tx.untranslated(F.col("a"), target, F.lit("zh-Hans"), none, none, none).alias("untranslated"))
     return bus.verify(e, _findings(spark, sf))
 
 
@@ -631,26 +651,13 @@ def ag10_se07_outcome_set(spark, sf):
     return bus.outcome_set(r)
 
 
-def _echo(pdf):
-    return pdf.assign(reply=pdf.text.str.slice(0, 20))[["call", "reply"]]
-
-
-@query("SELECT conv_id * 100 + turn AS call, left(text, 20) AS reply FROM conversations")
-def ud01_ud02_ud03_services(spark, sf):
-    services = bus.Registry()
-    services.add("echo", "call long, reply string")(_echo)
-    q = tab(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("call"), "text", "role")
-    stored = q.where("role = 'user'").select("call", F.left("text", F.lit(20)).alias("reply"))
-    return bus.memoized(q, stored, lambda r: services.call("echo", r))
-
-
 def _whole_echo(pdf):
     return pdf.assign(reply=pdf.text)[["call", "reply"]]
 
 
 @query("SELECT conv_id * 100 + turn AS call, text AS reply FROM conversations")
 def ud01_ud02_ud03_whole_replies(spark, sf):
-    """As above, but with whole texts for replies."""
+    """Turns as calls of a service that answers with the whole text, of which those of users have stored results."""
     services = bus.Registry()
     services.add("echo", "call long, reply string")(_whole_echo)
     q = tab(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("call"), "text", "role")
