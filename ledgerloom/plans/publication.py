@@ -23,6 +23,7 @@ from ..operators import bus, constraints, gates
 from ..operators.executor import Executor
 from ..sources import records
 from ..sources.commits import CommitLog, Transaction
+from . import planning
 from .kernel import Blocked, Kernel, Services
 from .project import Config, Project
 
@@ -93,21 +94,28 @@ class Points:
     verify: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = findings  # units, approvals, text → doc_id, category, severity
 
 
-def wire(spark: SparkSession, folder: str, project: Project, config: Config, services: Services, points: Points = Points()) -> Publication:
+def wire(
+    spark: SparkSession, folder: str, project: Project, config: Config, services: Services, points: Points = Points(), decisions: DataFrame | None = None, risks: DataFrame | None = None
+) -> Publication:
     """A publication under a project's limits: budget, attempts, lease and the size of review chunks."""
     executor = Executor(
         spark, f"{folder.rstrip('/')}/calls", owner="review-bus", max_attempts=config.max_attempts, lease_seconds=max(300, config.request_timeout_seconds + 60),
         max_calls=config.max_calls, max_cost=config.max_cost,
     )
-    return Publication(spark, folder, project, services, executor, config.chunk_characters, points, config.target_language, citations=True)
+    return Publication(spark, folder, project, services, executor, config.chunk_characters, points, config.target_language, True, decisions, risks, (config.context_before, config.context_after, config.context_characters))
 
 
 class Publication:
-    """``folder``: shared folder of the run's tables; ``project``: bound inputs, pointers and reports."""
+    """``folder``: shared folder of the run's tables; ``project``: bound inputs, pointers and reports.
 
-    def __init__(self, spark: SparkSession, folder: str, project: Project, services: Services, executor: Executor | None = None, chunk_characters: int = 40_000, points: Points = Points(), target_language: str | None = None, citations: bool = False):
+    With ``decisions`` about terms (``term, form, confidence, treatment``) a run is planned: its services
+    read directives, context and risks, and its texts must hold what the directives demand.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, project: Project, services: Services, executor: Executor | None = None, chunk_characters: int = 40_000, points: Points = Points(), target_language: str | None = None, citations: bool = False, decisions: DataFrame | None = None, risks: DataFrame | None = None, window: tuple[int, int, int] = (4, 4, 6000)):
         self.spark, self.folder, self.project, self.services = spark, folder.rstrip("/"), project, services
         self.executor = executor or Executor(spark, f"{self.folder}/calls")
+        self.decisions, self.risks, self.window = decisions, risks, window
         self.store = CommitLog(spark, f"{self.folder}/store")
         self.chunk_characters, self.points, self.target_language, self.citations = chunk_characters, points, target_language, citations
 
@@ -150,8 +158,11 @@ class Publication:
             rendered = self.points.render(units, stored)
         except MissingApprovals:
             capture = True
-        todo = units.where("disposition = 'translatable'").select("unit", "doc_id", "pos", "source_text")
-        routes = self.points.plan(units.where("disposition = 'translatable'"))
+        if self.decisions is not None:  # planned: directives, context, risks and routes by them
+            todo, routes = planning.prepare(units, self.decisions, self.risks, *self.window)
+        else:
+            todo = units.where("disposition = 'translatable'").select("unit", "doc_id", "pos", "source_text")
+            routes = self.points.plan(units.where("disposition = 'translatable'"))
         outcomes = Kernel(self.spark, self.executor, self.services, self.chunk_characters, self.target_language, self.citations).run(routes, todo)
         release = bus.release(outcomes, "doc_id", "pos")
         if release != before:
