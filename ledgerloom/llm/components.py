@@ -5,6 +5,10 @@ neighbour of each node only: a small table of its own, so that both sides of the
 shuffles, which adaptive execution splits where a node has very many links.  Nothing gathers in a
 task or on the driver.  Lineage is cut by a table in the shared folder after each round; rounds grow
 with the logarithm of the longest path.
+
+Defined results: loops count for nothing, repeated edges once; an edge with a null end links nothing;
+nodes that no edge names are not in the result, nor are roots; ids of any kind that has an order will do;
+an empty table gives no rows.
 """
 
 from __future__ import annotations

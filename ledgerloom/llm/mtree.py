@@ -47,6 +47,7 @@ PAGE = 64
 FAN = 16
 MOST_PIVOTS = 1024
 MOST_SUBTREES = 1 << 16
+ROUTED = 1 << 22  # distances of queries to subtrees that a task holds at once
 _NONE = np.iinfo(np.int64).max
 
 
@@ -280,6 +281,8 @@ def top_k(
     cell_of, radius_of = (np.array([radii[t][j] for t in sorted(radii)]) for j in (0, 1))
     tree_of = np.array(sorted(radii))
 
+    step = max(1, ROUTED // max(1, len(tree_of)))
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The subtrees other than its own that can hold a better row, per query."""
         for batch in batches:
@@ -288,20 +291,25 @@ def top_k(
             q, kth = lifted(matrix(batch.column(1).to_pylist(), width), 0.0), batch.column(2).to_numpy(zero_copy_only=False)
             reach2 = (q**2).sum(axis=1) + r2
             limit = np.sqrt(np.maximum(0.0, reach2 - 2.0 * kth)) + 1e-7 * (1 + np.sqrt(reach2))
-            may = distances(q, pivots)[:, cell_of] - radius_of[None] <= limit[:, None]
-            may &= tree_of[None] != batch.column(3).to_numpy()[:, None]
-            lists = pa.array([tree_of[m].tolist() for m in may], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=["id", "v", "kth", "trees"])
+            own, lists = batch.column(3).to_numpy(), []
+            for i in range(0, len(q), step):  # a few queries at a time: queries x subtrees stays small
+                some = slice(i, i + step)
+                may = distances(q[some], pivots)[:, cell_of] - radius_of[None] <= limit[some, None]
+                may &= tree_of[None] != own[some, None]
+                lists += [tree_of[m] for m in may]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lists, pa.list_(pa.int32()))], names=["id", "v", "kth", "trees"])
 
     kth = F.when(F.size("scores") >= k, F.element_at("scores", -1).cast("double")).otherwise(float("-inf"))
     bound = queries.drop("kth").join(home.select(F.col("query_id").alias("id"), kth.alias("kth")), "id")
-    routed = bound.select("id", "v", "kth", "tree").mapInArrow(route, "id long, v array<long>, kth double, trees array<int>")
-    sent = routed.select("id", "v", "kth", F.explode("trees").alias("tree"))
     n_queries = home.count()
-    turns = max(1, -(-n_queries // block_queries))
-    turn = F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int")
-    again = trees.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-    more = sent.withColumn("turn", turn).groupBy("tree", "turn").cogroup(again.groupBy("tree", "turn")).applyInPandas(find, found)
+    turn = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n_queries // block_queries)))).cast("int")
+    routed = bound.select("id", "v", "kth", "tree").mapInArrow(route, "id long, v array<long>, kth double, trees array<int>")
+    routed = cut(routed.withColumn("turn", turn), "routed")
+    sent = routed.select("id", "v", "kth", "turn", F.explode("trees").alias("tree"))
+    # A subtree goes to the turns that some query of was routed to it, and to no other.
+    asked = sent.select("tree", "turn").distinct().groupBy("tree").agg(F.collect_list("turn").alias("turns"))
+    again = trees.join(asked, "tree").withColumn("turn", F.explode("turns")).drop("turns")
+    more = sent.groupBy("tree", "turn").cogroup(again.groupBy("tree", "turn")).applyInPandas(find, found)
     every = home.union(more).select("query_id", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("scores").alias("score"))))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return every.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

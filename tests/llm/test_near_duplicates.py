@@ -130,3 +130,13 @@ def test_clusters_that_share_buckets(spark, share):
             i += 1
     got = H.near_duplicates(spark.createDataFrame([(i, t, "") for i, t in rows], SCHEMA), words=2, percent=80).collect()
     assert {r.id: r.root for r in got} == brute(rows, 2, 80)
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i * 7919 % 100_003}" for i in range(150_000)]
+    base = " ".join(words)
+    near = " ".join(w if i % 40 else "x" + w for i, w in enumerate(words))  # every fortieth word another: 0.9 alike
+    far = " ".join(w if i % 4 else "y" + w for i, w in enumerate(words))
+    rows = [(5, base, ""), (3, near, ""), (9, far, ""), (7, base, ""), (1, "no space " + "z" * 1_000_000, "")]
+    got = {r.id: r.root for r in H.near_duplicates(spark.createDataFrame(rows, SCHEMA), words=2, percent=80).collect()}
+    assert got == {5: 3, 3: 3, 7: 3, 9: 9, 1: 1}

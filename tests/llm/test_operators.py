@@ -380,16 +380,22 @@ def test_html_text_in_frames_is_kept():
 
 
 def test_html_parser_is_linear():
+    """Four times the page takes at most nine times as long (a quadratic parser: sixteen), on any machine."""
     import time
 
+    def took(page):
+        best = float("inf")
+        for _ in range(3):
+            begun = time.process_time()
+            html_extract.parse(page)
+            best = min(best, time.process_time() - begun)
+        return max(best, 0.01)
+
     hostile = ["<div>", "<p><x>", "<li><ul><x>", "<table><tr><td>", "<svg><div>", '<a "', "<a b='", '<a b="', "<!x", "</p>", "<li><p><x-y>", "</div>", "<ul><li>"]
     for unit in hostile:
-        begun = time.process_time()
-        html_extract.parse(unit * 20_000 + "x")
-        assert time.process_time() - begun < 0.5, unit
-    begun = time.process_time()
-    html_extract.parse("<li><ul>" + "<x>" * 20_000 + "<li>a</li>" * 20_000)
-    assert time.process_time() - begun < 1
+        assert took(unit * 20_000 + "x") < 9 * took(unit * 5_000 + "x"), unit
+    nested = lambda n: "<li><ul>" + "<x>" * n + "<li>a</li>" * n
+    assert took(nested(20_000)) < 9 * took(nested(5_000))
 
 
 def test_html_tags_as_browsers_read_them():
@@ -939,3 +945,38 @@ def test_pipeline_keeps_different_texts_of_one_id(spark):
         got = P.drop_near_duplicates(spark, docs.orderBy(order).repartition(3), SF)
         assert got.columns == docs.columns
         assert sorted((str(r.doc_id), str(r.text), r.source) for r in got.collect()) == sorted(want)
+
+
+def test_top_k_of_wide_vectors_and_clashing_columns(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, size=3000 if i % 2 else 2)], "x", 1.0, 5, 7, "t") for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, q string, v double, cell int, tree int, turn string")
+    got = mtree.top_k(df, F.col("vec_id") % 20 == 0, k=4, block_rows=7, block_queries=1).collect()
+    wide = np.zeros((60, 3000), dtype=np.int64)
+    for i, e, *_ in rows:
+        wide[i, : len(e)] = np.floor(1024 * np.array(e))
+    want = {}
+    for i in range(0, 60, 20):
+        score = wide @ wide[i]
+        for r, j in enumerate(sorted((j for j in range(60) if j != i), key=lambda j: (-score[j], j))[:4], 1):
+            want[i, r] = (j, int(score[j]))
+    assert {(r.query_id, r["rank"]): (r.id, r.score) for r in got} == want
+
+
+def test_routing_holds_few_distances_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = lambda: sorted(map(tuple, mtree.top_k(df, F.col("vec_id") % 10 == 0, k=5, block_rows=20, block_queries=11).collect()))
+    whole = ask()
+    monkeypatch.setattr(mtree, "ROUTED", 1)  # a query at a time
+    assert ask() == whole
+
+
+def test_very_long_texts_have_a_language(spark):
+    german, english = "der schnelle braune fuchs springt über den hund ", "the quick brown fox jumps over the dog "
+    docs = spark.createDataFrame([(i, t * (3 + i % 5), l) for i in range(40) for t, l in ((german, "de"), (english, "en"))], "doc_id long, text string, lang string")
+    model = language.fit(docs, steps=120)
+    odd = spark.createDataFrame([(1, german * 40_000), (2, english * 40_000), (3, "1" * 2_000_000), (4, german * 200 + english * 60_000)], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language.predict(odd, model).collect()}
+    assert got == {1: "de", 2: "en", 3: "und", 4: "en"}
