@@ -218,6 +218,23 @@ class Executor:
             raise BudgetExceeded(f"{stage}: {used['calls']} calls and {used['micro'] / 1e6:g} spent, {n} calls wait")
         return admitted, r.n, r.c
 
+    def cancel(self, stage: str, token: str) -> bool:
+        """Gives up the lease of a stage if ``token`` is the one that holds it; its running attempts are abandoned.
+
+        A token that another lease has followed changes nothing.
+        """
+
+        def step(tx: Transaction) -> bool:
+            held, now = tx.pointer(f"lease:{stage}"), self.clock()
+            if held is None or not held["held"] or held["token"] != token:
+                return False
+            running = self._last(tx.read(f"attempts-{stage}", ATTEMPT)).where((F.col("outcome") == "RUNNING") & (F.col("token") == token))
+            tx.append(f"attempts-{stage}", self._rows(running, F.lit("ABANDONED"), 2, now))
+            tx.point(f"lease:{stage}", held | {"held": False, "at": now.isoformat()})
+            return True
+
+        return self.log.transact(step)
+
     def _complete(self, grant: Grant, service: Service, schema: str) -> float | None:
         """Calls, and commits what was said while the lease is held; the seconds to wait before the next round."""
         stage, spark = grant.stage, self.spark

@@ -128,6 +128,13 @@ def page_findings(p: DataFrame, tolerance: float = 1.0, least_ink: float = 0.000
     return p.select("page", F.inline(found))
 
 
+def page_count_findings(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """``key, source_pages, target_pages`` and the finding that blocks where the numbers of pages differ; pages are compared only after this gate."""
+    count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    both = count(source, "source_pages").join(count(target, "target_pages"), key, "full_outer").fillna(0, ["source_pages", "target_pages"])
+    return both.where("source_pages <> target_pages").withColumns({"category": F.lit("PAGE_COUNT"), "severity": F.lit("BLOCKING")})
+
+
 def verdict(severities: Column) -> Column:
     """BLOCK if any severity is ERROR or BLOCKING."""
     return F.when(F.exists(severities, lambda s: s.isin("ERROR", "BLOCKING")), "BLOCK").otherwise("PASS")

@@ -73,7 +73,7 @@ def render(units: DataFrame, approvals: DataFrame) -> DataFrame:
 
 
 def findings(units: DataFrame, outcomes: DataFrame, text: DataFrame) -> DataFrame:
-    """Findings of the finished text: approved text that is absent, anchors of the source that are gone, blank documents."""
+    """Findings of the finished text: approved text that is absent, anchors of the source that are gone, blank documents, documents that are missing, added or there twice."""
     pages = text.select(F.col("doc_id").alias("page"), F.col("text").alias("page_text"))
     lost = gates.missing_literals(outcomes.select("unit", F.col("doc_id").alias("page"), F.col("edited_text").alias("text")), pages)
     lost = lost.join(outcomes.select("unit", "doc_id"), "unit").select("doc_id", F.lit("TEXT_COVERAGE").alias("category"), F.lit("BLOCKING").alias("severity"))
@@ -82,7 +82,8 @@ def findings(units: DataFrame, outcomes: DataFrame, text: DataFrame) -> DataFram
     gone = gone.select(F.col("page").alias("doc_id"), F.lit("ANCHOR_COVERAGE").alias("category"), F.lit("BLOCKING").alias("severity"))
     blank = whole.join(text.withColumnRenamed("text", "made"), "doc_id", "left").where((F.trim("text") != "") & (F.coalesce(F.trim("made"), F.lit("")) == ""))
     blank = blank.select("doc_id", F.lit("BLANK_PAGE").alias("category"), F.lit("BLOCKING").alias("severity"))
-    return lost.unionByName(gone).unionByName(blank)
+    counts = gates.page_count_findings(units.select("doc_id").distinct(), text.select("doc_id"), "doc_id").select("doc_id", "category", "severity")
+    return lost.unionByName(gone).unionByName(blank).unionByName(counts)
 
 
 @dataclass(frozen=True)

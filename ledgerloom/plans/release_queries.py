@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import constraints, digest_tree, ledger
+from ..operators import bus, constraints, digest_tree, gates, ledger
 from ..sources import layout, records
 from ..streaming.folders import shared_folder
 from .text_queries import LINES, docs
@@ -106,3 +106,58 @@ def pl01_pr08_pr14_refused_texts(spark, sf):
     asked = F.when(F.col("first") != "", F.array(F.struct(F.lit("k").alias("occurrence_key"), F.col("first").alias("required")))).otherwise(none)
     j = d.select("doc_id", first.alias("first")).join(after, "doc_id", "left").withColumn("t", F.coalesce("t", F.lit(""))).withColumn("asked", asked)
     return j.select("doc_id", F.concat(constraints.target_problems(F.col("t")), constraints.directive_problems(F.col("t"), F.col("asked"))).alias("problems"))
+
+
+@query("""WITH u AS (SELECT o_orderkey AS k, o_orderstatus AS want FROM orders), r AS (SELECT l_orderkey AS k, max(l_linestatus) AS got, list(DISTINCT l_suppkey) AS lanes FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1),
+a AS (SELECT s_nationkey AS actor, 'TRANSLATOR' AS role FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT c_nationkey, 'BILINGUAL_REVIEWER' FROM customer WHERE c_acctbal > 9900)
+SELECT CASE WHEN r.k IS NULL THEN 'missing' WHEN u.k IS NULL THEN 'extra' ELSE 'stale' END AS problem, coalesce(u.k, r.k)::VARCHAR AS subject FROM u FULL JOIN r ON u.k = r.k WHERE r.k IS NULL OR u.k IS NULL OR got <> want
+UNION ALL SELECT DISTINCT 'unknown lane', l::VARCHAR FROM (SELECT unnest(lanes) AS l FROM r) WHERE l NOT IN (SELECT s_suppkey FROM supplier)
+UNION ALL SELECT 'shared actor', actor::VARCHAR FROM a GROUP BY actor HAVING count(DISTINCT role) = 2
+UNION ALL SELECT 'repeated lane', s_suppkey::VARCHAR FROM supplier GROUP BY s_suppkey HAVING count(*) > 1
+UNION ALL SELECT DISTINCT 'repeated actor', actor::VARCHAR FROM (SELECT actor, role FROM a GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT DISTINCT 'lane without translator', s_suppkey::VARCHAR FROM supplier WHERE s_nationkey NOT IN (SELECT actor FROM a WHERE role = 'TRANSLATOR')""")
+def pr10_order_plans(spark, sf):
+    """Orders as units whose revision is their status, their suppliers as lanes, nations as actors: translators have suppliers in credit, reviewers rich customers."""
+    t = lambda n: records.read_table(spark, sf, n)
+    units = t("orders").select(F.col("o_orderkey").alias("unit_key"), F.col("o_orderstatus").alias("unit_revision"))
+    routes = t("lineitem").where("l_shipdate IS NOT NULL").groupBy(F.col("l_orderkey").alias("unit_key")).agg(F.max("l_linestatus").alias("unit_revision"), F.collect_set(F.col("l_suppkey").cast("string")).alias("lane_keys"))
+    lanes = t("supplier").select(F.col("s_suppkey").cast("string").alias("lane_key"), F.col("s_nationkey").cast("string").alias("actor_key"))
+    able = t("supplier").where("s_acctbal > 0").select(F.col("s_nationkey").cast("string").alias("actor_key"), F.lit("TRANSLATOR").alias("role"))
+    actors = able.unionByName(t("customer").where("c_acctbal > 9900").select(F.col("c_nationkey").cast("string").alias("actor_key"), F.lit("BILINGUAL_REVIEWER").alias("role")))
+    return constraints.plan_problems(routes, units, lanes, actors)
+
+
+@query("""WITH g AS (SELECT user_id, CAST(ts AS DATE)::VARCHAR AS day, list(event_type ORDER BY event_id) AS ts_, list(CAST(floor(value) AS BIGINT) ORDER BY event_id) AS ps FROM events GROUP BY 1, 2)
+SELECT user_id, day, list_filter([CASE WHEN len(list_distinct(ts_)) > 1 THEN 'other term' END, CASE WHEN len(list_distinct(ps)) < len(ps) THEN 'repeated' END, CASE WHEN list_sort(ps) <> ps THEN 'order' END], lambda x: x IS NOT NULL) AS problems FROM g""")
+def pr12_event_occurrences(spark, sf):
+    """A user's events of a day as occurrences of their type at the place of their value."""
+    e = records.read_table(spark, sf, "events")
+    rows = F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("term"), F.floor("value").cast("long").alias("at"))))
+    per = e.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(rows.alias("o"))
+    return per.select("user_id", "day", constraints.occurrence_problems(F.transform("o", lambda o: o.dropFields("event_id"))).alias("problems"))
+
+
+@query(f"""WITH {LINES}, o AS (SELECT doc_id, count(*) AS n, sha256(string_agg(sha256(source_text), chr(10) ORDER BY para)) AS h FROM rec GROUP BY doc_id),
+d AS (SELECT doc_id, list_transform(list_distinct(regexp_extract_all(coalesce(text, ''), '[0-9]{{1,3}}')), lambda x: x::BIGINT) AS cited FROM documents), l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id)
+SELECT o.doc_id, list_filter([CASE WHEN s.h IS DISTINCT FROM o.h THEN 'outcome set' END, CASE WHEN len(list_filter(cited, lambda x: x >= o.n)) > 0 THEN 'unknown unit' END, CASE WHEN (coalesce(quality, 1) = 1) = coalesce(toxic = 1, false) THEN 'verdict' END], lambda x: x IS NOT NULL) AS problems
+FROM o LEFT JOIN o s ON s.doc_id = o.doc_id - 1 JOIN d ON d.doc_id = o.doc_id LEFT JOIN l ON l.doc_id = o.doc_id""")
+def pr18_document_verdicts(spark, sf):
+    """Documents with the outcome set of the one before them, which copies share; the numbers in a text are the units it cites; good ones are passed, toxic ones have serious findings."""
+    d = docs(spark, sf)
+    lines = records.segment(d).select("doc_id", "para", F.sha2("source_text", 256).alias("outcome_id"))
+    own = bus.outcome_set(lines)
+    said = own.select((F.col("doc_id") + 1).alias("doc_id"), F.col("outcome_set_id").alias("said"))
+    labels = records.read_table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    cited = F.transform(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[0-9]{1,3}"), F.lit(0))), lambda x: x.cast("long"))
+    j = own.join(said, "doc_id", "left").join(d.select("doc_id", cited.alias("cited")), "doc_id").join(labels, "doc_id", "left")
+    verdict = F.when(F.coalesce("quality", F.lit(1)) == 1, "PASS").otherwise("BLOCK")
+    known = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    return j.select("doc_id", constraints.document_verdict_problems(verdict, F.coalesce(F.col("toxic") == 1, F.lit(False)), F.col("said"), F.col("outcome_set_id"), F.col("cited"), known).alias("problems"))
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) FILTER (role = 'user') AS source_pages, count(*) FILTER (role <> 'user') AS target_pages FROM conversations WHERE role IS NOT NULL GROUP BY conv_id)
+SELECT *, 'PAGE_COUNT' AS category, 'BLOCKING' AS severity FROM c WHERE source_pages <> target_pages""")
+def pl16_page_counts(spark, sf):
+    """Turns of users as source pages, all others as target pages: conversations that the gate stops before any page is compared."""
+    c = records.read_table(spark, sf, "conversations").where("role IS NOT NULL")
+    return gates.page_count_findings(c.where("role = 'user'"), c.where("role <> 'user'"), "conv_id")

@@ -216,3 +216,23 @@ def test_a_hot_scope_is_many_blocks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(blocks) >= 8 and max(r["count"] for r in blocks) < 100_000
+
+
+def test_a_lease_is_given_up_by_its_token_only(spark, tmp_path):
+    clock = Clock()
+    e = Executor(spark, f"file://{tmp_path}/a", owner="one", clock=clock)
+
+    def broken(r):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError, match="lost"):
+        e.execute("s", requests(spark, 2), broken, "y int")
+    (token,) = {r.token for r in e.attempts().collect()}
+    assert not e.cancel("s", "another") and not e.cancel("t", token)
+    two = Executor(spark, f"file://{tmp_path}/a", owner="two", clock=clock)
+    with pytest.raises(Busy):
+        two.execute("s", requests(spark, 2), broken, "y int")
+    assert e.cancel("s", token) and not e.cancel("s", token)
+    assert two.execute("s", requests(spark, 2), lambda r: r.select("call", F.col("x").alias("y")), "y int").count() == 2
+    assert {(r.ordinal, r.outcome) for r in two.attempts().collect()} == {(1, "ABANDONED"), (2, "SUCCEEDED")}
+    assert not e.cancel("s", token)  # the second owner's lease has followed
