@@ -216,22 +216,21 @@ def unequal(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def plan_problems(routes: DataFrame, units: DataFrame, lanes: DataFrame, actors: DataFrame) -> DataFrame:
-    """Problems of a plan as rows: uncovered units, stale revisions, unknown or repeated lanes, actors shared, repeated or of the wrong role.
-
-    Lanes may name the actor that works on them (``actor_key``), who must be a translator.
-    """
+    """Problems of a plan as rows: uncovered units, stale revisions, unknown lanes, shared actors."""
     cover = exact_cover(units, routes, "unit_key", "unit_revision").select(F.col("problem"), F.col("unit_key").cast("string").alias("subject"))
     used = routes.select(F.explode("lane_keys").alias("lane_key")).distinct()
     unknown = used.join(lanes, "lane_key", "left_anti").select(F.lit("unknown lane").alias("problem"), F.col("lane_key").alias("subject"))
     both = actors.groupBy("actor_key").agg(F.array_sort(F.collect_set("role")).alias("roles"))
     shared = both.where(F.arrays_overlap("roles", F.array(F.lit("TRANSLATOR"))) & F.arrays_overlap("roles", F.array(F.lit("BILINGUAL_REVIEWER")))).select(F.lit("shared actor").alias("problem"), F.col("actor_key").alias("subject"))
-    out = cover.unionByName(unknown).unionByName(shared)
+    return cover.unionByName(unknown).unionByName(shared)
+
+
+def cast_problems(lanes: DataFrame, actors: DataFrame) -> DataFrame:
+    """Problems of who does what, as rows: repeated lanes, actors that have a role twice, lanes whose actor (``actor_key``) is no translator."""
     again = lambda df, keys, name: df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(name).alias("problem"), F.col(keys[0]).cast("string").alias("subject")).distinct()
-    out = out.unionByName(again(lanes, ["lane_key"], "repeated lane")).unionByName(again(actors, ["actor_key", "role"], "repeated actor"))
-    if "actor_key" in lanes.columns:
-        able = actors.where("role = 'TRANSLATOR'").select("actor_key")
-        out = out.unionByName(lanes.join(able, "actor_key", "left_anti").select(F.lit("lane without translator").alias("problem"), F.col("lane_key").cast("string").alias("subject")).distinct())
-    return out
+    able = actors.where("role = 'TRANSLATOR'").select("actor_key")
+    alone = lanes.join(able, "actor_key", "left_anti").select(F.lit("lane without translator").alias("problem"), F.col("lane_key").cast("string").alias("subject")).distinct()
+    return again(lanes, ["lane_key"], "repeated lane").unionByName(again(actors, ["actor_key", "role"], "repeated actor")).unionByName(alone)
 
 
 def occurrence_problems(occurrences: Column) -> Column:

@@ -124,7 +124,7 @@ def pr10_order_plans(spark, sf):
     lanes = t("supplier").select(F.col("s_suppkey").cast("string").alias("lane_key"), F.col("s_nationkey").cast("string").alias("actor_key"))
     able = t("supplier").where("s_acctbal > 0").select(F.col("s_nationkey").cast("string").alias("actor_key"), F.lit("TRANSLATOR").alias("role"))
     actors = able.unionByName(t("customer").where("c_acctbal > 9900").select(F.col("c_nationkey").cast("string").alias("actor_key"), F.lit("BILINGUAL_REVIEWER").alias("role")))
-    return constraints.plan_problems(routes, units, lanes, actors)
+    return constraints.plan_problems(routes, units, lanes, actors).unionByName(constraints.cast_problems(lanes, actors))
 
 
 @query("""WITH g AS (SELECT user_id, CAST(ts AS DATE)::VARCHAR AS day, list(event_type ORDER BY event_id) AS ts_, list(CAST(floor(value) AS BIGINT) ORDER BY event_id) AS ps FROM events GROUP BY 1, 2)
