@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import bus, constraints, digest_tree, gates, ledger
+from ..operators.executor import Busy, Executor
 from ..sources import layout, records
 from ..streaming.folders import shared_folder
 from .text_queries import LINES, docs
@@ -161,3 +163,35 @@ def pl16_page_counts(spark, sf):
     """Turns of users as source pages, all others as target pages: conversations that the gate stops before any page is compared."""
     c = records.read_table(spark, sf, "conversations").where("role IS NOT NULL")
     return gates.page_count_findings(c.where("role = 'user'"), c.where("role <> 'user'"), "conv_id")
+
+
+@query("""WITH n AS (SELECT event_type AS stage, count(*) AS n FROM events GROUP BY 1), l AS (SELECT stage, n, unnest(CASE WHEN stage = 'error' THEN
+  [{'epoch': 1, 'owner': 'one', 'event': 'ACQUIRED'}, {'epoch': 1, 'owner': 'one', 'event': 'EXPIRED'}, {'epoch': 2, 'owner': 'two', 'event': 'ACQUIRED'}, {'epoch': 2, 'owner': 'two', 'event': 'RELEASED'}]
+  ELSE [{'epoch': 1, 'owner': 'one', 'event': 'ACQUIRED'}, {'epoch': 1, 'owner': 'one', 'event': 'RELEASED'}] END) AS e FROM n)
+SELECT stage, e.epoch::BIGINT AS epoch, e.owner AS owner, e.event AS event, n * CASE WHEN stage = 'error' THEN 2 ELSE 1 END AS attempts, n AS replies FROM l""")
+def st03_st04_lease_log(spark, sf):
+    """Events as calls, a stage a type: one owner dies over the errors, another takes its lease when that has run out, and what the first says then is refused."""
+    e = records.read_table(spark, sf, "events").select(F.col("event_id").cast("string").alias("call"), "event_type", "event_id")
+    folder, now = shared_folder(spark, "calls"), [datetime(2024, 1, 1, tzinfo=timezone.utc)]
+    one, two = (Executor(spark, folder, owner=o, lease_seconds=10, clock=lambda: now[0]) for o in ("one", "two"))
+    answer = lambda r: r.select("call", F.col("event_id").alias("reply"))
+    out = None
+    for stage in sorted(r.event_type for r in e.select("event_type").distinct().collect()):
+        asked = e.where(F.col("event_type") == stage).drop("event_type")
+
+        def dies(r, stage=stage, asked=asked):
+            if stage == "error":
+                now[0] += timedelta(seconds=11)
+                two.execute(stage, asked, answer, "reply long")
+            return answer(r)
+
+        try:
+            one.execute(stage, asked, dies, "reply long")
+        except Busy:
+            if stage != "error":
+                raise
+        row = two.attempts(stage).groupBy("stage").agg(F.count("*").alias("attempts"))
+        said = two.results(stage, "reply long").agg(F.count("*").alias("replies")).withColumn("stage", F.lit(stage))
+        row = row.join(said, "stage")
+        out = row if out is None else out.unionByName(row)
+    return two.lease_log().select("stage", "epoch", "owner", "event").join(out, "stage")
