@@ -58,7 +58,6 @@ def test_untranslated_text_is_refused(spark, tmp_path):
     units = two_units(spark)[1].withColumn("source_text", F.lit("The heat flows down."))
     with pytest.raises(Blocked, match="verification"):
         run(spark, tmp_path / "zh", units=units, target_language="zh-Hans")
-    assert len(run(spark, tmp_path / "de", units=units, target_language="de")) == 2
     chinese = {"generate": lambda r: r.select("call", F.lit("热量向下流动，不会停止。").alias("target_text"))}
     assert len(run(spark, tmp_path / "ok", units=units, own=chinese, target_language="zh-Hans")) == 2
 
@@ -67,15 +66,14 @@ def test_placeholders_and_directives_are_kept(spark, tmp_path):
     ns, token = "PT2-0123456789ab", "[[PT2-0123456789ab:F:0001]]"
     units = two_units(spark)[1].withColumn("source_text", F.concat(F.lit("heat "), F.lit(token))).withColumn("namespace", F.lit(ns))
     units = units.withColumn("specs", F.array(F.struct(F.lit("formula").alias("kind"), F.lit(token).alias("open_token"), F.lit(None).cast("string").alias("close_token"))))
-    assert len(run(spark, tmp_path / "kept", units=units)) == 2
     with pytest.raises(Blocked, match="edit.*count"):
         run(spark, tmp_path / "lost", units=units, own=edits(lambda r: F.replace("target_text", F.lit(token), F.lit(" "))))
     demands = F.array(F.struct(F.lit("k").alias("occurrence_key"), F.lit("heat").alias("source_term"), F.lit("Wärme").alias("required"), F.lit("TRANSLATE_ONLY").alias("treatment")))
-    ruled = two_units(spark)[1].withColumn("source_text", F.lit("heat flows")).withColumn("directives", demands)
+    ruled = units.withColumn("directives", demands)
     with pytest.raises(Blocked, match="candidate.*rendering"):
         run(spark, tmp_path / "ignored", units=ruled)
     follows = {"generate": lambda r: r.select("call", F.replace("source_text", F.lit("heat"), r["directives"][0]["required"]).alias("target_text"))}
-    assert set(run(spark, tmp_path / "followed", units=ruled, own=follows).values()) == {"Wärme flows"}
+    assert set(run(spark, tmp_path / "followed", units=ruled, own=follows).values()) == {f"Wärme {token}"}
 
 
 def reviews(**fields):
