@@ -7,6 +7,7 @@ no built-in counterpart and run as Arrow UDFs.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -87,13 +88,13 @@ def anchors(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(bare, lambda x: x != "")))
 
 
-def visible(text: Column, images: Column) -> Column:
-    """Whether a page shows text or any image."""
-    return (strip(F.coalesce(text, F.lit(""))) != "") | (F.coalesce(images, F.lit(0)) > 0)
+def visible(text: Column, images: Column, bare: Callable[[Column], Column] = strip) -> Column:
+    """Whether a page shows text, of which ``bare`` leaves anything, or any image."""
+    return (bare(F.coalesce(text, F.lit(""))) != "") | (F.coalesce(images, F.lit(0)) > 0)
 
 
-def excerpt(text: Column, target: Column, radius: int = 180) -> Column:
-    """The first case-insensitive hit with up to ``radius`` characters on both sides; null if none.
+def excerpt(text: Column, target: Column, radius: int = 180, bare: Callable[[Column], Column] = strip) -> Column:
+    """The first case-insensitive hit with up to ``radius`` characters on both sides, made ``bare``; null if none.
 
     The text is split at the hit, so places are those of the text itself, also where other letters
     change their length between cases.
@@ -104,7 +105,7 @@ def excerpt(text: Column, target: Column, radius: int = 180) -> Column:
     hit = F.length(text) - F.length(before) - F.length(F.element_at(parts, -1))
     first = F.greatest(F.lit(1), F.length(before) + 1 - radius)
     upto = F.length(before) + 1 + hit + radius
-    return F.when((F.size(parts) > 1) & (target != ""), strip(F.substring(text, first, upto - first)))
+    return F.when((F.size(parts) > 1) & (target != ""), bare(F.substring(text, first, upto - first)))
 
 
 def redact(text: Column, limit: int | None = 2000) -> Column:

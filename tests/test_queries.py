@@ -61,3 +61,20 @@ def test_service_replies_are_whole_texts(spark):
     replies = catalog.QUERIES["ud01_ud02_ud03_whole_replies"](spark, SF)
     texts = spark.read.parquet(f"{SF}/conversations.parquet").selectExpr("conv_id * 100 + turn AS call", "text AS reply")
     assert replies.exceptAll(texts).isEmpty() and replies.count() == texts.count() and texts.where("length(reply) > 20").count() > 0
+
+
+def odd(spark, folder, table, rows, schema):
+    """A folder of tables as in ``SF``, one of which has other rows."""
+    import os
+
+    for t in os.listdir(SF):
+        if t != f"{table}.parquet":
+            os.symlink(f"{SF}/{t}", f"{folder}/{t}")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+    return str(folder)
+
+
+def test_excerpts_keep_line_ends_at_their_edge(spark, tmp_path):
+    texts = ["before all that there was the end of this page.\nA line", "a\nbcdefghijklmnopqrs the end", "  the  ", "\n", " ", "", None, "\tThe\t", "no hit"]
+    folder = odd(spark, tmp_path, "benchmark", list(enumerate(texts)), "item_id long, text string")
+    same(catalog.QUERIES["fn13_fn14_excerpt"](spark, folder), connect(folder), catalog.ORACLES["fn13_fn14_excerpt"])
