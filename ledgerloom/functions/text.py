@@ -48,9 +48,19 @@ def casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x.casefold())
 
 
+#: What normalisation may change, or more: no character below the combining marks is changed or joined.
+NOT_NFC = r"[^\x{0}-\x{2ff}]"
+
+
 def normalize_text(text: Column) -> Column:
-    """Line ends become LF, then NFC."""
-    return nfc(F.regexp_replace(text, "\r\n?", "\n"))
+    """Line ends become LF, then NFC.  Only texts that NFC may change go to Python."""
+    lines = F.regexp_replace(text, "\r\n?", "\n")
+    return F.coalesce(nfc(F.when(text.rlike(NOT_NFC), lines)), lines)
+
+
+def fold(text: Column) -> Column:
+    """:func:`casefold`; only texts beyond ASCII go to Python."""
+    return F.coalesce(casefold(F.when(text.rlike(r"[^\x00-\x7f]"), text)), F.lower(text))
 
 
 def strip(text: Column) -> Column:
@@ -156,6 +166,6 @@ def untranslated(source: Column, target: Column, target_language: Column, source
     # Words hold letters, apostrophes and hyphens only, so they need no quoting.
     kept = F.size(F.filter(words, lambda w: F.regexp_like(right, F.concat(F.lit(_U + r"(?i)\b"), w, F.lit(r"\b")))))
     cjk = F.regexp_count(right, F.lit(CJK))
-    line = lambda text: casefold(strip(F.regexp_replace(normalize_text(text), rf"{_U}\s+", " ")))
+    line = lambda text: fold(strip(F.regexp_replace(normalize_text(text), rf"{_U}\s+", " ")))
     mostly = ((n >= 2) & (kept >= 0.8 * n) & (cjk < F.greatest(F.lit(4), n * 2))) | ((n == 1) & (kept == 1) & (cjk == 0))
     return F.lower(target_language).startswith("zh") & (n > 0) & ((line(left) == line(right)) | mostly)
