@@ -20,7 +20,7 @@ from ..functions import identity as ids
 from ..functions.text import untranslated
 from ..operators import bus, constraints, context
 from ..operators.executor import Executor
-from ..streaming.folders import drop_path
+from ..streaming.folders import drop_path, shuffles_dropped
 from .project import Project
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -75,11 +75,17 @@ class Kernel:
         # Written once, so that no later stage plans or runs this one's joins again.
         path = f"{self.executor.folder}/requests/{stage}-{uuid.uuid4().hex}"
         self._asked.append(path)
-        requests.withColumn("call", ids.call_key(F.lit(stage), reads)).write.parquet(path)
+        requests.withColumn("call", ids.call_key(F.lit(stage), reads)).write.option("compression", "zstd").parquet(path)
+        self._drop(keep=1)  # those of the stage before, from which these were made
         asked = self.spark.read.parquet(path)
         done = self.executor.execute(stage, asked, service, schema)
         return asked.join(done, "call").drop("call")
 
+    def _drop(self, keep: int = 0) -> None:
+        """Deletes the requests of earlier stages, which nothing reads any more."""
+        while len(self._asked) > keep:
+            drop_path(self.spark, self._asked.pop(0))
+
     def run(self, routes: DataFrame, units: DataFrame, project: Project | None = None, part: str = "main") -> DataFrame:
         """Outcomes ``unit, doc_id, pos, edited_text, impact, outcome_id`` of all units; raises :class:`Blocked` unless all pass.
 
@@ -88,14 +94,15 @@ class Kernel:
         source_term, required, treatment), namespace and specs of a placeholder contract.
         """
         try:
-            outcomes = self._units(routes, units)
-            self._documents(outcomes)
-            if project is not None:
-                project.point("release", part, bus.release(outcomes, "doc_id", "pos"))
-            return outcomes
+            with shuffles_dropped(self.spark):
+                outcomes = self._units(routes, units)
+                self._drop()
+                self._documents(outcomes)
+                if project is not None:
+                    project.point("release", part, bus.release(outcomes, "doc_id", "pos"))
+                return outcomes
         finally:
-            while self._asked:
-                drop_path(self.spark, self._asked.pop())
+            self._drop()
 
     def _plan(self, routes: DataFrame, units: DataFrame) -> None:
         """Every unit has one route, every route a unit, and its lanes fit its level."""
@@ -153,7 +160,7 @@ class Kernel:
         outcomes = verified.select("unit", "edited_text", "impact", key.alias("outcome_id")).join(units.select("unit", "doc_id", "pos"), "unit")
         # Read again from one place: the requests go when the run is over.
         place = f"{self.executor.folder}/outcomes/{uuid.uuid4().hex}"
-        outcomes.write.parquet(place)
+        outcomes.write.option("compression", "zstd").parquet(place)
         return self.spark.read.schema(outcomes.schema).parquet(place)
 
     def _documents(self, outcomes: DataFrame) -> None:

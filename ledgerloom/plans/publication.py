@@ -23,6 +23,7 @@ from ..operators import bus, constraints, gates
 from ..operators.executor import Executor
 from ..sources import records
 from ..sources.commits import CommitLog, Transaction
+from ..streaming.folders import drop_cut, shuffles_dropped
 from . import planning
 from .kernel import Blocked, Kernel, Services
 from .project import Config, Project
@@ -150,6 +151,10 @@ class Publication:
         self.project.point("release", part, release)
 
     def run(self, documents: DataFrame, part: str = "main") -> Result:
+        with shuffles_dropped(self.spark):
+            return self._run(documents, part)
+
+    def _run(self, documents: DataFrame, part: str) -> Result:
         units = units_of(documents)
         before, rendered, capture = self._active(part), None, False
         try:
@@ -174,10 +179,11 @@ class Publication:
         expected = outcomes.select("unit", F.lit(1).alias("revision"))
         if constraints.exact_cover(expected, approved.select("unit", F.lit(1).alias("revision")), "unit", "revision").limit(1).count() or bus.release(approved, "doc_id", "pos") != release:
             raise Blocked("approvals differ from the release")
+        drop_cut(outcomes)  # the store holds them
         if self._active(part) != release:
             raise Blocked("the active release changed during rendering")
         target = f"{self.folder}/text/{release['release_id']}"
-        text.write.mode("overwrite").parquet(target)
+        text.write.mode("overwrite").option("compression", "zstd").parquet(target)
         text = self.spark.read.parquet(target)
         return Result(release, self._publish(part, release, units, approved, text), text, capture)
 
