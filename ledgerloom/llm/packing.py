@@ -32,7 +32,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -52,7 +52,10 @@ SEPARATORS = re.compile(r"[\x1C-\x1F]")  # white space to Python, not to the voc
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾\x20\x09-\x0D\x85\xa0]+")
 
 #: Runs and pieces whose ids a worker keeps twice over, the longest of them, and the code points that are split in one go.
-CACHED, CACHED_LENGTH, STEP = 200_000, 48, 1 << 20
+CACHED, CACHED_LENGTH, STEP = 400_000, 48, 1 << 20
+
+#: Bytes of ids that go to Spark in one batch, about.
+TOGETHER = 4 << 20
 
 #: Steps of one linear program, and how often what is left may have another.
 STEPS, PROGRAMS = 400, 3
@@ -81,6 +84,16 @@ def encoder(path: str, special: bool) -> Encoder:
     return Encoder(path, special)
 
 
+class Known(dict):
+    """Packed ids of runs and pieces; those that are not there are asked of the encoder."""
+
+    def __init__(self, run: Callable[[str], bytes]):
+        self.run = run
+
+    def __missing__(self, key: str) -> bytes:
+        return self.run(key)
+
+
 class Encoder:
     """Ids of whole texts by a vocabulary file, piece by piece."""
 
@@ -94,11 +107,17 @@ class Encoder:
         self.special, self.model = special, self.tokenizer.model
         bytes_shown = byte_table()
         self.shown = {c: "".join(bytes_shown[b] for b in chr(c).encode()) for c in range(256)}
-        self.young: dict[str, bytes] = {}  # pieces seen since the last change of generations
+        self.young = Known(self._run)  # pieces seen since the last change of generations
         self.old: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         """All ids of a text as unsigned 32-bit integers."""
+        return np.frombuffer(self.packed_ids(text), dtype="<u4")
+
+    def packed_ids(self, text: str) -> bytes:
+        """All ids of a text, packed."""
+        if len(text) <= STEP:
+            return self._part(text)
         out, at = [], 0
         while at < len(text):
             upto = at + STEP
@@ -107,40 +126,37 @@ class Encoder:
                 upto = space.start() if space else len(text)
             out.append(self._part(text[at:upto]))
             at = upto
-        return np.concatenate(out) if out else np.zeros(0, dtype="<u4")
+        return b"".join(out)
 
-    def _part(self, text: str) -> np.ndarray:
+    def _part(self, text: str) -> bytes:
         if self.special:
             runs = RUN.findall(text)
         elif in_latin(text) and not SEPARATORS.search(text):
             runs = text.lower().split()
         else:
             runs = [r.lower() if in_latin(r) else r for r in RUN.findall(text)]
-        found = list(map(self.young.get, runs))
-        if None in found:
-            own = {r: self._run(r) for r in {r for r, ids in zip(runs, found, strict=True) if ids is None}}
-            found = [own[r] if ids is None else ids for r, ids in zip(runs, found, strict=True)]
-        return np.frombuffer(b"".join(found), dtype="<u4")
+        if len(self.young) >= CACHED:
+            self.old, self.young = self.young, Known(self._run)
+        return b"".join(map(self.young.__getitem__, runs))
 
     def _keep(self, key: str, ids: bytes) -> bytes:
         if len(key) <= CACHED_LENGTH:
-            if len(self.young) >= CACHED:
-                self.old, self.young = self.young, {}
             self.young[key] = ids
         return ids
 
     def _run(self, run: str) -> bytes:
         """Packed ids of a run between white space that is not among the young ones."""
-        if self.special or not in_latin(run):
-            ids = self.old.get(run)
-            return self._keep(run, packed(self.tokenizer.encode(run, add_special_tokens=False).ids) if ids is None else ids)
-        if run.isalpha():
+        if run.isalpha() and not self.special and in_latin(run):
             return self._known(run)
-        if run[-1] in ".,;:!?" and run[:-1].isalpha():  # most runs that are no word: not kept, the word is
-            return self._known(run[:-1]) + self._known(run[-1])
-        if (ids := self.old.get(run)) is None:
-            ids = b"".join(map(self._known, PIECE.findall(run)))
-        return self._keep(run, ids)
+        if (ids := self.old.get(run)) is not None:
+            return self._keep(run, ids)
+        if self.special or not in_latin(run):
+            return self._keep(run, packed(self.tokenizer.encode(run, add_special_tokens=False).ids))
+        if run[-1] in ".,;:!?" and (word := run[:-1]).isalpha():
+            seen = word in self.young
+            ids = self._known(word) + self._known(run[-1])
+            return self._keep(run, ids) if seen else ids  # only those of words that come again are kept; most come once
+        return self._keep(run, b"".join(map(self._known, PIECE.findall(run))))
 
     def _known(self, piece: str) -> bytes:
         ids = self.young.get(piece)
@@ -169,18 +185,28 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        own_encoder = encoder(path, special)
+        own_encoder, last, step = encoder(path, special), packed([end]), 4 * capacity
         for batch in batches:
+
+            def rows(found: list[tuple], kept: list[bytes], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                i, *numbers = np.array(found, dtype=np.int64).reshape(-1, 5).T
+                columns = [batch.column(0).take(pa.array(i)), *(pa.array(c.astype(t)) for c, t in zip(numbers, (np.int32, np.int64, np.int64, np.int64), strict=True))]
+                return pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_ids, names=names)
+
+            found, kept, size = [], [], 0
             for i, own in enumerate(batch.column(1)):
-                ids = np.append(own_encoder.ids(own.as_py() or ""), np.uint32(end)).astype("<u4")
-                starts = np.arange(0, len(ids), capacity)
-                pieces = [ids[s : s + capacity].tobytes() for s in starts]
-                n = len(pieces)
-                columns = [
-                    pa.concat_arrays([batch.column(0).slice(i, 1)] * n) if n < 1000 else batch.column(0).take(pa.array(np.full(n, i))), pa.array(np.arange(n, dtype=np.int32)), pa.array(starts),
-                    pa.array(np.array([len(p) // 4 for p in pieces], dtype=np.int64)), pa.array(np.array([zlib.crc32(p) for p in pieces], dtype=np.int64)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(pieces, pa.binary())] * keep_ids, names=names)
+                ids = memoryview(own_encoder.packed_ids(own.as_py() or "") + last)
+                for n, start in enumerate(range(0, len(ids), step)):
+                    own_piece = ids[start : start + step]
+                    found.append((i, n, start // 4, len(own_piece) // 4, zlib.crc32(own_piece)))
+                    if keep_ids:
+                        kept.append(bytes(own_piece))
+                        size += len(own_piece)
+                    if size >= TOGETHER or len(found) >= 10_000:
+                        yield rows(found, kept)
+                        found, kept, size = [], [], 0
+            if found:
+                yield rows(found, kept)
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
     return docs.select(id_col, text).mapInArrow(run, schema)

@@ -146,6 +146,15 @@ def test_encoder_forgets_but_stays_right(monkeypatch):
         assert e.ids(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_words_with_their_mark_are_asked_for_once(monkeypatch):
+    asked, own = [], packing.Encoder._run
+    monkeypatch.setattr(packing.Encoder, "_run", lambda self, run: asked.append(run) or own(self, run))
+    e, t = packing.Encoder(queries.tokenizer_files("word_bpe_49k.json")[0]), whole_tokenizer()
+    for _ in range(3):
+        assert e.ids("Words words, words,").tolist() == t.encode("Words words, words,", add_special_tokens=False).ids
+    assert asked == ["words", "words,"]
+
+
 def test_configurations_hold_every_piece_once():
     rng = np.random.default_rng(2)
     for capacity in (1, 7, 64):
