@@ -88,18 +88,21 @@ def line_boxes(pages: DataFrame) -> DataFrame:
 def overlapping_lines(lines: DataFrame, threshold: float = 0.55, cell: float = 64.0) -> DataFrame:
     """Per page the number of line pairs of different blocks that overlap by more than ``threshold`` of the smaller.
 
-    Lines are put into grid cells and only meet within a cell; a pair counts in the cell that
-    holds the upper left corner of its intersection, so it counts once.
+    Lines of one place in a block are one box with their number: a pair of boxes stands for the product
+    of theirs, so copies add no pairs to look at.  Boxes are put into grid cells and only meet within a cell; a pair counts in the cell that
+    holds the upper left corner of its intersection, so it counts once.  Cells are dealt by key, since the planner knows
+    nothing of how many there are and might hand all of them to every task.
     """
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell).cast("int"), F.floor(F.col(b) / cell).cast("int"))
-    cells = lines.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
-    other = cells.select("page", "cx", "cy", *(F.col(c).alias(c + "_b") for c in ("block", "line", "x0", "y0", "x1", "y1")))
-    j = cells.join(other, ["page", "cx", "cy"]).where("struct(block, line) < struct(block_b, line_b) AND block <> block_b")
+    boxes = lines.groupBy("page", "block", "x0", "y0", "x1", "y1").agg(F.count("*").alias("n"))
+    cells = boxes.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
+    other = cells.select("page", "cx", "cy", *(F.col(c).alias(c + "_b") for c in ("block", "x0", "y0", "x1", "y1", "n")))
+    j = cells.hint("merge").join(other, ["page", "cx", "cy"]).where("block < block_b")
     w = F.least("x1", "x1_b") - F.greatest("x0", "x0_b")
     h = F.least("y1", "y1_b") - F.greatest("y0", "y0_b")
     small = F.least((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), (F.col("x1_b") - F.col("x0_b")) * (F.col("y1_b") - F.col("y0_b")))
     here = (F.floor(F.greatest("x0", "x0_b") / cell) == F.col("cx")) & (F.floor(F.greatest("y0", "y0_b") / cell) == F.col("cy"))
-    return j.where((w > 0) & (h > 0) & here & (w * h > threshold * small)).groupBy("page").agg(F.count("*").alias("overlaps"))
+    return j.where((w > 0) & (h > 0) & here & (w * h > threshold * small)).groupBy("page").agg(F.sum(F.col("n") * F.col("n_b")).alias("overlaps"))
 
 
 def page_findings(p: DataFrame, tolerance: float = 1.0, least_ink: float = 0.0001, least_relative: float = 0.15) -> DataFrame:

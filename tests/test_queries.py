@@ -84,3 +84,27 @@ def test_references_without_semicolon_stay_but_at_the_end_of_a_page(spark, tmp_p
     pages = ["<title>a &amp;&amp</title><p>b&amp c &ampd &copy &copy; &quot;x&quot y</p>", "<p>a &amp;amp; b</p> c&amp", "c&amp\n", "<p>a&amp;quot;b &middot; &middot</p>", "", None]
     folder = odd(spark, tmp_path, "pages", [(i, "https://a.example/", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
     same(catalog.QUERIES["src08_visible_text"](spark, folder), connect(folder), catalog.ORACLES["src08_visible_text"])
+
+
+def test_equal_boxes_overlap_as_often_as_they_are_there(spark):
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators import gates
+
+    schema = "page long, block long, line long, x0 double, y0 double, x1 double, y1 double"
+    rows = [(i % 2 if i % 11 else None, i % 3 if i % 13 else None, i // 2, float(i % 5 * 30), float(i % 4 * 20), float(i % 5 * 30 + 70), float(i % 4 * 20 + 50)) for i in range(400)]
+    rows += rows[:90] + [(0, 1, 999, None, 0.0, 9.0, 9.0), (0, 2, 999, -40.0, -20.0, 3.0, 3.0)]
+    want = {}
+    for a, b in combinations([r for r in rows if None not in r], 2):
+        w, h = (min(a[k + 2], b[k + 2]) - max(a[k], b[k]) for k in (3, 4))
+        small = min((r[5] - r[3]) * (r[6] - r[4]) for r in (a, b))
+        if a[0] == b[0] and a[1] != b[1] and w > 0 and h > 0 and w * h > 0.55 * small:
+            want[a[0]] = want.get(a[0], 0) + 1
+    assert {r.page: r.overlaps for r in gates.overlapping_lines(spark.createDataFrame(rows, schema)).collect()} == want and len(want) == 2
+    # Forty billion pairs of two boxes with their copies: counted, not looked at one by one.
+    i = F.col("id")
+    box = (F.lit(float(x)).alias(c) for c, x in zip(("x0", "y0", "x1", "y1"), (0, 0, 300, 200), strict=True))
+    copies = spark.range(400_000).select(F.lit(1).cast("long").alias("page"), (i % 2).alias("block"), i.alias("line"), *box)
+    assert [tuple(r) for r in gates.overlapping_lines(copies).collect()] == [(1, 200_000**2)]
