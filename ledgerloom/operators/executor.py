@@ -60,6 +60,14 @@ ATTEMPT = "call string, stage string, ordinal int, seq int, outcome string, erro
 LEASE = "stage string, epoch long, owner string, token string, event string, at timestamp, expires_at timestamp"
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows``, joined by dealing both sides by key.
+
+    A table of calls is small as files and large in memory; the planner, which sees the files, would gather all of it on the driver.
+    """
+    return rows.hint("merge")
+
+
 @dataclass(frozen=True)
 class Grant:
     """A lease on the open calls of a stage, and what it was taken for."""
@@ -149,7 +157,7 @@ class Executor:
         while True:
             grant = self.log.transact(lambda tx: self._acquire(tx, stage, requests, schema, cost))
             if grant is None:
-                return requests.select("call").join(self.results(stage, schema), "call")
+                return requests.select("call").join(_dealt(self.results(stage, schema)), "call")
             self.calls[stage] += grant.admitted
             self.taken_over += grant.taken_over
             wait = self._complete(grant, service, schema)
@@ -165,9 +173,10 @@ class Executor:
         """Takes the lease of a stage for its open calls, as far as the budget admits; nothing if none is open."""
         now, name = self.clock(), f"attempts-{stage}"
         tried = self._last(tx.read(name, ATTEMPT))
-        pending = requests.join(self._replies(tx.read(f"replies-{stage}", f"call string, {schema}, _error string")).select("call"), "call", "left_anti")
+        replied = self._replies(tx.read(f"replies-{stage}", f"call string, {schema}, _error string")).select("call")
+        pending = requests.join(_dealt(replied), "call", "left_anti") if tx.base.parts(f"replies-{stage}") else requests
         ended = ledger.call_status(tried, self.max_attempts).where("status IN ('FAILED_PERMANENT', 'EXHAUSTED')").select("call", "status")
-        r = pending.select("call").join(ended, "call", "left").agg(F.count("*").alias("n"), F.min(F.when(F.col("status").isNotNull(), F.struct("call", "status"))).alias("ended")).first()
+        r = pending.select("call").join(_dealt(ended), "call", "left").agg(F.count("*").alias("n"), F.min(F.when(F.col("status").isNotNull(), F.struct("call", "status"))).alias("ended")).first()
         if r.ended is not None:
             raise PermanentError(f"{stage}: call {r.ended.call} ended before as {r.ended.status}")
         n = r.n
@@ -185,7 +194,7 @@ class Executor:
         admitted, room, spent = self._admit(tx, stage, pending, n, cost)
         token, until = uuid.uuid4().hex, now + timedelta(seconds=self.lease_seconds)
         last = tried.groupBy("call").agg(F.max("ordinal").alias("tried"))
-        begun = admitted.join(last, "call", "left").select(
+        begun = admitted.join(_dealt(last), "call", "left").select(
             "call", F.lit(stage).alias("stage"), (F.coalesce("tried", F.lit(0)) + 1).alias("ordinal"), (F.col("_micro") / 1e6).alias("cost"),
             F.lit(self.owner).alias("owner"), F.lit(token).alias("token"), F.lit(until).alias("expires_at"),
         )
@@ -212,7 +221,7 @@ class Executor:
                 raise BudgetExceeded(f"{stage}: {used['calls']} calls and {used['micro'] / 1e6:g} spent, {n} calls wait")
             return (priced if room == n else priced.orderBy("call").limit(room)), room, room * each
         own = ledger.admit_in_rounds(priced.withColumn("_scope", F.lit(0)), "_scope", ["call"], "_micro", cap, most).where("admitted").select("call")
-        admitted = priced.join(own, "call", "left_semi")
+        admitted = priced.join(_dealt(own), "call", "left_semi")
         r = admitted.agg(F.count("*").alias("n"), F.coalesce(F.sum("_micro"), F.lit(0)).alias("c")).first()
         if not r.n:
             raise BudgetExceeded(f"{stage}: {used['calls']} calls and {used['micro'] / 1e6:g} spent, {n} calls wait")
@@ -239,15 +248,15 @@ class Executor:
         """Calls, and commits what was said while the lease is held; the seconds to wait before the next round."""
         stage, spark = grant.stage, self.spark
         own = spark.read.schema(ATTEMPT).parquet(f"{self.log.folder}/{grant.begun.path}")
-        said = service(grant.requests.join(own.select("call"), "call", "left_semi") if grant.waiting else grant.requests)
+        said = service(grant.requests.join(_dealt(own.select("call")), "call", "left_semi") if grant.waiting else grant.requests)
         error = F.col("error") if "error" in said.columns else F.lit(None).cast("string")
         retry = F.col("retry_after").cast("double") if "retry_after" in said.columns else F.lit(None).cast("double")
         names = T.StructType.fromDDL(schema).names
         # Written before it is used, since Spark may run a function again.
-        replies = self.log.write(f"replies-{stage}", said.select("call", *names, error.alias("_error"), retry.alias("_retry")).join(own.select("call"), "call", "left_semi").dropDuplicates(["call"]))
+        replies = self.log.write(f"replies-{stage}", said.select("call", *names, error.alias("_error"), retry.alias("_retry")).join(_dealt(own.select("call")), "call", "left_semi").dropDuplicates(["call"]))
         got = spark.read.parquet(f"{self.log.folder}/{replies.path}").select("call", "_error", "_retry", F.lit(True).alias("_there"))
         outcome = F.when(F.col("_there").isNull(), "RETRYABLE_FAILURE").when(F.col("_error").isNull(), "SUCCEEDED").when(ledger.classify_error(F.col("_error")), "RETRYABLE_FAILURE").otherwise("PERMANENT_FAILURE")
-        done = own.drop("outcome", "error").join(got, "call", "left")
+        done = own.drop("outcome", "error").join(_dealt(got), "call", "left")
         ended = self.log.write(f"attempts-{stage}", self._rows(done, outcome, 3, self.clock(), F.col("_error")))
 
         def commit(tx: Transaction) -> None:

@@ -413,3 +413,18 @@ def test_occurrences_match_a_loop(spark):
                 taken.append((m.start(), m.end(), t))
     got = terms.occurrences(spark.createDataFrame([(1, text)], "k long, source_text string"), words)
     assert sorted((r.s, r.e, r.term) for r in got.collect()) == sorted(taken)
+
+
+def test_calls_of_a_stage_do_not_pass_through_the_driver(spark, tmp_path):
+    good = lambda r: r.select("call", F.col("x").alias("y"))
+    spark.range(50_000).select(F.col("id").cast("string").alias("call"), F.col("id").cast("int").alias("x")).write.parquet(f"{tmp_path}/asked")
+    asked = spark.read.parquet(f"{tmp_path}/asked")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    e = Executor(spark, f"file://{tmp_path}/a")
+    assert e.execute("s", asked, good, "y int").where("call = y").count() == 50_000
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList(before, 1000)
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    assert len(plans) > 4 and any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+    assert e.execute("s", asked, good, "y int").count() == 50_000 and e.calls == {"s": 50_000}  # nothing is asked again
