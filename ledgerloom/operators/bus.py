@@ -51,10 +51,10 @@ def lanes(routes: DataFrame) -> DataFrame:
     return routes.select("unit", F.posexplode("lanes").alias("lane_ordinal", "lane"))
 
 
-def options(candidates: DataFrame) -> DataFrame:
-    """Blind options: an opaque key that commits to the candidate, no provenance."""
+def options(candidates: DataFrame, *carry: str) -> DataFrame:
+    """Blind options: an opaque key that commits to the candidate, no provenance; ``carry``: columns of their units."""
     key = ids.digest(ids.NS_OPTION, candidate=F.col("candidate_id"), unit=F.col("unit").cast("string"))
-    return candidates.select(key.alias("option_key"), "unit", "target_text")
+    return candidates.select(key.alias("option_key"), "unit", "target_text", *carry)
 
 
 def is_serious(findings: Column) -> Column:
@@ -140,9 +140,9 @@ def release(outcomes_: DataFrame, key: str = "doc_id", pos: str = "pos", fan: in
     return {"release_id": top.h if top else None, "documents": counts.documents, "outcomes": counts.outcomes}
 
 
-def option_sets(options_: DataFrame) -> DataFrame:
-    """Per unit its options in the order of their keys (a unit has a few lanes)."""
-    return options_.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("option_key", "target_text"))).alias("options"))
+def option_sets(options_: DataFrame, *others: Column) -> DataFrame:
+    """Per unit its options in the order of their keys (a unit has a few lanes), and other aggregates."""
+    return options_.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("option_key", "target_text"))).alias("options"), *others)
 
 
 def report(options_: DataFrame, findings: DataFrame) -> DataFrame:

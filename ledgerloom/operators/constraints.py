@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import blank, strip
 from ..functions.values import SERIOUS
 from ..sources.records import ALLOWED
 
@@ -94,7 +94,7 @@ def exact_cover(expected: DataFrame, actual: DataFrame, key: str, revision: str)
 
 
 def target_problems(text: Column) -> Column:
-    return broken((F.coalesce(strip(text), F.lit("")) == "", "blank"), (text.rlike(r"[\p{Cc}&&[^\n\t]]"), "control character"))
+    return broken((blank(text), "blank"), (text.rlike(r"[\p{Cc}&&[^\n\t]]"), "control character"))
 
 
 def route_problems(level: Column, lanes: Column, reasons: Column) -> Column:

@@ -33,15 +33,15 @@ def context_windows(records: DataFrame, key: str = "doc_id", pos: str = "para",
     return out.withColumn("before", F.filter("_kept", lambda p: p < F.col(pos))).withColumn("after", F.filter("_kept", lambda p: p > F.col(pos))).drop("_kept")
 
 
-def chunks(items: DataFrame, key: str = "doc_id", pos: str = "para", size: str = "n", limit: int = 40_000) -> DataFrame:
-    """``key, pos, chunk``: greedy fill in order; a chunk is closed only when it would overflow."""
+def chunks(items: DataFrame, key: str = "doc_id", pos: str = "para", size: str = "n", limit: int = 40_000, carry: list[str] | None = None) -> DataFrame:
+    """``key, pos, chunk`` and the columns ``carry``: greedy fill in order; a chunk is closed only when it would overflow."""
 
     def add(state: tuple[int, int], row: tuple) -> tuple[tuple[int, int], tuple]:
         used, chunk = state
         state = (row[0], chunk + 1) if used > 0 and used + row[0] > limit else (used + row[0], chunk)
         return state, (state[1],)
 
-    rows = items.select(key, pos, F.col(size).cast("long").alias("_size"))
+    rows = items.select(key, pos, *(carry or ()), F.col(size).cast("long").alias("_size"))
     return ordered_fold(rows, [key], [pos], ["_size"], (0, 0), add, "chunk int").drop("_size")
 
 

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from ..functions.values import retry_delay
 from ..sources.commits import CommitLog, Part, Transaction, Versions
+from ..streaming.folders import drop_path
 from . import ledger
 
 Service = Callable[[DataFrame], DataFrame]
@@ -157,12 +158,14 @@ class Executor:
         while True:
             grant = self.log.transact(lambda tx: self._acquire(tx, stage, requests, schema, cost))
             if grant is None:
-                return requests.select("call").join(_dealt(self.results(stage, schema)), "call")
+                break
             self.calls[stage] += grant.admitted
             self.taken_over += grant.taken_over
             wait = self._complete(grant, service, schema)
-            if wait is not None:
-                self.sleep(wait)
+            if wait is None:  # the round held all open calls, and each has its reply
+                break
+            self.sleep(wait)
+        return requests.select("call").join(_dealt(self.results(stage, schema)), "call")
 
     @staticmethod
     def _rows(rows: DataFrame, outcome: Column, seq: int, at: datetime, error: Column | None = None) -> DataFrame:
@@ -175,13 +178,14 @@ class Executor:
         tried = self._last(tx.read(name, ATTEMPT))
         replied = self._replies(tx.read(f"replies-{stage}", f"call string, {schema}, _error string")).select("call")
         pending = requests.join(_dealt(replied), "call", "left_anti") if tx.base.parts(f"replies-{stage}") else requests
-        ended = ledger.call_status(tried, self.max_attempts).where("status IN ('FAILED_PERMANENT', 'EXHAUSTED')").select("call", "status")
-        r = pending.select("call").join(_dealt(ended), "call", "left").agg(F.count("*").alias("n"), F.min(F.when(F.col("status").isNotNull(), F.struct("call", "status"))).alias("ended")).first()
-        if r.ended is not None:
-            raise PermanentError(f"{stage}: call {r.ended.call} ended before as {r.ended.status}")
-        n = r.n
+        n, before = pending.select("call").count(), bool(tx.base.parts(name))
         if not n:
             return None
+        if before:
+            ended = ledger.call_status(tried, self.max_attempts).where("status IN ('FAILED_PERMANENT', 'EXHAUSTED')").select("call", "status")
+            r = pending.select("call").join(_dealt(ended), "call").agg(F.min(F.struct("call", "status")).alias("ended")).first()
+            if r.ended is not None:
+                raise PermanentError(f"{stage}: call {r.ended.call} ended before as {r.ended.status}")
         held, taken_over = tx.pointer(f"lease:{stage}"), 0
         epoch = 0 if held is None else held["epoch"]
         if held is not None and held["held"]:
@@ -194,7 +198,7 @@ class Executor:
         admitted, room, spent = self._admit(tx, stage, pending, n, cost)
         token, until = uuid.uuid4().hex, now + timedelta(seconds=self.lease_seconds)
         last = tried.groupBy("call").agg(F.max("ordinal").alias("tried"))
-        begun = admitted.join(_dealt(last), "call", "left").select(
+        begun = (admitted.join(_dealt(last), "call", "left") if before else admitted.withColumn("tried", F.lit(0))).select(
             "call", F.lit(stage).alias("stage"), (F.coalesce("tried", F.lit(0)) + 1).alias("ordinal"), (F.col("_micro") / 1e6).alias("cost"),
             F.lit(self.owner).alias("owner"), F.lit(token).alias("token"), F.lit(until).alias("expires_at"),
         )
@@ -253,10 +257,19 @@ class Executor:
         retry = F.col("retry_after").cast("double") if "retry_after" in said.columns else F.lit(None).cast("double")
         names = T.StructType.fromDDL(schema).names
         # Written before it is used, since Spark may run a function again.
-        replies = self.log.write(f"replies-{stage}", said.select("call", *names, error.alias("_error"), retry.alias("_retry")).join(_dealt(own.select("call")), "call", "left_semi").dropDuplicates(["call"]))
-        got = spark.read.parquet(f"{self.log.folder}/{replies.path}").select("call", "_error", "_retry", F.lit(True).alias("_there"))
-        outcome = F.when(F.col("_there").isNull(), "RETRYABLE_FAILURE").when(F.col("_error").isNull(), "SUCCEEDED").when(ledger.classify_error(F.col("_error")), "RETRYABLE_FAILURE").otherwise("PERMANENT_FAILURE")
-        done = own.drop("outcome", "error").join(_dealt(got), "call", "left")
+        replies = self.log.write(f"replies-{stage}", said.select("call", *names, error.alias("_error"), retry.alias("_retry")))
+        got = spark.read.parquet(f"{self.log.folder}/{replies.path}")
+        clean, whole = self._answered(own, got)
+        if not clean:  # only what was asked, and once
+            once = self.log.write(f"replies-{stage}", got.join(_dealt(own.select("call")), "call", "left_semi").dropDuplicates(["call"]))
+            drop_path(spark, f"{self.log.folder}/{replies.path}")
+            replies, got = once, spark.read.parquet(f"{self.log.folder}/{once.path}")
+        if whole:  # each attempt has its reply, none an error: nothing to look up
+            done, outcome = own.withColumn("_error", F.lit(None).cast("string")), F.lit("SUCCEEDED")
+        else:
+            got = got.select("call", "_error", "_retry", F.lit(True).alias("_there"))
+            outcome = F.when(F.col("_there").isNull(), "RETRYABLE_FAILURE").when(F.col("_error").isNull(), "SUCCEEDED").when(ledger.classify_error(F.col("_error")), "RETRYABLE_FAILURE").otherwise("PERMANENT_FAILURE")
+            done = own.drop("outcome", "error").join(_dealt(got), "call", "left")
         ended = self.log.write(f"attempts-{stage}", self._rows(done, outcome, 3, self.clock(), F.col("_error")))
 
         def commit(tx: Transaction) -> None:
@@ -270,6 +283,10 @@ class Executor:
             tx.point(f"lease:{stage}", held | {"held": False, "at": now.isoformat()})
 
         self.log.transact(commit)
+        if whole:
+            if grant.waiting:
+                raise BudgetExceeded(f"{stage}: {grant.waiting} calls wait")
+            return None
         r = done.withColumn("outcome", outcome).agg(
             F.max(F.when(F.col("outcome") == "PERMANENT_FAILURE", F.col("_error"))).alias("refused"), F.count_if(F.col("outcome") == "RETRYABLE_FAILURE").alias("again"),
             F.max(F.when(F.col("outcome") == "RETRYABLE_FAILURE", F.col("ordinal"))).alias("ordinal"), F.max("_retry").alias("hint"),
@@ -281,3 +298,16 @@ class Executor:
         if grant.waiting:
             raise BudgetExceeded(f"{stage}: {grant.waiting} calls wait")
         return r.wait if r.again else None
+
+    @staticmethod
+    def _answered(own: DataFrame, got: DataFrame) -> tuple[bool, bool]:
+        """Whether replies are of attempts only, one each; and whether besides every attempt has one, without error.
+
+        Calls are dealt out for it, their replies are not.
+        """
+        begun = own.select("call", F.lit(1).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("bad"))
+        said = got.select("call", F.lit(0).alias("a"), F.lit(1).alias("b"), F.col("_error").isNotNull().cast("int").alias("bad"))
+        a, b, bad = (F.sum(c).alias(c) for c in ("a", "b", "bad"))
+        clean, whole = (F.col("b") <= 1) & (F.col("b") <= F.col("a")), (F.col("a") == 1) & (F.col("b") == 1) & (F.col("bad") == 0)
+        r = begun.unionByName(said).groupBy("call").agg(a, b, bad).agg(F.bool_and(clean).alias("clean"), F.bool_and(whole).alias("whole")).first()
+        return r.clean is not False, r.whole is not False

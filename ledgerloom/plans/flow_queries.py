@@ -13,7 +13,7 @@ from ..fixtures import Fixture
 from ..operators import bus, context, gates, ledger, terms
 from ..operators.executor import Executor
 from ..sources import evidence, records, replies
-from ..streaming.folders import shared_folder
+from ..streaming.folders import drop_cut, shared_folder
 from . import publication
 from .kernel import Kernel, Services
 from .project import Project
@@ -174,9 +174,11 @@ best AS (SELECT doc_id, para, arg_min(t, k) FILTER (NOT (risky AND lane = 'basel
 @query(f"WITH {_RUN} SELECT doc_id || ':' || para AS unit, sha256(t || '!') AS edited_sha FROM best")
 def pl01_pl02_pl05_kernel_run(spark, sf):
     """A run of the bus over all units: candidates per lane, blind options, review, selection, edit, verification, document review."""
-    units = publication.units_of(docs(spark, sf)).where("disposition = 'translatable'")
+    table = publication.units_table(docs(spark, sf))
+    units = table.where("disposition = 'translatable'")
     kernel = Kernel(spark, Executor(spark, shared_folder(spark, "run")), _services(), 2000)
     out = kernel.run(publication.routes_of(units), units.select("unit", "doc_id", "pos", "source_text"))
+    drop_cut(table)
     return out.select("unit", F.sha2("edited_text", 256).alias("edited_sha"))
 
 
@@ -203,12 +205,14 @@ w AS (SELECT doc_id, list(length(t) + 1 ORDER BY para) AS ns FROM best GROUP BY
 SELECT stage, calls, 0::BIGINT AS again FROM (SELECT 'generate' AS stage, (SELECT count(*) FROM c) AS calls UNION ALL SELECT unnest(['review', 'adjudicate', 'edit', 'verify']), units FROM n UNION ALL SELECT 'review_document', docs FROM n UNION ALL SELECT 'synthesize', 0)""")
 def ud03_ud09_calls(spark, sf):
     """Calls of a run by stage, and of a second run over the same folder; documents are reviewed in one chunk each."""
-    units = publication.units_of(docs(spark, sf)).where("disposition = 'translatable'")
+    table = publication.units_table(docs(spark, sf))
+    units = table.where("disposition = 'translatable'")
     folder, counts = shared_folder(spark, "run"), []
     for _ in range(2):
         e = Executor(spark, folder)
         Kernel(spark, e, _services(), 10**9).run(publication.routes_of(units), units.select("unit", "doc_id", "pos", "source_text"))
         counts.append(e.calls)
+    drop_cut(table)
     return spark.createDataFrame([(k, n, counts[1][k]) for k, n in counts[0].items()], "stage string, calls long, again long")
 
 

@@ -23,7 +23,7 @@ from ..operators import bus, constraints, gates
 from ..operators.executor import Executor
 from ..sources import records
 from ..sources.commits import CommitLog, Transaction
-from ..streaming.folders import drop_cut, shuffles_dropped
+from ..streaming.folders import cut, drop_cut, shuffles_dropped
 from . import planning
 from .kernel import Blocked, Kernel, Services
 from .project import Config, Project
@@ -56,6 +56,12 @@ def units_of(documents: DataFrame) -> DataFrame:
     return r.withColumns({"unit": F.concat_ws(":", "doc_id", "para"), "pos": F.col("para")})
 
 
+def units_table(documents: DataFrame) -> DataFrame:
+    """:func:`units_of`, written once (``drop_cut`` deletes it); the documents are dealt out before, since a table of few files is few tasks."""
+    with shuffles_dropped(documents.sparkSession):
+        return cut(units_of(documents.repartition("doc_id")), "units")
+
+
 def routes_of(units: DataFrame) -> DataFrame:
     """One lane for plain units, two for those with a raised risk floor."""
     risky = risk_floor(F.col("source_text"), F.col("lang")) != "R1"

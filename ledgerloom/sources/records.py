@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity as ids
-from ..functions.text import normalize_text, strip
+from ..functions.text import blank, normalize_text
 
 #: Disposition and reason pairs that a record may carry.
 ALLOWED = {
@@ -27,8 +27,8 @@ def segment(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """
     keep = [c for c in ("lang", "source") if c in docs.columns]
     lines = docs.select(doc_id, *keep, F.posexplode(F.split(normalize_text(F.coalesce(F.col(text), F.lit(""))), "\n")).alias("para", "source_text"))
-    bare = strip(F.col("source_text"))
-    reason = F.when(bare == "", "EMPTY").when(bare.rlike(r"(?U)^[\d\s.,%+\-]+$"), "PURE_NUMERIC").otherwise("TEXT")
+    # White space at the ends is of both classes, so nothing need be stripped.
+    reason = F.when(blank(F.col("source_text")), "EMPTY").when(F.col("source_text").rlike(r"(?U)^[\d\s.,%+\-]+$"), "PURE_NUMERIC").otherwise("TEXT")
     return lines.withColumn("reason", reason).withColumn("disposition", F.when(F.col("reason") == "TEXT", "translatable").otherwise("safe_exclusion"))
 
 
