@@ -100,7 +100,10 @@ def literal_fragments(text: Column) -> Column:
 
 def anchors(text: Column) -> Column:
     """Distinct URLs, standalone numbers and equations in order, without closing ``.,;:``."""
-    found = F.concat(*(F.regexp_extract_all(text, F.lit(_U + p), F.lit(0)) for p in (URL, NUMBER, EQUATION)))
+    # What each needs is looked for first: a search by the whole pattern tries it at every place.
+    none = F.array().cast("array<string>")
+    needs = ((text.contains("http"), _U + URL), (F.lit(True), rf"{_U}(?=\d)" + NUMBER), (text.contains("="), _U + EQUATION))
+    found = F.concat(*(F.when(may, F.regexp_extract_all(text, F.lit(p), F.lit(0))).when(text.isNotNull(), none) for may, p in needs))
     bare = F.transform(found, lambda x: F.regexp_replace(x, "[.,;:]+$", ""))
     return F.array_sort(F.array_distinct(F.filter(bare, lambda x: x != "")))
 

@@ -126,18 +126,18 @@ def release(outcomes_: DataFrame, key: str = "doc_id", pos: str = "pos", fan: in
 
     A tree of digests: ``fan`` neighbours at most meet in a task on every level, up to one.
     """
-    sets = outcome_set(outcomes_, key, pos)
-    counts = sets.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("outcomes"), F.max(key).alias("top"), F.min(key).alias("low")).first()
-    level = sets.select((F.col(key) - F.lit(counts.low)).alias("at"), F.col("outcome_set_id").alias("h"))
-    span = 1 if counts.top is None else int(counts.top) - int(counts.low) + 1
+    ends = outcomes_.agg(F.max(key).alias("top"), F.min(key).alias("low")).first()
+    level = outcome_set(outcomes_, key, pos).select((F.col(key) - F.lit(ends.low)).alias("at"), F.col("outcome_set_id").alias("h"), F.lit(1).alias("d"), "n")
+    span = 1 if ends.top is None else int(ends.top) - int(ends.low) + 1
     while True:
         rows = F.array_sort(F.collect_list(F.struct("at", "h")))
-        level = level.groupBy(F.expr(f"at div {fan}").alias("g")).agg(F.sha2(F.concat_ws("\n", F.transform(rows, lambda r: r["h"])), 256).alias("h")).select(F.col("g").alias("at"), "h")
+        digest = F.sha2(F.concat_ws("\n", F.transform(rows, lambda r: r["h"])), 256).alias("h")
+        level = level.groupBy(F.expr(f"at div {fan}").alias("g")).agg(digest, F.sum("d").alias("d"), F.sum("n").alias("n")).select(F.col("g").alias("at"), "h", "d", "n")
         span = -(-span // fan)
         if span <= 1:
             break
     top = level.first()
-    return {"release_id": top.h if top else None, "documents": counts.documents, "outcomes": counts.outcomes}
+    return {"release_id": top.h if top else None, "documents": top.d if top else 0, "outcomes": top.n if top else 0}
 
 
 def option_sets(options_: DataFrame, *others: Column) -> DataFrame:

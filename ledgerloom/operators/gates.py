@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,32 +21,57 @@ def absent(wanted: DataFrame, pages: DataFrame, together: int = 20_000) -> DataF
     A page without text lacks everything; an empty key is in every text; of several texts of a page each is looked through.
     """
     slots = wanted.groupBy("page").agg(F.ceil(F.count("*") / together).cast("int").alias("_slots"))
-    own = wanted.join(slots, "page").withColumn("_slot", F.pmod(F.xxhash64("key"), F.col("_slots")).cast("int")).drop("_slots")
-    texts = pages.join(slots, "page").select("page", "text_key", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)).alias("_slot"))
-    names = wanted.columns
-
-    def find(rows: pa.Table, texts: pa.Table) -> pa.Table:
+    names, page, none = wanted.columns, wanted.schema["page"].dataType, F.lit(None).cast("string")
+    own = wanted.join(slots, "page").select(*names, F.pmod(F.xxhash64("key"), F.col("_slots")).cast("int").alias("_slot"), F.lit(0).alias("_is_text"), none.alias("_text"))
+    each = F.explode(F.sequence(F.lit(0), F.col("_slots") - 1))
+    texts = pages.select(F.col("page").cast(page).alias("page"), "text_key").join(slots, "page").select("page", F.col("text_key").alias("_text"), F.lit(1).alias("_is_text"), each.alias("_slot"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of many pages in a batch, those of a page together: its keys, then its texts."""
+        group, rows, seen = None, [], False
+        for batch in batches:
+            column = lambda name, b=batch: b.column(b.schema.get_field_index(name))
+            kinds = list(zip(column("page").to_pylist(), column("_slot").to_pylist(), column("_is_text").to_pylist(), strict=True))
+            at = 0
+            for kind, run in itertools.groupby(kinds):
+                n = sum(1 for _ in run)
+                if kind[:2] != group:
+                    if not seen:
+                        yield from rows
+                    group, rows, seen = kind[:2], [], False
+                if kind[2]:
+                    for text in column("_text").slice(at, n).to_pylist():
+                        yield from _lacking(rows, text)
+                    seen = True
+                else:
+                    rows.append(batch.slice(at, n).select(names))
+                at += n
+        if not seen:
+            yield from rows
+
+    dealt = own.unionByName(texts, allowMissingColumns=True).repartition("page", "_slot").sortWithinPartitions("page", "_slot", "_is_text")
+    return dealt.mapInArrow(find, wanted.schema).unionByName(wanted.where("page IS NULL"))
+
+
+def _lacking(rows: list[pa.RecordBatch], text: str | None, few: int = 16) -> Iterator[pa.RecordBatch]:
+    """The rows whose ``key`` a text lacks; more than a ``few`` keys are one automaton."""
+    keys = [b.column(b.schema.get_field_index("key")).to_pylist() for b in rows]
+    distinct = {k for own in keys for k in own} - {"", None}
+    there = {""} if text is not None else set()
+    if text and len(distinct) <= few:
+        there.update(k for k in distinct if k in text)
+    elif text:
         import ahocorasick
 
-        rows = rows.select(names)
-        if not rows.num_rows or not texts.num_rows:
-            return rows
-        keys = rows["key"].to_pylist()
         automaton = ahocorasick.Automaton()
-        for k in set(keys) - {"", None}:
+        for k in distinct:
             automaton.add_word(k, k)
         automaton.make_automaton()
-        out = []
-        for text in texts["text_key"].to_pylist():
-            there = {""} if text is not None else set()
-            if text and len(automaton):
-                there.update(k for _, k in automaton.iter(text))
-            out.append(rows.filter(pa.array([k not in there for k in keys], pa.bool_())))
-        return pa.concat_tables(out)
-
-    by = ("page", "_slot")
-    gone = own.groupBy(*by).cogroup(texts.groupBy(*by)).applyInArrow(find, wanted.schema)
-    return gone.unionByName(wanted.where("page IS NULL"))
+        there.update(k for _, k in automaton.iter(text))
+    for b, own in zip(rows, keys, strict=True):
+        gone = [k not in there for k in own]
+        if any(gone):
+            yield b.filter(pa.array(gone, pa.bool_()))
 
 
 def missing_literals(units: DataFrame, pages: DataFrame, show: int = 3, cut: int = 120) -> DataFrame:

@@ -72,7 +72,8 @@ def routes_of(units: DataFrame) -> DataFrame:
 def render(units: DataFrame, approvals: DataFrame) -> DataFrame:
     """``doc_id, text``: paragraphs in order, translatable ones by their approved text; raises if one is missing."""
     own = units.join(approvals.select("unit", "edited_text"), "unit", "left")
-    if own.where("disposition = 'translatable' AND edited_text IS NULL").limit(1).count():
+    given = approvals.select("unit", F.col("edited_text").isNotNull().alias("given"))  # no text is dealt out for the question
+    if units.where("disposition = 'translatable'").select("unit").join(given, "unit", "left").where("NOT coalesce(given, false)").limit(1).count():
         raise MissingApprovals("a unit has no approved text")
     line = F.when(F.col("disposition") == "translatable", F.col("edited_text")).otherwise(F.col("source_text"))
     rows = F.array_sort(F.collect_list(F.struct("pos", line.alias("t"))))
@@ -87,8 +88,8 @@ def findings(units: DataFrame, outcomes: DataFrame, text: DataFrame) -> DataFram
     whole = units.groupBy("doc_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("pos", "source_text"))), lambda r: r["source_text"])).alias("text"))
     gone = gates.missing_anchors(whole.withColumnRenamed("doc_id", "page"), text.select(F.col("doc_id").alias("page"), "text"))
     gone = gone.select(F.col("page").alias("doc_id"), F.lit("ANCHOR_COVERAGE").alias("category"), F.lit("BLOCKING").alias("severity"))
-    blank = whole.join(text.withColumnRenamed("text", "made"), "doc_id", "left").where((F.trim("text") != "") & (F.coalesce(F.trim("made"), F.lit("")) == ""))
-    blank = blank.select("doc_id", F.lit("BLANK_PAGE").alias("category"), F.lit("BLOCKING").alias("severity"))
+    shown, made = whole.select("doc_id", (F.trim("text") != "").alias("shown")), text.select("doc_id", (F.trim("text") != "").alias("made"))
+    blank = shown.join(made, "doc_id", "left").where("shown AND NOT coalesce(made, false)").select("doc_id", F.lit("BLANK_PAGE").alias("category"), F.lit("BLOCKING").alias("severity"))
     counts = gates.page_count_findings(units.select("doc_id").distinct(), text.select("doc_id"), "doc_id").select("doc_id", "category", "severity")
     return lost.unionByName(gone).unionByName(blank).unionByName(counts)
 
@@ -161,7 +162,13 @@ class Publication:
             return self._run(documents, part)
 
     def _run(self, documents: DataFrame, part: str) -> Result:
-        units = units_of(documents)
+        units = units_table(documents)
+        try:
+            return self._published(units, part)
+        finally:
+            drop_cut(units)
+
+    def _published(self, units: DataFrame, part: str) -> Result:
         before, rendered, capture = self._active(part), None, False
         try:
             stored = self._approvals(before)

@@ -37,3 +37,22 @@ def test_replies_are_asked_for_once_each(spark, tmp_path):
     waits = []
     e = Executor(spark, f"file://{tmp_path}/b", sleep=waits.append)
     assert sorted(r.y for r in e.execute("s", asked, silent, "y int").collect()) == [0, 1, 2, 3] and e.calls == {"s": 5} and len(waits) == 1
+
+
+def test_a_publication_splits_its_documents_once(spark, tmp_path):
+    from ledgerloom.plans import publication
+    from ledgerloom.plans.project import Project
+
+    (tmp_path / "a.txt").write_text("It must hold in 1999.\n\nPlain line.\n12.5")
+    project = Project(tmp_path / "p")
+    project.init(tmp_path / "a.txt")
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    docs = publication.read_source(spark, str(tmp_path / "a.txt")).withColumn("text", counted("text"))
+    made = publication.Publication(spark, f"file://{tmp_path}/t", project, services())
+    assert made.run(docs).report["verdict"] == "PASS" and read.value == 1
